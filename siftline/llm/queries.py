@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, suffix
+from . import bpe, quality, simhash, suffix
 from .common import read
 
 
+def vocabulary() -> str:
+    """The public vocabulary file that the encoding queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(read(spark, sf_dir, "documents"))
 
@@ -16,7 +23,18 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(suffix.drop_repeats(read(spark, sf_dir, "documents")))
 
 
+def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary()
+    return bpe.digest(bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), path), path))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(quality.verdicts(read(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op7_bpe_encode_decode": op7_bpe_encode_decode,
+    "op10_quality_rules": op10_quality_rules,
 }

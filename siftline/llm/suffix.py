@@ -26,10 +26,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialise, put_columns
 
@@ -408,7 +410,7 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     spans = spans.select(F.col("id").alias("_sid"), F.col("tx").alias("_stx"), F.col("spans").alias("_spans"))
     joined = full.join(spans, full["_id"].eqNullSafe(spans["_sid"]) & (full["_tx"] == spans["_stx"]), "left")
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def cut(texts, lists):
         out = []
         for text, spans in zip(texts, lists):
@@ -417,8 +419,6 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                 s, e = (x.tolist() for x in merged(np.array([x["start"] for x in spans]), np.array([x["end"] for x in spans])))
                 text = b"".join(raw[x:y] for x, y in zip([0, *e], [*s, len(raw)])).decode("utf-8", "ignore")
             out.append(text)
-        import pandas as pd
-
         return pd.Series(out, dtype=object)
 
     new = {text_col: F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("_spans")))}
