@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality, simhash, suffix
+from . import bpe, embedding, quality, simhash, suffix, warc
 from .common import read
 
 
@@ -23,11 +23,19 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(suffix.drop_repeats(read(spark, sf_dir, "documents")))
 
 
+def op5_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(read(spark, sf_dir, "pages"), segment=16_000)
+
+
 def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary()
     return bpe.digest(bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), path), path))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.embedding_groups(read(spark, sf_dir, "embeddings"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.verdicts(read(spark, sf_dir, "documents")))
 
@@ -35,6 +43,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op5_warc_segments": op5_warc_segments,
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
