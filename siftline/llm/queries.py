@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding, quality, simhash, suffix, warc
+from . import bpe, embedding, quality, simhash, suffix, toxicity, warc
 from .common import read
 
 
@@ -27,6 +27,10 @@ def op5_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(read(spark, sf_dir, "pages"), segment=16_000)
 
 
+def op6_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary()
     return bpe.digest(bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), path), path))
@@ -44,6 +48,7 @@ QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_warc_segments": op5_warc_segments,
+    "op6_toxicity_grammar": op6_toxicity_grammar,
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_quality_rules": op10_quality_rules,
