@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding, quality, simhash, suffix, toxicity, warc
+from . import bpe, chat, embedding, quality, simhash, suffix, toxicity, warc
 from .common import read
 
 
@@ -36,6 +36,10 @@ def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), path), path))
 
 
+def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.read_back(chat.windows(chat.with_probe(read(spark, sf_dir, "conversations"))))
+
+
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.embedding_groups(read(spark, sf_dir, "embeddings"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op5_warc_segments": op5_warc_segments,
     "op6_toxicity_grammar": op6_toxicity_grammar,
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
+    "op8_chat_windows": op8_chat_windows,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
