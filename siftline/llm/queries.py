@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embedding, quality, simhash, suffix, toxicity, warc
+from . import bpe, chat, embedding, mixing, quality, simhash, suffix, toxicity, urlrules, warc
 from .common import read
 
 
@@ -15,10 +15,19 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_rates(read(spark, sf_dir, "documents"), mixing.label_domains(read(spark, sf_dir, "labels")))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(read(spark, sf_dir, "documents"))
 
 
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return urlrules.judge(pages, urlrules.page_labels(pages, read(spark, sf_dir, "labels")))
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(suffix.drop_repeats(read(spark, sf_dir, "documents")))
 
@@ -49,7 +58,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_url_rules": op3_url_rules,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_warc_segments": op5_warc_segments,
     "op6_toxicity_grammar": op6_toxicity_grammar,

@@ -116,7 +116,8 @@ def write_archives(
     ).withColumn("row", F.monotonically_increasing_id()).withColumn("same", F.sha1("payload"))
     big = each.where(F.octet_length("payload") >= least).select("same", F.struct(F.coalesce("id", F.lit(-(1 << 63))).alias("o"), "id", "row").alias("who"))
     shared = big.groupBy("same").agg(F.count("*").alias("n"), F.max("who").alias("who")).where("n > 1")
-    shared = shared.select("same", F.col("who.id").alias("of_id"), F.col("who.row").alias("of_row"))
+    # written first, so that its size decides how it is joined: where it is small no page moves
+    shared = materialise(shared.select("same", F.col("who.id").alias("of_id"), F.col("who.row").alias("of_row")), "shared")
     joined = each.join(shared, "same", "left").select("id", "url", "payload", "row", "of_id", "of_row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,12 +152,12 @@ def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, block
 
 
-_READ = "record_id string, page_id long, url string, record_type string, refers_to long, refers_id string, segment int, total long, stated_digest string, payload binary"
+_READ = "record_id string, page_id long, url string, record_type string, refers_to long, refers_id string, segment int, total long, stated_digest string, payload binary, payload_digest string"
 
 
 def _read_files(segments: bool):
     names = [part.split()[0] for part in _READ.split(", ")]
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.binary()]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.string()]
     number = lambda x: None if x is None else int(x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,6 +176,7 @@ def _read_files(segments: bool):
                         f.get("warc-segment-origin-id", f["warc-record-id"]), number(f.get("x-page-id")), f.get("warc-target-uri"), kind,
                         number(f.get("x-refers-to-page-id")), f.get("warc-refers-to"), part, number(f.get("warc-segment-total-length")),
                         f.get("warc-payload-digest", "").removeprefix("sha1:") or None, payload,
+                        None if segments or payload is None else base32_sha1(payload),
                     ))
                     held += len(payload or b"")
                     if held > 1 << 22:
@@ -196,13 +198,8 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 by = {p["segment"]: p["payload"] for p in pieces}
                 block = b"".join(by[k] for k in sorted(by))
                 payloads.append(payload_of(block) if sorted(by) == list(range(1, len(by) + 1)) and len(block) == total else None)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(payloads, pa.binary())], ["record_id", "payload"])
-
-
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        made = [None if p is None else base32_sha1(p.as_buffer()) for p in batch.column(batch.num_columns - 1)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], [*batch.schema.names, "payload_digest"])
+            digests = [None if p is None else base32_sha1(p) for p in payloads]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(payloads, pa.binary()), pa.array(digests, pa.string())], ["record_id", "payload", "payload_digest"])
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -217,12 +214,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     whole = files.mapInArrow(_read_files(False), _READ)
     parts = files.mapInArrow(_read_files(True), _READ)
     sets = parts.groupBy("record_id").agg(F.collect_list(F.struct("segment", "payload")).alias("pieces"), F.max("total").alias("total"))
-    again = sets.mapInArrow(_joined, "record_id string, payload binary")
-    heads = parts.where("record_type != 'continuation'").drop("payload").join(again, "record_id", "left")
-    names = ["record_id", "page_id", "url", "record_type", "refers_to", "refers_id", "stated_digest", "payload"]
-    both = whole.select(*names).union(heads.select(*names))
-    kinds = ", ".join(f"{n} {t}" for n, t in both.dtypes)
-    return both.mapInArrow(_digests, f"{kinds.replace('bigint', 'long')}, payload_digest string")
+    again = sets.mapInArrow(_joined, "record_id string, payload binary, payload_digest string")
+    heads = parts.where("record_type != 'continuation'").drop("payload", "payload_digest").join(again, "record_id", "left")
+    names = ["record_id", "page_id", "url", "record_type", "refers_to", "refers_id", "stated_digest", "payload", "payload_digest"]
+    return whole.select(*names).union(heads.select(*names))
 
 
 def digest(spark: SparkSession, path: str) -> DataFrame:
