@@ -125,20 +125,28 @@ def route(fp: np.ndarray, tree: dict, radius: int) -> tuple[np.ndarray, np.ndarr
     return row, node - ((1 << tree["depth"]) - 1), home
 
 
-def forest(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Unite the pairs in ``parent``, where every entry points at its set's smallest index."""
-    while len(a):
-        ra, rb = parent[a], parent[b]
+def forest(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Unite the pairs in ``parent``, where every entry points at its set's smallest index.
+
+    Returns the places of the pairs that joined two sets: of several that join the same set to
+    another in one step, the first.
+    """
+    used, at = [], np.arange(len(a))
+    while len(at):
+        ra, rb = parent[a[at]], parent[b[at]]
         open_ = ra != rb
         if not open_.any():
-            return
-        a, b, ra, rb = a[open_], b[open_], ra[open_], rb[open_]
-        np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
+            break
+        at, ra, rb = at[open_], ra[open_], rb[open_]
+        high, first = np.unique(np.maximum(ra, rb), return_index=True)
+        parent[high] = np.minimum(ra, rb)[first]
+        used.append(at[first])
         while True:
             up = parent[parent]
             if (up == parent).all():
                 break
             parent[:] = up
+    return np.concatenate(used) if used else np.zeros(0, np.int64)
 
 
 def close_pairs(homes: np.ndarray, visitors: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -146,17 +154,19 @@ def close_pairs(homes: np.ndarray, visitors: np.ndarray, max_bits: int) -> Itera
     step = max(1, AT_ONCE // max(1, len(homes)))
     for at in range(0, len(visitors), step):
         part = visitors[at : at + step, None]
-        v, h = np.nonzero((np.bitwise_count(part ^ homes[None, :]) <= max_bits) & (part < homes[None, :]))
+        far = np.bitwise_count(part ^ homes[None, :])
+        v, h = np.nonzero((far <= max_bits) & (part < homes[None, :]))
         if len(v):
-            yield v + at, h
+            near_first = np.argsort(far[v, h], kind="stable")
+            yield v[near_first] + at, h[near_first]
 
 
 def near_links(nodes: DataFrame, max_bits: int = 4, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
-    """(u, v): node pairs that span, with no others, all links between fingerprints of ``nodes``.
+    """(u, v): links that span, with no others, all links between fingerprints of ``nodes``.
 
     ``nodes`` has distinct ``fp`` and their ``rep``. Any two fingerprints that differ in at
-    most ``max_bits`` bits are connected through the pairs returned, and none returned differ
-    in more than a chain of such steps. One or no rows: an empty table.
+    most ``max_bits`` bits are connected through the pairs returned, each of which differs in
+    no more. Close pairs are taken before others. One or no rows: an empty table.
     """
     n_blocks, radius = blocks_of(max_bits)
     total = nodes.count()
@@ -213,10 +223,12 @@ def near_links(nodes: DataFrame, max_bits: int = 4, leaf: int = LEAF, sample: in
         nodes_here, first, at = np.unique(fp, return_index=True, return_inverse=True)
         parent, name = np.arange(len(nodes_here)), rep[first]
         h, v = np.unique(at[home]), np.unique(at[~home])
+        u, w = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a, b in close_pairs(nodes_here[h], nodes_here[v], max_bits):
-            forest(parent, v[a], h[b])
-        joined = np.flatnonzero(parent != np.arange(len(parent)))
-        return pa.table({"u": pa.array(name[joined]), "v": pa.array(name[parent[joined]])})
+            a, b = v[a], h[b]
+            used = forest(parent, a, b)
+            u.append(a[used]), w.append(b[used])
+        return pa.table({"u": pa.array(name[np.concatenate(u)]), "v": pa.array(name[np.concatenate(w)])})
 
     dealt = nodes.select("fp", "rep").mapInArrow(deal, "block long, home boolean, fp long, rep long")
     return dealt.groupBy("block").applyInArrow(link, "u long, v long")
@@ -245,13 +257,68 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, max_bits: int = 4) -> DataFrame:
+def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
+    """(tx, shingles) of (tx, text) rows: the hashes of each text's different ``width``-word shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 256):
+                batch, sets = whole.slice(at, 256), []
+                for text in batch.column(1):
+                    words = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
+                    grams = {b" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else ()
+                    sets.append(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, len(grams)).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["tx", "shingles"])
+
+    return docs.select("tx", "text").mapInArrow(run, "tx long, shingles array<long>")
+
+
+def near_duplicate_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8,
+    candidate_width: int = 2, candidate_bits: int = 9,
+) -> DataFrame:
+    """(tx, id): each different text's hash and the smallest id of its group of near copies.
+
+    Texts are linked if the sets of their ``width``-word shingles have a Jaccard similarity of
+    ``similarity`` or more. At five words and 0.8 the fingerprints of those shingles differ in
+    up to 14 of 64 bits, where no triangle bound rules anything out, as a changed word changes
+    five shingles. So candidates are the links of fingerprints of ``candidate_width`` words
+    (the trees' spanning links, close ones first); each is then verified on the whole sets.
+    Texts without words are alike. Ids that are null name a group only where no other does.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("tx"))
+    one = plain.groupBy("tx").agg(F.min("id").alias("id"))
+    prints = fingerprints(plain, "tx", "text", candidate_width).select(F.col("id").alias("tx"), "fp").groupBy("tx").agg(F.min("fp").alias("fp"))
+    each = materialise(prints.join(one, "tx"), "prints")
+    nodes = materialise(each.groupBy("fp").agg(F.min("tx").alias("rep")), "nodes")
+    same = each.join(nodes, "fp").where("tx != rep").select(F.col("tx").alias("u"), F.col("rep").alias("v"))
+    pairs = near_links(nodes, candidate_bits).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    pairs = materialise(same.union(pairs), "pairs")
+    ends = pairs.select(F.col("u").alias("tx")).union(pairs.select(F.col("v").alias("tx"))).distinct()
+    sets = materialise(shingle_sets(plain.join(ends, "tx", "left_semi"), width).dropDuplicates(["tx"]), "shingles")
+    sizes = sets.select("tx", F.size("shingles").alias("n"))
+    u = sizes.select(F.col("tx").alias("u"), F.col("n").alias("nu"))
+    v = sizes.select(F.col("tx").alias("v"), F.col("n").alias("nv"))
+    # sets whose sizes alone rule the similarity out are not joined
+    fair = pairs.join(u, "u").join(v, "v").where(F.least("nu", "nv") >= similarity * F.greatest("nu", "nv")).select("u", "v")
+    held = fair.join(sets.select(F.col("tx").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("tx").alias("v"), F.col("shingles").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    alike = (common >= similarity * (F.size("a") + F.size("b") - common)) | ((F.size("a") == 0) & (F.size("b") == 0))
+    found = components(held.where(alike), "u", "v")
+    named = one.join(found, one["tx"] == found["node"], "left").select("tx", "id", F.coalesce("component", "tx").alias("root"))
+    least = named.groupBy("root").agg(F.min("id").alias("least"))
+    return named.join(least, "root").select("tx", F.col("least").alias("id"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """The rows of ``docs`` whose id names their group: one document of each group stays.
 
-    Of repeated rows with that id one stays; rows without an id stay, as they can't be told
-    apart. Columns are those of ``docs``.
+    Groups and ``limits`` are ``near_duplicate_groups``'. Of repeated rows with that id one
+    stays (of different texts under one id, one); rows without an id stay, as they can't be
+    told apart. Columns are those of ``docs``; an empty table gives an empty one.
     """
-    groups = simhash_groups(docs, id_col, text_col, width, max_bits)
-    keep = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct()
-    plain = docs.join(keep, docs[id_col] == keep["_keep"], "left_semi")
-    return plain.dropDuplicates([id_col]).union(docs.where(F.col(id_col).isNull()))
+    groups = materialise(near_duplicate_groups(docs, id_col, text_col, **limits), "groups").select(F.col("tx").alias("_gtx"), F.col("id").alias("_gid"))
+    tagged = docs.withColumn("_tx", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    kept = tagged.join(groups, (F.col("_tx") == F.col("_gtx")) & (F.col(id_col).cast("long") == F.col("_gid")), "left_semi")
+    return kept.dropDuplicates([id_col]).select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
