@@ -34,8 +34,10 @@ TARGETS = {"good": 0.88, "low": 0.08, "toxic": 0.04}
 #: The byte groups whose shares are features: each letter, and other bytes by kind.
 _GROUPS = np.array([b - 97 if 97 <= b < 123 else 26 if 65 <= b < 91 else 27 if 48 <= b < 58 else 28 if b == 10 else 29 if b == 32 else 30 + b % 8 if b in b"#*$%&|<>" else 38 if b in b".,;:!?" else 39 if b < 128 else 40 + b % 24 for b in range(256)])
 N_FEATURES = 64 + 5
+#: Partitions of the sample while it is fitted.
+PARTS = 6
 #: Buckets of the hashed words that the classifier looks at as well.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 12
 
 
 def features(text: str | None) -> tuple[int, np.ndarray]:
@@ -68,15 +70,15 @@ def with_posteriors(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id"
     known = known.orderBy(F.xxhash64("_lid"), "_lid", "_d").limit(sample)
     # at most ``sample`` rows of two numbers
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(known), F.col("_id") == F.col("_lid"))
-    rows = materialise(rows.select(F.col("_d").alias("label"), "_text", _features("_text").alias("_f")), "training")
+    rows = materialise(_vectors(rows.select(F.col("_d").alias("label"), "_text", _features("_text").alias("_f"))).select("label", "_v"), "training").coalesce(PARTS)
     shares = {int(r.label): r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     text = docs.withColumn("_text", F.col(text_col).cast("string")).withColumn("_f", _features("_text")).withColumn("_tokens", F.col("_f.tokens"))
     if len(shares) < 2:
         total = sum(shares.values())
         flat = [shares.get(k, 0) / total if total else 1 / len(domains) for k in range(len(domains))]
         return text.withColumn("_p", F.array(*map(F.lit, flat))).drop("_f", "_text")
-    fitter = LogisticRegression(family="multinomial", maxIter=60, regParam=1e-3, featuresCol="_v", labelCol="label", probabilityCol="_probability")
-    model = fitter.fit(_vectors(rows))
+    fitter = LogisticRegression(family="multinomial", maxIter=30, regParam=1e-3, featuresCol="_v", labelCol="label", probabilityCol="_probability")
+    model = fitter.fit(rows)
     out = model.transform(_vectors(text))
     p = vector_to_array("_probability")
     full = F.array(*[F.get(p, F.lit(k)) if k < model.numClasses else F.lit(0.0) for k in range(len(domains))])
