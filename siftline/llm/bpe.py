@@ -25,7 +25,7 @@ _W = r"\t-\r \x85\xa0  -     　"
 #: The pattern of byte-level BPE that splits text before merges (fixed values).
 _SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_W}\p{{L}}\p{{N}}]+|[{_W}]+(?![^{_W}])|[{_W}]+"
 #: Characters encoded together; words and pairs remembered by a task before it starts anew.
-GROUP, WORDS, PAIRS = 1 << 20, 300_000, 500_000
+GROUP, WORDS, PAIRS = 1 << 20, 100_000, 200_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -50,26 +50,10 @@ class Coder:
         self.packed = {i: i.to_bytes(4, "little") for i in self.bytes_of}
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.rank = {(vocab[a], vocab[b]): r for r, (a, b) in enumerate(merges)}
-        born = {vocab[a + b]: (vocab[a], vocab[b], r) for r, (a, b) in reversed(list(enumerate(merges)))}
-        # the pieces that stand at a token's left or right edge while it is made, each with the
-        # rank of the merge that takes it up
-        self.left, self.right = {}, {}
-        for edge, spines in ((0, self.left), (1, self.right)):
-            for token in vocab.values():
-                spine, death, now = [], len(merges), token
-                while True:
-                    spine.append((now, death))
-                    if now not in born:
-                        break
-                    death, now = born[now][2], born[now][edge]
-                spines[token] = spine
-        self.ends: dict = {}
-        for i, b in self.bytes_of.items():
-            if i not in self.special.values():
-                node = self.ends
-                for x in reversed(b):
-                    node = node.setdefault(x, {})
-                node[-1] = i
+        # how each token is made: its two parts, and the rank of their merge
+        self.born = {vocab[a + b]: (vocab[a], vocab[b], r) for r, (a, b) in reversed(list(enumerate(merges)))}
+        self.ends = {b: i for i, b in self.bytes_of.items() if i not in self.special.values()}
+        self.longest = max(map(len, self.ends))
         self.split = regex.compile(_SPLIT).findall
         self.odd = regex.compile(rf" [{_W}]|[{_W}] ").search
         self.specials = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
@@ -77,6 +61,17 @@ class Coder:
         self.chunks: dict[str, bytes] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
 
+    def edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The pieces that stand at a token's left (0) or right (1) edge while it is made, each
+        with the rank of the merge that takes it up.
+        """
+        out, taken = [], len(self.rank)
+        while True:
+            out.append((token, taken))
+            if token not in self.born:
+                return out
+            taken, token = self.born[token][2], self.born[token][side]
+
     def may_follow(self, a: int, b: int) -> bool:
         """Whether encoding the bytes of a and b together gives a, b.
 
@@ -86,18 +81,18 @@ class Coder:
         """
         found = self.pairs.get((a, b))
         if found is None:
-            rank = self.rank
+            rank, left = self.rank, self.edge(b, 0)
             found = not any(
                 (r := rank.get((x, y))) is not None and r < x_ends and r <= y_ends
-                for x, x_ends in self.right[a]
-                for y, y_ends in self.left[b]
+                for x, x_ends in self.edge(a, 1)
+                for y, y_ends in left
             )
             self.pairs[a, b] = found
         return found
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode distinct words in one walk of their trie."""
-        path, last, size, ends, packed = b"", [], [], self.ends, self.packed
+        path, last, size, ends, packed, longest = b"", [], [], self.ends, self.packed, self.longest
         may_follow, pairs = self.may_follow, self.pairs
         for raw, word in sorted((w.encode("utf-8"), w) for w in words):
             shared, most = 0, min(len(path), len(raw))
@@ -105,15 +100,10 @@ class Coder:
                 shared += 1
             del last[shared:], size[shared:]
             for end in range(shared + 1, len(raw) + 1):
-                node, at, fits = ends, end, []
-                while at:
-                    at -= 1
-                    node = node.get(raw[at])
-                    if node is None:
-                        break
-                    if -1 in node:
-                        fits.append((node[-1], at))
-                for token, at in reversed(fits):
+                for at in range(max(0, end - longest), end):
+                    token = ends.get(raw[at:end])
+                    if token is None:
+                        continue
                     if not at:
                         break
                     before = last[at - 1]
