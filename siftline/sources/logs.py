@@ -37,10 +37,11 @@ def read_documents(spark: SparkSession, path: str | list[str], zone: str = "Euro
     rows = read_lines(spark, path).where(F.trim("raw") != "")
     bad = F.raise_error(F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(" is no JSON object")))
     doc = F.from_json("raw", _DOC)
-    rows = rows.withColumn("keys", F.json_object_keys("raw")).withColumn("keys", F.when(F.col("keys").isNull(), bad.cast("array<string>")).otherwise(F.col("keys"))).withColumn("d", doc)
+    rows = rows.withColumn("keys", F.json_object_keys("raw")).withColumn("d", doc)
     get = lambda name: F.col("d").getField(name)
     given = lambda name, value, default: F.when(F.array_contains("keys", name), value).otherwise(F.lit(default))
-    rows = rows.where((F.coalesce(get("@timestamp"), F.lit("")) != "") & (F.coalesce(get("message"), F.lit("")) != ""))
+    usable = (F.coalesce(get("@timestamp"), F.lit("")) != "") & (F.coalesce(get("message"), F.lit("")) != "")
+    rows = rows.where(F.when(F.col("keys").isNull(), bad.cast("boolean")).otherwise(usable))
     when = F.from_utc_timestamp(F.to_utc_timestamp(F.to_timestamp(get("@timestamp")), F.current_timezone()), zone)
     host = F.coalesce(F.nullif(get("host.hostname"), F.lit("")), F.nullif(F.substring_index(get("host.name"), ".", 1), F.lit("")), F.lit("unknown"))
     program = given("process.name", F.coalesce(get("process.name"), F.lit("None")), "unknown")
