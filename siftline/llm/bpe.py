@@ -25,7 +25,7 @@ _W = r"\t-\r \x85\xa0  -     　"
 #: The pattern of byte-level BPE that splits text before merges (fixed values).
 _SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_W}\p{{L}}\p{{N}}]+|[{_W}]+(?![^{_W}])|[{_W}]+"
 #: Characters encoded together; words and pairs remembered by a task before it starts anew.
-GROUP, WORDS, PAIRS = 1 << 20, 100_000, 200_000
+GROUP, WORDS, PAIRS = 1 << 20, 200_000, 400_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -53,24 +53,30 @@ class Coder:
         # how each token is made: its two parts, and the rank of their merge
         self.born = {vocab[a + b]: (vocab[a], vocab[b], r) for r, (a, b) in reversed(list(enumerate(merges)))}
         self.ends = {b: i for i, b in self.bytes_of.items() if i not in self.special.values()}
-        self.longest = max(map(len, self.ends))
+        self.longest = [1] * 256  # of tokens that end with each byte
+        for b in self.ends:
+            self.longest[b[-1]] = max(self.longest[b[-1]], len(b))
         self.split = regex.compile(_SPLIT).findall
         self.odd = regex.compile(rf" [{_W}]|[{_W}] ").search
         self.specials = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.edges: tuple[dict[int, list], dict[int, list]] = ({}, {})
 
     def edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The pieces that stand at a token's left (0) or right (1) edge while it is made, each
         with the rank of the merge that takes it up.
         """
-        out, taken = [], len(self.rank)
-        while True:
-            out.append((token, taken))
-            if token not in self.born:
-                return out
-            taken, token = self.born[token][2], self.born[token][side]
+        out = self.edges[side].get(token)
+        if out is None:
+            out, taken, now = [], len(self.rank), token
+            while now is not None:
+                out.append((now, taken))
+                _, _, taken = made = self.born.get(now, (None, None, 0))
+                now = made[side]
+            self.edges[side][token] = out
+        return out
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether encoding the bytes of a and b together gives a, b.
@@ -100,7 +106,7 @@ class Coder:
                 shared += 1
             del last[shared:], size[shared:]
             for end in range(shared + 1, len(raw) + 1):
-                for at in range(max(0, end - longest), end):
+                for at in range(max(0, end - longest[raw[end - 1]]), end):
                     token = ends.get(raw[at:end])
                     if token is None:
                         continue
