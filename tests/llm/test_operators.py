@@ -199,8 +199,8 @@ def test_warc_reads_what_is_cut_short_as_null(spark, tmp_path):
 
 
 def test_toxicity_held_out(spark, odd):
-    data = queries.op6_toxicity_grammar(spark, "/root/testdata/sf0.01")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select(F.col("doc_id").alias("i"), "toxic").dropna()
+    data = queries.op6_toxicity_grammar(spark, "/root/testdata/sf0.1")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select(F.col("doc_id").alias("i"), "toxic").dropna()
     rows = data.join(labels, F.col("doc_id") == F.col("i")).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     held = [r for r in rows if r.held_out]
@@ -208,7 +208,7 @@ def test_toxicity_held_out(spark, odd):
     base = max(Counter(r.toxic for r in held).values()) / len(held)
     assert right > 0.95 and right >= base
     bad = [r for r in held if r.toxic]
-    assert not bad or 2 * sum(r.predicted for r in bad) > len(bad)
+    assert sum(r.predicted for r in bad) / len(bad) > 0.8
     none = labels.select(F.col("i").alias("doc_id"), "toxic").limit(0)
     out = toxicity.toxicity(odd, none)
     assert out.count() == odd.count() and out.where("score IS NULL OR score < 0 OR score > 1").count() == 0
