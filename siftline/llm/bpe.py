@@ -12,6 +12,7 @@ encoding. Tasks work on their own rows; no words are gathered across tasks.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 _W = r"\t-\r \x85\xa0  -     　"
 #: The pattern of byte-level BPE that splits text before merges (fixed values).
 _SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_W}\p{{L}}\p{{N}}]+|[{_W}]+(?![^{_W}])|[{_W}]+"
-#: Characters encoded together; words and pairs remembered by a task before it starts anew.
-GROUP, WORDS, PAIRS = 1 << 20, 200_000, 400_000
+#: Characters encoded together; words in each of a task's two generations, and pairs remembered
+#: before it starts anew. All but the words of one group is bounded by them.
+GROUP, WORDS, PAIRS = 1 << 21, 200_000, 400_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -49,18 +51,26 @@ class Coder:
         self.bytes_of.update({i: s.encode() for s, i in self.special.items()})
         self.packed = {i: i.to_bytes(4, "little") for i in self.bytes_of}
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        self.rank = {(vocab[a], vocab[b]): r for r, (a, b) in enumerate(merges)}
+        self.merges = len(merges)
+        self.rank: dict[int, dict[int, int]] = {}  # of the merge of two tokens, by the left and then the right one
+        for r, (a, b) in enumerate(merges):
+            self.rank.setdefault(vocab[a], {})[vocab[b]] = r
         # how each token is made: its two parts, and the rank of their merge
         self.born = {vocab[a + b]: (vocab[a], vocab[b], r) for r, (a, b) in reversed(list(enumerate(merges)))}
         self.ends = {b: i for i, b in self.bytes_of.items() if i not in self.special.values()}
-        self.longest = [1] * 256  # of tokens that end with each byte
+        # lengths, longest first, of the tokens that can end where a word's last bytes are these
+        endings = {b[-3:] for b in self.ends if len(b) > 2}
+        sizes = {e: {n for n in (1, 2) if e[-n:] in self.ends} for e in endings}
         for b in self.ends:
-            self.longest[b[-1]] = max(self.longest[b[-1]], len(b))
+            if len(b) > 2:
+                sizes[b[-3:]].add(len(b))
+        self.sizes = {e: tuple(sorted(n, reverse=True)) for e, n in sizes.items()}
         self.split = regex.compile(_SPLIT).findall
-        self.odd = regex.compile(rf" [{_W}]|[{_W}] ").search
+        self.odd = re.compile(rf" [{_W}]|[{_W}] |\0").search
         self.specials = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        # ids of words, and of chunks of words; of the older ones those in use move to the newer
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.edges: tuple[dict[int, list], dict[int, list]] = ({}, {})
 
@@ -70,7 +80,7 @@ class Coder:
         """
         out = self.edges[side].get(token)
         if out is None:
-            out, taken, now = [], len(self.rank), token
+            out, taken, now = [], self.merges, token
             while now is not None:
                 out.append((now, taken))
                 _, _, taken = made = self.born.get(now, (None, None, 0))
@@ -87,18 +97,24 @@ class Coder:
         """
         found = self.pairs.get((a, b))
         if found is None:
-            rank, left = self.rank, self.edge(b, 0)
-            found = not any(
-                (r := rank.get((x, y))) is not None and r < x_ends and r <= y_ends
-                for x, x_ends in self.edge(a, 1)
-                for y, y_ends in left
-            )
+            found, left = True, self.edge(b, 0)
+            for x, x_ends in self.edge(a, 1):
+                with_x = self.rank.get(x)
+                if with_x is None:
+                    continue
+                for y, y_ends in left:
+                    r = with_x.get(y)
+                    if r is not None and r < x_ends and r <= y_ends:
+                        found = False
+                        break
+                if not found:
+                    break
             self.pairs[a, b] = found
         return found
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode distinct words in one walk of their trie."""
-        path, last, size, ends, packed, longest = b"", [], [], self.ends, self.packed, self.longest
+        path, last, size, ends, packed, sizes = b"", [], [], self.ends, self.packed, self.sizes
         may_follow, pairs = self.may_follow, self.pairs
         for raw, word in sorted((w.encode("utf-8"), w) for w in words):
             shared, most = 0, min(len(path), len(raw))
@@ -106,7 +122,10 @@ class Coder:
                 shared += 1
             del last[shared:], size[shared:]
             for end in range(shared + 1, len(raw) + 1):
-                for at in range(max(0, end - longest[raw[end - 1]]), end):
+                for n in sizes.get(raw[end - 3 if end > 3 else 0 : end], (2, 1)):
+                    if n > end:
+                        continue
+                    at = end - n
                     token = ends.get(raw[at:end])
                     if token is None:
                         continue
@@ -122,24 +141,30 @@ class Coder:
             while at:
                 out.append(packed[last[at - 1]])
                 at -= size[at - 1]
-            self.words[word] = b"".join(reversed(out))
+            self.known[word] = b"".join(reversed(out))
 
     def _chunks_of(self, text: str) -> list[str]:
         """Pieces of a text between which no token reaches, most of them one word."""
         if self.odd(text):
             return self.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+        return text.replace(" ", "\0 ").removeprefix("\0").split("\0")
+
+    def recall(self, pieces: Iterable[str]) -> set[str]:
+        """The pieces that are not known; those of the older generation become newer ones."""
+        known, older = self.known, self.older
+        missing = {p for p in pieces if p not in known}
+        for p in missing & older.keys():
+            known[p] = older[p]
+        return missing - known.keys()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Token ids of each text as little-endian unsigned 32-bit numbers."""
-        if len(self.words) > WORDS or len(self.chunks) > WORDS:
-            self.words.clear(), self.chunks.clear()
+        if len(self.known) > WORDS:
+            self.known, self.older = {}, self.known
         if len(self.pairs) > PAIRS:
             self.pairs.clear()
         plans: list[list[list[str] | bytes]] = []
         new: set[str] = set()
-        chunks = self.chunks
         for text in texts:
             plan: list[list[str] | bytes] = []
             at = 0
@@ -154,12 +179,13 @@ class Coder:
                 if isinstance(part, list):
                     new.update(part)
             plans.append(plan)
-        cut = {c: self.split(c) for c in new if c not in chunks}
-        fresh = {w for words in cut.values() for w in words if w not in self.words}
-        self.learn(fresh)
+        cut = {c: self.split(c) for c in self.recall(new)}
+        self.learn(self.recall({w for words in cut.values() for w in words}))
+        of = self.known.__getitem__
         for chunk, words in cut.items():
-            chunks[chunk] = self.words[words[0]] if len(words) == 1 else b"".join([self.words[w] for w in words])
-        return [b"".join([p if isinstance(p, bytes) else b"".join([chunks[c] for c in p]) for p in plan]) for plan in plans]
+            if len(words) > 1:
+                self.known[chunk] = b"".join(map(of, words))
+        return [b"".join([p if isinstance(p, bytes) else b"".join(map(of, p)) for p in plan]) for plan in plans]
 
     def decode(self, packed: bytes) -> str:
         """The text of packed ids; bytes that are no UTF-8 become U+FFFD."""
