@@ -13,8 +13,11 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -37,6 +40,15 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b if b in plain else next(spare)): b for b in range(256)}
 
 
+@lru_cache(maxsize=1)
+def _newer_letters() -> dict[int, str]:
+    """Letters and numbers of a Unicode version after the pre-tokeniser's, which is that of
+    ``unicodedata``; each stands for itself as a character that is neither.
+    """
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))
+    return {ord(c): "\ue000" for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c)[0] not in "LN"}
+
+
 class Coder:
     """Encodes and decodes texts by a vocabulary file of byte-level BPE."""
 
@@ -65,7 +77,9 @@ class Coder:
             if len(b) > 2:
                 sizes[b[-3:]].add(len(b))
         self.sizes = {e: tuple(sorted(n, reverse=True)) for e, n in sizes.items()}
-        self.split = regex.compile(_SPLIT).findall
+        self.plain_split = regex.compile(_SPLIT).findall
+        self.newer = _newer_letters()
+        self.newer_chars = frozenset(map(chr, self.newer))
         self.odd = re.compile(rf" [{_W}]|[{_W}] |\0").search
         self.specials = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         # ids of words, and of chunks of words; of the older ones those in use move to the newer
@@ -143,6 +157,13 @@ class Coder:
                 at -= size[at - 1]
             self.known[word] = b"".join(reversed(out))
 
+    def split(self, text: str) -> list[str]:
+        """The words of a text, which merges do not leave."""
+        if text.isascii() or self.newer_chars.isdisjoint(text):
+            return self.plain_split(text)
+        ends = list(accumulate(map(len, self.plain_split(text.translate(self.newer)))))
+        return [text[a:b] for a, b in zip([0, *ends], ends)]
+
     def _chunks_of(self, text: str) -> list[str]:
         """Pieces of a text between which no token reaches, most of them one word."""
         if self.odd(text):

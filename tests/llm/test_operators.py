@@ -224,6 +224,25 @@ def test_grammar_marks_clauses():
     assert score(strong) > score(told) and score(strong) > score(negated)
 
 
+def test_bpe_splits_as_the_library(monkeypatch):
+    """Letters newer than the library's, white space, NULs and specials, with caches that turn over."""
+    import random
+    import struct
+
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "WORDS", 50)
+    monkeypatch.setattr(bpe, "PAIRS", 200)
+    library, code, dice = Tokenizer.from_file(queries.vocabulary()), bpe.Coder(queries.vocabulary()), random.Random(7)
+    parts = [" ", "  ", "\n", "\0", " \0", "\t", "\u3000", "\x85", "\u088f", "\u208f", "'s", "\u00e9", "\u65e5", "<|endoftext|>", "the", " The", "tion", "1234", "...", "\u200b"]
+    for _ in range(150):
+        texts = ["".join(dice.choice(parts) for _ in range(dice.randrange(25))) for _ in range(10)]
+        for text, packed in zip(texts, code.encode(texts)):
+            want = library.encode(text, add_special_tokens=False).ids
+            assert list(struct.unpack(f"<{len(packed) // 4}I", packed)) == want, repr(text)
+            assert code.decode(packed) == library.decode(want, skip_special_tokens=False)
+
+
 def test_bpe(spark, docs, odd):
     from tokenizers import Tokenizer
 
