@@ -22,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 from .components import components
 
 SEED = 42
@@ -35,6 +35,8 @@ SAMPLE, LEAF, MOST_DEPTH = 20_000, 512, 12
 HOMES, VISITORS = 4_096, 65_536
 #: Pairs compared at once within a task.
 AT_ONCE = 1 << 21
+#: Shingles known as frequent, which the prefixes put last.
+FREQUENT = 1 << 17
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -257,22 +259,113 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
+def shingles_of(text: str | None, width: int) -> np.ndarray:
+    """The hashes of a text's different ``width``-word shingles, ascending; none without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    grams = {b" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else ()
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, len(grams)))
+
+
 def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
     """(tx, shingles) of (tx, text) rows: the hashes of each text's different ``width``-word shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 256):
-                batch, sets = whole.slice(at, 256), []
-                for text in batch.column(1):
-                    words = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-                    grams = {b" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else ()
-                    sets.append(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, len(grams)).view(np.int64))
+                batch = whole.slice(at, 256)
+                sets = [shingles_of(text.as_py(), width).view(np.int64) for text in batch.column(1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["tx", "shingles"])
 
     return docs.select("tx", "text").mapInArrow(run, "tx long, shingles array<long>")
 
 
+def frequent_shingles(docs: DataFrame, total: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes ascending, log2 of their counts): shingles that a bounded sample of the texts repeats."""
+    grain = 1 << 24
+    taken = docs.where(F.pmod(F.xxhash64("tx", F.lit(11)), F.lit(grain)) < min(grain, math.ceil(grain * SAMPLE / max(1, total))))
+    each = shingle_sets(taken, width).dropDuplicates(["tx"]).select(F.explode("shingles").alias("token"))
+    often = each.groupBy("token").count().where("count > 2").orderBy(F.desc("count"), "token").limit(FREQUENT).toArrow()
+    token = often.column("token").to_numpy().view(np.uint64)
+    at = np.argsort(token)
+    return token[at], np.log2(often.column("count").to_numpy()[at]).astype(np.int64)
+
+
+def prefixes(docs: DataFrame, width: int, similarity: float, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(tx, n, tokens, bits) of each text: its number of shingles, the first of them, their parities.
+
+    In any one order of all shingles, two sets whose Jaccard similarity is ``similarity`` or more
+    have one of their first n - ceil(similarity * n) + 1 in common. The order here is rare before
+    frequent; which ones count as frequent decides only how many pairs are compared. ``bits`` has
+    256 parities, so two sets differ in at least as many shingles as their parities do. A text
+    without words has the one token 0.
+    """
+    known, weight = often
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 256):
+                batch, n, tokens, bits = whole.slice(at, 256), [], [], []
+                for text in batch.column(1):
+                    own = shingles_of(text.as_py(), width)
+                    place = np.searchsorted(known, own)
+                    place[place == len(known)] = 0
+                    rank = np.where(known[place] == own, weight[place], 0) if len(known) else np.zeros(len(own), np.int64)
+                    first = own[np.argsort(rank, kind="stable")][: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]
+                    n.append(len(own))
+                    tokens.append(first.view(np.int64) if len(own) else np.zeros(1, np.int64))
+                    odd = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+                    bits.append(np.packbits(odd.astype(bool)).view(np.int64))
+                longs = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(n, pa.int64()), pa.array(tokens, longs), pa.array(bits, longs)], ["tx", "n", "tokens", "bits"]
+                )
+
+    return docs.select("tx", "text").mapInArrow(run, "tx long, n long, tokens array<long>, bits array<long>")
+
+
+def apart(starts: DataFrame, roots: DataFrame, similarity: float, every: bool) -> DataFrame:
+    """(u, v), u > v: texts of different ``roots`` that share a token of their ``prefixes``.
+
+    With ``every``, all such pairs that sizes and places allow; else only neighbours within a
+    token, whose number is that of the tokens at most. A token's largest group is paired with
+    the others only, so what is united already costs no pairs.
+    """
+    by_token = Window.partitionBy("token")
+    each = starts.join(roots, "tx").select("tx", "root", "n", F.posexplode("tokens").alias("pos", "token"))
+    mixed = each.withColumns({"low": F.min("root").over(by_token), "high": F.max("root").over(by_token)}).where("low != high").drop("low", "high")
+    fair = F.least("n", "n2") >= similarity * F.greatest("n", "n2") - 1e-9
+    if not every:
+        order = by_token.orderBy("n", "tx")
+        found = mixed.withColumns({c + "2": F.lag(c).over(order) for c in ("tx", "root", "n")}).where("root != root2")
+    else:
+        mixed = materialise(mixed, "mixed")
+        largest = mixed.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("largest"))
+        few = mixed.join(largest, "token").where("root != largest")
+        other = mixed.select("token", *[F.col(c).alias(c + "2") for c in ("tx", "root", "n", "pos")])
+        # at the first token that two sets share, no more can be common than what follows in both
+        room = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= similarity / (1 + similarity) * (F.col("n") + F.col("n2")) - 1e-9
+        found = few.join(other, "token").where("root != root2 AND (root2 = largest OR tx > tx2)").where(room)
+    return found.where(fair).select(F.greatest("tx", "tx2").alias("u"), F.least("tx", "tx2").alias("v")).distinct()
+
+
+def alike(plain: DataFrame, starts: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The ``pairs`` (u, v) whose whole sets of shingles are as similar as ``similarity`` or more."""
+    u = starts.select(F.col("tx").alias("u"), F.col("n").alias("nu"), F.col("bits").alias("bu"))
+    v = starts.select(F.col("tx").alias("v"), F.col("n").alias("nv"), F.col("bits").alias("bv"))
+    # sets whose sizes or parities alone rule the similarity out are not joined
+    differ = sum((F.bit_count(F.col("bu")[k].bitwiseXOR(F.col("bv")[k])) for k in range(4)), F.lit(0))
+    fair = (F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-9) & (differ <= (F.col("nu") + F.col("nv")) * ((1 - similarity) / (1 + similarity)) + 1e-9)
+    fair = materialise(pairs.join(u, "u").join(v, "v").where(fair).select("u", "v"), "fair")
+    ends = fair.select(F.col("u").alias("tx")).union(fair.select(F.col("v").alias("tx"))).distinct()
+    sets = materialise(shingle_sets(plain.join(ends, "tx", "left_semi"), width).dropDuplicates(["tx"]), "shingles")
+    held = fair.join(sets.select(F.col("tx").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("tx").alias("v"), F.col("shingles").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    whole = (common >= similarity * (F.size("a") + F.size("b") - common)) | ((F.size("a") == 0) & (F.size("b") == 0))
+    out = materialise(held.where(whole).select("u", "v"), "alike")
+    release(sets)
+    return out
+
+
 def near_duplicate_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8,
     candidate_width: int = 2, candidate_bits: int = 9,
@@ -280,35 +373,40 @@ def near_duplicate_groups(
     """(tx, id): each different text's hash and the smallest id of its group of near copies.
 
     Texts are linked if the sets of their ``width``-word shingles have a Jaccard similarity of
-    ``similarity`` or more. At five words and 0.8 the fingerprints of those shingles differ in
-    up to 14 of 64 bits, where no triangle bound rules anything out, as a changed word changes
-    five shingles. So candidates are the links of fingerprints of ``candidate_width`` words
-    (the trees' spanning links, close ones first); each is then verified on the whole sets.
-    Texts without words are alike. Ids that are null name a group only where no other does.
+    ``similarity`` or more; groups are the components of all such links. The links of
+    fingerprints of ``candidate_width`` words (the trees' spanning links, close ones first) are
+    verified on the whole sets and unite most of each group. What they leave apart is paired by
+    shared tokens of ``prefixes``, first neighbours, then every pair of texts still apart, which
+    loses none. Texts without words are alike. Ids that are null name a group only where no
+    other does.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     plain = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("tx"))
     one = plain.groupBy("tx").agg(F.min("id").alias("id"))
     prints = fingerprints(plain, "tx", "text", candidate_width).select(F.col("id").alias("tx"), "fp").groupBy("tx").agg(F.min("fp").alias("fp"))
     each = materialise(prints.join(one, "tx"), "prints")
+    often = frequent_shingles(plain, each.count(), width)
+    starts = materialise(prefixes(plain, width, similarity, often).dropDuplicates(["tx"]), "prefixes")
     nodes = materialise(each.groupBy("fp").agg(F.min("tx").alias("rep")), "nodes")
     same = each.join(nodes, "fp").where("tx != rep").select(F.col("tx").alias("u"), F.col("rep").alias("v"))
     pairs = near_links(nodes, candidate_bits).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    pairs = materialise(same.union(pairs), "pairs")
-    ends = pairs.select(F.col("u").alias("tx")).union(pairs.select(F.col("v").alias("tx"))).distinct()
-    sets = materialise(shingle_sets(plain.join(ends, "tx", "left_semi"), width).dropDuplicates(["tx"]), "shingles")
-    sizes = sets.select("tx", F.size("shingles").alias("n"))
-    u = sizes.select(F.col("tx").alias("u"), F.col("n").alias("nu"))
-    v = sizes.select(F.col("tx").alias("v"), F.col("n").alias("nv"))
-    # sets whose sizes alone rule the similarity out are not joined
-    fair = pairs.join(u, "u").join(v, "v").where(F.least("nu", "nv") >= similarity * F.greatest("nu", "nv")).select("u", "v")
-    held = fair.join(sets.select(F.col("tx").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("tx").alias("v"), F.col("shingles").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    alike = (common >= similarity * (F.size("a") + F.size("b") - common)) | ((F.size("a") == 0) & (F.size("b") == 0))
-    found = components(held.where(alike), "u", "v")
-    named = one.join(found, one["tx"] == found["node"], "left").select("tx", "id", F.coalesce("component", "tx").alias("root"))
-    least = named.groupBy("root").agg(F.min("id").alias("least"))
-    return named.join(least, "root").select("tx", F.col("least").alias("id"))
+    tried = materialise(same.union(pairs), "pairs")
+    roots = _merged(each.select("tx", "id", F.col("tx").alias("root")), alike(plain, starts, tried, width, similarity))
+    for every in (False, True):
+        pairs = materialise(apart(starts, roots.select("tx", "root"), similarity, every).join(tried, ["u", "v"], "left_anti"), "pairs")
+        roots, tried = _merged(roots, alike(plain, starts, pairs, width, similarity)), tried.union(pairs)
+    least = roots.groupBy("root").agg(F.min("id").alias("least"))
+    return roots.join(least, "root").select("tx", F.col("least").alias("id"))
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (tx, id, root) with those that ``links`` (u, v) of texts join made one, the smallest."""
+    if links.isEmpty():
+        return roots
+    u, v = (roots.select(F.col("tx").alias(c), F.col("root").alias("r" + c)) for c in "uv")
+    found = components(links.join(u, "u").join(v, "v"), "ru", "rv")
+    merged = roots.join(found, F.col("root") == F.col("node"), "left").select("tx", "id", F.coalesce("component", "root").alias("root"))
+    return materialise(merged, "roots")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:

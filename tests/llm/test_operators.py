@@ -122,6 +122,31 @@ def test_near_duplicate_stage(spark, odd):
     assert empty.columns == odd.columns and empty.count() == 0
 
 
+def plain_groups(rows, width=5, similarity=0.8):
+    """{id: smallest id of its group} by comparing all pairs of whole sets of shingles."""
+    sets = {}
+    for i, t in rows:
+        words = words_of(lower(t))
+        sets[i] = {tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+    return unite(sets, links)
+
+
+def near_kept(spark, rows):
+    out = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    return sorted(r.doc_id for r in out.collect())
+
+
+def test_near_duplicates_of_large_families(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for length, changed, copies in ((200, 0.008, 150), (200, 0.012, 150), (500, 0.008, 100)):
+        words = rng.choice([f"w{k}" for k in range(3000)], length)
+        for _ in range(copies):
+            rows.append((len(rows), " ".join(np.where(rng.random(length) < changed, f"n{rng.integers(1 << 40)}", words))))
+    assert near_kept(spark, rows) == sorted(set(plain_groups(rows).values()))
+
+
 def test_url_rules(spark, small):
     urls = [
         None, "", "no scheme", "http://", "http://example.com", "http://EXAMPLE.com/en/x?q=1#f", "https://www.example.com/en/", "http://a.www.example.com/en/z",
