@@ -147,6 +147,19 @@ def test_near_duplicates_of_large_families(spark):
     assert near_kept(spark, rows) == sorted(set(plain_groups(rows).values()))
 
 
+@pytest.mark.parametrize("kind", ["added", "cut", "moved"])
+def test_near_duplicates_with_a_passage(spark, kind):
+    """Short and long texts against copies with a passage added, cut or moved to the front, near the threshold."""
+    rng = np.random.default_rng(13)
+    vocabulary, rows = np.array([f"v{k}" for k in range(2000)]), []
+    for length in [12, 30, 60, 200] * 40:
+        words = rng.choice(vocabulary, length, p=(w := 1 / np.arange(1, 2001)) / w.sum()).tolist()
+        part = max(1, int(length * rng.uniform(0.05, 0.22)))
+        other = {"added": words + rng.choice(vocabulary, part).tolist(), "cut": words[part:], "moved": words[part:] + words[:part]}[kind]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    assert near_kept(spark, rows) == sorted(set(plain_groups(rows).values()))
+
+
 def test_url_rules(spark, small):
     urls = [
         None, "", "no scheme", "http://", "http://example.com", "http://EXAMPLE.com/en/x?q=1#f", "https://www.example.com/en/", "http://a.www.example.com/en/z",
