@@ -370,7 +370,7 @@ def near_duplicate_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8,
     candidate_width: int = 2, candidate_bits: int = 9,
 ) -> DataFrame:
-    """(tx, id): each different text's hash and the smallest id of its group of near copies.
+    """(tx, id, named): each different text's hash, the smallest id of its group of near copies, that id's text.
 
     Texts are linked if the sets of their ``width``-word shingles have a Jaccard similarity of
     ``similarity`` or more; groups are the components of all such links. The links of
@@ -395,8 +395,9 @@ def near_duplicate_groups(
     for every in (False, True):
         pairs = materialise(apart(starts, roots.select("tx", "root"), similarity, every).join(tried, ["u", "v"], "left_anti"), "pairs")
         roots, tried = _merged(roots, alike(plain, starts, pairs, width, similarity)), tried.union(pairs)
-    least = roots.groupBy("root").agg(F.min("id").alias("least"))
-    return roots.join(least, "root").select("tx", F.col("least").alias("id"))
+    # an id can have several texts, so the text that names the group is kept beside its id
+    least = roots.groupBy("root").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "tx"))).alias("least"))
+    return roots.join(least, "root").select("tx", F.col("least.id").alias("id"), F.col("least.tx").alias("named"))
 
 
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -410,13 +411,14 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
-    """The rows of ``docs`` whose id names their group: one document of each group stays.
+    """The rows of ``docs`` whose id and text name their group: one document of each group stays.
 
-    Groups and ``limits`` are ``near_duplicate_groups``'. Of repeated rows with that id one
-    stays (of different texts under one id, one); rows without an id stay, as they can't be
+    Groups and ``limits`` are ``near_duplicate_groups``'. Of repeated rows with that id and text
+    one stays (unrelated texts under one id all do); rows without an id stay, as they can't be
     told apart. Columns are those of ``docs``; an empty table gives an empty one.
     """
-    groups = materialise(near_duplicate_groups(docs, id_col, text_col, **limits), "groups").select(F.col("tx").alias("_gtx"), F.col("id").alias("_gid"))
+    groups = materialise(near_duplicate_groups(docs, id_col, text_col, **limits), "groups")
+    names = groups.where("tx = named").select(F.col("tx").alias("_gtx"), F.col("id").alias("_gid"))
     tagged = docs.withColumn("_tx", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    kept = tagged.join(groups, (F.col("_tx") == F.col("_gtx")) & (F.col(id_col).cast("long") == F.col("_gid")), "left_semi")
-    return kept.dropDuplicates([id_col]).select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
+    kept = tagged.join(names, (F.col("_tx") == F.col("_gtx")) & (F.col(id_col).cast("long") == F.col("_gid")), "left_semi")
+    return kept.dropDuplicates([id_col, "_tx"]).select(*docs.columns).union(docs.where(F.col(id_col).isNull()))

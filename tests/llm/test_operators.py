@@ -160,6 +160,14 @@ def test_near_duplicates_with_a_passage(spark, kind):
     assert near_kept(spark, rows) == sorted(set(plain_groups(rows).values()))
 
 
+def test_near_duplicates_under_one_id(spark):
+    rng = np.random.default_rng(17)
+    one, other = (" ".join(rng.choice([f"w{k}" for k in range(400)], 100)) for _ in range(2))
+    rows = [(1, one), (1, other), (1, other + " end"), (1, one), (2, other)]
+    out = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text.startswith(one)) for r in out) == [(1, False), (1, True)]
+
+
 def test_url_rules(spark, small):
     urls = [
         None, "", "no scheme", "http://", "http://example.com", "http://EXAMPLE.com/en/x?q=1#f", "https://www.example.com/en/", "http://a.www.example.com/en/z",
