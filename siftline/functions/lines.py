@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode has it.
 WS = r"[\s\x0B\u0085   -     　]"
+#: All other characters.
+NS = WS.replace("[", "[^", 1)
 #: A word boundary that knows ASCII words only.
 EDGE = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
 _W = "[0-9A-Za-z_-]"
@@ -19,56 +21,87 @@ EMAIL = r"[0-9A-Za-z_.+%-]+@[0-9A-Za-z_-]+(?:\.[0-9A-Za-z_-]+)+"
 IPV4 = rf"{EDGE}[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}{EDGE}"
 _H = "[0-9a-fA-F]{1,4}"
 IPV6 = rf"{EDGE}(?:{_H}:){{5,7}}{_H}{EDGE}|(?:{_H}(?::{_H}){{0,6}})?::(?:{_H}(?::{_H}){{0,6}})?"
-FQDN = rf"{EDGE}(?=(?:[0-9_-]|\.(?={_W}))*[A-Za-z]){_W}+(?:\.{_W}+){{2,}}{EDGE}"
+FQDN = rf"{EDGE}(?=(?:[0-9_-]|\.(?={_W}))*[A-Za-z]){_W}++(?:\.{_W}+){{2,}}{EDGE}"
 HEX = rf"{EDGE}[0-9a-fA-F-]{{16,}}{EDGE}"
+USER = rf"(?i){EDGE}(user[= ])([^\t\n\f\r ]+)"
+FOR_USER = rf"{EDGE}for (invalid user )?([^\t\n\f\r ]+) from{EDGE}"
 
 
-def fields(line: Column, n: int = 5) -> Column:
-    """The first n - 1 words and the rest as it stands, leading white space left out."""
-    return F.split(F.regexp_replace(line, f"^{WS}+", ""), f"{WS}+", n)
+#: Four words and the rest of a line from its fifth word on; nothing is tried twice.
+LINE = rf"(?s)^{WS}*+({NS}++){WS}++({NS}++){WS}++({NS}++){WS}++({NS}++){WS}++({NS}.*)"
 
 
-def whole(parts: Column, n: int = 5) -> Column:
-    return (F.size(parts) == n) & (F.element_at(parts, -1) != "")
+def field(line: Column, k: int) -> Column:
+    """The k-th of a line's first four words, or (5) the rest as it stands; empty if there are fewer than five.
+
+    ``split`` would build its pattern anew for every row; extraction builds it once a task.
+    """
+    return F.regexp_extract(line, LINE, k)
+
+
+def bind(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with the columns set, each worked out once a row, however often it is used above.
+
+    The optimiser copies an expression into every filter and column that uses it; it does not
+    merge through a generator, so the values come out of one that gives one row a row.
+    """
+    drop = {c.lower() for c in columns}
+    kept = [F.col(f"`{c}`") for c in rows.columns if c.lower() not in drop]
+    return rows.select(*kept, F.inline(F.array(F.struct(*[v.alias(c) for c, v in columns.items()]))))
 
 
 def parse(lines: DataFrame, raw: str = "raw", minutes: int = 10) -> DataFrame:
     """``lines`` with stamp, host, program, bucket (``HH:MM`` of ``minutes``), rest; null where a line doesn't fit."""
-    f = fields(F.col(raw))
-    lines = lines.withColumn("_f", F.when(whole(f), f))
-    stamp, rest = F.col("_f")[2], F.col("_f")[4]
-    program = F.regexp_replace(F.substring_index(F.split(rest, f"{WS}+", 2)[0], "[", 1), ":+$", "")
+    lines = bind(lines, _stamp=field(F.col(raw), 3), _host=field(F.col(raw), 4), _rest=field(F.col(raw), 5))
+    lines = bind(lines, _program=program_of(F.col("_rest")))
+    stamp, program = F.col("_stamp"), F.col("_program")
     minute = F.substring(stamp, 4, 2)
     fits = (F.length(stamp) >= 5) & (F.substring(stamp, 3, 1) == ":") & minute.rlike("^([0-9]{2}|[+-][0-9])$") & (program != "")
     low = F.floor(F.regexp_replace(minute, "[+-]", "").try_cast("int") / minutes) * minutes
     bucket = F.concat(F.substring(stamp, 1, 2), F.lit(":"), F.lpad(low.cast("string"), 2, "0"))
-    return lines.withColumns(
-        {c: F.when(fits, v) for c, v in {"stamp": stamp, "host": F.col("_f")[3], "program": program, "bucket": bucket, "rest": rest}.items()}
-    ).drop("_f")
+    found = {"stamp": stamp, "host": F.col("_host"), "program": program, "bucket": bucket, "rest": F.col("_rest")}
+    return bind(lines, **{c: F.when(fits, v) for c, v in found.items()}).drop("_stamp", "_host", "_rest", "_program")
+
+
+def program_of(rest: Column) -> Column:
+    """The program that the text after the host begins with, without pid and colons."""
+    return F.rtrim(F.regexp_extract(rest, rf"^({NS[:-1]}\[]*)", 1), F.lit(":"))
 
 
 def strip_pids(text: Column) -> Column:
     return F.regexp_replace(text, r"\[[0-9]+\]", "")
 
 
-def message_key(raw: Column) -> tuple[Column, Column]:
-    """(key, host): the text after the host without pids; short lines by their trimmed text, without a host."""
-    f = fields(raw)
+def with_key(lines: DataFrame, raw: Column | None = None) -> DataFrame:
+    """``lines`` with ``_key`` and ``_host``: the text after the host without pids, and the host.
+
+    Lines of fewer than five fields have their trimmed text as key and no host.
+    """
+    raw = F.col("raw") if raw is None else raw
+    lines = bind(lines, _rest=field(raw, 5), _host=F.nullif(field(raw, 4), F.lit("")))
     trimmed = F.regexp_replace(raw, f"^{WS}+|{WS}+$", "")
-    return strip_pids(F.when(whole(f), f[4]).otherwise(trimmed)), F.when(whole(f), f[3])
+    return bind(lines, _key=strip_pids(F.when(F.col("_rest") != "", F.col("_rest")).otherwise(trimmed))).drop("_rest")
+
+
+def _where(text: Column, holds, pattern: str | Column, token: str) -> Column:
+    """``text`` with the pattern replaced where the cheap test ``holds``; the array of one binds the text."""
+    made = lambda x: F.regexp_replace(x, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(token))
+    return F.transform(F.array(text), lambda x: F.when(holds(x), made(x)).otherwise(x))[0]
 
 
 def mask(message: Column, host: Column) -> Column:
     """The message with what varies between repeats replaced by tokens."""
-    m = F.regexp_replace(message, EMAIL, "<email>")
+    m = _where(message, lambda x: x.contains("@"), EMAIL, "<email>")
     m = F.when(F.coalesce(host, F.lit("")) != "", F.replace(m, host, F.lit("<host>"))).otherwise(m)
     short = F.substring_index(host, ".", 1)
     quoted = F.concat(F.lit(EDGE + r"\Q"), F.replace(short, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E" + EDGE))
-    m = F.when(F.coalesce(F.length(short), F.lit(0)) > 2, F.regexp_replace(m, quoted, F.lit("<host>"))).otherwise(m)
-    for pattern, token in ((IPV4, "<ip>"), (IPV6, "<ip6>"), (FQDN, "<fqdn>"), (HEX, "<hex>")):
-        m = F.regexp_replace(m, pattern, token)
-    m = F.regexp_replace(m, rf"(?i){EDGE}(user[= ])([^\t\n\f\r ]+)", "$1<user>")
-    m = F.regexp_replace(m, rf"{EDGE}for (invalid user )?([^\t\n\f\r ]+) from{EDGE}", "for $1<user> from")
+    m = _where(m, lambda x: F.coalesce((F.length(short) > 2) & x.contains(short), F.lit(False)), quoted, "<host>")
+    m = _where(m, lambda x: x.contains("."), IPV4, "<ip>")
+    m = _where(m, lambda x: x.contains(":"), IPV6, "<ip6>")
+    m = _where(m, lambda x: x.contains("."), FQDN, "<fqdn>")
+    m = F.regexp_replace(m, HEX, "<hex>")
+    m = F.regexp_replace(m, USER, "$1<user>")
+    m = _where(m, lambda x: x.contains("for "), FOR_USER, "for $1<user> from")
     pieces = F.regexp_extract_all(m, F.lit("<[a-z0-9]+>|[0-9]+|[^<0-9]+|<"), F.lit(0))
     return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^[0-9]+$"), "<n>").otherwise(p)), "")
 
@@ -77,7 +110,7 @@ def templates(parsed: DataFrame) -> DataFrame:
     """Parsed lines with ``template``: the message after the program's tag, masked; null if not parsed."""
     at = F.instr("rest", " ")
     message = F.when(at > 0, F.substring(F.col("rest"), at + 1, F.length("rest"))).otherwise("")
-    return parsed.withColumn("template", F.when(F.col("program").isNotNull(), mask(message, F.col("host"))))
+    return bind(parsed, template=F.when(F.col("program").isNotNull(), mask(message, F.col("host"))))
 
 
 def untag(line: Column) -> Column:

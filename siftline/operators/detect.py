@@ -36,7 +36,8 @@ def robust_z(x: Column, median: Column, mad: Column, mean_ad: Column) -> Column:
 def peer_scores(totals: DataFrame) -> DataFrame:
     """Totals with their program's number of hosts and median, and the score against them.
 
-    Statistics are aggregates of a program, joined back: no task holds a program's hosts.
+    Statistics are aggregates of a program, joined back: rows stay where they are. An exact median
+    holds a program's different totals with their counts in one task, at most a number a host.
     """
     middle = totals.groupBy("program").agg(F.median("n").alias("median"), F.count("*").alias("peers"))
     each = totals.join(middle, "program")

@@ -25,7 +25,7 @@ def issue_groups(findings: DataFrame, hosts: DataFrame, clusters: DataFrame | No
     severity, and the service and title of the latest by day and id.
     """
     issues = findings.where("kind = 'issue'")
-    held = hosts.groupBy("finding_id").agg(F.array_sort(F.collect_set("host")).alias("h"))
+    held = hosts.join(issues.select(F.col("id").alias("finding_id")), "finding_id", "left_semi").groupBy("finding_id").agg(F.array_sort(F.collect_set("host")).alias("h"))
     each = issues.join(held, F.col("id") == F.col("finding_id"), "left").withColumn("h", F.coalesce("h", F.array().cast("array<string>")))
     key = F.concat_ws("\0", F.coalesce("service", F.lit("")), F.array_join("h", "\0"))
     if clusters is not None:

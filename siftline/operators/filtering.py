@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lines import fields, glob_regex, message_key, parse, templates, untag, whole
+from ..functions.lines import bind, field, glob_regex, parse, program_of, templates, untag, with_key
 
 #: Rules tested in one expression; longer lists are cut so that generated code stays small.
 CHUNK = 25
@@ -51,22 +51,21 @@ def rule_of(rules: list[Rule], host: Column, program: Column, rest: Column) -> C
 
 def with_rule(lines: DataFrame, rules: list[Rule], raw: str = "raw") -> DataFrame:
     """``lines`` with ``rule_id``; lines of fewer than five fields fit no rule."""
-    f = fields(F.col(raw))
-    tagged = lines.withColumn("_f", F.when(whole(f), f))
-    program = F.regexp_replace(F.substring_index(F.split(F.col("_f")[4], r"\s+", 2)[0], "[", 1), ":+$", "")
-    return tagged.withColumn("rule_id", rule_of(rules, F.col("_f")[3], program, F.col("_f")[4])).drop("_f")
+    lines = bind(lines, _host=field(F.col(raw), 4), _rest=F.nullif(field(F.col(raw), 5), F.lit("")))
+    lines = bind(lines, _program=program_of(F.col("_rest")))
+    fits = F.when(F.col("_rest").isNotNull(), rule_of(rules, F.col("_host"), F.col("_program"), F.col("_rest")))
+    return bind(lines, rule_id=fits).drop("_host", "_rest", "_program")
 
 
 def known_hits(tagged: DataFrame) -> DataFrame:
     """(rule_id, lines, hosts) of the rules that dropped lines of ``with_rule``."""
-    f = fields(F.col("raw"))
-    return tagged.where("rule_id IS NOT NULL").groupBy("rule_id").agg(F.count("*").alias("lines"), F.count_distinct(f[3]).alias("hosts"))
+    host = field(F.col("raw"), 4)
+    return tagged.where("rule_id IS NOT NULL").groupBy("rule_id").agg(F.count("*").alias("lines"), F.count_distinct(host).alias("hosts"))
 
 
 def hit_messages(tagged: DataFrame, rule_id: int) -> DataFrame:
     """(message, lines) of one rule's hits, pids stripped."""
-    key, _ = message_key(F.col("raw"))
-    return tagged.where(F.col("rule_id") == rule_id).groupBy(key.alias("message")).agg(F.count("*").alias("lines"))
+    return with_key(tagged.where(F.col("rule_id") == rule_id)).groupBy(F.col("_key").alias("message")).agg(F.count("*").alias("lines"))
 
 
 def mute(anomalies: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -77,26 +76,25 @@ def mute(anomalies: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def normalise(lines: DataFrame, table: list[tuple[str, str]], raw: str = "raw") -> DataFrame:
     """Lines of the first pattern that matches them become their first four fields and its text."""
-    f = fields(F.col(raw))
     parts = [F.coalesce(*[F.when(F.col(raw).rlike("(?md)" + p), F.lit(text)) for p, text in table[k : k + CHUNK]]) for k in range(0, len(table), CHUNK)]
     if not parts:
         return lines
-    text = F.coalesce(*parts)
-    made = F.when(whole(f), F.concat_ws(" ", F.slice(f, 1, 4), F.array(text))).otherwise(text)
-    return lines.withColumn(raw, F.when(text.isNotNull(), made).otherwise(F.col(raw)))
+    lines = bind(lines, _said=F.coalesce(*parts))
+    said = F.col("_said")
+    head = [field(F.col(raw), k) for k in (1, 2, 3, 4)]
+    made = F.when(head[0] != "", F.concat_ws(" ", *head, said)).otherwise(said)
+    return bind(lines, **{raw: F.when(said.isNotNull(), made).otherwise(F.col(raw))}).drop("_said")
 
 
 def spread(lines: DataFrame) -> DataFrame:
     """(key, hosts): how many hosts logged each message, over all lines."""
-    key, host = message_key(F.col("raw"))
-    return lines.select(key.alias("key"), host.alias("h")).groupBy("key").agg(F.count_distinct("h").alias("hosts"))
+    return with_key(lines).groupBy(F.col("_key").alias("key")).agg(F.count_distinct("_host").alias("hosts"))
 
 
 def cap_repeats(lines: DataFrame, most: int = CAP) -> DataFrame:
     """The first ``most`` lines of each message in input order, whichever hosts they are of."""
-    key, _ = message_key(F.col("raw"))
     order = Window.partitionBy("_key").orderBy("line_no")
-    return lines.withColumn("_key", key).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_key", "_n")
+    return with_key(lines).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_key", "_host", "_n")
 
 
 def log_filter(lines: DataFrame, rules: list[Rule], table: list[tuple[str, str]]) -> DataFrame:
@@ -118,7 +116,6 @@ def collapse(lines: DataFrame) -> DataFrame:
 
 def tag_spread(lines: DataFrame, counts: DataFrame) -> DataFrame:
     """Lines of messages that several hosts logged, with a tag that says how many."""
-    key, _ = message_key(untag(F.col("raw")))
-    joined = lines.withColumn("_key", key).join(counts.select(F.col("key").alias("_key"), "hosts"), "_key", "left")
+    joined = with_key(lines, untag(F.col("raw"))).join(counts.select(F.col("key").alias("_key"), "hosts"), "_key", "left")
     tag = F.concat(F.lit("[on "), F.col("hosts").cast("string"), F.lit(" hosts] "), F.col("raw"))
-    return joined.withColumn("raw", F.when(F.col("hosts") > 1, tag).otherwise(F.col("raw"))).drop("_key", "hosts")
+    return joined.withColumn("raw", F.when(F.col("hosts") > 1, tag).otherwise(F.col("raw"))).drop("_key", "_host", "hosts")

@@ -6,12 +6,19 @@ Findings have (id, run_id, log_date, kind, severity, title, service, payload); h
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _low(text: Column) -> Column:
+    """``text`` with A-Z in lower case, and no other letter changed."""
+    return F.translate(text, ascii_uppercase, ascii_lowercase)
+
+
 def _holds(column: str, text: str) -> Column:
-    return F.contains(F.lower(F.col(column)), F.lit(text.lower()))
+    return F.contains(_low(F.col(column)), _low(F.lit(text)))
 
 
 def search(
@@ -58,12 +65,18 @@ def with_votes(findings: DataFrame, votes: DataFrame) -> DataFrame:
 
 
 def merge_votes(votes: DataFrame, new: DataFrame) -> DataFrame:
-    """Votes after ``new`` ones: one per finding and user; an empty comment keeps the old one."""
+    """Votes after ``new`` ones: one per finding and user, its verdict the latest.
+
+    The comment is the latest that isn't empty, as if the votes came in one by one.
+    """
     keys = ["finding_id", "user"]
     tag = lambda df: df.withColumn("user", F.coalesce("user_id", F.lit(0)))
-    latest = tag(new).groupBy(*keys).agg(F.max(F.struct("created_at", "verdict", "comment")).alias("n"))
+    latest = tag(new).groupBy(*keys).agg(
+        F.max(F.struct("created_at", "verdict")).alias("n"),
+        F.max(F.when(F.col("comment") != "", F.struct("created_at", "verdict", "comment"))).alias("said"),
+    )
     both = tag(votes).withColumnRenamed("comment", "old").join(latest, keys, "full")
-    comment = F.coalesce(F.nullif("n.comment", F.lit("")), "old", F.lit(""))
+    comment = F.coalesce("said.comment", "old", F.lit(""))
     return both.select(
         "finding_id", F.when(F.col("user") != 0, F.col("user")).alias("user_id"), F.coalesce("n.verdict", "verdict").alias("verdict"),
         comment.alias("comment"), F.coalesce("n.created_at", "created_at").alias("created_at"),

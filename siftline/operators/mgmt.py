@@ -14,10 +14,24 @@ def _day(text: str) -> Column:
     return F.lit(text).cast("date")
 
 
+def daily(runs: DataFrame, findings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The daily runs and their findings; runs without ``kind`` are all daily."""
+    if "kind" not in runs.columns:
+        return runs, findings
+    own = runs.where("kind = 'daily'")
+    return own, findings.join(own.select("run_id"), "run_id", "left_semi")
+
+
 def day_rows(runs: DataFrame, counts: DataFrame, findings: DataFrame, first: str, last: str) -> DataFrame:
-    """Each day of the period with its volume (the run's, else the lines counted) and findings."""
+    """Each day of the period with its volume (the run's, else the lines counted) and findings: one row a day.
+
+    Only daily runs and their findings count; of several daily runs of a day that with the
+    largest id does.
+    """
     spine = days(runs.sparkSession, first, last)
-    raw = runs.select(F.col("log_date").alias("day"), "raw_lines", "filtered_lines")
+    runs, findings = daily(runs, findings)
+    raw = runs.groupBy(F.col("log_date").alias("day")).agg(F.max(F.struct("run_id", "raw_lines", "filtered_lines")).alias("r"))
+    raw = raw.select("day", "r.raw_lines", "r.filtered_lines")
     volume = counts.groupBy(F.col("log_date").alias("day")).agg(F.sum("n").alias("counted"))
     found = findings.groupBy(F.col("log_date").alias("day")).agg(F.count("*").alias("n_findings"))
     joined = spine.join(raw, "day", "left").join(volume, "day", "left").join(found, "day", "left")

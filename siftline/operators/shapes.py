@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lines import WS
+from ..functions.lines import NS, WS, bind
 
 
 def tally(shaped: DataFrame) -> DataFrame:
@@ -30,31 +30,72 @@ def unreviewed(pool: DataFrame, verdicts: DataFrame, since: str) -> DataFrame:
     return pool.join(recent, ["program", "template"], "left_anti")
 
 
+#: Line numbers in a block of two-level positions.
+BLOCK = 4096
+
+
+def placed(lines: DataFrame, *within: str) -> DataFrame:
+    """``lines`` with ``pos``: their place from 1 by ``line_no`` among those of equal ``within``.
+
+    Places are counted in blocks of line numbers and added to the counts of the blocks before,
+    so the lines of a busy host are no single task's.
+    """
+    tagged = lines.withColumn("_block", F.floor(F.col("line_no") / BLOCK))
+    sizes = tagged.groupBy(*within, "_block").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*within).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select(*within, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    rank = F.row_number().over(Window.partitionBy(*within, "_block").orderBy("line_no"))
+    return tagged.withColumn("_rank", rank).join(base, [*within, "_block"]).withColumn("pos", F.col("_base") + F.col("_rank")).drop("_block", "_base", "_rank")
+
+
 def context(lines: DataFrame, anchors: DataFrame, radius: int = 5) -> DataFrame:
     """(anchor, line_no, raw): the lines of an anchor's host up to ``radius`` before and after it.
 
     ``lines``: (line_no, host, raw); ``anchors``: (anchor), line numbers.
     """
-    order = Window.partitionBy("host").orderBy("line_no")
-    placed = lines.select("line_no", "host", "raw", F.row_number().over(order).alias("pos"))
-    at = placed.join(anchors, F.col("line_no") == F.col("anchor")).select("anchor", "host", F.explode(F.sequence(F.col("pos") - radius, F.col("pos") + radius)).alias("pos"))
-    return at.join(placed, ["host", "pos"]).select("anchor", "line_no", "raw")
+    own = placed(lines.select("line_no", "host", "raw"), "host")
+    at = own.join(anchors, F.col("line_no") == F.col("anchor")).select("anchor", "host", F.explode(F.sequence(F.col("pos") - radius, F.col("pos") + radius)).alias("pos"))
+    return at.join(own, ["host", "pos"]).select("anchor", "line_no", "raw")
+
+
+def anchors(lines: DataFrame, examples: DataFrame) -> DataFrame:
+    """(example_id, line_no, exact, shared): the line that each example is taken to come from.
+
+    ``lines``: (line_no, host, program, raw); ``examples``: (example_id, host, program, raw).
+    The first line that reads as the example, trimmed; else, of the lines of its host and
+    program, the first of those that share most words with it, if any.
+    """
+    text = F.regexp_replace("raw", f"^{WS}+|{WS}+$", "")
+    wanted = bind(examples.select("example_id", "host", "program", "raw"), _text=text)
+    first = bind(lines.select("line_no", "raw"), _text=text).join(wanted.select("_text").distinct(), "_text", "left_semi")
+    first = first.groupBy("_text").agg(F.min("line_no").alias("line_no"))
+    exact = wanted.join(first, "_text").select("example_id", "line_no", F.lit(True).alias("exact"), F.size(words("raw")).alias("shared"))
+    near = fuzzy_anchor(lines, wanted.join(first, "_text", "left_anti")).select("example_id", "line_no", F.lit(False).alias("exact"), "shared")
+    return exact.union(near)
+
+
+def words(column: str):
+    """The different words of a line."""
+    return F.array_distinct(F.regexp_extract_all(F.col(column), F.lit(f"{NS}+"), F.lit(0)))
 
 
 def fuzzy_anchor(lines: DataFrame, examples: DataFrame) -> DataFrame:
     """(example_id, line_no, shared): the line of the same host and program that shares most words.
 
     ``lines``: (line_no, host, program, raw); ``examples``: (example_id, host, program, raw). The
-    earliest of equals wins; examples that share no word with any line are left out.
+    earliest of equals wins; examples that share no word with any line are left out. The
+    examples of findings are few, so they go to the lines, which don't move beyond the join.
     """
-    words = F.array_distinct(F.split(F.trim("raw"), f"{WS}+"))
-    left = examples.select("example_id", "host", "program", words.alias("a"))
-    right = lines.select("line_no", "host", "program", words.alias("b"))
-    scored = left.join(right, ["host", "program"]).withColumn("shared", F.size(F.array_intersect("a", "b"))).where("shared > 0")
+    left = bind(examples.select("example_id", "host", "program", "raw"), a=words("raw")).drop("raw")
+    right = bind(lines.select("line_no", "host", "program", "raw"), b=words("raw")).drop("raw")
+    scored = bind(left.join(right, ["host", "program"]), shared=F.size(F.array_intersect("a", "b"))).where("shared > 0")
     best = scored.groupBy("example_id").agg(F.max(F.struct("shared", (-F.col("line_no")).alias("m"))).alias("b"))
     return best.select("example_id", (-F.col("b.m")).alias("line_no"), F.col("b.shared").alias("shared"))
 
 
 def chunks(lines: DataFrame, size: int = 250) -> DataFrame:
-    """``lines`` with ``chunk``: line numbers without gaps are expected, so no order is computed."""
-    return lines.withColumn("chunk", F.floor((F.col("line_no") - 1) / size))
+    """``lines`` with ``chunk``: each but the last holds ``size`` lines, in the order of their numbers.
+
+    Numbers may have gaps, as they have after filtering.
+    """
+    return placed(lines).withColumn("chunk", F.floor((F.col("pos") - 1) / size)).drop("pos")

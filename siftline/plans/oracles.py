@@ -44,6 +44,27 @@ _D = f"""{_F}, c AS (SELECT CAST(CAST(ts AS DATE) - 9438 AS DATE) AS day, count(
  days AS (SELECT day, coalesce(raw_lines, counted) AS volume, raw_lines IS NULL AND counted IS NOT NULL AS approximate, filtered_lines, coalesce(nf, 0) AS n_findings
  FROM s LEFT JOIN r ON r.log_date = day LEFT JOIN c USING (day) LEFT JOIN (SELECT log_date, count(*) AS nf FROM f GROUP BY ALL) k ON k.log_date = day)"""
 
+def _masked() -> str:
+    """The mask as nested calls; ``\\b`` knows ASCII words only here, and a name has a letter in one of its labels."""
+    label, blank = "[0-9A-Za-z_-]+", "[0-9_-]"
+    h, word = "[0-9a-fA-F]{1,4}", f"{blank}*[A-Za-z][0-9A-Za-z_-]*"
+    host = "'host' || (doc_id % 20)"
+    steps = [
+        (r"'[0-9A-Za-z_.+%-]+@[0-9A-Za-z_-]+(?:\.[0-9A-Za-z_-]+)+'", "<email>"), (host, "<host>"),
+        (r"'\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b'", "<ip>"), (rf"'\b(?:{h}:){{5,7}}{h}\b|(?:{h}(?::{h}){{0,6}})?::(?:{h}(?::{h}){{0,6}})?'", "<ip6>"),
+        (rf"'\b(?:{word}(?:\.{label}){{2,}}|{blank}+\.{word}(?:\.{label})+|{blank}+(?:\.{blank}+)+\.{word}(?:\.{label})*)\b'", "<fqdn>"),
+        (r"'\b[0-9a-fA-F-]{16,}\b'", "<hex>"), (r"'(?i)\b(user[= ])([^\t\n\f\r ]+)'", r"\1<user>"),
+        (r"'\bfor (invalid user )?([^\t\n\f\r ]+) from\b'", r"for \1<user> from"),
+    ]
+    out = r"translate(text, chr(13) || chr(10), '  ')"
+    for pattern, token in steps:
+        out = f"regexp_replace({out}, {pattern}, '{token}', 'g')"
+    return f"array_to_string([CASE WHEN regexp_full_match(p, '[0-9]+') THEN '<n>' ELSE p END FOR p IN regexp_extract_all({out}, '<[a-z0-9]+>|[0-9]+|[^<0-9]+|<')], '')"
+
+
+_MASK = _masked()
+
+
 ORACLES: dict[str, str] = {
     "parse_lines": f"{_E} SELECT line_no, host, program, bucket, stamp FROM e",
     "window_counts": f"{_E} SELECT host, program, bucket, count(*) AS n FROM e GROUP BY ALL",
@@ -72,10 +93,14 @@ ORACLES: dict[str, str] = {
     "template_shapes": f"{_E} SELECT program, template, count(*) AS lines, count(DISTINCT host) AS hosts, count(DISTINCT log_date) AS n_days, arg_min(raw, (log_date, line_no)) AS example, arg_min(host, (log_date, line_no)) AS example_host FROM l GROUP BY ALL",
     "shape_candidates": f"{_E} SELECT program, template, count(*) AS lines, count(DISTINCT host) AS hosts, count(DISTINCT log_date) AS n_days FROM l WHERE length(program) / 100 < 0.07 GROUP BY ALL HAVING count(*) >= 10 AND count(DISTINCT log_date) >= 3",
     "context_window": f"{_E}, p AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY line_no) AS pos FROM l) SELECT a.line_no AS anchor, b.line_no, b.raw FROM p a JOIN p b ON a.host = b.host AND b.pos BETWEEN a.pos - 2 AND a.pos + 2 WHERE a.program = 'error'",
-    "fuzzy_anchor": f"""{_E}, a AS (SELECT line_no AS example_id, host, program, list_distinct(string_split_regex(head || host || ' ' || key, '\\s+')) AS a FROM l WHERE log_date = DATE '2024-01-05'),
- b AS (SELECT line_no, host, program, list_distinct(string_split_regex(raw, '\\s+')) AS b FROM l), s AS (SELECT example_id, line_no, len(list_intersect(a, b)) AS shared FROM a JOIN b USING (host, program))
- SELECT example_id, line_no, CAST(shared AS INTEGER) AS shared FROM s WHERE shared > 0 QUALIFY row_number() OVER (PARTITION BY example_id ORDER BY shared DESC, line_no) = 1""",
-    "line_chunks": "SELECT CAST(floor((event_id - 1) / 250) AS BIGINT) AS chunk, count(*) AS n, min(event_id) AS first_line FROM events GROUP BY ALL",
+    "fuzzy_anchor": f"""{_E}, a AS (SELECT host || ' ' || program AS example_id, host, program, line_no, raw, head || host || ' ' || key AS bare FROM l QUALIFY row_number() OVER (PARTITION BY host, program ORDER BY line_no) = 1),
+ b AS (SELECT line_no, host, program, list_distinct(string_split_regex(raw, '\\s+')) AS b FROM l),
+ s AS (SELECT example_id, b.line_no, len(list_intersect(list_distinct(string_split_regex(bare, '\\s+')), b)) AS shared FROM a JOIN b USING (host, program) WHERE program >= 'f')
+ SELECT example_id, line_no, false AS exact, CAST(shared AS INTEGER) AS shared FROM s WHERE shared > 0 QUALIFY row_number() OVER (PARTITION BY example_id ORDER BY shared DESC, line_no) = 1
+ UNION ALL SELECT example_id, line_no, true, CAST(len(list_distinct(string_split_regex(raw, '\\s+'))) AS INTEGER) FROM a WHERE program < 'f'""",
+    "line_chunks": f"""{_E}, k AS (SELECT line_no, row_number() OVER (ORDER BY line_no) AS pos FROM l WHERE rule_id IS NULL)
+ SELECT CAST((pos - 1) // 250 AS BIGINT) AS chunk, count(*) AS n, min(line_no) AS first_line FROM k GROUP BY ALL""",
+    "mask_messages": f"SELECT doc_id, {_MASK} AS masked FROM documents",
     "findings_by_host": f"{_F} SELECT id, service, title FROM f WHERE severity = 'high' AND EXISTS (SELECT 1 FROM h WHERE finding_id = id AND host LIKE '%host1%')",
     "findings_by_text": f"{_F} SELECT id, service, title FROM f WHERE lower(title) LIKE '%order 12%' AND lower(service) LIKE '%vc3%'",
     "findings_by_days": f"{_F} SELECT id, log_date, severity FROM f WHERE kind = 'peer' AND log_date BETWEEN DATE '1997-01-01' AND DATE '1997-06-30'",
@@ -86,14 +111,14 @@ ORACLES: dict[str, str] = {
     "daily_totals": f"{_E} SELECT log_date, host, program, n FROM td WHERE host = 'host7'",
     "digest_issue_groups": f"{_G} SELECT service, hosts, n_days, severity, latest_id, 'Order ' || latest_id AS title FROM g",
     "digest_anomaly_groups": f"{_F} SELECT host, service AS program, count(DISTINCT log_date) AS n_days, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, arg_max(id, (log_date, id)) AS latest_id FROM f JOIN h ON id = finding_id WHERE kind != 'issue' AND {_P} GROUP BY ALL",
-    "digest_missing_days": f"{_D} SELECT day FROM s WHERE day <= DATE '1998-03-07' AND day NOT IN (SELECT log_date FROM r WHERE run_id % 5 != 0)",
+    "digest_missing_days": f"{_F} SELECT CAST(d AS DATE) AS day FROM generate_series(DATE '1995-01-01', DATE '2001-08-01', INTERVAL 1 DAY) AS x(d) WHERE CAST(d AS DATE) NOT IN (SELECT log_date FROM r)",
     "digest_recurring": f"{_G} SELECT service, hosts, n_days, latest_id FROM g WHERE n_days >= 2 ORDER BY n_days DESC, rank, service, hosts, latest_id LIMIT 10",
     "digest_one_offs": f"{_G} SELECT service, hosts, severity, latest_id FROM g WHERE n_days = 1 AND rank <= 1 ORDER BY rank, n_hosts DESC, service, hosts, latest_id LIMIT 5",
     "mgmt_days": f"{_D} SELECT * FROM days",
     "mgmt_totals": f"{_D} SELECT count(volume) AS days_with_data, count(*) FILTER (approximate) AS approximate_days, CAST(coalesce(sum(volume), 0) AS BIGINT) AS volume, CAST(coalesce(sum(filtered_lines), 0) AS BIGINT) AS filtered, CAST(sum(n_findings) AS BIGINT) AS n_findings FROM days",
     "mgmt_severity": f"{_F} SELECT CASE WHEN kind = 'issue' THEN severity ELSE 'anomaly' END AS label, count(*) AS n FROM f GROUP BY ALL",
     "top_services": f"{_F} SELECT service, count(*) AS n FROM f GROUP BY ALL ORDER BY n DESC, service LIMIT 5",
-    "votes_by_verdict": f"{_F} SELECT CASE WHEN flag = 'A' THEN 'worked' ELSE 'didnt_work' END AS verdict, count(*) AS n FROM v JOIN f ON id = finding_id WHERE year(log_date) = 1997 GROUP BY ALL",
+    "votes_by_verdict": f"{_F} SELECT CASE WHEN flag = 'A' THEN 'worked' ELSE 'didnt_work' END AS verdict, count(*) AS n FROM v JOIN f ON id = finding_id GROUP BY ALL",
     "flagged_hosts": f"{_F} SELECT host, count(DISTINCT log_date) AS n_days, count(DISTINCT id) AS n_findings FROM f JOIN h ON id = finding_id WHERE {_P} GROUP BY ALL ORDER BY n_days DESC, n_findings DESC, host LIMIT 5",
     "hosts_reporting": f"{_E} SELECT count(DISTINCT host) FILTER (log_date BETWEEN DATE '2024-01-24' AND DATE '2024-01-30') AS hosts_now, count(DISTINCT host) FILTER (log_date BETWEEN DATE '2024-01-09' AND DATE '2024-01-15') AS hosts_before FROM e",
     "noisiest_hosts": f"""{_E}, k AS (SELECT host, program, n, row_number() OVER (PARTITION BY host ORDER BY n DESC, program) AS k, sum(n) OVER (PARTITION BY host) AS total FROM t)

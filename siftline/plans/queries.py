@@ -182,16 +182,23 @@ def context_window(spark, d):
     return shapes.context(lines, lines.where("program = 'error'").select(F.col("line_no").alias("anchor")), 2)
 
 
+def _examples(lines):
+    """The first line of each host and program as an example; some without their pids, as models return them."""
+    first = detect.first_examples(lines)
+    raw = F.when(F.col("program") < "f", F.col("example")).otherwise(F.regexp_replace("example", r"\[[0-9]+\]", ""))
+    return first.select(F.concat_ws(" ", "host", "program").alias("example_id"), "host", "program", raw.alias("raw"))
+
+
 @query
 def fuzzy_anchor(spark, d):
     lines = T.parsed(spark, d).where("host IS NOT NULL")
-    examples = lines.where("log_date = DATE'2024-01-05'").select(F.col("line_no").alias("example_id"), "host", "program", F.regexp_replace("raw", r"\[[0-9]+\]", "").alias("raw"))
-    return shapes.fuzzy_anchor(lines, examples)
+    return shapes.anchors(lines, _examples(lines))
 
 
 @query
 def line_chunks(spark, d):
-    return shapes.chunks(T.lines(spark, d)).groupBy("chunk").agg(F.count("*").alias("n"), F.min("line_no").alias("first_line"))
+    kept = filtering.with_rule(T.lines(spark, d), filtering.active(RULES, TODAY)).where("rule_id IS NULL")
+    return shapes.chunks(kept).groupBy("chunk").agg(F.count("*").alias("n"), F.min("line_no").alias("first_line"))
 
 
 @query
@@ -250,7 +257,7 @@ def digest_anomaly_groups(spark, d):
 
 @query
 def digest_missing_days(spark, d):
-    return digest.missing_days(T.runs(spark, d).where("run_id % 5 != 0"), *PERIOD)
+    return digest.missing_days(T.runs(spark, d), "1995-01-01", "2001-08-01")
 
 
 @query
@@ -287,7 +294,7 @@ def top_services(spark, d):
 
 @query
 def votes_by_verdict(spark, d):
-    return mgmt.votes_by_verdict(T.votes(spark, d), digest.within(T.findings(spark, d), "1997-01-01", "1997-12-31"))
+    return mgmt.votes_by_verdict(T.votes(spark, d), T.findings(spark, d))
 
 
 @query
