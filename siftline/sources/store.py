@@ -65,13 +65,22 @@ class Store:
         """Replace the run of a day and kind and its findings; findings come numbered (pos) from 0.
 
         Ids go on from ``first_id``, which the caller takes from a mark that is never lowered.
+        The new findings are written whole beside the old ones before those go, so a run that
+        breaks off while they are made leaves the old run as it was.
         """
         known = lambda n: None if n is None or n < 0 else n
         where = f"log_date={day}/kind={kind}"
         cols = [F.col("pos").cast("long") + F.lit(first_id), F.lit(run_id).cast("long"), "finding_kind", "severity", "title", "service", "hosts", "payload"]
         names = ["id", "run_id", "finding_kind", "severity", "title", "service", "hosts", "payload"]
+        staged = f"_staged/{where}"
+        findings.select(*cols).toDF(*names).write.mode("overwrite").parquet(f"{self.folder}/{staged}")
         self._drop("runs", *where.split("/"))
-        findings.select(*cols).toDF(*names).write.mode("overwrite").parquet(f"{self.folder}/findings/{where}")
+        self._drop("findings", *where.split("/"))
+        target = self._path("findings", *where.split("/"))
+        fs = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.mkdirs(target.getParent())
+        if not fs.rename(self._path(*staged.split("/")), target):
+            raise OSError(f"findings of {where} could not be put in place")
         run = self.spark.createDataFrame([(run_id, known(raw_lines), known(filtered_lines))], "run_id long, raw_lines long, filtered_lines long")
         run.write.mode("overwrite").parquet(f"{self.folder}/runs/{where}")
 

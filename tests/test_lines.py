@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftline.functions import lines as L
-from siftline.operators import detect, digest, filtering, library, shapes
+from siftline.operators import detect, digest, filtering, library, mgmt, shapes
 
 
 def lines_of(spark, texts):
@@ -32,7 +32,7 @@ def test_parse(spark):
 
 def test_mask(spark):
     rows = [
-        ("Failed password for invalid user bob from 10.0.0.1 port 22", "", "Failed password for invalid user <user> from <ip> port <n>"),
+        ("refused for invalid user q7 from 192.0.2.44 twice in 30 s", "", "refused for invalid user <user> from <ip> twice in <n> s"),
         ("mail to a.b+c@example.org done", "", "mail to <email> done"), ("at web1 and web1.example.net now", "web1.example.net", "at <host> and <host> now"),
         ("id 0123456789abcdef0123 seen", "", "id <hex> seen"), ("addr fe80::1 and 1:2:3:4:5:6:7:8", "", "addr <ip6> and <ip6>"), ("time 12:34:56 v1.2.3", "", "time <n>:<n>:<n> <fqdn>"),
         ("version 1.2.3 of a.b.c", "", "version <n>.<n>.<n> of <fqdn>"), ("User=alice x", "", "User=<user> x"), ("raw <6> 7", "", "raw <6> <n>"), ("", "", ""),
@@ -71,7 +71,7 @@ def plain_z(x, population):
     return 0.6745 * (x - med) / mad if mad else (x - med) / (1.253 * mean) if mean else 0.0
 
 
-@pytest.mark.parametrize("values", [[10, 11, 9, 10, 12, 500], [5, 5, 5, 5, 5], [1, 1, 1, 1, 50]])
+@pytest.mark.parametrize("values", [[31, 28, 35, 30, 902, 29, 33], [7, 7, 7], [2, 2, 2, 2, 2, 2, 81]])
 def test_peer_scores(spark, values):
     totals = spark.createDataFrame([(f"h{k}", "p", v) for k, v in enumerate(values)], "host string, program string, n long")
     got = {r.host: r.score for r in detect.peer_scores(totals).collect()}
@@ -79,13 +79,14 @@ def test_peer_scores(spark, values):
 
 
 def test_baseline_directions(spark):
-    history = [500, 510, 490, 505, 495, 515, 485, 520, 480, 502]
+    history = [211 + 17 * (k % 4) - 9 * (k % 3) for k in range(11)]
     day = datetime.date(2024, 6, 13)
+    today = {"loud": 9 * max(history), "low": min(history) // 8, "same": history[0]}
     rows = [(p, day - datetime.timedelta(days=12 - k), n) for p in ("loud", "gone", "low", "same") for k, n in enumerate(history)]
-    rows += [("loud", day, 6000), ("low", day, 40), ("same", day, 503), ("new", day, 900)]
+    rows += [(p, day, n) for p, n in today.items()] + [("new", day, 900)]
     counts = spark.createDataFrame([("h", p, "10:00", d, n) for p, d, n in rows], "host string, program string, bucket string, log_date date, n long")
     scores = detect.baseline_scores(counts, day)
-    assert {r.program: r.score for r in scores.collect()} == pytest.approx({p: plain_z(x, history) for p, x in (("loud", 6000), ("gone", 0), ("low", 40), ("same", 503))})
+    assert {r.program: r.score for r in scores.collect()} == pytest.approx({p: plain_z(x, history) for p, x in (today | {"gone": 0}).items()})
     assert {r.program: r.direction for r in detect.baseline_anomalies(scores).collect()} == {"loud": "louder", "gone": "silent", "low": "quieter"}
     burst = detect.temporal_anomalies(detect.temporal_scores(counts, day))
     assert [r.program for r in burst.collect()] == ["loud"]
@@ -100,6 +101,10 @@ def test_votes(spark):
     new = spark.createDataFrame([(1, 5, "didnt_work", "", 2), (3, None, "worked", "c", 2)], schema)
     got = {(r.finding_id, r.user_id): (r.verdict, r.comment, r.created_at) for r in library.merge_votes(old, new).collect()}
     assert got == {(1, 5): ("didnt_work", "fine", 2), (1, None): ("worked", "", 1), (2, 5): ("worked", "x", 1), (3, None): ("worked", "c", 2)}
+    # a comment, then none: the newer of the comments stays, as if they came in one by one
+    twice = spark.createDataFrame([(1, 5, "didnt_work", "newer", 2), (1, 5, "worked", "", 3)], schema)
+    got = {(r.finding_id, r.user_id): (r.verdict, r.comment) for r in library.merge_votes(old, twice).collect()}
+    assert got[1, 5] == ("worked", "newer")
     left = {(r.finding_id, r.user_id) for r in library.reassign_votes(old, 5).collect()}
     assert left == {(1, None), (2, None)}
 
@@ -117,3 +122,40 @@ def test_context_is_clipped_and_by_host(spark):
     lines = spark.createDataFrame([(k, "ab"[k % 2], f"l{k}") for k in range(10)], "line_no long, host string, raw string")
     got = sorted(r.line_no for r in shapes.context(lines, spark.createDataFrame([(2,)], "anchor long"), 2).collect())
     assert got == [0, 2, 4, 6]
+
+
+def test_a_line_is_split_once(spark):
+    lines = lines_of(spark, ["Sep 1 11:37:02 h p[1]: x"]).withColumn("log_date", F.lit("2024-01-01").cast("date"))
+    for df, most in ((detect.window_counts(L.parse(lines)), 3), (filtering.spread(lines), 2), (filtering.with_rule(lines, [filtering.Rule(1, match="x")]), 2)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") == 0 and plan.count("regexp_extract(raw") <= most
+
+
+def test_chunks_are_full_after_filtering(spark):
+    gaps = spark.createDataFrame([(k, "x") for k in range(0, 50_000, 7) if k % 11], "line_no long, raw string")
+    sizes = {r.chunk: r["count"] for r in shapes.chunks(gaps).groupBy("chunk").count().collect()}
+    total = gaps.count()
+    assert sizes == {k: min(250, total - 250 * k) for k in range(-(-total // 250))}
+
+
+def test_anchor_reads_as_the_example_first(spark):
+    raw = [" a b c d p: x y z w", "a b c d p: x y", "a b c d p: x y  ", "a b c d p: q"]
+    lines = spark.createDataFrame([(k, "d", "p", r) for k, r in enumerate(raw)], "line_no long, host string, program string, raw string")
+    examples = spark.createDataFrame([("one", "d", "p", "a b c d p: x y "), ("two", "d", "p", "a b c d p: q q v"), ("none", "e", "p", "v")], "example_id string, host string, program string, raw string")
+    got = {r.example_id: (r.line_no, r.exact) for r in shapes.anchors(lines, examples).collect()}
+    assert got == {"one": (1, True), "two": (3, False)}
+
+
+def test_a_day_with_two_kinds_of_run_is_one_row(spark):
+    day = datetime.date(2024, 3, 1)
+    runs = spark.createDataFrame([(1, day, 100, 10, "daily"), (2, day, None, None, "digest")], "run_id long, log_date date, raw_lines long, filtered_lines long, kind string")
+    findings = spark.createDataFrame([(1, 1, day), (2, 2, day), (3, 1, day)], "id long, run_id long, log_date date")
+    counts = spark.createDataFrame([("h", "p", "10:00", 5, day)], "host string, program string, bucket string, n long, log_date date")
+    rows = mgmt.day_rows(runs, counts, findings, "2024-03-01", "2024-03-02").orderBy("day").collect()
+    assert [(r.volume, r.filtered_lines, r.n_findings) for r in rows] == [(100, 10, 2), (None, None, 0)]
+
+
+def test_letters_beyond_ascii_keep_their_case(spark):
+    findings = spark.createDataFrame([(1, "ÄRGER Disk"), (2, "ärger disk")], "id long, title string")
+    hosts = spark.createDataFrame([], "finding_id long, host string, pos int")
+    assert [r.id for r in library.search(findings, hosts, title="ärger DISK").collect()] == [2]
