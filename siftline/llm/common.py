@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The folder for a local session that names none. A cluster has to name one.
 LOCAL_SHARED = "/tmp/checkpoints"
 
+#: Rows of a table of a few numbers that is broadcast at most (24 MB of three).
+SMALL = 500_000
+
 #: A word: a run of characters other than the space and the ASCII controls 09 to 0D.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -49,12 +53,28 @@ def release(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """``df``, a table of few columns of numbers, to be broadcast if it has at most ``most`` rows.
+
+    A larger one stays as it is, and Spark joins it by a shuffle.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit numbers spread over all bits, one to one."""
+    h = h ^ (h >> np.uint64(33))
+    h = h * np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(32))
+
+
+def text_keys(text: Column) -> list[Column]:
+    """(k1, k2): 128 bits that stand for a text; of 64 bits some texts of a large corpus would share theirs."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
-
-def put_columns(df: DataFrame, **new) -> DataFrame:
-    """``df`` with the columns set, those of the same name replaced whatever their case."""
-    drop = {name.lower() for name in new}
-    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in drop]
-    return df.select(*kept, *[col.alias(name) for name, col in new.items()])

@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, VectorAssembler
+from pyspark.ml.feature import HashingTF, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,7 +70,7 @@ def with_posteriors(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id"
     known = known.orderBy(F.xxhash64("_lid"), "_lid", "_d").limit(sample)
     # at most ``sample`` rows of two numbers
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(known), F.col("_id") == F.col("_lid"))
-    rows = materialise(_vectors(rows.select(F.col("_d").alias("label"), "_text", _features("_text").alias("_f"))).select("label", "_v"), "training").coalesce(PARTS)
+    rows = materialise(rows.select(F.col("_d").alias("label"), "_text", _features("_text").alias("_f")), "training").coalesce(PARTS)
     shares = {int(r.label): r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     text = docs.withColumn("_text", F.col(text_col).cast("string")).withColumn("_f", _features("_text")).withColumn("_tokens", F.col("_f.tokens"))
     if len(shares) < 2:
@@ -78,7 +78,7 @@ def with_posteriors(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id"
         flat = [shares.get(k, 0) / total if total else 1 / len(domains) for k in range(len(domains))]
         return text.withColumn("_p", F.array(*map(F.lit, flat))).drop("_f", "_text")
     fitter = LogisticRegression(family="multinomial", maxIter=30, regParam=1e-3, featuresCol="_v", labelCol="label", probabilityCol="_probability")
-    model = fitter.fit(rows)
+    model = fitter.fit(_vectors(rows).select("label", "_v"))
     out = model.transform(_vectors(text))
     p = vector_to_array("_probability")
     full = F.array(*[F.get(p, F.lit(k)) if k < model.numClasses else F.lit(0.0) for k in range(len(domains))])
@@ -90,6 +90,8 @@ def _vectors(rows: DataFrame) -> DataFrame:
     words = F.split(F.lower(F.coalesce("_text", F.lit(""))), r"[^\p{L}\p{N}]+")
     rows = rows.withColumn("_words_in", words).withColumn("_dense", array_to_vector("_f.features"))
     rows = HashingTF(numFeatures=BUCKETS, binary=True, inputCol="_words_in", outputCol="_hashed").transform(rows)
+    # the size is stated: the assembler would read a first row for it, and fail where there is none
+    rows = VectorSizeHint(inputCol="_dense", size=N_FEATURES, handleInvalid="optimistic").transform(rows)
     return VectorAssembler(inputCols=["_dense", "_hashed"], outputCol="_v").transform(rows)
 
 
@@ -189,12 +191,18 @@ def mixing_rates(
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with each row as many times as its rate says; columns as given."""
+    """``docs`` with each row as many times as its rate says; columns as given, whatever their names.
+
+    Null and empty texts have no tokens; they get rates, and so copies, as others do. Rows of
+    one id and text get equal numbers of copies, null ids too. Without labels of two domains
+    the rates are equal; an empty table gives an empty one.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    chosen = docs.select(F.col(id_col).cast("long").alias("_mid"), text.alias("_words"), F.struct(*docs.columns).alias("_row"))
+    chosen = docs.select(F.col(id_col).cast("long").alias("_mid"), text.alias("_words"), F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"))
     labelled = labelled.withColumnRenamed(id_col, "_mid")
     tagged = with_posteriors(chosen, labelled, "_mid", "_words", tuple(targets))
-    posteriors = materialise(tagged.select("_tokens", "_p"), "posteriors")
-    steps = fit_rates(posteriors, list(targets.values()))
-    copies = copies_of(rate_of(F.col("_p"), steps), F.col("_mid"), F.xxhash64("_words"))
+    # kept with the rows, so that texts are looked at once
+    tagged = materialise(tagged.select("_row", "_mid", F.xxhash64("_words").alias("_tx"), "_tokens", "_p"), "posteriors")
+    steps = fit_rates(tagged.select("_tokens", "_p"), list(targets.values()))
+    copies = copies_of(rate_of(F.col("_p"), steps), F.col("_mid"), F.col("_tx"))
     return tagged.withColumn("_n", F.explode(F.array_repeat(F.lit(1), copies))).select("_row.*")

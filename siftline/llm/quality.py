@@ -10,16 +10,15 @@ leave with too few words is depleted and goes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import materialise
+from .common import SMALL, materialise, release, text_keys
 
 #: A line is boilerplate in more than this many different texts of its host, and more than
 #: this share of them; a document with fewer words left than FEWEST is depleted.
@@ -50,8 +49,8 @@ def repeat_words(words: list[bytes]) -> int:
 
 
 def normal_hash(words: list[bytes]) -> int:
-    """The signed hash of a line, without regard to case (A-Z) and white space."""
-    h = xxhash.xxh64_intdigest(b" ".join(words).lower())
+    """The signed hash of a line, without regard to case (A-Z) and white space; Spark's xxhash64 gives the same."""
+    h = xxhash.xxh64_intdigest(b" ".join(words).lower(), 42)
     return h - (1 << 64) if h >> 63 else h
 
 
@@ -81,7 +80,7 @@ def measure(text: str) -> tuple:
 
 
 _MEASURED = (
-    "id long, tx long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+    "id long, k1 long, k2 long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
     "n_repeat_words long, content long, lines array<long>, sizes array<int>"
 )
 
@@ -90,17 +89,17 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     names = [part.split()[0] for part in _MEASURED.split(", ")]
     kinds = [pa.int64()] * 6 + [pa.list_(pa.int64()), pa.list_(pa.int32())]
     for whole in batches:
-        for at in range(0, len(whole), 1024):
-            batch = whole.slice(at, 1024)
-            found = zip(*(measure(t.as_py()) for t in batch.column(3)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, t) for c, t in zip(found, kinds))], names)
+        for at in range(0, len(whole), 256):
+            batch = whole.slice(at, 256)
+            found = zip(*(measure(t.as_py()) for t in batch.column(4)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(c, t) for c, t in zip(found, kinds))], names)
 
 
 def verdicts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
     most_texts: int = MOST_TEXTS, most_share: float = MOST_SHARE, fewest: int = FEWEST,
 ) -> DataFrame:
-    """One row per input row: id, tx (hash of the text), the counts, base_failed, gone, kept.
+    """One row per input row: id, k1 and k2 (hashes of the text), the counts, base_failed, gone, kept.
 
     ``gone``: hashes of the document's lines above the limits (null: none); ``kept``: neither
     failed by its counts nor depleted. Null texts count as empty and fail; a null host is a
@@ -109,7 +108,7 @@ def verdicts(
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     chosen = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tx"),
+        F.col(id_col).cast("long").alias("id"), *text_keys(text),
         F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), text.alias("text"),
     )
     measured = chosen.mapInArrow(_measure_batches, _MEASURED).withColumn("row", F.monotonically_increasing_id())
@@ -144,31 +143,38 @@ def digest(judged: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return judged.select(F.col("id").alias(id_col), *counts, "base_failed", "kept")
 
 
-@F.pandas_udf(T.StringType())
-def _without(texts, gone):
-    out = []
-    for text, lines in zip(texts, gone):
-        drop = set(lines.tolist()) if text is not None else ()
-        if not drop:
-            out.append(text)
-            continue
-        out.append("\n".join(x for x in text.split("\n") if not (w := x.encode("utf-8", "surrogatepass").split()) or normal_hash(w) not in drop))
-    return pd.Series(out, dtype=object)
+def line_hash(line: Column) -> Column:
+    """``normal_hash`` of a line's words, on the JVM; of a line without words that of an empty string."""
+    words = F.trim(F.regexp_replace(line, "[ \t\n\u000B\f\r]+", " "))
+    return F.xxhash64(F.translate(words, ascii_uppercase, ascii_lowercase))
 
 
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
     """The rows of ``docs`` that are kept, with lines above the limits cut from their texts.
 
-    Columns are those of ``docs``; ``n_chars`` is set where it exists and a text changed.
+    Columns are those of ``docs``, whatever their names; ``n_chars`` is set where it exists and
+    the text changed. Null, empty and too repetitive texts go; rows of one id are judged each
+    for itself, repeated rows alike. An empty table gives an empty one.
+
+    Rows that go or change are marked by id and text; where those are few the mark goes to the
+    texts, so that no text is shuffled, and texts without marks are passed on as they are.
     """
-    judged = verdicts(docs, id_col, text_col, host_col, **limits).where("kept")
-    judged = judged.groupBy("id", "tx").agg(F.any_value("gone", True).alias("_gone"))
-    judged = judged.select(F.col("id").alias("_jid"), F.col("tx").alias("_jtx"), "_gone")
-    tagged = docs.withColumn("_tx", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    joined = tagged.join(judged, tagged[id_col].cast("long").eqNullSafe(judged["_jid"]) & (tagged["_tx"] == judged["_jtx"]))
-    changed = F.col("_gone").isNotNull()
-    new = {text_col: F.when(changed, _without(F.col(text_col), F.coalesce("_gone", F.array().cast("array<long>")))).otherwise(F.col(text_col))}
-    out = joined.withColumns(new)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length(text_col)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    judged = verdicts(docs, id_col, text_col, host_col, **limits)
+    marks = judged.where("NOT kept OR gone IS NOT NULL").groupBy("id", "k1", "k2").agg(F.bool_or("kept").alias("kept"), F.any_value("gone", True).alias("gone"))
+    marks = materialise(marks, "marks")
+    size = marks.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("lines")).first()
+    if size.n <= SMALL and size.lines <= SMALL:
+        marks = F.broadcast(marks)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keys = [F.col(id_col).cast("long").alias("id"), *text_keys(text)]
+    each = docs.select(*keys, text.alias("text"), F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
+    same = each["id"].eqNullSafe(marks["id"]) & (each["k1"] == marks["k1"]) & (each["k2"] == marks["k2"])
+    joined = each.join(marks, same, "left").where(F.coalesce("kept", F.lit(True))).select("text", "row", "gone")
+    left = F.filter(F.split("text", "\n"), lambda line: ~F.array_contains("gone", line_hash(line)))
+    joined = joined.withColumn("text", F.when(F.col("gone").isNotNull(), F.array_join(left, "\n")))
+    new = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    changed = F.col("gone").isNotNull()
+    new[text_col] = F.when(changed, F.col("text")).otherwise(new[text_col])
+    if "n_chars" in new:
+        new["n_chars"] = F.when(changed, F.length("text")).otherwise(new["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*[col.alias(c) for c, col in new.items()])

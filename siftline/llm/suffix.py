@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, put_columns
+from .common import SMALL, materialise
 
 #: Bytes hashed at once; longer texts go in overlapping pieces.
 PIECE = 1 << 19
@@ -402,25 +402,38 @@ def brute_force(texts: list[str | None], length: int) -> list[tuple[int, int, in
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
     """``docs`` with repeated stretches cut from the texts; ``n_chars`` is set where it exists.
 
-    The columns and rows are those given. A character that a run cuts through goes as a whole;
-    a null text stays null. ``docs`` is read three times.
+    The columns and rows are those given, whatever the columns' names. A character that a run
+    cuts through goes as a whole; a null text stays null, an empty one empty; repeated rows
+    repeat each other; null ids are allowed; an empty table gives an empty one. ``docs`` is
+    read three times. Texts without repeats pass as they are.
     """
-    spans = repeated_spans(docs, id_col, text_col, length)
-    full = docs.withColumns({"_id": F.col(id_col).cast("long"), "_tx": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
-    spans = spans.select(F.col("id").alias("_sid"), F.col("tx").alias("_stx"), F.col("spans").alias("_spans"))
-    joined = full.join(spans, full["_id"].eqNullSafe(spans["_sid"]) & (full["_tx"] == spans["_stx"]), "left")
+    spans = materialise(repeated_spans(docs, id_col, text_col, length), "spans")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    each = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tx"), text.alias("text"), F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
+    joined = each.join(_near(spans), _same_text(each, spans), "left").select("text", "row", "spans")
 
     @F.pandas_udf(T.StringType())
     def cut(texts, lists):
         out = []
         for text, spans in zip(texts, lists):
-            if text is not None and spans is not None and len(spans):
+            if spans is not None and len(spans):
                 raw = text.encode()
                 s, e = (x.tolist() for x in merged(np.array([x["start"] for x in spans]), np.array([x["end"] for x in spans])))
                 text = b"".join(raw[x:y] for x, y in zip([0, *e], [*s, len(raw)])).decode("utf-8", "ignore")
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    new = {text_col: F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("_spans")))}
-    out = joined.withColumns(new).select(*docs.columns)
-    return put_columns(out, n_chars=F.length(text_col).cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
+    # of texts that stay only their row goes on; the others' alone are sent to Python
+    changed = F.col("spans").isNotNull()
+    joined = joined.withColumn("text", cut(F.when(changed, F.col("text")).otherwise(""), F.col("spans")))
+    new = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    new[text_col] = F.when(changed, F.col("text")).otherwise(new[text_col])
+    if "n_chars" in new:
+        new["n_chars"] = F.when(changed, F.length("text")).otherwise(new["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*[col.alias(c) for c, col in new.items()])
+
+
+def _near(spans: DataFrame) -> DataFrame:
+    """``spans``, to be broadcast if they are few, so that no text is shuffled."""
+    size = spans.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("all")).first()
+    return F.broadcast(spans) if size.n + size.all <= SMALL else spans

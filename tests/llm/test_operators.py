@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftline.llm import bpe, chat, embedding, mixing, quality, queries, simhash, suffix, toxicity, urlrules, warc
+from siftline.llm import bpe, chat, embedding, mixing, neardup, quality, queries, simhash, suffix, toxicity, urlrules, warc
 
 SPACE = " \t\n\v\f\r"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, tx string, row string, host string"
@@ -112,13 +112,13 @@ def test_near_duplicate_stage(spark, odd):
     texts = [" ".join(rng.choice([f"w{k}" for k in range(400)], 200)) for _ in range(30)]
     near = [" ".join(w if k not in (50, 120) else "changed" for k, w in enumerate(t.split())) for t in texts]
     rows = [(i, t) for i, t in enumerate(texts + near + texts[:5])]
-    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in kept) == list(range(30))
-    out = simhash.drop_near_duplicates(odd)
+    out = neardup.drop_near_duplicates(odd)
     assert out.columns == odd.columns
     ids = [r.doc_id for r in out.collect()]
     assert ids.count(None) == 2 and ids.count(7) == 1 and 6 in ids
-    empty = simhash.drop_near_duplicates(odd.limit(0))
+    empty = neardup.drop_near_duplicates(odd.limit(0))
     assert empty.columns == odd.columns and empty.count() == 0
 
 
@@ -133,7 +133,7 @@ def plain_groups(rows, width=5, similarity=0.8):
 
 
 def near_kept(spark, rows):
-    out = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    out = neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     return sorted(r.doc_id for r in out.collect())
 
 
@@ -160,11 +160,18 @@ def test_near_duplicates_with_a_passage(spark, kind):
     assert near_kept(spark, rows) == sorted(set(plain_groups(rows).values()))
 
 
+def test_near_duplicates_of_the_documents(docs):
+    rows = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
+    want = plain_groups(rows)
+    out = sorted(r.doc_id for r in neardup.drop_near_duplicates(docs).collect())
+    assert out == sorted(set(want.values())) and len(out) < len(rows)
+
+
 def test_near_duplicates_under_one_id(spark):
     rng = np.random.default_rng(17)
     one, other = (" ".join(rng.choice([f"w{k}" for k in range(400)], 100)) for _ in range(2))
     rows = [(1, one), (1, other), (1, other + " end"), (1, one), (2, other)]
-    out = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    out = neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.text.startswith(one)) for r in out) == [(1, False), (1, True)]
 
 
@@ -416,3 +423,33 @@ def test_least_squares_with_targets_out_of_reach(spark):
     steps = mixing.fit_rates(frame, [0.25, 0.75])
     assert np.allclose(mixing.replay(np.array([[1.0, 0.0]]), steps), 0.25, atol=1e-3)
     assert mixing.fit_rates(frame.limit(0), [0.5, 0.5]) == []
+
+
+def test_mixing_without_labels_or_documents(docs, odd):
+    labels = docs.select("doc_id", F.lit("good").alias("domain"))
+    for labelled in (labels.limit(0), labels):
+        out = mixing.mixing_rates(odd, labelled)
+        assert out.count() == odd.count()
+        assert out.where("p_good IS NULL OR rate < 0").count() == 0
+    assert mixing.mixing_rates(odd.limit(0), labels).count() == 0
+    assert mixing.mixed(odd.limit(0), labels).columns == odd.columns and mixing.mixed(odd.limit(0), labels).count() == 0
+
+
+def test_columns_of_any_name_stay(spark):
+    """Users' columns named as the stages name theirs come back as they were."""
+    text = "\n".join(f"word{k} more words in line {k} of this text" for k in range(40))
+    mine = ["_tx", "_id", "_gone", "_spans", "_gid", "id", "k1", "k2", "tx", "row", "kept", "gone", "spans", "text_", "host", "label", "_row", "_words"]
+    rows = [(k, text.replace("word", f"w{k // 2}x"), "s", *[f"{c}{k}" for c in mine]) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in mine))
+    labels = spark.createDataFrame([(0, "good"), (1, "low"), (2, "toxic")], "doc_id long, domain string")
+    for stage in (quality.apply_rules, neardup.drop_near_duplicates, suffix.cleaned, lambda d: mixing.mixed(d, labels)):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        found = out.collect()
+        assert found and all(r[c] == f"{c}{r.doc_id}" for r in found for c in mine)
+
+
+def test_line_hash_is_that_of_the_words(spark):
+    lines = ["", " ", "a", "A  b\tC\r", "\x0b x \x0c y", "ÄÖ Üx\u00a0y", "word " * 40, "日本 語", *("x" * n for n in range(1, 70, 7))]
+    got = spark.createDataFrame([(x,) for x in lines], "x string").select("x", quality.line_hash(F.col("x")).alias("h")).collect()
+    assert all(r.h == quality.normal_hash(r.x.encode().split()) for r in got)
