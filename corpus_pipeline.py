@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import bpe, mixing, quality, simhash, suffix
+from siftline.llm import bpe, mixing, neardup, quality, suffix
 from siftline.llm.common import materialise, read
 from siftline.llm.queries import vocabulary
 
@@ -21,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies and near copies (five words, similarity 0.8)."""
-    return simhash.drop_near_duplicates(docs)
+    return neardup.drop_near_duplicates(docs)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
