@@ -24,13 +24,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import thrifty
+
 #: White space as the pre-tokeniser knows it (fixed values).
 _W = r"\t-\r \x85\xa0  -     　"
 #: The pattern of byte-level BPE that splits text before merges (fixed values).
 _SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_W}\p{{L}}\p{{N}}]+|[{_W}]+(?![^{_W}])|[{_W}]+"
 #: Characters encoded together; words in each of a task's two generations, and pairs remembered
 #: before it starts anew. All but the words of one group is bounded by them.
-GROUP, WORDS, PAIRS = 1 << 21, 200_000, 400_000
+GROUP, WORDS, PAIRS = 1 << 21, 150_000, 300_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -208,6 +210,11 @@ class Coder:
                 self.known[chunk] = b"".join(map(of, words))
         return [b"".join([p if isinstance(p, bytes) else b"".join(map(of, p)) for p in plan]) for plan in plans]
 
+    def forget(self) -> None:
+        """Drop what was learned: the vocabulary alone is kept between tasks."""
+        self.known, self.older, self.edges = {}, {}, ({}, {})
+        self.pairs.clear()
+
     def decode(self, packed: bytes) -> str:
         """The text of packed ids; bytes that are no UTF-8 become U+FFFD."""
         ids = memoryview(packed).cast("I").tolist() if packed else []
@@ -239,9 +246,10 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                 if held >= GROUP or i + 1 == len(batch):
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(code.encode(texts), pa.binary())], [id_col, "ids"])
                     at, held, texts = i + 1, 0, []
+        code.forget()
 
     chosen = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, f"`{id_col}` long, ids binary")
+    return chosen.mapInArrow(thrifty(run), f"`{id_col}` long, ids binary")
 
 
 def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id") -> DataFrame:

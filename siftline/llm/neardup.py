@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, mixed, release, small, text_keys
+from .common import materialise, mixed, release, small, text_keys, thrifty
 from .components import components
 from .simhash import near_links
 
@@ -72,7 +72,7 @@ def sketches(plain: DataFrame, width: int) -> DataFrame:
                     sets.append(np.unique(own).view(np.int64))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(prints, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "k1", "k2", "fp", "shingles"])
 
-    return plain.select("id", "k1", "k2", "text").mapInArrow(run, "id long, k1 long, k2 long, fp long, shingles array<long>")
+    return plain.select("id", "k1", "k2", "text").mapInArrow(thrifty(run), "id long, k1 long, k2 long, fp long, shingles array<long>")
 
 
 def frequent_shingles(sets: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +113,7 @@ def prefixes(sets: DataFrame, similarity: float, often: tuple[np.ndarray, np.nda
                     bits.append(np.packbits(odd.astype(bool)).view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(tokens, longs), pa.array(bits, longs)], ["tx", "n", "tokens", "bits"])
 
-    return sets.select("tx", "shingles").mapInArrow(run, "tx long, n long, tokens array<long>, bits array<long>")
+    return sets.select("tx", "shingles").mapInArrow(thrifty(run), "tx long, n long, tokens array<long>, bits array<long>")
 
 
 def apart(starts: DataFrame, roots: DataFrame, similarity: float, every: bool) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL, materialise, release, text_keys
+from .common import SMALL, materialise, text_keys, thrifty
 
 #: A line is boilerplate in more than this many different texts of its host, and more than
 #: this share of them; a document with fewer words left than FEWEST is depleted.
@@ -111,7 +111,7 @@ def verdicts(
         F.col(id_col).cast("long").alias("id"), *text_keys(text),
         F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), text.alias("text"),
     )
-    measured = chosen.mapInArrow(_measure_batches, _MEASURED).withColumn("row", F.monotonically_increasing_id())
+    measured = chosen.mapInArrow(thrifty(_measure_batches), _MEASURED).withColumn("row", F.monotonically_increasing_id())
     measured = materialise(measured, "measured")
 
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))

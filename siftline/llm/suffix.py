@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SMALL, materialise
+from .common import SMALL, materialise, thrifty
 
 #: Bytes hashed at once; longer texts go in overlapping pieces.
 PIECE = 1 << 19
@@ -286,7 +286,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tx"), text.alias("text"))
-    anchors = materialise(plain.mapInArrow(_find_anchors(length, piece), _ANCHOR), "anchors")
+    anchors = materialise(plain.mapInArrow(thrifty(_find_anchors(length, piece)), _ANCHOR), "anchors")
     ranked = _settle(anchors.where("rank IS NOT NULL"), F.col("whole"), F.col("copies"), "ranked")
 
     # among ranks whose members differ, those that agree in full with another are repeats too;
@@ -306,7 +306,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nodes = (
         plain.join(open_, _same_text(plain, open_))
         .select(plain["id"], plain["tx"], "text", "open")
-        .mapInArrow(_cut_nodes(length, width), _NODE)
+        .mapInArrow(thrifty(_cut_nodes(length, width)), _NODE)
     )
     covered = [
         anchors.where("rank IS NULL").select("id", "tx", "start", "count"),
