@@ -17,6 +17,10 @@ LOCAL_SHARED = "/tmp/checkpoints"
 #: Rows of a table of a few numbers that is broadcast at most (24 MB of three).
 SMALL = 500_000
 
+#: Bytes that a Python worker is sent at once.
+BATCH = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 #: A word: a run of characters other than the space and the ASCII controls 09 to 0D.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -38,10 +42,16 @@ def new_path(spark: SparkSession, label: str) -> str:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
-    A lost executor then costs the tasks that were running, not the plan so far.
+    A lost executor then costs the tasks that were running, not the plan so far. While it is
+    written, Python workers are sent BATCH bytes at a time, so long texts don't add up.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH_SETTING, None)
+    spark.conf.set(_BATCH_SETTING, str(BATCH))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH_SETTING, before) if before else spark.conf.unset(_BATCH_SETTING)
     out = spark.read.schema(df.schema).parquet(path)
     out._siftline_path = path
     return out

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, thrifty
 from .components import components
 
 SEED = 42
@@ -34,7 +34,7 @@ SAMPLE, LEAF, MOST_DEPTH = 20_000, 512, 12
 #: Homes and visitors that one block compares.
 HOMES, VISITORS = 4_096, 65_536
 #: Pairs compared at once within a task.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 19
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "id long, fp long")
+    return chosen.mapInArrow(thrifty(run), "id long, fp long")
 
 
 def blocks_of(max_bits: int) -> tuple[int, int]:
@@ -196,8 +196,8 @@ def near_links(nodes: DataFrame, max_bits: int = 4, leaf: int = LEAF, sample: in
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             all_fp, all_rep = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            for low in range(0, len(all_fp), 4096):
-                fp, rep = all_fp[low : low + 4096], all_rep[low : low + 4096]
+            for low in range(0, len(all_fp), 2048):
+                fp, rep = all_fp[low : low + 2048], all_rep[low : low + 2048]
                 for k, tree in enumerate(trees):
                     row, at, home = route(fp.view(np.uint64), tree, radius)
                     at = at + k * n_leaves
