@@ -1,14 +1,17 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words become symbols: insult, threat, target, negation, reported speech, clause break, other.
-Small transducers read the symbols one after another and mark what they are about: one marks
-insults and threats within reach of a negation, one those in reported speech, one those aimed
-at a target. They are composed to a single table. A clause's kind is that of its strongest
-marked match; a text is scored by how many clauses of each kind it has, not by its words.
-
-The insult words are learned from labelled texts (whole words and word beginnings that
-toxic texts hold far more often than chance allows, by a bound that counts how many were tried)
-and added to a short fixed list; the weights of the clause kinds are fitted by
+Words become symbols: target, speaker, intention, harm, death, insult, "piece of", negation,
+reported speech, clause break, other, and one for each word of a listed phrase. Transducers
+read the symbols one after another. The first finds the listed phrases. The threat transducer
+finds an intention with an act of harm, harm aimed at a target, and a target that is to die; a
+word of harm alone is no match. The insult transducer finds insults said to a target, "piece of"
+insults, and mere mentions. Those of negation and reported speech mark what they reach. All
+but the first are composed to a single table. A clause's kind is the pattern and marks of its
+strongest match; a text is scored by how many clauses of each kind it has, not by its words.
+
+Insult words are learned from labelled texts (whole words and word beginnings that toxic texts
+hold far more often than chance allows, by a bound that counts how many were tried) and added to
+a short fixed list; the weights of the kinds, on the logarithm of their counts, are fitted by
 logistic regression that is pulled towards fixed defaults.
 """
 
@@ -24,23 +27,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, thrifty
 
-OTHER, BREAK, NEGATION, REPORT, TARGET, THREAT, INSULT = range(7)
+OTHER, BREAK, NEGATION, REPORT, TARGET, SPEAKER, WILL, HARM, DIE, PIECE, INSULT, SAID_THREAT, SAID_INSULT = range(13)
 #: Words that have their symbol without being learned (fixed values).
 WORDS = {
     NEGATION: "not no never none don doesn didn isn aren wasn won cannot nicht kein keine nie pas jamais non nunca ningún tampoco",
     REPORT: "said says say told wrote claimed quoted alleged according reported sagte sagt schrieb laut dit disait selon écrit dijo dice según escribió",
-    TARGET: "you your yours u he she him her they them these those du dich dein ihr euch tu toi ton vous votre vos eres usted ustedes vosotros",
-    THREAT: "kill murder hurt destroy shoot stab beat strangle töten umbringen tuer frapper matar golpear",
+    TARGET: "you your yours u he she him her they them these those du dich dein ihr euch tu toi te ton vous votre vos eres usted ustedes vosotros",
+    SPEAKER: "i we ich wir je nous yo nosotros",
+    WILL: "will ll gonna going shall should must want werde werden soll muss vais va allons veux voy vamos quiero",
+    HARM: "kill murder hurt destroy shoot stab beat strangle hang burn töten umbringen schlagen erschießen tuer frapper brûler matar golpear quemar",
+    DIE: "die dead suffer burn sterben tot mourir crever morir muerto",
+    PIECE: "piece bunch load sack pile stück haufen morceau tas pedazo montón",
     INSULT: "idiot moron stupid loser scum trash worthless pathetic disgusting clown fool imbecile dumb jerk",
 }
-#: How far a negation and a target reach, in words.
-NEGATION_REACH, TARGET_REACH = 3, 4
-NEGATED, REPORTED, TARGETED = 1, 2, 4
-N_KINDS, MOST_CLAUSES = 16, 3
-#: Labelled rows that the grammar is learned from, and learned entries kept, at most.
-SAMPLE, ENTRIES = 20_000, 2_000
+#: Phrases that are threats or insults as a whole (fixed values).
+PHRASES = {
+    SAID_THREAT: "watch your back|you are dead|you re dead|drop dead|go die|i know where you live|you will regret this|bring dich um|ich finde dich|je te retrouverai|te voy a encontrar",
+    SAID_INSULT: "shut up|go to hell|get lost|screw you|you make me sick|halt die klappe|fahr zur hölle|ta gueule|va te faire|ferme la|vete al infierno|cállate la boca",
+}
+#: How far a negation, a target, an intention, an act of harm and "piece" reach, in words.
+NEGATION_REACH, TARGET_REACH, WILL_REACH, HARM_REACH, PIECE_REACH = 3, 4, 3, 2, 2
+#: What a clause can hold, and the marks on it.
+HARM_AIMED, HARM_MEANT, THREAT_SAID, INSULT_MENTIONED, INSULT_DIRECT, INSULT_SAID = range(6)
+NEGATED, REPORTED = 1, 2
+N_SYMBOLS, N_KINDS = 13, 6 * 4
+#: Labelled rows that the grammar is learned from, at most.
+SAMPLE = 20_000
 #: Characters of the word beginnings that may be learned.
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
 
@@ -48,15 +62,51 @@ _TOKENS = re.compile(r"[^\W\d_]+|[.!?;:\n]").findall
 _BREAKS = set(".!?;:\n")
 
 
-def marked(symbol: int, flags: int) -> int:
-    """Insults and threats carry flags: symbols from 7 on, 8 for each of the two."""
-    return 7 + (symbol - THREAT) * 8 + flags
+def match(pattern: int, flags: int = 0) -> int:
+    """The symbol of a match: from N_SYMBOLS on, four for each pattern."""
+    return N_SYMBOLS + pattern * 4 + flags
+
+
+def _with(symbol: int, flag: int) -> int:
+    return N_SYMBOLS + ((symbol - N_SYMBOLS) | flag) if symbol >= N_SYMBOLS else symbol
 
 
-def _add(symbol: int, flag: int) -> int:
-    if symbol in (THREAT, INSULT):
-        return marked(symbol, flag)
-    return 7 + ((symbol - 7) | flag) if symbol >= 7 else symbol
+def threat(state: tuple[int, int, int], symbol: int) -> tuple[tuple[int, int, int], int]:
+    """Harm that is meant ("will kill"), aimed ("kill you"), or a target that is to die ("you will die")."""
+    if symbol == BREAK:
+        return (0, 0, 0), symbol
+    target, will, harm = (max(0, n - 1) for n in state)
+    out = symbol
+    if symbol == SAID_THREAT:
+        out = match(THREAT_SAID)
+    elif symbol == HARM:
+        out = match(HARM_MEANT) if state[1] else symbol
+        harm = 0 if state[1] else HARM_REACH
+    elif symbol == DIE and state[0] and state[1]:
+        out = match(HARM_MEANT)
+    elif symbol == TARGET:
+        out = match(HARM_AIMED) if state[2] else symbol
+        target, harm = TARGET_REACH, 0
+    elif symbol == WILL:
+        target, will = state[0], WILL_REACH
+    return (target, will, harm), out
+
+
+def insult(state: tuple[int, int], symbol: int) -> tuple[tuple[int, int], int]:
+    """Insults said to a target ("you idiot", "he is such a fool"), "piece of" ones, mentions."""
+    if symbol == BREAK:
+        return (0, 0), symbol
+    target, piece = (max(0, n - 1) for n in state)
+    out = symbol
+    if symbol == SAID_INSULT:
+        out = match(INSULT_SAID)
+    elif symbol == INSULT:
+        out = match(INSULT_SAID if state[1] else INSULT_DIRECT if state[0] else INSULT_MENTIONED)
+    elif symbol == TARGET or N_SYMBOLS <= symbol == match(HARM_AIMED):
+        target = TARGET_REACH
+    elif symbol == PIECE:
+        piece = PIECE_REACH
+    return (target, piece), out
 
 
 def negation(state: int, symbol: int) -> tuple[int, int]:
@@ -64,32 +114,25 @@ def negation(state: int, symbol: int) -> tuple[int, int]:
         return 0, symbol
     if symbol == NEGATION:
         return NEGATION_REACH, symbol
-    return max(0, state - 1), _add(symbol, NEGATED if state else 0)
+    return max(0, state - 1), _with(symbol, NEGATED if state else 0)
 
 
 def reported(state: int, symbol: int) -> tuple[int, int]:
     if symbol == BREAK:
         return 0, symbol
-    return (1, symbol) if symbol == REPORT else (state, _add(symbol, REPORTED if state else 0))
-
-
-def targeted(state: int, symbol: int) -> tuple[int, int]:
-    if symbol == BREAK:
-        return 0, symbol
-    if symbol == TARGET:
-        return TARGET_REACH, symbol
-    return max(0, state - 1), _add(symbol, TARGETED if state else 0)
+    return (1, symbol) if symbol == REPORT else (state, _with(symbol, REPORTED if state else 0))
 
 
 def compose(*machines) -> list[list[tuple[int, int]]]:
-    """table[state][symbol] = (next state, output) of the machines one after another."""
-    names, table, todo = {(0,) * len(machines): 0}, [], [(0,) * len(machines)]
+    """table[state][symbol] = (next state, output) of (start, machine)s one after another."""
+    start = tuple(first for first, _ in machines)
+    names, table, todo = {start: 0}, [], [start]
     while todo:
         states = todo.pop(0)
         row = []
-        for symbol in range(7):
+        for symbol in range(N_SYMBOLS):
             now, out = [], symbol
-            for machine, state in zip(machines, states):
+            for (_, machine), state in zip(machines, states):
                 state, out = machine(state, out)
                 now.append(state)
             key = tuple(now)
@@ -101,40 +144,77 @@ def compose(*machines) -> list[list[tuple[int, int]]]:
     return table
 
 
-GRAMMAR = compose(negation, reported, targeted)
-#: What a clause of each kind weighs before labels say otherwise (flags 0-7 of threats, insults).
-DEFAULT = np.array([base + (TARGETED & f) / 4 - 2.5 * (NEGATED & f) - 2.0 * bool(REPORTED & f) for base in (2.5, 4.0) for f in range(8)])
+GRAMMAR = compose(((0, 0, 0), threat), ((0, 0), insult), (0, negation), (0, reported))
+#: What a clause of each kind weighs before labels say otherwise.
+DEFAULT = np.array([base - 2.5 * bool(f & NEGATED) - 2.0 * bool(f & REPORTED) for base in (3.0, 3.5, 4.0, 3.5, 5.0, 5.0) for f in range(4)])
 DEFAULT_BIAS = -3.0
 
 
+class Phrases:
+    """The transducer of the listed phrases: their words, and the next place after each."""
+
+    def __init__(self):
+        self.next: list[dict[str, int]] = [{}]
+        self.out = [OTHER]
+        for symbol, text in PHRASES.items():
+            for phrase in text.split("|"):
+                at = 0
+                for word in phrase.split():
+                    if word not in self.next[at]:
+                        self.next[at][word] = len(self.next)
+                        self.next.append({}), self.out.append(OTHER)
+                    at = self.next[at][word]
+                self.out[at] = symbol
+        self.words = {w for row in self.next for w in row}
+
+    def read(self, words: list[str], symbols: list[int]) -> list[int]:
+        """``symbols`` of ``words``, the last one of each phrase replaced by the phrase's."""
+        if self.words.isdisjoint(words):
+            return symbols
+        out, live = list(symbols), []
+        for k, word in enumerate(words):
+            live = [n for at in (*live, 0) if (n := self.next[at].get(word))]
+            for at in live:
+                if self.out[at]:
+                    out[k] = self.out[at]
+        return out
+
+
+LISTED = Phrases()
+
+
 class Symbols(dict):
     """The symbol of each word, by itself, else by its learned beginnings; remembers words."""
 
     def __init__(self, words: frozenset[str], beginnings: frozenset[str]):
-        fixed = {w: s for s, text in WORDS.items() for w in text.split()}
+        fixed = {w: s for s, text in reversed(WORDS.items()) for w in text.split()}
         super().__init__(fixed | dict.fromkeys(words, INSULT) | dict.fromkeys(_BREAKS, BREAK))
         self.beginnings, self.fixed = beginnings, len(self)
 
     def __missing__(self, word: str) -> int:
         found = INSULT if any(len(word) > n and word[:n] in self.beginnings for n in BEGINNINGS) else OTHER
-        if len(self) < self.fixed + 500_000:
+        if len(self) < self.fixed + 300_000:
             self[word] = found
         return found
 
 
+_MAY_MATCH = {INSULT, HARM, DIE, SAID_THREAT, SAID_INSULT}
+
+
 def clause_counts(text: str | None, symbols: Symbols) -> list[int]:
-    """Clauses of each kind in the text, each count at most MOST_CLAUSES (its weight saturates)."""
+    """Clauses of each kind in the whole text."""
     counts = [0] * N_KINDS
-    read = [symbols[w] for w in _TOKENS(text.lower())] if text else []
-    if INSULT not in read and THREAT not in read:
+    words = _TOKENS(text.lower()) if text else []
+    read = LISTED.read(words, [symbols[w] for w in words])
+    if _MAY_MATCH.isdisjoint(read):
         return counts
     state, best = 0, -1
     for symbol in (*read, BREAK):
         state, out = GRAMMAR[state][symbol]
-        if out >= 7:
-            best = out - 7 if best < 0 or DEFAULT[out - 7] > DEFAULT[best] else best
+        if out >= N_SYMBOLS:
+            best = out - N_SYMBOLS if best < 0 or DEFAULT[out - N_SYMBOLS] > DEFAULT[best] else best
         elif symbol == BREAK and best >= 0:
-            counts[best] = min(MOST_CLAUSES, counts[best] + 1)
+            counts[best] += 1
             best = -1
     return counts
 
@@ -173,19 +253,20 @@ def _marks(texts: DataFrame, base: float, entries_of) -> frozenset[str]:
     """Entries nine in ten of whose texts are toxic, and more of them than chance allows.
 
     The log likelihood of an entry's toxic texts against the base rate has to outweigh the
-    number of entries tried: fewer than one in e**3 such sets holds an entry by chance.
+    number of entries tried: fewer than one in e**3 such sets holds an entry by chance. What
+    passes is bounded by the sample: an entry takes several toxic texts to pass.
     """
     seen = texts.mapInArrow(_tally(entries_of), "entry string, bad long, n long").groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     seen = materialise(seen.where("bad >= 2"), "entries")
     tried = max(1, seen.count())
     share = F.least(F.col("bad") / F.col("n"), F.lit(1 - 1e-9))
     gain = F.col("bad") * F.log(share / base) + (F.col("n") - F.col("bad")) * F.log((1 - share) / (1 - base))
-    good = seen.where((share > 0.9) & (gain > math.log(tried) + 3)).orderBy(F.desc(gain), "entry").limit(ENTRIES)
+    good = seen.where((share > 0.9) & (gain > math.log(tried) + 3))
     return frozenset(r.entry for r in good.select("entry").collect())
 
 
 def learned_entries(texts: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
-    """(words, beginnings) that mark toxic texts, from (text, toxic) rows; at most ENTRIES each.
+    """(words, beginnings) that mark toxic texts, from (text, toxic) rows.
 
     Beginnings are learned from the words that aren't marks by themselves.
     """
@@ -197,8 +278,8 @@ def learned_entries(texts: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
 
 
 def fit(patterns: np.ndarray, bad: np.ndarray, n: np.ndarray, pull: float = 1.0) -> np.ndarray:
-    """(bias, weights) of the clause kinds from texts grouped by their counts; Newton steps."""
-    x = np.hstack([np.ones((len(patterns), 1)), patterns])
+    """(bias, weights) of the clause kinds (times log2(1 + count)) from texts grouped by their counts; Newton steps."""
+    x = np.hstack([np.ones((len(patterns), 1)), np.log2(1 + patterns)])
     prior = np.concatenate(([DEFAULT_BIAS], DEFAULT))
     w = prior.copy()
     for _ in range(50):
@@ -249,10 +330,10 @@ def toxicity(
     if seen:
         weights = fit(np.array([r.clauses for r in seen], float), np.array([r.bad for r in seen], float), np.array([r.n for r in seen], float))
     bias, *each = weights.tolist()
-    chosen = plain.select("text", "id").mapInArrow(_counted(words, beginnings), "id long, clauses array<int>")
+    chosen = plain.select("text", "id").mapInArrow(thrifty(_counted(words, beginnings)), "id long, clauses array<int>")
     total = F.lit(bias)
     for k, w in enumerate(each):
-        total = total + F.lit(w) * F.col("clauses")[k]
+        total = total + F.lit(w) * F.log2(1 + F.col("clauses")[k])
     score = 1 / (1 + F.exp(-total))
     out = chosen.select("id", "clauses", score.alias("score"))
     return out.select(

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftline.llm import bpe, chat, embedding, mixing, neardup, quality, queries, simhash, suffix, toxicity, urlrules, warc
+from tests.conftest import TESTDATA
 
 SPACE = " \t\n\v\f\r"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, tx string, row string, host string"
@@ -252,8 +253,8 @@ def test_warc_reads_what_is_cut_short_as_null(spark, tmp_path):
 
 
 def test_toxicity_held_out(spark, odd):
-    data = queries.op6_toxicity_grammar(spark, "/root/testdata/sf0.1")
-    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select(F.col("doc_id").alias("i"), "toxic").dropna()
+    data = queries.op6_toxicity_grammar(spark, f"{TESTDATA}/sf0.1")
+    labels = spark.read.parquet(f"{TESTDATA}/sf0.1/labels.parquet").select(F.col("doc_id").alias("i"), "toxic").dropna()
     rows = data.join(labels, F.col("doc_id") == F.col("i")).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     held = [r for r in rows if r.held_out]
@@ -270,11 +271,33 @@ def test_toxicity_held_out(spark, odd):
 
 def test_grammar_marks_clauses():
     symbols = toxicity.Symbols(frozenset(), frozenset())
-    strong = toxicity.clause_counts("you are an idiot.", symbols)
-    negated = toxicity.clause_counts("you are not an idiot.", symbols)
-    told = toxicity.clause_counts("he said you are an idiot.", symbols)
-    score = lambda counts: float(np.dot(counts, toxicity.DEFAULT))
-    assert score(strong) > score(told) and score(strong) > score(negated)
+    kind = lambda pattern, flags=0: pattern * 4 + flags
+    t = toxicity
+    for text, want in {
+        "You are such an idiot!": [kind(t.INSULT_DIRECT)], "a clown came": [kind(t.INSULT_MENTIONED)], "what a piece of trash": [kind(t.INSULT_SAID)],
+        "you are not stupid": [kind(t.INSULT_DIRECT, t.NEGATED)], "She said he is a fool.": [kind(t.INSULT_DIRECT, t.REPORTED)],
+        "I will kill it": [kind(t.HARM_MEANT)], "kill you": [kind(t.HARM_AIMED)], "you will die": [kind(t.HARM_MEANT)], "kill the process. they die young": [],
+        "we won't beat them": [kind(t.HARM_AIMED, t.NEGATED)], "Watch your back; now shut up": [kind(t.THREAT_SAID), kind(t.INSULT_SAID)], "watch your step, shut the door, up": [],
+        "clown. clown. clown. clown. clown": [kind(t.INSULT_MENTIONED)] * 5, "": [], None: [],
+    }.items():
+        counts = t.clause_counts(text, symbols)
+        assert [k for k, n in enumerate(counts) for _ in range(n)] == sorted(want), text
+
+
+def test_grammar_beats_its_words(spark):
+    """Texts whose words alone don't tell: the same insults and acts, said to someone or not."""
+    rng = np.random.default_rng(4)
+    bad = ["you are a complete {i}", "you {i}", "she is a {i} and a {j}", "what a piece of {i}", "i will {h} you", "we are going to {h} them", "{h} him now", "you will die", "shut up and go to hell"]
+    fine = ["she said that he is a {i}", "you are not a {i}", "they are never {i}", "he wrote that they will {h} him", "we must not {h} them", "they {h} the process", "the reports say you will die"]
+    fill = lambda t: t.format(i=rng.choice(["idiot", "fool", "clown", "jerk"]), j=rng.choice(["loser", "moron"]), h=rng.choice(["kill", "hurt", "beat"]))
+    rest = [" ".join(rng.choice([f"w{k}" for k in range(300)], 12)) for _ in range(600)]
+    rows = [(k, f"{rest[k]}. {fill(str(rng.choice(bad if k % 2 else fine)))}. {rest[-k]}", k % 2) for k in range(600)]
+    out = toxicity.toxicity(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")).collect()
+    held = [r for r in out if r.held_out]
+    words = {w for k in (toxicity.INSULT, toxicity.HARM, toxicity.DIE) for w in toxicity.WORDS[k].split()}
+    by_words = sum(bool(words & set(rows[r.doc_id][1].split())) == rows[r.doc_id][2] for r in held)
+    by_grammar = sum(r.predicted == rows[r.doc_id][2] for r in held)
+    assert len(held) > 80 and by_grammar > 0.95 * len(held) > 0.7 * len(held) > by_words
 
 
 def test_bpe_splits_as_the_library(monkeypatch):
