@@ -3,13 +3,13 @@
 Unit vectors with cosine >= t are within squared distance 2 - 2t. After one fixed random
 rotation a vector is cut into blocks of about BLOCK dimensions; each block gets its share of
 that budget in proportion to its dimensions, and a pair within the whole budget is within the
-share of at least one block. So each block is range-joined: by slabs of its first dimension,
-which a vector visits if its ball overlaps them, and within a slab by a window of the second
+share of at least one block. So each block is range-joined: by cells of its first two dimensions,
+which a vector visits if its ball overlaps them, and within a cell by a window of the third
 dimension and the block's distance. Pairs left are verified with the cosine in double precision.
 
-A pair is counted at the first block whose share it keeps, in the slab its partner lives in:
+A pair is counted at the first block whose share it keeps, in the cell its partner lives in:
 so links are counted without listing or joining pairs. A task returns a row for each vector
-with links, with their number and one member of its group. Slabs with many rows are dealt out
+with links, with their number and one member of its group. Cells with many rows are dealt out
 in blocks of homes against blocks of visitors. Equal vectors are one node with a multiplicity.
 """
 
@@ -29,7 +29,7 @@ from .components import components
 from .simhash import forest
 
 BLOCK = 8
-#: Width of a slab in radii; homes and visitors that one task compares; rows compared at once.
+#: Width of a cell in radii; homes and visitors that one task compares; rows compared at once.
 SLAB, HOMES, VISITORS, AT_ONCE = 4.0, 4_000, 16_000, 256
 #: Room for rounding in what selects candidates (squared distances of unit vectors).
 SLACK = 1e-7
@@ -54,7 +54,7 @@ def _rotated(x: np.ndarray) -> np.ndarray:
 
 
 def _place(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """For each block of each vector the slabs it visits, with a mark on the one it lives in."""
+    """For each block of each vector the cells (slab) it visits, with a mark on the one it lives in."""
     for batch in batches:
         dims = batch.column(1).to_numpy()
         for dim in np.unique(dims):
@@ -63,20 +63,23 @@ def _place(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
             cuts, budget = cuts_of(dim), 2 - 2 * threshold
             for b, low in enumerate(cuts[:-1]):
                 radius = math.sqrt(budget * (cuts[b + 1] - low) / dim + SLACK)
-                x, wide = u[:, low], SLAB * radius
+                x, wide = u[:, [low, min(low + 1, cuts[b + 1] - 1)]], SLAB * radius
                 first, home, last = (np.floor(y / wide).astype(np.int64) for y in (x - radius, x, x + radius))
-                for step in range(int((last - first).max(initial=0)) + 1):
-                    at = np.flatnonzero(first + step <= last)
-                    slab = first[at] + step
+                steps = (last - first).max(axis=0, initial=0)
+                for step in np.ndindex(*(steps + 1)):
+                    at = np.flatnonzero((first + step <= last).all(axis=1))
+                    cell = first[at] + step
+                    # a place along a dimension is less than 2**15 cells from the middle, as vectors have length 1
+                    name = (cell[:, 0] + (1 << 15) << 16) + cell[:, 1] + (1 << 15)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(rows[at])), pa.array(np.full(len(at), b)), pa.array(slab), pa.array(slab == home[at])],
+                        [batch.column(0).take(pa.array(rows[at])), pa.array(np.full(len(at), b)), pa.array(name), pa.array((cell == home[at]).all(axis=1))],
                         ["nid", "block", "slab", "home"],
                     )
 
 
 def _linked(threshold: float):
     def run(table: pa.Table) -> pa.Table:
-        """Links of the visitors with the homes of one part of a slab."""
+        """Links of the visitors with the homes of one part of a cell."""
         dim, b = table.column("dim")[0].as_py(), table.column("block")[0].as_py()
         nid, times = (table.column(c).to_numpy() for c in ("nid", "times"))
         role = table.column("role").to_numpy()
@@ -85,7 +88,7 @@ def _linked(threshold: float):
         u, cuts = x @ _rotation(dim), cuts_of(dim)
         share = (2 - 2 * threshold) * np.diff(cuts) / dim
         own = slice(cuts[b], cuts[b + 1])
-        second = u[:, min(cuts[b] + 1, cuts[b + 1] - 1)]
+        second = u[:, min(cuts[b] + 2, cuts[b + 1] - 1)]
         home, visit = (r[np.argsort(second[r], kind="stable")] for r in (np.flatnonzero(role != 0), np.flatnonzero(role != 1)))
         radius = math.sqrt(share[b] + SLACK)
         uh, size = u[home, own], (u[:, own] ** 2).sum(axis=1)
@@ -130,9 +133,12 @@ def embedding_groups(
     """
     v = F.col("v")
     chosen = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
-    top = F.lit(1e150)
-    whole = F.coalesce(F.forall(v, lambda c: c.isNotNull() & (F.abs(c) < top)), F.lit(False))
-    fit = F.col("label").isNotNull() & F.col("id").isNotNull() & whole & F.exists(v, lambda c: F.coalesce(F.abs(c) > 1e-150, F.lit(False)))
+    whole = F.coalesce(F.forall(v, lambda c: c.isNotNull() & (F.abs(c) < float("inf"))), F.lit(False))
+    fit = F.col("label").isNotNull() & F.col("id").isNotNull() & whole & F.exists(v, lambda c: F.coalesce(c != 0, F.lit(False)))
+    chosen = chosen.withColumn("v", v.cast("array<double>"))
+    # the cosine does not depend on lengths; squares of very large or small components would leave the range of doubles
+    most = F.array_max(F.transform(v, F.abs))
+    chosen = chosen.withColumn("v", F.when(most.between(1e-100, 1e100) | (most == 0) | ~(most < float("inf")), v).otherwise(F.transform(v, lambda c: c / most)))
     each = chosen.select("id", "label", "v", fit.alias("fit"), F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(1), "v").alias("k2"))
     keys = ["label", "k1", "k2"]
     nodes = materialise(

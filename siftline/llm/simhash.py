@@ -7,8 +7,9 @@ triangle bounds tight. A node has a vantage point v and a split s; a fingerprint
 if d(v) <= s, else right, and a search visits left if d(v) - radius <= s and right if
 d(v) + radius > s. What no bound rules out is compared exactly over all 64 bits.
 
-The trees (at most ``2 ** MOST_DEPTH`` nodes each) are built on the driver from a bounded
-sample; the sample only sets how even the shards are. Every distinct fingerprint is routed by
+The upper levels of the trees are built on the driver from a bounded sample, which only sets how
+even the shards are; below them a node's vantage point is a hash of its place, so tasks know
+trees of any depth, and the depth follows the number of fingerprints. Every distinct fingerprint is routed by
 the tasks to one shard and to all shards that its ball overlaps. A shard with many rows is
 dealt out in blocks of homes against blocks of visitors, so no task holds a whole shard. Each
 block returns a spanning forest of its links and not all its pairs.
@@ -25,12 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, thrifty
+from .common import materialise, mixed, thrifty
 from .components import components
 
 SEED = 42
-#: Fingerprints that the trees are built from, shards aimed at, and the deepest tree.
-SAMPLE, LEAF, MOST_DEPTH = 20_000, 512, 12
+#: Fingerprints that the trees are built from, fingerprints in a shard aimed at, and the levels
+#: that are built from the sample; further ones need none.
+SAMPLE, LEAF, BUILT = 20_000, 512, 10
 #: Homes and visitors that one block compares.
 HOMES, VISITORS = 4_096, 65_536
 #: Pairs compared at once within a task.
@@ -92,9 +94,9 @@ def masks_of(n_blocks: int) -> list[int]:
 
 
 def build_tree(sample: np.ndarray, mask: int, depth: int, seed: int) -> dict[str, np.ndarray]:
-    """Heap-ordered vantage points and splits; a split of -1 sends everything right."""
+    """Heap-ordered vantage points and splits of the first BUILT levels of a tree of ``depth``."""
     rng = np.random.default_rng(seed)
-    size = (1 << depth) - 1
+    size = (1 << min(depth, BUILT)) - 1
     point, split = np.zeros(size, np.uint64), np.full(size, -1, np.int64)
     members = {0: sample & np.uint64(mask)}
     for k in range(size):
@@ -107,15 +109,23 @@ def build_tree(sample: np.ndarray, mask: int, depth: int, seed: int) -> dict[str
         else:
             split[k] = bin(mask).count("1") // 2
         members[2 * k + 1], members[2 * k + 2] = own[far <= split[k]], own[far > split[k]]
-    return {"mask": np.uint64(mask), "point": point, "split": split, "depth": depth}
+    return {"mask": np.uint64(mask), "point": point, "split": split, "depth": depth, "seed": seed}
+
+
+def vantage(tree: dict, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(points, splits) of nodes: the built ones', else hashes of their places and half the bits."""
+    if not len(node) or node[0] < len(tree["point"]):  # all nodes of a call are of one level
+        return tree["point"][node], tree["split"][node]
+    point = mixed(node.astype(np.uint64) + (np.uint64(tree["seed"] + 1) << np.uint64(48))) & tree["mask"]
+    return point, np.full(len(node), int(tree["mask"]).bit_count() // 2)
 
 
 def route(fp: np.ndarray, tree: dict, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, leaf, home): each row's leaf (home True), and the others its ball overlaps."""
     row, node, home = np.arange(len(fp)), np.zeros(len(fp), np.int64), np.ones(len(fp), bool)
     for _ in range(tree["depth"]):
-        far = np.bitwise_count((fp[row] ^ tree["point"][node]) & tree["mask"]).astype(np.int64)
-        split = tree["split"][node]
+        point, split = vantage(tree, node)
+        far = np.bitwise_count((fp[row] ^ point) & tree["mask"]).astype(np.int64)
         left, right, lives_left = far - radius <= split, far + radius > split, far <= split
         row, node, home = (
             np.concatenate((row[left], row[right])),
@@ -170,7 +180,7 @@ def near_links(nodes: DataFrame, max_bits: int = 4, leaf: int = LEAF, sample: in
     """
     n_blocks, radius = blocks_of(max_bits)
     total = nodes.count()
-    depth = min(MOST_DEPTH, max(0, math.ceil(math.log2(max(1, total) / leaf))))
+    depth = max(0, math.ceil(math.log2(max(1, total) / leaf)))
     grain = 1 << 24
     taken = nodes.where(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(grain)) < min(grain, math.ceil(grain * sample / max(1, total))))
     seen = np.array([r.fp for r in taken.select("fp").toLocalIterator()], np.int64).view(np.uint64)
@@ -178,20 +188,28 @@ def near_links(nodes: DataFrame, max_bits: int = 4, leaf: int = LEAF, sample: in
     n_leaves = 1 << depth
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        homes, visits = np.zeros(n_leaves * n_blocks, np.int64), np.zeros(n_leaves * n_blocks, np.int64)
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for k, tree in enumerate(trees):
                 _, at, home = route(fp, tree, radius)
-                visits += np.bincount(at + k * n_leaves, minlength=len(visits))
-                homes += np.bincount(at[home] + k * n_leaves, minlength=len(visits))
-        at = np.flatnonzero(visits)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(homes[at]), pa.array(visits[at])], ["leaf", "homes", "visits"])
+                leaf_of, place = np.unique(at, return_inverse=True)
+                homes = np.bincount(place[home], minlength=len(leaf_of))
+                yield pa.RecordBatch.from_arrays([pa.array(leaf_of + k * n_leaves), pa.array(homes), pa.array(np.bincount(place, minlength=len(leaf_of)))], ["leaf", "homes", "visits"])
 
     counted = nodes.select("fp").mapInArrow(tally, "leaf long, homes long, visits long")
-    parts = np.ones((2, n_leaves * n_blocks), np.int64)
-    for r in counted.groupBy("leaf").agg(F.sum("homes").alias("homes"), F.sum("visits").alias("visits")).collect():
-        parts[:, r.leaf] = -(-r.homes // HOMES) or 1, -(-r.visits // VISITORS) or 1
+    counted = counted.groupBy("leaf").agg(F.sum("homes").alias("homes"), F.sum("visits").alias("visits"))
+    # only shards over the size of a block are told to tasks; as depth follows the data they are few
+    large = sorted((r.leaf, -(-r.homes // HOMES) or 1, -(-r.visits // VISITORS) or 1) for r in counted.where((F.col("homes") > HOMES) | (F.col("visits") > VISITORS)).collect())
+    large = np.array(large, np.int64).reshape(-1, 3)
+
+    def parts_of(leaf_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Blocks of homes and of visitors of each shard."""
+        out = np.ones((2, len(leaf_of)), np.int64)
+        if len(large):
+            place = np.minimum(np.searchsorted(large[:, 0], leaf_of), len(large) - 1)
+            held = large[place, 0] == leaf_of
+            out[:, held] = large[place[held], 1:].T
+        return out[0], out[1]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,11 +219,12 @@ def near_links(nodes: DataFrame, max_bits: int = 4, leaf: int = LEAF, sample: in
                 for k, tree in enumerate(trees):
                     row, at, home = route(fp.view(np.uint64), tree, radius)
                     at = at + k * n_leaves
-                    mixed = (fp[row].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                    spread = (fp[row].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
                     for as_home in (True, False):
-                        pick = home if as_home else parts[0, at] > 0
-                        r, leaf_of, m = row[pick], at[pick], mixed[pick].astype(np.int64)
-                        own, other = (parts[0, leaf_of], parts[1, leaf_of]) if as_home else (parts[1, leaf_of], parts[0, leaf_of])
+                        pick = home if as_home else np.ones(len(at), bool)
+                        r, leaf_of, m = row[pick], at[pick], spread[pick].astype(np.int64)
+                        n_homes, n_visits = parts_of(leaf_of)
+                        own, other = (n_homes, n_visits) if as_home else (n_visits, n_homes)
                         mine = m % own
                         again = np.repeat(np.arange(len(r)), other)
                         theirs = np.arange(len(again)) - np.repeat(np.cumsum(other) - other, other)

@@ -12,7 +12,7 @@ from __future__ import annotations
 import string
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -57,19 +57,14 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(F.when(host != "", F.array(scheme)).otherwise(F.array().cast("array<string>")), hosts, segments, keys, mark))
 
 
-def listed_rules(spark: SparkSession, rules=LISTED) -> DataFrame:
-    quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    rows = ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rules)
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(rule_host, rule_path, rule_verdict)")
+def listed_rule(host: Column, path: Column, rules=LISTED) -> Column:
+    """(n, rule, verdict) of the longest listed rule that fits, null if none does.
 
-
-def with_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(row, rule, rule_verdict): the longest listed rule that fits each row of (row, host, path)."""
-    each = urls.select("row", "path", F.explode(suffixes(F.col("host"))).alias("rule_host"))
-    fits = each.join(rules, "rule_host").where(F.col("path").startswith(F.col("rule_path")))
-    rule = F.concat("rule_host", "rule_path")
-    best = F.max(F.struct(F.length(rule).alias("n"), rule.alias("rule"), F.col("rule_verdict").alias("v"))).alias("b")
-    return fits.groupBy("row").agg(best).select("row", "b.rule", F.col("b.v").alias("rule_verdict"))
+    The rules are written in the code and few, so they are one expression and no join.
+    """
+    fits = lambda h, p: ((host == h) | host.endswith("." + h)) & path.startswith(p)
+    made = lambda h, p, v: F.struct(F.lit(len(h + p)).alias("n"), F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"))
+    return F.array_max(F.array(*[F.when(fits(h, p), made(h, p, v)) for h, p, v in rules]))
 
 
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST) -> DataFrame:
@@ -118,8 +113,6 @@ def judge(
     ``://`` have an empty host and path and no tokens but what their query holds. Rows repeat
     as given, null ids too. Other columns are ignored.
     """
-    spark = pages.sparkSession
-
     def parsed(df: DataFrame, url: str) -> DataFrame:
         host, path = host_and_path(F.col(url))
         df = df.withColumns({"host": host, "path": path})
@@ -129,9 +122,9 @@ def judge(
     urls = materialise(parsed(urls, "url"), "urls")
     known = parsed(labelled.select(F.col("url").cast("string").alias("url"), F.col("bad").cast("int").alias("bad")), "url")
     index = mine(known, support, confidence)
-    out = urls.join(with_rules(urls, listed_rules(spark, rules)), "row", "left").join(matched(urls, index), "row", "left")
-    verdict = F.coalesce("rule_verdict", F.when(F.col("confidence").isNotNull(), "block").otherwise("allow"))
-    return out.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "confidence", "mined")
+    out = urls.withColumn("listed", listed_rule(F.col("host"), F.col("path"), rules)).join(matched(urls, index), "row", "left")
+    verdict = F.coalesce("listed.verdict", F.when(F.col("confidence").isNotNull(), "block").otherwise("allow"))
+    return out.select(F.col("id").alias(id_col), "host", "path", "listed.rule", verdict.alias("verdict"), "confidence", "mined")
 
 
 def page_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:

@@ -476,3 +476,24 @@ def test_line_hash_is_that_of_the_words(spark):
     lines = ["", " ", "a", "A  b\tC\r", "\x0b x \x0c y", "ÄÖ Üx\u00a0y", "word " * 40, "日本 語", *("x" * n for n in range(1, 70, 7))]
     got = spark.createDataFrame([(x,) for x in lines], "x string").select("x", quality.line_hash(F.col("x")).alias("h")).collect()
     assert all(r.h == quality.normal_hash(r.x.encode().split()) for r in got)
+
+
+def test_trees_deeper_than_their_sample(spark):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
+    fps = np.unique(np.concatenate((base, base ^ np.uint64(1 << 40 | 1 << 3 | 1 << 20 | 1 << 60))))
+    for mask in simhash.masks_of(3):
+        tree = simhash.build_tree(fps[:50], mask, simhash.BUILT + 6, seed=1)
+        row, leaf, home = simhash.route(fps, tree, 1)
+        lives = dict(zip(row[home].tolist(), leaf[home].tolist()))
+        seen = set(zip(row.tolist(), leaf.tolist()))
+        assert len(lives) == len(fps)
+        near = np.argwhere(np.bitwise_count((fps[:, None] ^ fps[None, :]) & np.uint64(mask)) <= 1)
+        assert all((a, lives[b]) in seen for a, b in near.tolist())
+
+
+def test_vectors_of_any_length_link(spark):
+    rows = [(k, "a", [x * c for x in (1.0, 2.0, 3.0)]) for k, c in enumerate((1e-310, 1e-200, 1.0, 1e200, 1e307, -1.0))]
+    rows += [(10, "a", [float("inf"), 1.0, 1.0]), (11, "a", [0.0, 0.0, 0.0]), (12, "a", [float("nan"), 1.0, 1.0]), (13, "a", [None, 1.0, 1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding.embedding_groups(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()}
+    assert got == {**{k: (4, 0) for k in range(5)}, 5: (0, 5), **{k: (0, k) for k in (10, 11, 12, 13)}}
