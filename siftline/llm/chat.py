@@ -7,20 +7,24 @@ its span, before it the system turn and up to ``history`` tokens of the turns ju
 which are repeats and are masked; each assistant turn is a target in exactly one window.
 
 Prefix sums are made in two levels (within blocks of turns, and over the blocks' totals), so a
-very long conversation is no single task's until its windows are joined to a digest.
+very long conversation is no single task's until its windows are read back for a digest, one
+after another.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import materialise, thrifty
+
 #: The template: strings that mark turns, and no text holds without an escape (fixed values).
 BEGIN, END, OPEN, CLOSE = "<s>", "</s>", "[INST]", "[/INST]"
 TURN, HEAD = "[TURN]", "[/TURN]"
@@ -81,6 +85,11 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
     return [(r, t) for r, t in parts]
 
 
+def words_and_marks(text: Column) -> Column:
+    """What a turn counts for if no tokenizer is given: its words, and 4 for the marks around it."""
+    return F.size(F.split(F.trim(text), r"\s+")).cast("long") + 4
+
+
 def spans(turns: DataFrame, budget: int = BUDGET) -> DataFrame:
     """``turns`` (conv, pos, n_tokens, ...) with ``before`` (tokens of earlier turns) and ``span``."""
     block = F.floor(F.col("pos") / BLOCK)
@@ -99,7 +108,7 @@ def spans(turns: DataFrame, budget: int = BUDGET) -> DataFrame:
 
 def windows(
     conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
-    budget: int = BUDGET, history: int = HISTORY,
+    budget: int = BUDGET, history: int = HISTORY, tokens: Callable[[Column], Column] = words_and_marks,
 ) -> DataFrame:
     """(conv_col, window, first_pos, repeats, formatted, mask): the training windows.
 
@@ -108,13 +117,14 @@ def windows(
     end) in code points of ``formatted``, of each new assistant text. Turns are ordered by turn,
     then role and text (nulls first), so ties and repeated rows have a fixed order and all are
     kept. Null texts and roles count as empty. A system turn is one whose role is ``system``; the
-    first is repeated. Rows without a conversation id make one conversation. No rows: no windows.
+    first is repeated. Rows without a conversation id make one conversation. No rows: no windows. ``tokens``
+    gives the number of tokens, 1 or more, of a turn's text.
     """
     rows = conversations.select(
         F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"),
         F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    rows = rows.withColumn("n_tokens", F.size(F.split(F.trim("text"), r"\s+")).cast("long") + 4)
+    rows = rows.withColumn("n_tokens", tokens(F.col("text")).cast("long"))
     order = ["turn", "role", "text"]
     # positions in two levels too: rows before in the block of turn numbers, and in earlier ones
     shelf = F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 60)))
@@ -125,7 +135,8 @@ def windows(
     placed = rows.withColumn("rank", F.row_number().over(Window.partitionBy("conv", "shelf").orderBy(*order)) - 1)
     placed = placed.join(sizes, placed["conv"].eqNullSafe(sizes["c"]) & (placed["shelf"] == sizes["s"]))
     placed = placed.withColumn("pos", F.col("base") + F.col("rank")).select(F.coalesce("conv", F.lit(-(1 << 63))).alias("conv"), "pos", "role", "text", "n_tokens")
-    turns = spans(placed, budget)
+    # read five times from here on, so worked out once
+    turns = materialise(spans(placed, budget), "turns")
 
     begins = turns.groupBy("conv", "span").agg(F.min("pos").alias("first_pos"), F.min("before").alias("start"))
     system = turns.where("role = 'system'").groupBy("conv").agg(F.min_by(F.struct("pos", "role", "text"), "pos").alias("sys"))
@@ -152,30 +163,47 @@ def windows(
     return out.select(conv, F.col("span").alias("window"), "first_pos", "repeats", "m.formatted", "m.mask")
 
 
-_READ = "conv long, first_pos long, n_turns long, turns binary, loss string, size long"
+_DIGEST = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
 def read_back(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
-    """Digests by conversation of what the windows hold, parsed from the formatted strings."""
+    """(conv_col, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars): one row per
+    conversation, of what is parsed from the strings of its ``windows``.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for conv, first, repeats, text, mask in zip(frame["conv"], frame["first_pos"], frame["repeats"], frame["formatted"], frame["mask"]):
+    Windows are taken in order, one at a time, so a task holds no conversation as a whole.
+    Windows without a conversation id are one conversation. No windows: an empty table.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, done = None, []
+
+        def out() -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            rows = [(conv, n, turns.hexdigest(), chars, loss.hexdigest(), size) for conv, n, turns, chars, loss, size in done]
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], [conv_col, *(p.split()[0] for p in _DIGEST.split(", "))])
+
+        for batch in batches:
+            for conv, repeats, text, mask in zip(*(c.to_pylist() for c in batch.columns)):
+                if now is None or now[0] != conv:
+                    if now is not None:
+                        done.append(now)
+                    now = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 new = parse_turns(text)[repeats:]
-                turns = "".join(f"{role}\n{body}\n" for role, body in new)
-                rows.append((conv, first, len(new), turns.encode(), "".join(unescape(text[a:b]) for a, b in mask), len(text)))
-            yield pd.DataFrame(rows, columns=[p.split()[0] for p in _READ.split(", ")]).astype({"conv": "Int64"})
-
-    parts = formatted.select(F.col(conv_col).alias("conv"), "first_pos", "repeats", "formatted", "mask").mapInPandas(run, _READ)
-    whole = parts.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("first_pos", "turns", "loss"))).alias("w"), F.sum("n_turns").alias("n_turns"), F.sum("size").alias("formatted_chars"))
-    # of a hex digest over pieces there is no aggregate: the pieces are joined by conversation
-    turns = F.aggregate("w", F.lit("").cast("binary"), lambda a, x: F.concat(a, x["turns"]))
-    loss = F.array_join(F.transform("w", lambda x: x["loss"]), "")
-    return whole.select(
-        F.col("conv").alias(conv_col), "n_turns", F.sha2(turns, 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"), "formatted_chars",
-    )
+                now[1] += len(new)
+                now[2].update("".join(f"{role}\n{body}\n" for role, body in new).encode())
+                loss = "".join(unescape(text[a:b]) for a, b in mask)
+                now[3] += len(loss)
+                now[4].update(loss.encode())
+                now[5] += len(text)
+            if len(done) > 5_000:
+                yield out()
+        if now is not None:
+            done.append(now)
+        yield out()
+
+    ordered = formatted.repartition(conv_col).sortWithinPartitions(conv_col, "first_pos")
+    return ordered.select(conv_col, "repeats", "formatted", "mask").mapInArrow(thrifty(run), f"`{conv_col}` long, {_DIGEST}")
 
 
 def with_probe(conversations: DataFrame) -> DataFrame:

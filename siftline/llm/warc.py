@@ -4,8 +4,8 @@ A page is an HTTP response in chunked transfer framing. Blocks over ``segment``
 into a first record and continuation records, which name the first as their origin. Pages with
 equal payloads share one response, which the others revisit.
 
-Reading takes each file in one task, record by record; files hold at most RECORDS records of
-at most ``segment`` bytes. Records that are whole are decoded at once. Segments, from whatever
+Reading takes each file in one task, once, record by record; files hold at most RECORDS records
+of at most ``segment`` bytes. Records that are whole are decoded at once. Segments, from whatever
 files, are grouped by origin identifier, put in order of their numbers, verified against the
 total length in the last one, joined and decoded.
 """
@@ -17,13 +17,14 @@ import gzip
 import hashlib
 import io
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, new_path
+from .common import materialise, new_path, thrifty
 
 #: Bytes of a block from which records are segmented; bytes of a chunk; records in a file.
 SEGMENT, CHUNK, RECORDS = 64_000, 8_192, 4_000
@@ -47,7 +48,7 @@ def chunked(payload: bytes, size: int = CHUNK) -> bytes:
 
 
 def unchunked(body: bytes) -> bytes:
-    """The payload of chunked framing; chunk extensions and trailers are passed over."""
+    """The payload of chunked framing; chunk extensions and trailers are passed over. Raises ValueError if broken."""
     parts, at = [], 0
     while True:
         end = body.index(b"\r\n", at)
@@ -60,10 +61,13 @@ def unchunked(body: bytes) -> bytes:
         at = end + 4 + size
 
 
-def payload_of(block: bytes) -> bytes:
-    """The payload of an HTTP response block."""
+def payload_of(block: bytes) -> bytes | None:
+    """The payload of an HTTP response block; None if its chunked framing is broken."""
     head, _, body = block.partition(b"\r\n\r\n")
-    return unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
+    try:
+        return unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
+    except ValueError:
+        return None
 
 
 def _record(kind: str, name: str, block: bytes, **more: str | None) -> bytes:
@@ -114,6 +118,8 @@ def write_archives(
     each = pages.select(
         F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("payload"),
     ).withColumn("row", F.monotonically_increasing_id()).withColumn("same", F.sha1("payload"))
+    # numbered once: a task that is done again must not give its rows other numbers
+    each = materialise(each, "pages")
     big = each.where(F.octet_length("payload") >= least).select("same", F.struct(F.coalesce("id", F.lit(-(1 << 63))).alias("o"), "id", "row").alias("who"))
     shared = big.groupBy("same").agg(F.count("*").alias("n"), F.max("who").alias("who")).where("n > 1")
     # written first, so that its size decides how it is joined: where it is small no page moves
@@ -152,12 +158,12 @@ def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, block
 
 
-_READ = "record_id string, page_id long, url string, record_type string, refers_to long, refers_id string, segment int, total long, stated_digest string, payload binary, payload_digest string"
+_READ = "record_id string, page_id long, url string, record_type string, refers_to long, refers_id string, segment int, total long, stated_digest string, payload binary, payload_bytes long, payload_digest string"
 
 
-def _read_files(segments: bool):
+def _read_files(payloads: bool):
     names = [part.split()[0] for part in _READ.split(", ")]
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.string()]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string()]
     number = lambda x: None if x is None else int(x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,64 +173,74 @@ def _read_files(segments: bool):
         for batch in batches:
             for content in batch.column(0):
                 rows, held = [], 0
-                for f, block in parse(content.as_py()):
-                    kind, part = f["warc-type"], number(f.get("warc-segment-number"))
-                    if kind not in ("response", "revisit", "continuation") or (part is not None) != segments:
-                        continue
-                    payload = None if kind == "revisit" else block if segments else payload_of(block)
-                    rows.append((
-                        f.get("warc-segment-origin-id", f["warc-record-id"]), number(f.get("x-page-id")), f.get("warc-target-uri"), kind,
-                        number(f.get("x-refers-to-page-id")), f.get("warc-refers-to"), part, number(f.get("warc-segment-total-length")),
-                        f.get("warc-payload-digest", "").removeprefix("sha1:") or None, payload,
-                        None if segments or payload is None else base32_sha1(payload),
-                    ))
-                    held += len(payload or b"")
-                    if held > 1 << 22:
-                        yield batch_of(rows)
-                        rows, held = [], 0
+                try:
+                    for f, block in parse(content.as_py()):
+                        kind, part = f["warc-type"], number(f.get("warc-segment-number"))
+                        if kind not in ("response", "revisit", "continuation"):
+                            continue
+                        payload = None if kind == "revisit" else payload_of(block) if part is None else block
+                        whole = payload is not None and part is None
+                        rows.append((
+                            f.get("warc-segment-origin-id", f["warc-record-id"]), number(f.get("x-page-id")), f.get("warc-target-uri"), kind,
+                            number(f.get("x-refers-to-page-id")), f.get("warc-refers-to"), part, number(f.get("warc-segment-total-length")),
+                            f.get("warc-payload-digest", "").removeprefix("sha1:") or None, payload if payloads or part is not None else None,
+                            len(payload) if whole else None, base32_sha1(payload) if whole else None,
+                        ))
+                        held += len(payload or b"")
+                        if held > 1 << 22:
+                            yield batch_of(rows)
+                            rows, held = [], 0
+                except (ValueError, KeyError, EOFError, OSError, zlib.error):
+                    rows.append((None, None, None, "damaged", *[None] * 8))
                 if rows:
                     yield batch_of(rows)
 
     return run
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Payloads from segments in order; null where one is missing or the length is wrong."""
-    for batch in batches:
-        for at in range(0, len(batch), 16):
-            part = batch.slice(at, 16)
-            payloads = []
-            for pieces, total in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                by = {p["segment"]: p["payload"] for p in pieces}
-                block = b"".join(by[k] for k in sorted(by))
-                payloads.append(payload_of(block) if sorted(by) == list(range(1, len(by) + 1)) and len(block) == total else None)
-            digests = [None if p is None else base32_sha1(p) for p in payloads]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(payloads, pa.binary()), pa.array(digests, pa.string())], ["record_id", "payload", "payload_digest"])
+def _joined(payloads: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Payloads from segments in order; null where one is missing or the length is wrong."""
+        for batch in batches:
+            for at in range(0, len(batch), 16):
+                part, found = batch.slice(at, 16), []
+                for pieces, total in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                    by = {p["segment"]: p["payload"] for p in pieces}
+                    block = b"".join(by[k] for k in sorted(by))
+                    found.append(payload_of(block) if sorted(by) == list(range(1, len(by) + 1)) and len(block) == total else None)
+                sizes = pa.array([None if p is None else len(p) for p in found], pa.int64())
+                digests = pa.array([None if p is None else base32_sha1(p) for p in found], pa.string())
+                kept = pa.array(found if payloads else [None] * len(found), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), kept, sizes, digests], ["record_id", "payload", "payload_bytes", "payload_digest"])
+
+    return run
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """One row per response or revisit record of the WARC files in the folder ``path``.
 
     record_id, page_id, url, record_type, refers_to (page), refers_id (record), stated_digest,
-    payload, payload_digest (of the payload as read). A revisit has neither payload nor digest
-    of its own. A segmented record that lacks a segment, or whose length isn't the total that
-    it states, has a null payload. An empty folder gives an empty table.
+    payload (null unless ``payloads``), payload_bytes, payload_digest (of the payload as read).
+    A revisit has neither payload nor digest of its own. A segmented record that lacks a
+    segment, or whose length isn't the total that it states, has a null payload; so has one
+    whose chunked framing is broken. A file that is cut short, or in which no record starts
+    where one should, gives the records before that place and a row of the type ``damaged``
+    that is null otherwise. An empty folder gives an empty table.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
-    whole = files.mapInArrow(_read_files(False), _READ)
-    parts = files.mapInArrow(_read_files(True), _READ)
+    records = materialise(files.mapInArrow(thrifty(_read_files(payloads)), _READ), "records")
+    whole, parts = records.where("segment IS NULL"), records.where("segment IS NOT NULL")
     sets = parts.groupBy("record_id").agg(F.collect_list(F.struct("segment", "payload")).alias("pieces"), F.max("total").alias("total"))
-    again = sets.mapInArrow(_joined, "record_id string, payload binary, payload_digest string")
-    heads = parts.where("record_type != 'continuation'").drop("payload", "payload_digest").join(again, "record_id", "left")
-    names = ["record_id", "page_id", "url", "record_type", "refers_to", "refers_id", "stated_digest", "payload", "payload_digest"]
+    again = sets.mapInArrow(thrifty(_joined(payloads)), "record_id string, payload binary, payload_bytes long, payload_digest string")
+    heads = parts.where("record_type != 'continuation'").drop("payload", "payload_bytes", "payload_digest").join(again, "record_id", "left")
+    names = ["record_id", "page_id", "url", "record_type", "refers_to", "refers_id", "stated_digest", "payload", "payload_bytes", "payload_digest"]
     return whole.select(*names).union(heads.select(*names))
 
 
 def digest(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of an archive's pages."""
-    size = F.octet_length("payload").cast("long").alias("payload_bytes")
-    flat = read_archives(spark, path).select("record_id", "page_id", "record_type", "refers_to", "refers_id", size, "payload_digest")
-    flat = materialise(flat, "records")
+    flat = read_archives(spark, path, payloads=False).select("record_id", "page_id", "record_type", "refers_to", "refers_id", "payload_bytes", "payload_digest")
+    flat = materialise(flat, "pages-read")
     named = flat.where("record_type = 'response'").select(F.col("record_id").alias("rid"), F.col("payload_bytes").alias("rb"), F.col("payload_digest").alias("rd"))
     seen = flat.where("record_type = 'revisit'")
     seen = seen.join(named, F.col("refers_id") == F.col("rid"), "left").select("page_id", F.col("rb").alias("payload_bytes"), F.col("rd").alias("payload_digest"), "record_type", "refers_to")

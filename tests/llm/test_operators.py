@@ -8,6 +8,7 @@ import itertools
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftline.llm import bpe, chat, embedding, mixing, neardup, quality, queries, simhash, suffix, toxicity, urlrules, warc
+from siftline.llm.oracles import ORACLES
 from tests.conftest import TESTDATA
 
 SPACE = " \t\n\v\f\r"
@@ -497,3 +499,32 @@ def test_vectors_of_any_length_link(spark):
     rows += [(10, "a", [float("inf"), 1.0, 1.0]), (11, "a", [0.0, 0.0, 0.0]), (12, "a", [float("nan"), 1.0, 1.0]), (13, "a", [None, 1.0, 1.0])]
     got = {r.vec_id: (r.n_links, r.component_id) for r in embedding.embedding_groups(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()}
     assert got == {**{k: (4, 0) for k in range(5)}, 5: (0, 5), **{k: (0, k) for k in (10, 11, 12, 13)}}
+
+
+def test_damaged_archives_are_told(spark, tmp_path):
+    records = [b"".join((r, b"\r\n\r\n")) for k in range(3) for r in warc.records_of(k, k, "u", b"payload %d" % k, None, 1000)]
+    (tmp_path / "good.warc").write_bytes(b"".join(records))
+    (tmp_path / "cut.warc").write_bytes(records[0] + records[1][:-30])
+    (tmp_path / "noise.warc").write_bytes(b"no record\r\n")
+    (tmp_path / "cut.warc.gz").write_bytes(__import__("gzip").compress(b"".join(records))[:-40])
+    (tmp_path / "framing.warc").write_bytes(records[2].replace(b"\r\n9\r\n", b"\r\nz\r\n"))
+    got = warc.read_archives(spark, str(tmp_path)).collect()
+    kinds = Counter(r.record_type for r in got)
+    assert kinds["damaged"] == 3 and all(r.record_id is None for r in got if r.record_type == "damaged")
+    assert sorted(r.page_id for r in got if r.payload) >= [0, 0, 1, 2] and [r.page_id for r in got if r.record_type == "response" and r.payload is None] == [2]
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_against_their_sql(spark, name):
+    small = f"{TESTDATA}/sf0.01"
+    got = queries.QUERIES[name](spark, small)
+    columns = sorted(got.columns)
+    with duckdb.connect() as db:
+        for t in ("documents", "embeddings", "pages", "conversations"):
+            db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+        frame = db.execute(ORACLES[name])
+        names = [c[0] for c in frame.description]
+        assert sorted(names) == columns
+        order = [names.index(c) for c in columns]
+        want = Counter(tuple(r[k] for k in order) for r in frame.fetchall())
+    assert Counter(map(tuple, got.select(*columns).collect())) == want
