@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -104,6 +105,15 @@ def text_keys(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, which deletes the shuffle files of finished jobs.
+
+    They stay on the executors' disks until then, and a driver that is idle collects nothing.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

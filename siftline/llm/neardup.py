@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, mixed, release, small, text_keys, thrifty
+from .common import materialise, mixed, release, small, sweep, text_keys, thrifty
 from .components import components
 from .simhash import near_links
 
@@ -116,8 +116,8 @@ def prefixes(sets: DataFrame, similarity: float, often: tuple[np.ndarray, np.nda
     return sets.select("tx", "shingles").mapInArrow(thrifty(run), "tx long, n long, tokens array<long>, bits array<long>")
 
 
-def apart(starts: DataFrame, roots: DataFrame, similarity: float, every: bool) -> DataFrame:
-    """(u, v), u > v: texts of different ``roots`` that share a token of their ``prefixes``.
+def apart(starts: DataFrame, roots: DataFrame, similarity: float, every: bool, tried: DataFrame) -> DataFrame:
+    """(u, v), u > v, without those ``tried``: texts of different ``roots`` that share a token of their ``prefixes``.
 
     With ``every``, all such pairs that sizes and places allow; else only neighbours within a
     token, whose number is that of the tokens at most. A token's largest group is paired with
@@ -138,7 +138,10 @@ def apart(starts: DataFrame, roots: DataFrame, similarity: float, every: bool) -
         # at the first token that two sets share, no more can be common than what follows in both
         room = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= similarity / (1 + similarity) * (F.col("n") + F.col("n2")) - 1e-9
         found = few.join(other, "token").where("root != root2 AND (root2 = largest OR tx > tx2)").where(room)
-    return found.where(fair).select(F.greatest("tx", "tx2").alias("u"), F.least("tx", "tx2").alias("v")).distinct()
+    found = found.where(fair).select(F.greatest("tx", "tx2").alias("u"), F.least("tx", "tx2").alias("v")).distinct()
+    out = materialise(found.join(tried, ["u", "v"], "left_anti"), "pairs")
+    release(open_)
+    return out
 
 
 def alike(sets: DataFrame, starts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
@@ -150,13 +153,14 @@ def alike(sets: DataFrame, starts: DataFrame, pairs: DataFrame, similarity: floa
     fair = (F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-9) & (differ <= (F.col("nu") + F.col("nv")) * ((1 - similarity) / (1 + similarity)) + 1e-9)
     fair = materialise(pairs.join(u, "u").join(v, "v").where(fair).select("u", "v"), "fair")
     ends = fair.select(F.col("u").alias("tx")).union(fair.select(F.col("v").alias("tx"))).distinct()
-    own = materialise(sets.join(small(ends), "tx", "left_semi"), "ends")
+    own = sets.join(small(ends), "tx", "left_semi")
     held = fair.join(own.select(F.col("tx").alias("u"), F.col("shingles").alias("a")), "u").join(own.select(F.col("tx").alias("v"), F.col("shingles").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
     whole = (common >= similarity * (F.size("a") + F.size("b") - common)) | ((F.size("a") == 0) & (F.size("b") == 0))
     out = materialise(held.where(whole).select("u", "v"), "alike")
-    release(own)
     release(fair)
+    del held, own
+    sweep(pairs.sparkSession)
     return out
 
 
@@ -190,9 +194,11 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     same = texts.join(nodes, "fp").where("tx != rep").select(F.col("tx").alias("u"), F.col("rep").alias("v"))
     pairs = near_links(nodes, CANDIDATE_BITS).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     tried = materialise(same.union(pairs), "pairs")
+    del pairs, same
+    sweep(docs.sparkSession)
     roots = _united(texts.select("tx", F.col("tx").alias("root")), alike(sets, starts, tried, similarity))
     for every in (False, True):
-        pairs = materialise(apart(starts, roots, similarity, every).join(tried, ["u", "v"], "left_anti"), "pairs")
+        pairs = apart(starts, roots, similarity, every, tried)
         roots, tried = _united(roots, alike(sets, starts, pairs, similarity)), tried.union(pairs)
     named = texts.join(roots, "tx")
     # an id can have several texts, so the text that names the group is kept beside its id
