@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, mixed, release, small, sweep, text_keys, thrifty
+from .common import SMALL, materialise, mixed, release, small, sweep, text_keys, thrifty
 from .components import components
 from .simhash import near_links
 
@@ -116,14 +116,25 @@ def prefixes(sets: DataFrame, similarity: float, often: tuple[np.ndarray, np.nda
     return sets.select("tx", "shingles").mapInArrow(thrifty(run), "tx long, n long, tokens array<long>, bits array<long>")
 
 
-def apart(starts: DataFrame, roots: DataFrame, similarity: float, every: bool, tried: DataFrame) -> DataFrame:
-    """(u, v), u > v, without those ``tried``: texts of different ``roots`` that share a token of their ``prefixes``.
+def shared_tokens(starts: DataFrame) -> DataFrame:
+    """(tx, n, pos, token): the tokens that two texts have, most others being of one text alone."""
+    each = starts.select("tx", "n", F.posexplode("tokens").alias("pos", "token"))
+    # counts are combined before they are shuffled, so a token of a third of all texts is no hot task
+    held = each.groupBy("token").agg(F.count("*").alias("texts")).where("texts > 1").select("token")
+    held = materialise(held, "shared")
+    out = materialise(each.join(small(held, 2 * SMALL), "token", "left_semi").select("tx", "n", "pos", "token"), "tokens")
+    release(held)
+    return out
+
+
+def apart(tokens: DataFrame, roots: DataFrame, similarity: float, every: bool, tried: DataFrame) -> DataFrame:
+    """(u, v), u > v, without those ``tried``: texts of different ``roots`` that share one of the ``tokens``.
 
     With ``every``, all such pairs that sizes and places allow; else only neighbours within a
     token, whose number is that of the tokens at most. A token's largest group is paired with
     the others only, so what is united already costs no pairs.
     """
-    each = starts.join(small(roots), "tx").select("tx", "root", "n", F.posexplode("tokens").alias("pos", "token"))
+    each = tokens.join(small(roots), "tx").select("tx", "root", "n", "pos", "token")
     # a token of one group has no pairs; counts of groups are combined before they are shuffled
     held = each.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("token")
     open_ = materialise(each.join(small(held), "token"), "open")
@@ -177,7 +188,8 @@ def _united(roots: DataFrame, links: DataFrame) -> DataFrame:
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(k1, k2, id, n1, n2): each different text's key, the smallest id of its group, that id's text's key.
 
-    Null texts count as empty; texts without words are alike. Ids that are null name a group
+    Shingles are 64-bit hashes where candidates are sought and 32-bit ones where two sets are
+    compared. Null texts count as empty; texts without words are alike. Ids that are null name a group
     only where no other does. An empty table gives an empty one.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -189,7 +201,9 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     often = frequent_shingles(held, texts.count())
     firsts = prefixes(held, similarity, often)
     starts = materialise(firsts.join(small(texts.select("tx")), "tx", "left_semi"), "starts")
-    sets = held.select("tx", "shingles")
+    tokens = shared_tokens(starts)
+    # half of each hash does for counting what two sets have in common, and halves what is shuffled
+    sets = held.select("tx", F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int")).alias("shingles"))
     nodes = materialise(texts.groupBy("fp").agg(F.min("tx").alias("rep")), "nodes")
     same = texts.join(nodes, "fp").where("tx != rep").select(F.col("tx").alias("u"), F.col("rep").alias("v"))
     pairs = near_links(nodes, CANDIDATE_BITS).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -198,15 +212,17 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     sweep(docs.sparkSession)
     roots = _united(texts.select("tx", F.col("tx").alias("root")), alike(sets, starts, tried, similarity))
     for every in (False, True):
-        pairs = apart(starts, roots, similarity, every, tried)
-        roots, tried = _united(roots, alike(sets, starts, pairs, similarity)), tried.union(pairs)
+        pairs = apart(tokens, roots, similarity, every, tried)
+        roots = _united(roots, alike(sets, starts, pairs, similarity))
+        tried = materialise(tried.union(pairs), "tried")
     named = texts.join(roots, "tx")
     # an id can have several texts, so the text that names the group is kept beside its id
     least = named.groupBy("root").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "k1", "k2"))).alias("least"))
     out = named.join(least, "root").select("k1", "k2", "least.id", F.col("least.k1").alias("n1"), F.col("least.k2").alias("n2"))
     out = materialise(out, "groups")
-    release(held)
-    release(starts)
+    for done in (held, starts, tokens, nodes, tried):
+        release(done)
+    sweep(docs.sparkSession)
     return out
 
 

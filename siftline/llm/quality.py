@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL, materialise, text_keys, thrifty
+from .common import SMALL, materialise, release, text_keys, thrifty
 
 #: A line is boilerplate in more than this many different texts of its host, and more than
 #: this share of them; a document with fewer words left than FEWEST is depleted.
@@ -129,13 +129,15 @@ def verdicts(
     hit = words.join(common, ["host", "line"]).where(~F.col("id").eqNullSafe(F.col("first")))
     lost = hit.groupBy("row").agg(F.sum("words").alias("lost"), F.collect_list("line").alias("gone"))
     left = F.col("n_words") - F.coalesce("lost", F.lit(0))
-    return (
+    out = (
         measured.drop("lines", "sizes", "content", "host")
         .join(lost, "row", "left")
         .withColumn("base_failed", base)
         .withColumn("kept", ~base & (left >= fewest))
         .drop("row", "lost")
     )
+    out._siftline_path = measured._siftline_path  # what ``release`` deletes once the verdicts have been used
+    return out
 
 
 def digest(judged: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -162,6 +164,7 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     judged = verdicts(docs, id_col, text_col, host_col, **limits)
     marks = judged.where("NOT kept OR gone IS NOT NULL").groupBy("id", "k1", "k2").agg(F.bool_or("kept").alias("kept"), F.any_value("gone", True).alias("gone"))
     marks = materialise(marks, "marks")
+    release(judged)
     size = marks.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("lines")).first()
     if size.n <= SMALL and size.lines <= SMALL:
         marks = F.broadcast(marks)
