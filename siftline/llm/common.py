@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -110,8 +111,10 @@ def sweep(spark: SparkSession) -> None:
 
     They stay on the executors' disks until then, and a driver that is idle collects nothing.
     """
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what Python has let go reaches the driver's JVM a little later
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

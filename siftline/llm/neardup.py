@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SMALL, materialise, mixed, release, small, sweep, text_keys, thrifty
+from .common import materialise, mixed, release, small, sweep, text_keys, thrifty
 from .components import components
 from .simhash import near_links
 
@@ -118,12 +118,11 @@ def prefixes(sets: DataFrame, similarity: float, often: tuple[np.ndarray, np.nda
 
 def shared_tokens(starts: DataFrame) -> DataFrame:
     """(tx, n, pos, token): the tokens that two texts have, most others being of one text alone."""
-    each = starts.select("tx", "n", F.posexplode("tokens").alias("pos", "token"))
-    # counts are combined before they are shuffled, so a token of a third of all texts is no hot task
+    # one shuffle serves the counts and the join; a token of very many texts is rows of four numbers
+    each = starts.select("tx", "n", F.posexplode("tokens").alias("pos", "token")).repartition("token")
     held = each.groupBy("token").agg(F.count("*").alias("texts")).where("texts > 1").select("token")
-    held = materialise(held, "shared")
-    out = materialise(each.join(small(held, 2 * SMALL), "token", "left_semi").select("tx", "n", "pos", "token"), "tokens")
-    release(held)
+    out = materialise(each.join(held, "token", "left_semi").select("tx", "n", "pos", "token"), "tokens")
+    sweep(starts.sparkSession)
     return out
 
 
