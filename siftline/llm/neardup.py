@@ -162,14 +162,15 @@ def alike(sets: DataFrame, starts: DataFrame, pairs: DataFrame, similarity: floa
     differ = sum((F.bit_count(F.col("bu")[k].bitwiseXOR(F.col("bv")[k])) for k in range(4)), F.lit(0))
     fair = (F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-9) & (differ <= (F.col("nu") + F.col("nv")) * ((1 - similarity) / (1 + similarity)) + 1e-9)
     fair = materialise(pairs.join(u, "u").join(v, "v").where(fair).select("u", "v"), "fair")
-    ends = fair.select(F.col("u").alias("tx")).union(fair.select(F.col("v").alias("tx"))).distinct()
-    own = sets.join(small(ends), "tx", "left_semi")
-    held = fair.join(own.select(F.col("tx").alias("u"), F.col("shingles").alias("a")), "u").join(own.select(F.col("tx").alias("v"), F.col("shingles").alias("b")), "v")
+    # u's set goes to v, once a pair; v's goes once, whatever the number of its pairs
+    a = sets.select(F.col("tx").alias("u"), F.col("shingles").alias("a")).join(small(fair), "u")
+    b = sets.select(F.col("tx").alias("v"), F.col("shingles").alias("b")).join(small(fair.select("v").distinct()), "v", "left_semi")
+    held = a.join(b, "v")
     common = F.size(F.array_intersect("a", "b"))
     whole = (common >= similarity * (F.size("a") + F.size("b") - common)) | ((F.size("a") == 0) & (F.size("b") == 0))
     out = materialise(held.where(whole).select("u", "v"), "alike")
     release(fair)
-    del held, own
+    del held, a, b
     sweep(pairs.sparkSession)
     return out
 
@@ -184,6 +185,23 @@ def _united(roots: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(merged, "roots")
 
 
+def verified(sets: DataFrame, starts: DataFrame, pairs: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """``roots`` with those made one that a pair (u, v), u > v, of texts alike joins.
+
+    Each text is compared with the least of its partners first, which unites most of what belongs
+    together while every set is sent once; then all pairs that are still apart are compared.
+    """
+    least = materialise(pairs.groupBy("u").agg(F.min("v").alias("v")), "least")
+    roots = _united(roots, alike(sets, starts, least, similarity))
+    u, v = (roots.select(F.col("tx").alias(c), F.col("root").alias("r" + c)) for c in "uv")
+    rest = pairs.join(least, ["u", "v"], "left_anti").join(u, "u").join(v, "v").where("ru != rv").select("u", "v")
+    rest = materialise(rest, "rest")
+    roots = roots if rest.isEmpty() else _united(roots, alike(sets, starts, rest, similarity))
+    for done in (least, rest):
+        release(done)
+    return roots
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(k1, k2, id, n1, n2): each different text's key, the smallest id of its group, that id's text's key.
 
@@ -209,10 +227,10 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     tried = materialise(same.union(pairs), "pairs")
     del pairs, same
     sweep(docs.sparkSession)
-    roots = _united(texts.select("tx", F.col("tx").alias("root")), alike(sets, starts, tried, similarity))
+    roots = verified(sets, starts, tried, texts.select("tx", F.col("tx").alias("root")), similarity)
     for every in (False, True):
         pairs = apart(tokens, roots, similarity, every, tried)
-        roots = _united(roots, alike(sets, starts, pairs, similarity))
+        roots = verified(sets, starts, pairs, roots, similarity)
         tried = materialise(tried.union(pairs), "tried")
     named = texts.join(roots, "tx")
     # an id can have several texts, so the text that names the group is kept beside its id
