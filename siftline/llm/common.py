@@ -19,9 +19,11 @@ LOCAL_SHARED = "/tmp/checkpoints"
 #: Rows of a table of a few numbers that is broadcast at most (24 MB of three).
 SMALL = 500_000
 
-#: Bytes that a Python worker is sent at once.
-BATCH = 4 << 20
-_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes that a Python worker is sent at once, and rows that are read from Parquet at once: rows may be long.
+BATCH, ROWS = 4 << 20, 512
+_SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH), "spark.sql.parquet.columnarReaderBatchSize": str(ROWS)}
+#: Bytes of a Parquet row group, which a task holds in memory while it writes.
+ROW_GROUP = 16 << 20
 
 #: A word: a run of characters other than the space and the ASCII controls 09 to 0D.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -45,15 +47,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
     A lost executor then costs the tasks that were running, not the plan so far. While it is
-    written, Python workers are sent BATCH bytes at a time, so long texts don't add up.
+    written, Python workers are sent BATCH bytes and Parquet is read ROWS rows at a time, so long
+    texts don't add up.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    before = spark.conf.get(_BATCH_SETTING, None)
-    spark.conf.set(_BATCH_SETTING, str(BATCH))
+    before = {name: spark.conf.get(name, None) for name in _SETTINGS}
+    for name, value in _SETTINGS.items():
+        spark.conf.set(name, value)
     try:
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     finally:
-        spark.conf.set(_BATCH_SETTING, before) if before else spark.conf.unset(_BATCH_SETTING)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value else spark.conf.unset(name)
     out = spark.read.schema(df.schema).parquet(path)
     out._siftline_path = path
     return out
