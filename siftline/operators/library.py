@@ -96,3 +96,9 @@ def reassign_votes(votes: DataFrame, user_id: int) -> DataFrame:
     anonymous = votes.where(F.col("user_id").isNull())
     moved = theirs.join(anonymous.select("finding_id"), "finding_id", "left_anti").withColumn("user_id", F.lit(None).cast("long"))
     return votes.where(~F.col("user_id").eqNullSafe(user_id)).unionByName(moved)
+
+
+def feedback(votes: DataFrame, users: DataFrame) -> DataFrame:
+    """Votes with their user's ``name``, empty if anonymous or unknown, newest first."""
+    named = votes.join(users.select(F.col("id").alias("user_id"), "name"), "user_id", "left")
+    return named.withColumn("name", F.coalesce("name", F.lit(""))).orderBy(F.desc("created_at"), "finding_id", "user_id")

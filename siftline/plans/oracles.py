@@ -127,3 +127,41 @@ ORACLES: dict[str, str] = {
     "movers": f"""{_E}, w AS (SELECT host, count(*) FILTER (log_date < DATE '2024-01-08') / (SELECT count(DISTINCT log_date) FROM e WHERE log_date < DATE '2024-01-08') AS b, count(*) FILTER (log_date > DATE '2024-01-23') / (SELECT count(DISTINCT log_date) FROM e WHERE log_date > DATE '2024-01-23') AS a FROM e GROUP BY ALL)
  SELECT host, round(b, 6) AS before, round(a, 6) AS after FROM w WHERE greatest(a, b) >= 1 AND a != b ORDER BY CASE WHEN a = 0 OR b = 0 THEN 1e300 ELSE abs(ln(a / b)) END DESC, greatest(a, b) DESC, host LIMIT 5""",
 }
+
+_T = "(CASE WHEN {0} >= 10 THEN printf('%.0fx', {0}) ELSE printf('%.1fx', {0}) END)"
+_N = "format('{{:,}}', CAST({0} AS BIGINT))"
+_M = "format('{{:,}}', CAST(round_even({0}, 0) AS BIGINT))"
+_Q = r"regexp_replace({0}, '([\\.+*?()|\[\]{{}}^$])', '\\\1', 'g')"
+_MUTE = f"""{_F}, m AS (SELECT finding_id, host, service AS program FROM f JOIN h ON id = finding_id WHERE {_P} AND severity != 'low')"""
+_RX = _Q.format("program") + r" || '(?:\[\d+\])?:? ' || replace(" + _Q.format("template") + r", '<n>', '\d+')"
+
+ORACLES |= {
+    "anomaly_facts": f"""{_PEER}, k AS (SELECT host, bool_or(contains(program, 'view')) AS w, bool_or(contains(program, 'syslog')) AS u FROM e GROUP BY ALL)
+ SELECT host, program, CASE WHEN length(host) = 6 THEN 'debian' WHEN w AND NOT u THEN 'windows' WHEN u AND NOT w THEN 'unix' ELSE 'unknown' END AS os, example, 'Louder than its peers' AS headline,
+ {_N.format("n")} || ' events vs a fleet median of ' || CASE WHEN med = floor(med) THEN CAST(CAST(med AS BIGINT) AS VARCHAR) ELSE printf('%.1f', med) END || ' across peer hosts.' AS summary,
+ CASE WHEN program = 'error' THEN 'errors of ' || host END AS explanation
+ FROM pa JOIN (SELECT host, program, arg_min(raw, line_no) AS example FROM l GROUP BY ALL) USING (host, program) JOIN k USING (host)""",
+    "baseline_texts": f"""{_BASE} SELECT host, program, CASE direction WHEN 'silent' THEN 'Gone silent' WHEN 'louder' THEN 'Louder than its own baseline' ELSE 'Quieter than its own baseline' END AS headline,
+ CASE WHEN direction = 'silent' THEN 'No events today - this host normally emits about ' || {_M.format("med")} || '/day of ' || program || ' (median over ' || days_seen || ' days). It has gone silent.'
+ ELSE {_N.format("today")} || ' events today, ' || CASE direction WHEN 'quieter' THEN 'down from' ELSE 'up from' END || ' an own ' || days_seen || '-day median of ' || {_M.format("med")} || '.' END AS summary FROM ba""",
+    "temporal_texts": f"""{_TEMP} SELECT host, program, 'Burst in the ' || bucket || ' window' AS headline, {_N.format("today")} || ' events in the ' || bucket || ' window today vs an own median of ' || {_M.format("med")}
+ || ' for that time of day (over ' || days_seen || ' days) - a burst beyond its usual rhythm.' AS summary FROM ta""",
+    "resolved_issues": """SELECT o_orderkey AS id, 'Order ' || o_orderkey AS title, CASE flag WHEN 'A' THEN 'worked' WHEN 'R' THEN 'didnt_work' END AS resolution FROM orders LEFT JOIN (SELECT l_orderkey, l_returnflag AS flag FROM lineitem WHERE l_returnflag IN ('A', 'R')
+ QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, l_returnflag DESC) = 1) ON o_orderkey = l_orderkey WHERE o_orderstatus != 'P'""",
+    "most_severe_issues": f"{_F} SELECT id, severity FROM f WHERE kind = 'issue' AND {_P} ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, id LIMIT 60",
+    "digest_titles": f"""{_G}, s AS (SELECT service, count(*) AS shared FROM g GROUP BY ALL), b AS (SELECT g.*, CASE WHEN shared > 1 AND hosts != '' THEN service || ' (' || split_part(hosts, ',', 1) || ')' ELSE service END AS base FROM g JOIN s USING (service)),
+ n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY n_days DESC, rank, service, hosts, latest_id) AS place FROM b) SELECT latest_id, CASE WHEN place > 1 THEN base || ' #' || place ELSE base END AS unique_title FROM n""",
+    "recurrence_sentences": f"""{_F}, d AS (SELECT DISTINCT service, severity, log_date FROM f WHERE {_P})
+ SELECT service, severity, 'Seen on ' || count(*) || ' of 7 run days: ' || string_agg(strftime(log_date, '%a %-d %b'), ', ' ORDER BY log_date) AS sentence FROM d GROUP BY ALL""",
+    "feedback_list": """SELECT l_orderkey AS finding_id, CAST(l_linenumber AS BIGINT) AS user_id, CASE l_linenumber WHEN 1 THEN 'ann' WHEN 2 THEN 'bo' WHEN 3 THEN 'cy' ELSE '' END AS name, CASE l_returnflag WHEN 'A' THEN 'worked' ELSE 'didnt_work' END AS verdict FROM lineitem
+ WHERE l_returnflag IN ('A', 'R') QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, l_returnflag DESC) = 1""",
+    "finding_mutes": f"{_MUTE} SELECT * FROM m",
+    "fresh_mutes": f"{_MUTE} SELECT *, '' AS match FROM m WHERE host != 'host1' OR program = 'svc3'",
+    "seed_rules": f"{_E} SELECT min(line_no) AS line, host, program AS match FROM e WHERE host NOT LIKE 'host1%' GROUP BY host, program",
+    "entries_overview": f"{_F} SELECT id, 'api' AS source FROM f WHERE kind = 'issue' AND log_date >= DATE '1998-02-24'",
+    "shape_regexes": f"{_E} SELECT DISTINCT program, template, {_RX} AS match, true AS fits FROM l",
+    "shape_reviews": f"{_E} SELECT DISTINCT program, template, CASE WHEN program < 'f' THEN 'muted' ELSE 'kept' END AS verdict FROM l",
+    "volume_bars": f"{_D} SELECT day, CASE WHEN volume > 0 THEN greatest(100 * volume // (SELECT max(volume) FROM days), 1) ELSE 0 END AS percent FROM days WHERE volume IS NOT NULL",
+    "mover_labels": f"""SELECT host, CASE WHEN "before" = 0 THEN 'new' WHEN "after" = 0 THEN 'stopped' WHEN "after" > "before" THEN 'up ' || {_T.format('("after" / "before")')} ELSE 'down ' || {_T.format('("before" / "after")')} END AS label FROM ({ORACLES["movers"]})""",
+    "score_labels": f"{_E} SELECT host, program, CASE WHEN round(n / 200) < 1 AND n > 0 THEN 'under 1%' ELSE CAST(CAST(round(n / 200) AS BIGINT) AS VARCHAR) || '%' END AS label FROM t",
+}

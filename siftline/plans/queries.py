@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import labels as B
 from ..functions import lines as L
-from ..operators import detect, digest, filtering, library, mgmt, shapes
+from ..operators import detect, digest, facts, filtering, library, mgmt, mutes, shapes
 from . import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -320,3 +321,122 @@ def median_per_host(spark, d):
 @query
 def movers(spark, d):
     return mgmt.movers(T.counts(spark, d), *MONTH, 30, floor=1).select("host", _r("before"), _r("after"))
+
+
+@query
+def anomaly_facts(spark, d):
+    lines = T.parsed(spark, d)
+    counts = detect.window_counts(lines, "log_date")
+    found = detect.peer_anomalies(detect.pair_totals(counts), min_count=10)
+    families = detect.host_programs(counts).select("host", L.os_family(F.col("programs"), ["view"], ["syslog"]).alias("os_family"))
+    inventory = T.inventory(spark, d)
+    explained = facts.explained(facts.with_facts(found, detect.first_examples(lines), families, inventory), T.explanations(spark, d))
+    summary = B.peer_summary(F.col("n"), F.col("median")).alias("summary")
+    return explained.select("host", "program", "os", "example", F.lit(B.PEER_HEADLINE).alias("headline"), summary, "explanation")
+
+
+@query
+def baseline_texts(spark, d):
+    found = detect.baseline_anomalies(detect.baseline_scores(T.counts(spark, d), TODAY), 1, 1, 2)
+    text = B.baseline_summary(F.col("program"), F.col("direction"), F.col("today"), F.col("median"), F.col("days_seen"))
+    return found.select("host", "program", B.baseline_headline(F.col("direction")).alias("headline"), text.alias("summary"))
+
+
+@query
+def temporal_texts(spark, d):
+    found = detect.temporal_anomalies(detect.temporal_scores(T.quarter_counts(spark, d), TODAY), 1, 2)
+    text = B.burst_summary(F.col("today"), F.col("bucket"), F.col("median"), F.col("days_seen"))
+    return found.select("host", "program", B.burst_headline(F.col("bucket")).alias("headline"), text.alias("summary"))
+
+
+@query
+def resolved_issues(spark, d):
+    issues = T.findings(spark, d).where("kind = 'issue'")
+    said = T.votes(spark, d).select(F.col("user_id").alias("pos"), F.concat(F.lit("Order "), F.col("finding_id").cast("string")).alias("title"), F.col("verdict").alias("resolution"))
+    return facts.resolved(issues, said).select("id", "title", "resolution")
+
+
+@query
+def most_severe_issues(spark, d):
+    return facts.most_severe(digest.within(T.findings(spark, d), *PERIOD).where("kind = 'issue'"), 60).select("id", "severity")
+
+
+@query
+def digest_titles(spark, d):
+    # services as titles, so that several groups share each
+    return facts.unique_titles(_groups(spark, d).withColumn("title", F.col("service"))).select("latest_id", "unique_title")
+
+
+@query
+def recurrence_sentences(spark, d):
+    held = digest.within(T.findings(spark, d), *PERIOD).groupBy("service", "severity").agg(F.collect_set("log_date").alias("days"))
+    return held.select("service", "severity", B.recurrence(F.col("days"), F.lit(7)).alias("sentence"))
+
+
+@query
+def feedback_list(spark, d):
+    users = spark.createDataFrame([(1, "ann"), (2, "bo"), (3, "cy")], "id long, name string")
+    return library.feedback(T.votes(spark, d), users).select("finding_id", "user_id", "name", "verdict")
+
+
+def _entries(spark, d):
+    """Entries that would mute each finding of the week; services of low findings are no names."""
+    service = F.when(F.col("severity") == "low", F.concat("service", F.lit(" x"))).otherwise(F.col("service"))
+    found = digest.within(T.findings(spark, d), *PERIOD).select("id", F.lit(None).cast("string").alias("program"), service.alias("service"))
+    return mutes.from_findings(found, T.hosts(spark, d))
+
+
+@query
+def finding_mutes(spark, d):
+    return _entries(spark, d)
+
+
+@query
+def fresh_mutes(spark, d):
+    entries = _entries(spark, d).withColumn("match", F.lit(""))
+    # those of host1 are there already, of svc3 until the day before
+    expires = F.when(F.col("program") == "svc3", F.lit(TODAY - datetime.timedelta(days=1)))
+    existing = entries.where("host = 'host1'").withColumn("expires", expires)
+    return mutes.fresh(entries, existing, TODAY)
+
+
+@query
+def seed_rules(spark, d):
+    lines = T.parsed(spark, d).where("host IS NOT NULL")
+    rules = lines.select(F.col("line_no").alias("line"), "host", F.col("program").alias("match"))
+    existing = rules.where("host LIKE 'host1%'").select("host", "match")
+    return mutes.seeds(rules, existing)
+
+
+@query
+def entries_overview(spark, d):
+    entries = T.findings(spark, d).select("id", F.when(F.col("kind") == "peer", "bundled").otherwise("api").alias("source"), F.col("log_date").cast("timestamp").alias("created_at"))
+    return mutes.overview(entries, mutes.since("2w", datetime.datetime(1998, 3, 10))).select("id", "source")
+
+
+@query
+def shape_regexes(spark, d):
+    return mutes.shape_matches(shapes.tally(L.templates(T.parsed(spark, d)))).select("program", "template", "match", "fits")
+
+
+@query
+def shape_reviews(spark, d):
+    tallied = shapes.tally(L.templates(T.parsed(spark, d)))
+    return mutes.reviewed(tallied, tallied.where("program < 'f'")).select("program", "template", "verdict")
+
+
+@query
+def volume_bars(spark, d):
+    days = mgmt_days(spark, d)
+    most = days.agg(F.max("volume").alias("most"))  # one row
+    return days.crossJoin(F.broadcast(most)).where("volume IS NOT NULL").select("day", B.bar(F.col("volume"), F.col("most")).alias("percent"))
+
+
+@query
+def mover_labels(spark, d):
+    return mgmt.movers(T.counts(spark, d), *MONTH, 30, floor=1).select("host", B.change(F.round("before", 6), F.round("after", 6)).alias("label"))
+
+
+@query
+def score_labels(spark, d):
+    return detect.pair_totals(T.counts(spark, d)).select("host", "program", B.percent(F.col("n") / 20000).alias("label"))

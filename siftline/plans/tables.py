@@ -70,3 +70,16 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run for each day with findings; every third has no recorded volume."""
     each = findings(spark, sf_dir).groupBy("run_id", "log_date").agg(F.count("*").alias("n"))
     return each.select("run_id", "log_date", F.when(F.col("run_id") % 3 != 0, F.col("n") * 100).alias("raw_lines"), F.when(F.col("run_id") % 3 != 0, F.col("n")).alias("filtered_lines"))
+
+
+def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(host, os): what operators say of hosts with a number above nine."""
+    host = F.concat(F.lit("host"), (F.col("user_id") % 20).cast("string"))
+    return table(spark, sf_dir, "events").select(host.alias("host")).distinct().where("length(host) = 6").withColumn("os", F.lit("debian"))
+
+
+def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(host, program, explanation) of programs named error."""
+    host = F.concat(F.lit("host"), (F.col("user_id") % 20).cast("string"))
+    pairs = table(spark, sf_dir, "events").where("event_type = 'error'").select(host.alias("host"), F.col("event_type").alias("program")).distinct()
+    return pairs.withColumn("explanation", F.concat(F.lit("errors of "), F.col("host")))
