@@ -6,6 +6,8 @@ functions, so it stays in generated code on the executors.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -168,3 +170,72 @@ def os_family(programs: Column, windows: list[str], unix: list[str]) -> Column:
     has = lambda hints: F.exists(programs, lambda p: F.lower(p).rlike("|".join(r"\Q" + h + r"\E" for h in hints)))
     a, b = has(windows), has(unix)
     return F.when(a & ~b, "windows").when(b & ~a, "unix").otherwise("unknown")
+
+
+#: POSIX class names, which Java has under other names.
+POSIX = {
+    "alnum": r"\p{Alnum}", "alpha": r"\p{Alpha}", "ascii": r"\p{ASCII}", "blank": r"\p{Blank}", "cntrl": r"\p{Cntrl}", "digit": r"\p{Digit}", "graph": r"\p{Graph}",
+    "lower": r"\p{Lower}", "print": r"\p{Print}", "punct": r"\p{Punct}", "space": r"\p{Space}", "upper": r"\p{Upper}", "word": r"\w", "xdigit": r"\p{XDigit}",
+}
+#: Escapes that Java reads otherwise: white space without the vertical tab, all else, the vertical tab alone.
+SPACES = {"s": r"\t\n\f\r ", "S": r"^\t\n\f\r ", "v": r"\x0B"}
+_TOKEN = re.compile(r"\\Q.*?(?:\\E|$)|\\[pP]\{\^?\w+\}|\\x\{[0-9A-Fa-f]+\}|\\.|\[\^?\]?|\(\?P<|\(\?<?[=!]|\(\?>|&&|.", re.S)
+
+
+def java_regex(pattern: str) -> str:
+    """A rule's pattern, written for linear-time engines, as one that Java reads alike.
+
+    Named groups and POSIX classes are respelt, ``\\s`` and ``\\v`` mean what they mean there, and
+    inside brackets ``[`` and ``&&`` stand for themselves. Back references and looking around,
+    which those engines don't have, raise ``ValueError``.
+    """
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        if inside and (named := re.match(r"\[:(\^?)(\w+):\]", pattern[at:])):
+            if named[2] not in POSIX:
+                raise ValueError(f"no such class: {named[0]}")
+            out.append(f"[^{POSIX[named[2]]}]" if named[1] else POSIX[named[2]])
+            at += len(named[0])
+            continue
+        token = _TOKEN.match(pattern, at)[0]
+        if inside and token[0] in "[(":  # neither opens anything there
+            token = token[0]
+        at += len(token)
+        if token.startswith("\\"):
+            name = token[1:]
+            if name in SPACES:
+                out.append(SPACES[name] if inside and name != "S" else f"[{SPACES[name]}]")
+            elif name[:1].isdigit() and name[:1] != "0" or name[:1] in "kGZRXhHNV":
+                raise ValueError(f"{token} is not supported in rules")
+            else:
+                out.append(token)
+        elif inside:
+            inside = token != "]"
+            out.append("\\" + token if token == "[" else "&\\&" if token == "&&" else token)
+        elif token[0] == "[":
+            inside = True
+            out.append(token[:-1] + "\\]" if token.endswith("]") else token)
+        elif token == "(?P<":
+            out.append("(?<")
+        elif re.match(r"\(\?<?[=!>]", token):
+            raise ValueError(f"{token} is not supported in rules")
+        else:
+            out.append(token)
+    return "".join(out)
+
+
+#: What stands for a secret, and what one looks like: a value after a telling name, credentials of a URL or a header, keys known by their form.
+MASK = "****"
+SECRETS = [
+    (r"(?i)((?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s*[=:]\s*)(?:\"[^\"]*\"|'[^']*'|[^\s,;&\"']+)", "$1"),
+    (r"(?i)\b((?:bearer|basic)\s+)[a-z0-9+/=._~-]{8,}", "$1"),
+    (r"(?i)(\b[a-z][a-z0-9+.-]*://[^\s:/@]*:)[^\s/@]+(?=@)", "$1"),
+    (r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[opsu]_[0-9A-Za-z]{36}\b|\beyJ[\w-]+\.[\w-]+\.[\w-]*", ""),
+]
+
+
+def mask_secrets(text: Column) -> Column:
+    """``text`` for display: what looks like a password, key or token is ``****``, the words around it stay. Null stays null."""
+    for pattern, kept in SECRETS:
+        text = F.regexp_replace(text, pattern, kept + MASK.replace("$", r"\$"))
+    return text

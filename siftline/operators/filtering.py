@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lines import bind, field, glob_regex, parse, program_of, templates, untag, with_key
+from ..functions.lines import bind, field, glob_regex, java_regex, parse, program_of, templates, untag, with_key
 
 #: Rules tested in one expression; longer lists are cut so that generated code stays small.
 CHUNK = 25
@@ -42,7 +42,7 @@ def rule_of(rules: list[Rule], host: Column, program: Column, rest: Column) -> C
         if rule.host == "*":
             fits = ~host.contains("/")
         if rule.match:
-            return F.when(fits & rest.rlike("(?md)" + rule.match), F.lit(rule.id))
+            return F.when(fits & rest.rlike("(?md)" + java_regex(rule.match)), F.lit(rule.id))
         return F.when(fits & (program != "") & program.rlike(glob_regex(rule.program)), F.lit(rule.id))
 
     parts = [F.coalesce(*map(one, rules[k : k + CHUNK])) for k in range(0, len(rules), CHUNK)]
@@ -76,7 +76,7 @@ def mute(anomalies: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def normalise(lines: DataFrame, table: list[tuple[str, str]], raw: str = "raw") -> DataFrame:
     """Lines of the first pattern that matches them become their first four fields and its text."""
-    parts = [F.coalesce(*[F.when(F.col(raw).rlike("(?md)" + p), F.lit(text)) for p, text in table[k : k + CHUNK]]) for k in range(0, len(table), CHUNK)]
+    parts = [F.coalesce(*[F.when(F.col(raw).rlike("(?md)" + java_regex(p)), F.lit(text)) for p, text in table[k : k + CHUNK]]) for k in range(0, len(table), CHUNK)]
     if not parts:
         return lines
     lines = bind(lines, _said=F.coalesce(*parts))

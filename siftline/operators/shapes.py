@@ -30,6 +30,11 @@ def unreviewed(pool: DataFrame, verdicts: DataFrame, since: str) -> DataFrame:
     return pool.join(recent, ["program", "template"], "left_anti")
 
 
+def sample(pool: DataFrame, n: int = 10, seed: int | None = None) -> DataFrame:
+    """``n`` shapes of the pool in random order, all of them if there are fewer; only with a ``seed`` the same again."""
+    return pool.orderBy(F.rand() if seed is None else F.xxhash64(F.lit(seed), "program", "template")).limit(n)
+
+
 #: Line numbers in a block of two-level positions.
 BLOCK = 4096
 

@@ -160,6 +160,10 @@ ORACLES |= {
     "seed_rules": f"{_E} SELECT min(line_no) AS line, host, program AS match FROM e WHERE host NOT LIKE 'host1%' GROUP BY host, program",
     "entries_overview": f"{_F} SELECT id, 'api' AS source FROM f WHERE kind = 'issue' AND log_date >= DATE '1998-02-24'",
     "shape_regexes": f"{_E} SELECT DISTINCT program, template, {_RX} AS match, true AS fits FROM l",
+    "unreviewed_shapes": f"{_E} SELECT program, template, count(*) AS lines FROM l WHERE program >= 'f' GROUP BY ALL",
+    "flat_documents": """SELECT event_id, '{"host.name":"host' || (user_id % 20) || '","host.os.version":"6.1",' || CASE WHEN user_id % 2 = 1 THEN '"process.name":"' || event_type || '",' ELSE '' END
+ || '"process.pid":' || event_id || ',"message":' || CAST(to_json(props) AS VARCHAR) || '}' AS flat FROM events""",
+    "secret_masks": "SELECT event_id, 'login password=**** via ftp://bob:****@h/x ' || props AS shown FROM events",
     "shape_reviews": f"{_E} SELECT DISTINCT program, template, CASE WHEN program < 'f' THEN 'muted' ELSE 'kept' END AS verdict FROM l",
     "volume_bars": f"{_D} SELECT day, CASE WHEN volume > 0 THEN greatest(100 * volume // (SELECT max(volume) FROM days), 1) ELSE 0 END AS percent FROM days WHERE volume IS NOT NULL",
     "mover_labels": f"""SELECT host, CASE WHEN "before" = 0 THEN 'new' WHEN "after" = 0 THEN 'stopped' WHEN "after" > "before" THEN 'up ' || {_T.format('("after" / "before")')} ELSE 'down ' || {_T.format('("before" / "after")')} END AS label FROM ({ORACLES["movers"]})""",

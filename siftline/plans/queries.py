@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as B
 from ..functions import lines as L
 from ..operators import detect, digest, facts, filtering, library, mgmt, mutes, shapes
+from ..sources import logs
 from . import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -440,3 +441,26 @@ def mover_labels(spark, d):
 @query
 def score_labels(spark, d):
     return detect.pair_totals(T.counts(spark, d)).select("host", "program", B.percent(F.col("n") / 20000).alias("label"))
+
+
+@query
+def unreviewed_shapes(spark, d):
+    tallied = shapes.tally(L.templates(T.parsed(spark, d)))
+    # names before f were looked at within the month, names from p long before it
+    seen = tallied.where("program < 'f' OR program >= 'p'").select("program", "template", F.when(F.col("program") < "f", F.lit("2024-01-05")).otherwise("2023-06-01").cast("timestamp").alias("created_at"))
+    return shapes.unreviewed(tallied, seen, MONTH[0]).select("program", "template", "lines")
+
+
+@query
+def flat_documents(spark, d):
+    """Events as nested documents, those of even users without a name of the process."""
+    host = F.struct(F.concat(F.lit("host"), (F.col("user_id") % 20).cast("string")).alias("name"), F.struct(F.lit("6.1").alias("version")).alias("os"))
+    process = F.struct(F.when(F.col("user_id") % 2 == 1, F.col("event_type")).alias("name"), F.col("event_id").alias("pid"))
+    doc = F.to_json(F.struct(F.col("props").alias("message"), F.lit(1).alias("other"), process.alias("process"), host.alias("host")))
+    return logs.flattened(T.table(spark, d, "events").select("event_id", doc.alias("raw"))).select("event_id", "flat")
+
+
+@query
+def secret_masks(spark, d):
+    said = F.concat(F.lit("login password="), F.col("event_id").cast("string"), F.lit(" via ftp://bob:"), F.col("event_type"), F.lit("@h/x "), F.col("props"))
+    return T.table(spark, d, "events").select("event_id", L.mask_secrets(said).alias("shown"))

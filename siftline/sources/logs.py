@@ -52,6 +52,26 @@ def read_documents(spark: SparkSession, path: str | list[str], zone: str = "Euro
     return rows.select("file", "line_no", raw.alias("raw"), F.to_date(when).alias("log_date"), host.alias("host"), F.nullif(system, F.lit("")).alias("os"))
 
 
+#: Fields of a document that are kept, in the order in which they are written.
+KEPT = ["@timestamp", "host.name", "host.hostname", "host.os.name", "host.os.version", "host.os.family", "process.name", "process.pid", "message"]
+
+
+def flattened(rows: DataFrame, raw: str = "raw") -> DataFrame:
+    """``rows`` with ``flat``: the nested document ``raw`` as one JSON object of KEPT's dotted keys, in that order.
+
+    Fields that are null, missing or beneath something that is no object are left out; other
+    values stay as they are, but that fractions lose zeros at their end. Text that is no JSON
+    gives null.
+    """
+    rows = rows.withColumn("_v", F.try_parse_json(raw))
+    parts = []
+    for name in KEPT:
+        value = F.try_variant_get("_v", "$" + "".join(f"['{step}']" for step in name.split(".")), "variant")
+        parts.append(F.when(~F.is_variant_null(value), F.concat(F.lit(f'"{name}":'), F.to_json(value))))
+    flat = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    return rows.withColumn("flat", F.when(F.col("_v").isNotNull(), flat)).drop("_v")
+
+
 def day_paths(spark: SparkSession, folder: str, last: datetime.date, days: int, suffix: str = ".ndjson.gz") -> tuple[list[str], list[datetime.date]]:
     """(paths, missing days) of the daily dumps up to ``last``; an empty file counts as missing."""
     jvm = spark._jvm

@@ -159,3 +159,32 @@ def test_letters_beyond_ascii_keep_their_case(spark):
     findings = spark.createDataFrame([(1, "ÄRGER Disk"), (2, "ärger disk")], "id long, title string")
     hosts = spark.createDataFrame([], "finding_id long, host string, pos int")
     assert [r.id for r in library.search(findings, hosts, title="ärger DISK").collect()] == [2]
+
+
+def test_java_regex(spark):
+    cases = [
+        (r"(?P<n>[0-9]+)x", "12x", True), (r"^[[:digit:]]+$", "123", True), (r"^[[:^digit:]]+$", "1a", False), (r"a\sb", "a\x0bb", False), (r"a[\s]b", "a\tb", True),
+        (r"^[\S-]+$", "a-b", True), (r"\[[a&&b]\]", "[&]", True), (r"^[a[]+$", "a[", True), (r"[]x]", "]", True), (r"a\vb", "a\x0bb", True), (r"\Qa.b\E$", "a.b", True), (r"\bup\b", "is up now", True),
+    ]
+    row = spark.createDataFrame([tuple(text for _, text, _ in cases)], [f"c{k}" for k in range(len(cases))])
+    got = row.select(*[F.col(f"c{k}").rlike("(?md)" + L.java_regex(p)).alias(f"c{k}") for k, (p, _, _) in enumerate(cases)]).first()
+    assert list(got) == [want for _, _, want in cases]
+    for bad in (r"(a)\1", "a(?=b)", "(?<!a)b", "(?>a)", "x\\"):
+        with pytest.raises(ValueError):
+            L.java_regex(bad)
+
+
+def test_mask_secrets(spark):
+    cases = {
+        "password=hunter2 ok": "password=**** ok", 'api_key: "a b", next': "api_key: ****, next", "Authorization: Bearer abcdefgh12345": "Authorization: Bearer ****",
+        "GET https://u:p4ss@h/x": "GET https://u:****@h/x", "key AKIA" + "A" * 16 + " used": "key **** used", "passwords were changed; token ring": "passwords were changed; token ring", "": "", None: None,
+    }
+    got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", L.mask_secrets(F.col("t")).alias("m")).collect()
+    assert {r.t: r.m for r in got} == cases
+
+
+def test_sample(spark):
+    pool = spark.createDataFrame([("p", f"t{k}") for k in range(30)], "program string, template string")
+    once, again = ([r.template for r in shapes.sample(pool, 10, 7).collect()] for _ in range(2))
+    assert once == again and len(set(once)) == 10
+    assert shapes.sample(pool, 50).count() == 30 and shapes.sample(pool.limit(0)).count() == 0

@@ -69,3 +69,12 @@ def test_stream(spark, tmp_path):
     windows.write_windows(windows.window_counts(events), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination(120)
     got = spark.read.parquet(f"{tmp_path}/out").collect()
     assert {r.start.hour for r in got} >= {0, 1, 2, 3} and all(r.n == 3 for r in got)
+
+
+def test_flattened(spark):
+    cases = {
+        '{"message":"m <b>","host":{"name":"h","os":{"version":null}},"@timestamp":"t","process":{"pid":12}}': '{"@timestamp":"t","host.name":"h","process.pid":12,"message":"m <b>"}',
+        '{"host":"plain","host.name":"dotted","message":["a",true]}': '{"message":["a",true]}', "{}": "{}", "no json": None, None: None,
+    }
+    got = logs.flattened(spark.createDataFrame([(k,) for k in cases], "raw string")).collect()
+    assert {r.raw: r.flat for r in got} == cases
