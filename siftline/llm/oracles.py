@@ -7,6 +7,31 @@ brute force in the tests.
 _WORD = r"'[^\x20\x09-\x0D]+'"
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_FINITE = "len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0"
+
+
+def _rounds(k: int = 16, rounds: int = 3) -> str:
+    """Lloyd's rounds, one common table after another."""
+    hash_ = "sha256('1:' || CAST(vec_id AS VARCHAR))"
+    steps = [
+        f"v AS MATERIALIZED (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q FROM embeddings WHERE len(embedding) = 64 AND {_FINITE})",
+        f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY {hash_}) - 1 AS INT) AS c, q AS p FROM v ORDER BY {hash_} LIMIT {k})",
+    ]
+    for n in range(rounds + 1):
+        steps.append(
+            f"a{n} AS MATERIALIZED (SELECT vec_id, q, min(struct_pack(d := CAST(list_sum([(q[j] - p[j]) * (q[j] - p[j]) FOR j IN range(1, 65)]) AS BIGINT), c := c)) AS best FROM v, c{n} GROUP BY vec_id, q)"
+        )
+        if n < rounds:
+            steps.append(
+                f"m{n} AS (SELECT c, list(x ORDER BY j) AS p FROM (SELECT best.c AS c, j, CAST(floor(sum(q[j]) / count(*)) AS BIGINT) AS x FROM a{n}, range(1, 65) AS r(j) GROUP BY best.c, j) GROUP BY c), "
+                f"c{n + 1} AS MATERIALIZED (SELECT c{n}.c, coalesce(m{n}.p, c{n}.p) AS p FROM c{n} LEFT JOIN m{n} ON m{n}.c = c{n}.c)"
+            )
+    return (
+        f"WITH {', '.join(steps)} SELECT vec_id, best.c AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia, "
+        f"CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(p, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON c = best.c"
+    )
+
+
 ORACLES: dict[str, str] = {
     # of equal payloads the largest page is the response; base32 of the SHA-1, 5 bits a letter
     "op5_warc_segments": r"""
@@ -41,4 +66,16 @@ WITH w AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS te
  o AS (SELECT doc_id, sum(words) AS lost FROM l JOIN c USING (host, line) WHERE doc_id IS DISTINCT FROM first GROUP BY doc_id)
 SELECT b.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND n_words - coalesce(lost, 0) >= 10 AS kept FROM b LEFT JOIN o ON o.doc_id = b.doc_id""",
+    # every anchor's scores with all rows
+    "op11_hard_negatives": f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND {_FINITE}),
+ s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_sum([a.q[j] * b.q[j] FOR j IN range(1, len(a.q) + 1)]) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id != b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 100 = 0),
+ p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INT) AS rank, id AS negative_id, positive_score, score AS negative_score
+ FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+ QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 5""",
+    # the rounds written out; sums are far below 2**53, so a quotient of doubles has the exact floor
+    "op12_yinyang_clusters": _rounds(),
 }

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, embedding, mixing, quality, simhash, suffix, toxicity, urlrules, warc
+from . import bpe, chat, embedding, gam, mixing, negatives, quality, simhash, suffix, toxicity, urlrules, warc, yinyang
 from .common import read
 
 
@@ -57,6 +58,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.verdicts(read(spark, sf_dir, "documents")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(read(spark, sf_dir, "embeddings"), label=label)
+
+
+def op12_yinyang_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang.clustered(read(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+def op13_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gam.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -68,4 +82,7 @@ QUERIES = {
     "op8_chat_windows": op8_chat_windows,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_yinyang_clusters": op12_yinyang_clusters,
+    "op13_quality_gam": op13_quality_gam,
 }
