@@ -33,22 +33,23 @@ def robust_z(x: Column, median: Column, mad: Column, mean_ad: Column) -> Column:
     return F.when(mad > 0, 0.6745 * (x - median) / mad).when(mean_ad > 0, (x - median) / (1.253 * mean_ad)).otherwise(F.lit(0.0))
 
 
-def peer_scores(totals: DataFrame) -> DataFrame:
-    """Totals with their program's number of hosts and median, and the score against them.
+def peer_scores(totals: DataFrame, *more: str) -> DataFrame:
+    """Totals with their program's number of hosts and median, and the score against them; ``more`` keys keep days apart.
 
     Statistics are aggregates of a program, joined back: rows stay where they are. An exact median
     holds a program's different totals with their counts in one task, at most a number a host.
     """
-    middle = totals.groupBy("program").agg(F.median("n").alias("median"), F.count("*").alias("peers"))
-    each = totals.join(middle, "program")
+    keys = ["program", *more]
+    middle = totals.groupBy(*keys).agg(F.median("n").alias("median"), F.count("*").alias("peers"))
+    each = totals.join(middle, keys)
     off = F.abs(F.col("n") - F.col("median"))
-    apart = each.groupBy("program").agg(F.median(off).alias("mad"), F.avg(off).alias("mean_ad"))
-    scored = each.join(apart, "program")
+    apart = each.groupBy(*keys).agg(F.median(off).alias("mad"), F.avg(off).alias("mean_ad"))
+    scored = each.join(apart, keys)
     return scored.withColumn("score", robust_z(F.col("n"), F.col("median"), F.col("mad"), F.col("mean_ad"))).drop("mad", "mean_ad")
 
 
-def peer_anomalies(totals: DataFrame, min_hosts: int = 5, min_count: int = 50) -> DataFrame:
-    return peer_scores(totals).where((F.col("peers") >= min_hosts) & (F.col("n") >= min_count) & (F.col("score") > 0))
+def peer_anomalies(totals: DataFrame, min_hosts: int = 5, min_count: int = 50, more: tuple[str, ...] = ()) -> DataFrame:
+    return peer_scores(totals, *more).where((F.col("peers") >= min_hosts) & (F.col("n") >= min_count) & (F.col("score") > 0))
 
 
 def median_of(values: Column) -> Column:
@@ -66,10 +67,15 @@ def _history(counts: DataFrame, day: datetime.date, lookback: int, keys: tuple[s
     first = day - datetime.timedelta(days=lookback)
     past = counts.where((F.col("log_date") >= F.lit(first)) & (F.col("log_date") < F.lit(day))).groupBy(*keys, "log_date").agg(F.sum("n").alias("n"))
     series = past.groupBy(*keys).agg(F.collect_list(F.col("n").cast("double")).alias("v"), F.count("*").alias("days_seen"))
+    return _spread(series).select(*keys, "days_seen", "median", "mad", "mean_ad")
+
+
+def _spread(series: DataFrame) -> DataFrame:
+    """``series`` with the median of its values ``v``, and the median and mean of their distances from it."""
     series = series.withColumn("median", median_of(F.col("v")))
     series = series.withColumn("d", F.transform("v", lambda x: F.abs(x - F.col("median"))))
     mean = F.aggregate(F.array_sort("d"), F.lit(0.0), lambda a, x: a + x) / F.size("d")
-    return series.select(*keys, "days_seen", "median", median_of(F.col("d")).alias("mad"), mean.alias("mean_ad"))
+    return series.withColumns({"mad": median_of(F.col("d")), "mean_ad": mean}).drop("d")
 
 
 def baseline_scores(counts: DataFrame, day: datetime.date, lookback: int = 14, min_days: int = 7) -> DataFrame:
@@ -101,15 +107,16 @@ def temporal_anomalies(scores: DataFrame, min_count: int = 30, threshold: float
     return scores.where((F.col("today") >= min_count) & (F.col("score") >= threshold))
 
 
-def combine(peer: DataFrame, baseline: DataFrame, temporal: DataFrame) -> DataFrame:
-    """The strongest anomaly of each host and program; ties go to peers, then baselines, then times of day."""
+def combine(peer: DataFrame, baseline: DataFrame, temporal: DataFrame, *more: str) -> DataFrame:
+    """The strongest anomaly of each host and program (and ``more`` keys); ties go to peers, then baselines, then times of day."""
+    keys = (*KEYS, *more)
     lists = [
-        peer.select(*KEYS, F.lit("peer").alias("kind"), F.lit(0).alias("_o"), F.lit("").alias("bucket"), "score"),
-        baseline.select(*KEYS, F.lit("baseline").alias("kind"), F.lit(1).alias("_o"), F.lit("").alias("bucket"), "score"),
-        temporal.select(*KEYS, F.lit("temporal").alias("kind"), F.lit(2).alias("_o"), "bucket", "score"),
+        peer.select(*keys, F.lit("peer").alias("kind"), F.lit(0).alias("_o"), F.lit("").alias("bucket"), "score"),
+        baseline.select(*keys, F.lit("baseline").alias("kind"), F.lit(1).alias("_o"), F.lit("").alias("bucket"), "score"),
+        temporal.select(*keys, F.lit("temporal").alias("kind"), F.lit(2).alias("_o"), "bucket", "score"),
     ]
     every = lists[0].unionByName(lists[1]).unionByName(lists[2])
-    order = Window.partitionBy(*KEYS).orderBy(F.abs("score").desc(), "_o", F.desc("score"), "bucket")
+    order = Window.partitionBy(*keys).orderBy(F.abs("score").desc(), "_o", F.desc("score"), "bucket")
     return every.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_o")
 
 
@@ -123,3 +130,38 @@ def trailing_baselines(counts: DataFrame, lookback: int = 14) -> DataFrame:
     frame = Window.partitionBy(*KEYS).orderBy("d").rangeBetween(-lookback, -1)
     held = daily.withColumn("v", F.collect_list(F.col("n").cast("double")).over(frame))
     return held.select(*KEYS, "log_date", "n", F.size("v").alias("days_seen"), median_of(F.col("v")).alias("median"))
+
+
+def _trailing(daily: DataFrame, keys: tuple[str, ...], lookback: int) -> DataFrame:
+    """Rows (keys, log_date, n) with days seen and the robust statistics of the ``lookback`` days before each; n may be null, which is no value."""
+    frame = Window.partitionBy(*keys).orderBy(F.datediff("log_date", F.lit("1970-01-01"))).rangeBetween(-lookback, -1)
+    held = daily.withColumn("v", F.collect_list(F.col("n").cast("double")).over(frame))
+    return _spread(held.withColumn("days_seen", F.size("v").cast("long"))).drop("v")
+
+
+def range_baseline_scores(counts: DataFrame, days: list[datetime.date], lookback: int = 14, min_days: int = 7) -> DataFrame:
+    """``baseline_scores`` of every day of ``days`` in one plan, with ``log_date``.
+
+    A series gets a row for each of the days, so that its silence shows; statistics come from a range
+    frame of at most ``lookback`` values, whatever the number of days is.
+    """
+    near = counts.where(F.col("log_date").between(F.lit(min(days) - datetime.timedelta(days=lookback)), F.lit(max(days))))
+    totals = pair_totals(near, "log_date")
+    # a series from its first day on until its last can be of a day's history
+    spans = totals.groupBy(*KEYS).agg(F.min("log_date").alias("first"), F.max("log_date").alias("last"))
+    asked = spans.withColumn("log_date", F.explode(F.array(*map(F.lit, sorted(days)))))
+    asked = asked.where((F.col("log_date") > F.col("first")) & (F.datediff("log_date", "last") <= lookback)).select(*KEYS, "log_date", F.lit(True).alias("asked"))
+    both = _trailing(totals.join(asked, [*KEYS, "log_date"], "full"), KEYS, lookback).where((F.col("days_seen") >= min_days) & F.col("asked"))
+    both = both.withColumn("today", F.coalesce("n", F.lit(0)))
+    score = robust_z(F.col("today"), F.col("median"), F.col("mad"), F.col("mean_ad"))
+    return both.select(*KEYS, "log_date", "today", "days_seen", "median", "mad", score.alias("score"))
+
+
+def range_temporal_scores(counts: DataFrame, days: list[datetime.date], lookback: int = 14, min_days: int = 7) -> DataFrame:
+    """``temporal_scores`` of every day of ``days`` in one plan, with ``log_date``."""
+    keys = (*KEYS, "bucket")
+    near = counts.where(F.col("log_date").between(F.lit(min(days) - datetime.timedelta(days=lookback)), F.lit(max(days))))
+    daily = near.groupBy(*keys, "log_date").agg(F.sum("n").alias("n"))
+    both = _trailing(daily, keys, lookback).where((F.col("days_seen") >= min_days) & F.col("log_date").isin(days))
+    score = robust_z(F.col("n"), F.col("median"), F.col("mad"), F.col("mean_ad"))
+    return both.select(*keys, "log_date", F.col("n").alias("today"), "days_seen", "median", "mad", score.alias("score"))

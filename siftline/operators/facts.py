@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from ..functions.lines import severity_rank
 
 
-def with_facts(anomalies: DataFrame, examples: DataFrame, families: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
-    """Anomalies with ``example`` (empty without one) and ``os``.
+def with_facts(anomalies: DataFrame, examples: DataFrame, families: DataFrame, inventory: DataFrame | None = None, *more: str) -> DataFrame:
+    """Anomalies with ``example`` (empty without one) and ``os``; ``more`` keys, days say, keep examples and families apart.
 
     ``examples``: (host, program, example); ``families``: (host, os_family), unknown for hosts that
     are not there; ``inventory``: (host, os), what operators say, which counts before a family.
     """
-    out = anomalies.join(examples, ["host", "program"], "left").join(families, "host", "left")
+    out = anomalies.join(examples, [*more, "host", "program"], "left").join(families, [*more, "host"], "left")
     family = F.coalesce("os_family", F.lit("unknown"))
     if inventory is None:
         return out.withColumns({"example": F.coalesce("example", F.lit("")), "os": family}).drop("os_family")

@@ -34,13 +34,15 @@ def active(rules: list[Rule], day: datetime.date) -> list[Rule]:
     return sorted((r for r in rules if r.active(day)), key=lambda r: r.id)
 
 
-def rule_of(rules: list[Rule], host: Column, program: Column, rest: Column) -> Column:
-    """The id of the first rule that fits a line, null if none does."""
+def rule_of(rules: list[Rule], host: Column, program: Column, rest: Column, day: Column | None = None) -> Column:
+    """The id of the first rule that fits a line, null if none does; with ``day``, of those in force on it."""
 
     def one(rule: Rule) -> Column:
         fits = F.lit(True) if rule.host == "*" else host.rlike(glob_regex(rule.host))
         if rule.host == "*":
             fits = ~host.contains("/")
+        if day is not None and rule.expires is not None:
+            fits = fits & (day <= F.lit(rule.expires))
         if rule.match:
             return F.when(fits & rest.rlike("(?md)" + java_regex(rule.match)), F.lit(rule.id))
         return F.when(fits & (program != "") & program.rlike(glob_regex(rule.program)), F.lit(rule.id))
@@ -49,11 +51,11 @@ def rule_of(rules: list[Rule], host: Column, program: Column, rest: Column) -> C
     return F.coalesce(*parts).cast("long") if parts else F.lit(None).cast("long")
 
 
-def with_rule(lines: DataFrame, rules: list[Rule], raw: str = "raw") -> DataFrame:
-    """``lines`` with ``rule_id``; lines of fewer than five fields fit no rule."""
+def with_rule(lines: DataFrame, rules: list[Rule], raw: str = "raw", day: Column | None = None) -> DataFrame:
+    """``lines`` with ``rule_id``; lines of fewer than five fields fit no rule. With ``day``, of the rules in force on it."""
     lines = bind(lines, _host=field(F.col(raw), 4), _rest=F.nullif(field(F.col(raw), 5), F.lit("")))
     lines = bind(lines, _program=program_of(F.col("_rest")))
-    fits = F.when(F.col("_rest").isNotNull(), rule_of(rules, F.col("_host"), F.col("_program"), F.col("_rest")))
+    fits = F.when(F.col("_rest").isNotNull(), rule_of(rules, F.col("_host"), F.col("_program"), F.col("_rest"), day))
     return bind(lines, rule_id=fits).drop("_host", "_rest", "_program")
 
 
@@ -68,10 +70,30 @@ def hit_messages(tagged: DataFrame, rule_id: int) -> DataFrame:
     return with_key(tagged.where(F.col("rule_id") == rule_id)).groupBy(F.col("_key").alias("message")).agg(F.count("*").alias("lines"))
 
 
-def mute(anomalies: DataFrame, rules: list[Rule]) -> DataFrame:
+def muted(anomalies: DataFrame, rules: list[Rule], day: Column | None = None) -> DataFrame:
+    """Anomalies with ``rule_id``, the first rule with a program glob that covers them; with ``day``, of those in force on it."""
+    with_program = [Rule(r.id, r.host, r.program, expires=r.expires) for r in rules if r.program]
+    return anomalies.withColumn("rule_id", rule_of(with_program, F.col("host"), F.col("program"), F.lit(""), day))
+
+
+def mute(anomalies: DataFrame, rules: list[Rule], day: Column | None = None) -> DataFrame:
     """Anomalies that no rule with a program glob covers."""
-    with_program = [Rule(r.id, r.host, r.program) for r in rules if r.program]
-    return anomalies.where(rule_of(with_program, F.col("host"), F.col("program"), F.lit("")).isNull())
+    return muted(anomalies, rules, day).where("rule_id IS NULL").drop("rule_id")
+
+
+def with_muted(hits: DataFrame, anomalies: DataFrame) -> DataFrame:
+    """``known_hits`` to which the anomalies of ``muted`` are added: each counts once and its host with the lines' hosts.
+
+    ``hits``: (rule_id, host, lines), a row for each rule and host, as ``host_hits`` gives.
+    """
+    more = anomalies.where("rule_id IS NOT NULL").select("rule_id", "host", F.lit(0).cast("long").alias("lines"), F.lit(1).cast("long").alias("anomalies"))
+    every = hits.withColumn("anomalies", F.lit(0).cast("long")).unionByName(more)
+    return every.groupBy("rule_id").agg(F.sum("lines").alias("lines"), F.sum("anomalies").alias("anomalies"), F.count_distinct("host").alias("hosts"))
+
+
+def host_hits(tagged: DataFrame) -> DataFrame:
+    """(rule_id, host, lines) of the lines that rules dropped."""
+    return tagged.where("rule_id IS NOT NULL").groupBy("rule_id", field(F.col("raw"), 4).alias("host")).agg(F.count("*").alias("lines"))
 
 
 def normalise(lines: DataFrame, table: list[tuple[str, str]], raw: str = "raw") -> DataFrame:
@@ -91,9 +113,9 @@ def spread(lines: DataFrame) -> DataFrame:
     return with_key(lines).groupBy(F.col("_key").alias("key")).agg(F.count_distinct("_host").alias("hosts"))
 
 
-def cap_repeats(lines: DataFrame, most: int = CAP) -> DataFrame:
-    """The first ``most`` lines of each message in input order, whichever hosts they are of."""
-    order = Window.partitionBy("_key").orderBy("line_no")
+def cap_repeats(lines: DataFrame, most: int = CAP, within: tuple[str, ...] = ()) -> DataFrame:
+    """The first ``most`` lines of each message (and of each of ``within``, days say) in input order, whichever hosts they are of."""
+    order = Window.partitionBy("_key", *within).orderBy("line_no")
     return with_key(lines).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_key", "_host", "_n")
 
 

@@ -65,21 +65,22 @@ def with_votes(findings: DataFrame, votes: DataFrame) -> DataFrame:
 
 
 def merge_votes(votes: DataFrame, new: DataFrame) -> DataFrame:
-    """Votes after ``new`` ones: one per finding and user, its verdict the latest.
+    """Votes after ``new`` ones: one per finding and user, its verdict the latest; a null user is the anonymous one.
 
     The comment is the latest that isn't empty, as if the votes came in one by one.
     """
-    keys = ["finding_id", "user"]
-    tag = lambda df: df.withColumn("user", F.coalesce("user_id", F.lit(0)))
-    latest = tag(new).groupBy(*keys).agg(
+    keys = ["finding_id", "user_id"]
+    latest = new.groupBy(*keys).agg(
         F.max(F.struct("created_at", "verdict")).alias("n"),
         F.max(F.when(F.col("comment") != "", F.struct("created_at", "verdict", "comment"))).alias("said"),
     )
-    both = tag(votes).withColumnRenamed("comment", "old").join(latest, keys, "full")
-    comment = F.coalesce("said.comment", "old", F.lit(""))
+    old, now = votes.select(*keys, "verdict", "comment", "created_at").alias("old"), latest.alias("now")
+    both = old.join(now, (F.col("old.finding_id") == F.col("now.finding_id")) & F.col("old.user_id").eqNullSafe(F.col("now.user_id")), "full")
+    seen = F.col("now.n").isNotNull()
     return both.select(
-        "finding_id", F.when(F.col("user") != 0, F.col("user")).alias("user_id"), F.coalesce("n.verdict", "verdict").alias("verdict"),
-        comment.alias("comment"), F.coalesce("n.created_at", "created_at").alias("created_at"),
+        F.coalesce("now.finding_id", "old.finding_id").alias("finding_id"), F.when(seen, F.col("now.user_id")).otherwise(F.col("old.user_id")).alias("user_id"),
+        F.coalesce("now.n.verdict", "old.verdict").alias("verdict"), F.coalesce("now.said.comment", "old.comment", F.lit("")).alias("comment"),
+        F.coalesce("now.n.created_at", "old.created_at").alias("created_at"),
     )
 
 

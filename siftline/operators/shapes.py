@@ -35,20 +35,23 @@ def sample(pool: DataFrame, n: int = 10, seed: int | None = None) -> DataFrame:
     return pool.orderBy(F.rand() if seed is None else F.xxhash64(F.lit(seed), "program", "template")).limit(n)
 
 
-#: Line numbers in a block of two-level positions.
+#: Line numbers in a block of positions, and blocks in a block of blocks.
 BLOCK = 4096
 
 
 def placed(lines: DataFrame, *within: str) -> DataFrame:
     """``lines`` with ``pos``: their place from 1 by ``line_no`` among those of equal ``within``.
 
-    Places are counted in blocks of line numbers and added to the counts of the blocks before,
-    so the lines of a busy host are no single task's.
+    Places are counted in blocks of line numbers, blocks in blocks of blocks, and added to the
+    counts of those before, so the lines of a busy host are no single task's; what one task sums
+    is a row for each 16 million line numbers.
     """
     tagged = lines.withColumn("_block", F.floor(F.col("line_no") / BLOCK))
-    sizes = tagged.groupBy(*within, "_block").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy(*within).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select(*within, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    sizes = tagged.groupBy(*within, "_block").agg(F.count("*").alias("_n")).withColumn("_upper", F.floor(F.col("_block") / BLOCK))
+    earlier = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda order, *keys: F.coalesce(F.sum("_n").over(earlier(*keys).orderBy(order)), F.lit(0))
+    upper = sizes.groupBy(*within, "_upper").agg(F.sum("_n").alias("_n")).select(*within, "_upper", before("_upper", *within).alias("_first"))
+    base = sizes.withColumn("_base", before("_block", *within, "_upper")).join(upper, [*within, "_upper"]).select(*within, "_block", (F.col("_base") + F.col("_first")).alias("_base"))
     rank = F.row_number().over(Window.partitionBy(*within, "_block").orderBy("line_no"))
     return tagged.withColumn("_rank", rank).join(base, [*within, "_block"]).withColumn("pos", F.col("_base") + F.col("_rank")).drop("_block", "_base", "_rank")
 

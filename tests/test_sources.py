@@ -55,11 +55,26 @@ def test_store(spark, tmp_path):
     assert store.prune(DAY) == ["2023-01-01"]
     store.replace_day(counts(1).limit(0), DAY)
     assert store.counts().count() == 0
-    schema = "pos int, finding_kind string, severity string, title string, service string, hosts array<string>, payload string"
-    made = lambda n: spark.createDataFrame([(k, "issue", "high", f"t{k}", "s", ["h"], "{}") for k in range(n)], schema)
-    store.capture(made(3), DAY, "daily", 1, 1, 100, -1), store.capture(made(2), DAY, "digest", 2, 4), store.capture(made(1), DAY, "daily", 3, 6, 50, 5)
-    assert sorted((r.id, r.run_id) for r in store.findings().collect()) == [(4, 2), (5, 2), (6, 3)]
-    assert {r.run_id: (r.raw_lines, r.filtered_lines) for r in store.runs().collect()} == {2: (None, None), 3: (50, 5)}
+
+
+def test_a_stream_replaces_the_days_it_touches(spark, tmp_path):
+    """A late file and a batch that is done again give what a batch over all files gives."""
+    store, lines = Store(spark, f"file://{tmp_path}/store"), f"{tmp_path}/in"
+    schema = "line_no long, raw string, log_date date"
+    rows = lambda day, n, tag: spark.createDataFrame([(k, f"Mar  {day} 10:0{k % 6}:00 h{tag} p[{k}]: m", datetime.date(2024, 3, day)) for k in range(n)], schema)
+    whole = lambda days: spark.read.schema(schema).parquet(lines)
+    run = lambda checkpoint: windows.replace_days(spark.readStream.schema(schema).parquet(lines), whole, store, f"{tmp_path}/{checkpoint}").awaitTermination(120)
+    seen = lambda: sorted((str(r.log_date), r.host, r.n) for r in store.counts().groupBy("log_date", "host").agg(F.sum("n").alias("n")).collect())
+    rows(5, 10, "a").unionByName(rows(6, 4, "a")).write.mode("append").parquet(lines)
+    run("ck")
+    assert seen() == [("2024-03-05", "ha", 10), ("2024-03-06", "ha", 4)]
+    parts = store.snapshot().tables["counts"]
+    rows(5, 3, "late").write.mode("append").parquet(lines)
+    run("ck")
+    assert seen() == [("2024-03-05", "ha", 10), ("2024-03-05", "hlate", 3), ("2024-03-06", "ha", 4)]
+    assert store.snapshot().tables["counts"]["2024-03-06"] == parts["2024-03-06"]  # a day that isn't touched keeps its files
+    run("another")  # everything again
+    assert seen() == [("2024-03-05", "ha", 10), ("2024-03-05", "hlate", 3), ("2024-03-06", "ha", 4)]
 
 
 def test_stream(spark, tmp_path):
