@@ -47,8 +47,11 @@ def _newer_letters() -> dict[int, str]:
     """Letters and numbers of a Unicode version after the pre-tokeniser's, which is that of
     ``unicodedata``; each stands for itself as a character that is neither.
     """
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))
-    return {ord(c): "\ue000" for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c)[0] not in "LN"}
+    letter, found = regex.compile(r"[\p{L}\p{N}]"), {}
+    for low in range(0, sys.maxunicode + 1, 4096):  # all characters at once would take 120 MB for a moment
+        every = "".join(map(chr, range(low, low + 4096))) if not 0xD800 <= low < 0xE000 else ""
+        found |= {ord(c): "\ue000" for c in letter.findall(every) if unicodedata.category(c)[0] not in "LN"}
+    return found
 
 
 class Coder:

@@ -12,7 +12,9 @@ own rows, and a round is one aggregate of a few numbers per task.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -124,22 +126,34 @@ def _sums(posteriors: DataFrame, steps: list[np.ndarray], k: int) -> tuple[np.nd
     return flat[:k], flat[k:].reshape(k, k)
 
 
-def fit_rates(posteriors: DataFrame, shares: list[float], rounds: int = ROUNDS, close: float = CLOSE) -> list[np.ndarray]:
-    """The steps that ``replay`` turns into rates, from (_tokens, _p) rows.
+class Fit(NamedTuple):
+    """Steps that ``replay`` turns into rates, how far the expected tokens are from their targets
+    (the norm of the differences, as a share of all tokens), and whether no further round would have
+    brought them nearer: the targets are met, or no projected gradient step lowers the residual."""
+
+    steps: list[np.ndarray]
+    residual: float
+    settled: bool
+
+
+def fit_rates(posteriors: DataFrame, shares: list[float], rounds: int = ROUNDS, close: float = CLOSE) -> Fit:
+    """The steps of the rates, from (_tokens, _p) rows.
 
     ``shares``: each domain's part of all tokens. Targets that no rates reach are met as
-    nearly as least squares can. No tokens: no steps.
+    nearly as least squares can. No tokens: no steps. A fit that ``rounds`` did not settle says so.
     """
     k = len(shares)
     now, square = _sums(posteriors, [], k)
     whole = now.sum()
     if not whole > 0:
-        return []
+        return Fit([], 0.0, True)
     goal, largest = whole * np.array(shares) / sum(shares), np.linalg.eigvalsh(square)[-1]
     steps: list[np.ndarray] = []
+    settled = False
     for _ in range(rounds):
         gap = now - goal
         if np.abs(gap).max() <= close * whole:
+            settled = True
             break
         for step in (np.linalg.solve(square + 1e-9 * largest * np.eye(k), gap), gap / largest):
             then, free = _sums(posteriors, [*steps, step], k)
@@ -148,8 +162,9 @@ def fit_rates(posteriors: DataFrame, shares: list[float], rounds: int = ROUNDS,
                 now, square = then, free
                 break
         else:
+            settled = True
             break
-    return steps
+    return Fit(steps, float(np.linalg.norm(now - goal) / whole), settled or bool(np.abs(now - goal).max() <= close * whole))
 
 
 def rate_of(p: Column, steps: list[np.ndarray]) -> Column:
@@ -175,7 +190,9 @@ def label_domains(labels: DataFrame) -> DataFrame:
 def mixing_rates(
     docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE
 ) -> DataFrame:
-    """(id_col, n_tokens, p_<domain>..., rate, copies): one row per row of ``docs``.
+    """(id_col, n_tokens, p_<domain>..., rate, copies, residual, settled): one row per row of ``docs``.
+
+    ``residual`` and ``settled`` are the fit's, the same in every row: see ``Fit``.
 
     Texts without words (null too) have no tokens and don't count; they get a rate as others do.
     A null id is allowed; repeated rows get equal rates and copies.
@@ -184,10 +201,10 @@ def mixing_rates(
     chosen = docs.select(F.col(id_col).cast("long").alias(id_col), text.alias("_words"), F.xxhash64(text).alias("_tx"))
     posteriors = with_posteriors(chosen, labelled, id_col, "_words", tuple(targets), sample).select(id_col, "_tx", "_tokens", "_p")
     posteriors = materialise(posteriors, "posteriors")
-    steps = fit_rates(posteriors, list(targets.values()))
-    out = posteriors.withColumn("rate", rate_of(F.col("_p"), steps))
+    fit = fit_rates(posteriors, list(targets.values()))
+    out = posteriors.withColumn("rate", rate_of(F.col("_p"), fit.steps))
     named = [F.col("_p")[k].alias(f"p_{d}") for k, d in enumerate(targets)]
-    return out.select(id_col, F.col("_tokens").alias("n_tokens"), *named, "rate", copies_of(F.col("rate"), F.col(id_col), F.col("_tx")).alias("copies"))
+    return out.select(id_col, F.col("_tokens").alias("n_tokens"), *named, "rate", copies_of(F.col("rate"), F.col(id_col), F.col("_tx")).alias("copies"), F.lit(fit.residual).alias("residual"), F.lit(fit.settled).alias("settled"))
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,7 +212,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARG
 
     Null and empty texts have no tokens; they get rates, and so copies, as others do. Rows of
     one id and text get equal numbers of copies, null ids too. Without labels of two domains
-    the rates are equal; an empty table gives an empty one.
+    the rates are equal; an empty table gives an empty one. A fit that isn't settled is warned of.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     chosen = docs.select(F.col(id_col).cast("long").alias("_mid"), text.alias("_words"), F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"))
@@ -203,6 +220,8 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARG
     tagged = with_posteriors(chosen, labelled, "_mid", "_words", tuple(targets))
     # kept with the rows, so that texts are looked at once
     tagged = materialise(tagged.select("_row", "_mid", F.xxhash64("_words").alias("_tx"), "_tokens", "_p"), "posteriors")
-    steps = fit_rates(tagged.select("_tokens", "_p"), list(targets.values()))
-    copies = copies_of(rate_of(F.col("_p"), steps), F.col("_mid"), F.col("_tx"))
+    fit = fit_rates(tagged.select("_tokens", "_p"), list(targets.values()))
+    if not fit.settled:
+        warnings.warn(f"rates did not settle: targets are missed by {fit.residual:.2g} of all tokens", stacklevel=2)
+    copies = copies_of(rate_of(F.col("_p"), fit.steps), F.col("_mid"), F.col("_tx"))
     return tagged.withColumn("_n", F.explode(F.array_repeat(F.lit(1), copies))).select("_row.*")

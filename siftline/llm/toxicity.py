@@ -9,9 +9,9 @@ insults, and mere mentions. Those of negation and reported speech mark what they
 but the first are composed to a single table. A clause's kind is the pattern and marks of its
 strongest match; a text is scored by how many clauses of each kind it has, not by its words.
 
-Insult words are learned from labelled texts (whole words and word beginnings that toxic texts
-hold far more often than chance allows, by a bound that counts how many were tried) and added to
-a short fixed list; the weights of the kinds, on the logarithm of their counts, are fitted by
+Insult words are learned from labelled texts alone (whole words and word beginnings that toxic texts
+hold far more often than chance allows, by a bound that counts how many were tried): the code
+lists none. The weights of the kinds, on the logarithm of their counts, are fitted by
 logistic regression that is pulled towards fixed defaults.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import materialise, thrifty
 
 OTHER, BREAK, NEGATION, REPORT, TARGET, SPEAKER, WILL, HARM, DIE, PIECE, INSULT, SAID_THREAT, SAID_INSULT = range(13)
-#: Words that have their symbol without being learned (fixed values).
+#: Words that have their symbol without being learned (fixed values); no insults are among them, all are learned.
 WORDS = {
     NEGATION: "not no never none don doesn didn isn aren wasn won cannot nicht kein keine nie pas jamais non nunca ningún tampoco",
     REPORT: "said says say told wrote claimed quoted alleged according reported sagte sagt schrieb laut dit disait selon écrit dijo dice según escribió",
@@ -40,7 +40,6 @@ WORDS = {
     HARM: "kill murder hurt destroy shoot stab beat strangle hang burn töten umbringen schlagen erschießen tuer frapper brûler matar golpear quemar",
     DIE: "die dead suffer burn sterben tot mourir crever morir muerto",
     PIECE: "piece bunch load sack pile stück haufen morceau tas pedazo montón",
-    INSULT: "idiot moron stupid loser scum trash worthless pathetic disgusting clown fool imbecile dumb jerk",
 }
 #: Phrases that are threats or insults as a whole (fixed values).
 PHRASES = {
@@ -187,8 +186,7 @@ class Symbols(dict):
     """The symbol of each word, by itself, else by its learned beginnings; remembers words."""
 
     def __init__(self, words: frozenset[str], beginnings: frozenset[str]):
-        fixed = {w: s for s, text in reversed(WORDS.items()) for w in text.split()}
-        super().__init__(fixed | dict.fromkeys(words, INSULT) | dict.fromkeys(_BREAKS, BREAK))
+        super().__init__(_FIXED | dict.fromkeys(words, INSULT) | dict.fromkeys(_BREAKS, BREAK))
         self.beginnings, self.fixed = beginnings, len(self)
 
     def __missing__(self, word: str) -> int:
@@ -223,6 +221,9 @@ def words_of(text: str) -> set[str]:
     return {w for w in _TOKENS(text.lower()) if w not in _BREAKS}
 
 
+_FIXED = {w: s for s, text in reversed(WORDS.items()) for w in text.split()}
+
+
 def beginnings_of(words: set[str]) -> set[str]:
     return {w[:n] for w in words for n in BEGINNINGS if len(w) > n}
 
@@ -305,15 +306,17 @@ def _counted(words: frozenset[str], beginnings: frozenset[str]):
 
 
 def toxicity(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE,
+    insults: tuple[str, ...] = (),
 ) -> DataFrame:
     """(id_col, held_out, score, predicted, clauses): one row per row of ``docs``.
 
     The grammar is learned from at most ``sample`` rows of ``labels`` (by a hash of their ids)
     whose crc32(id as text) mod 5 isn't 0; for the others ``held_out`` is true. Labels, and other
-    columns of ``docs``, are no inputs of a score. ``clauses``: clauses of each kind. Texts that
+    columns of ``docs``, are no inputs of a score. ``clauses``: clauses of each kind. ``insults``: words, in lower case, that
+    the caller knows to be insults whatever labels say; none by default. Texts that
     match nothing, null and empty ones too, get the score of the bias. A null id isn't held
-    out. Without usable labels the fixed words and default weights decide. Repeated rows each
+    out. Without usable labels no insult is known, and listed threats and phrases with default weights decide. Repeated rows each
     count, copies of a text once in learning.
     """
     part = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 5
@@ -324,6 +327,7 @@ def toxicity(
     training = plain.join(F.broadcast(known), plain["id"] == known["_lid"]).select("text", F.col("_toxic").alias("toxic"), F.xxhash64("text").alias("h"))
     training = materialise(training.dropDuplicates(["h", "toxic"]).select("text", "toxic"), "training")
     words, beginnings = learned_entries(training)
+    words |= set(insults)
     seen = training.mapInArrow(_counted(words, beginnings), "toxic int, clauses array<int>")
     seen = seen.groupBy("clauses").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).collect()
     weights = np.concatenate(([DEFAULT_BIAS], DEFAULT))

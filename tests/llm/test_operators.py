@@ -272,7 +272,7 @@ def test_toxicity_held_out(spark, odd):
 
 
 def test_grammar_marks_clauses():
-    symbols = toxicity.Symbols(frozenset(), frozenset())
+    symbols = toxicity.Symbols(frozenset("idiot clown trash stupid fool".split()), frozenset())
     kind = lambda pattern, flags=0: pattern * 4 + flags
     t = toxicity
     for text, want in {
@@ -294,9 +294,10 @@ def test_grammar_beats_its_words(spark):
     fill = lambda t: t.format(i=rng.choice(["idiot", "fool", "clown", "jerk"]), j=rng.choice(["loser", "moron"]), h=rng.choice(["kill", "hurt", "beat"]))
     rest = [" ".join(rng.choice([f"w{k}" for k in range(300)], 12)) for _ in range(600)]
     rows = [(k, f"{rest[k]}. {fill(str(rng.choice(bad if k % 2 else fine)))}. {rest[-k]}", k % 2) for k in range(600)]
-    out = toxicity.toxicity(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")).collect()
+    known = ("idiot", "fool", "clown", "jerk", "loser", "moron")  # as frequent in texts of either kind, so no labels teach them
+    out = toxicity.toxicity(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"), insults=known).collect()
     held = [r for r in out if r.held_out]
-    words = {w for k in (toxicity.INSULT, toxicity.HARM, toxicity.DIE) for w in toxicity.WORDS[k].split()}
+    words = {w for k in (toxicity.HARM, toxicity.DIE) for w in toxicity.WORDS[k].split()} | set(known)
     by_words = sum(bool(words & set(rows[r.doc_id][1].split())) == rows[r.doc_id][2] for r in held)
     by_grammar = sum(r.predicted == rows[r.doc_id][2] for r in held)
     assert len(held) > 80 and by_grammar > 0.95 * len(held) > 0.7 * len(held) > by_words
@@ -445,9 +446,43 @@ def test_mixing_meets_its_targets(spark, docs, odd, small):
 def test_least_squares_with_targets_out_of_reach(spark):
     rows = [(10, [1.0, 0.0])] * 4
     frame = spark.createDataFrame(rows, T.StructType([T.StructField("_tokens", T.LongType()), T.StructField("_p", T.ArrayType(T.DoubleType()))]))
-    steps = mixing.fit_rates(frame, [0.25, 0.75])
-    assert np.allclose(mixing.replay(np.array([[1.0, 0.0]]), steps), 0.25, atol=1e-3)
-    assert mixing.fit_rates(frame.limit(0), [0.5, 0.5]) == []
+    fit = mixing.fit_rates(frame, [0.25, 0.75])
+    assert np.allclose(mixing.replay(np.array([[1.0, 0.0]]), fit.steps), 0.25, atol=1e-3)
+    assert fit.settled and np.isclose(fit.residual, 0.75, atol=1e-3) and not mixing.fit_rates(frame, [0.25, 0.75], rounds=0).settled
+    assert mixing.fit_rates(frame.limit(0), [0.5, 0.5]).steps == []
+
+
+def nonnegative_least_squares(a, b):
+    """min |a x - b| over x >= 0 by an active set (dense, for tests)."""
+    x, free = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
+    for _ in range(10 * a.shape[1]):
+        slope = a.T @ (b - a @ x)
+        if free.all() or slope[~free].max() < 1e-9 * np.abs(a).max() * max(1.0, np.abs(b).max()):
+            break
+        free[np.flatnonzero(~free)[slope[~free].argmax()]] = True
+        while True:
+            z = np.zeros_like(x)
+            z[free] = np.linalg.lstsq(a[:, free], b, rcond=None)[0]
+            if (z[free] > 0).all():
+                x = z
+                break
+            low = free & (z <= 0)
+            step = (x[low] / (x[low] - z[low])).min()
+            x = x + step * (z - x)
+            free &= x > 1e-12
+    return x
+
+
+@pytest.mark.parametrize("targets", [mixing.TARGETS, {"good": 0.05, "low": 0.15, "toxic": 0.8}, {"good": 0.0, "low": 1.0, "toxic": 0.0}])
+def test_rates_are_as_near_as_dense_least_squares(spark, docs, small, targets):
+    labels = mixing.label_domains(spark.read.parquet(f"{small}/labels.parquet"))
+    rows = mixing.mixing_rates(docs, labels, targets).collect()
+    a = np.array([[r.n_tokens * r[f"p_{d}"] for r in rows] for d in targets])
+    whole = a.sum()
+    goal = whole * np.array(list(targets.values())) / sum(targets.values())
+    best = np.linalg.norm(a @ nonnegative_least_squares(a, goal) - goal) / whole
+    mine = np.linalg.norm(a @ np.array([r.rate for r in rows]) - goal) / whole
+    assert np.isclose(mine, rows[0].residual, atol=1e-9) and mine <= best + 1e-4 and rows[0].settled
 
 
 def test_mixing_without_labels_or_documents(docs, odd):
