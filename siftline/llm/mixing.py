@@ -4,8 +4,9 @@ A classifier, fitted on a bounded sample of labelled rows, gives each document t
 every domain. A document has a rate r >= 0, and domain k the expected tokens sum(r * tokens *
 p_k). Least squares of these against the targets is solved by projected gradient: a step of
 the rates is the residual (one number per domain) times the posteriors, scaled by the inverse
-of sum(tokens * p p') over the rates that aren't held at 0, and cut off below at 0; a step that
-doesn't lower the residual is done again with the plain gradient. As all that a step has to know are as
+of sum(tokens * p p') over the rates that aren't held at 0, and cut off below at 0; that step,
+shorter ones and plain gradient steps of several lengths are tried in the same pass, and the one with the
+least residual is taken. As all that a step has to know are as
 many numbers as there are domains, rates are never stored: tasks replay the steps on their
 own rows, and a round is one aggregate of a few numbers per task.
 """
@@ -30,6 +31,8 @@ from .common import materialise
 
 #: Labelled rows that the classifier is fitted on, at most; rounds; residual as a share of all tokens.
 SAMPLE, ROUNDS, CLOSE = 20_000, 40, 1e-6
+#: Lengths of the plain gradient steps that a round tries at once.
+GRADIENTS = (1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0)
 DOMAINS = ("good", "low", "toxic")
 #: Share of all tokens that each domain is to have.
 TARGETS = {"good": 0.88, "low": 0.08, "toxic": 0.04}
@@ -105,25 +108,29 @@ def replay(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     return rate
 
 
-def _sums(posteriors: DataFrame, steps: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(expected tokens by domain, sum of tokens * p p' over rates above 0)."""
+def _sums(posteriors: DataFrame, steps: list[np.ndarray], k: int, tries: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each step that may come next, (expected tokens by domain, sum of tokens * p p' over rates above 0), in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, square = np.zeros(k), np.zeros((k, k))
+        total, square = np.zeros((len(tries), k)), np.zeros((len(tries), k, k))
         for batch in batches:
             tokens = batch.column(0).to_numpy().astype(float)
             p = batch.column(1).flatten().to_numpy().reshape(-1, k)
-            rate = replay(p, steps)
-            total += (tokens * rate) @ p
-            free = p * np.sqrt(tokens * (rate > 0))[:, None]
-            square += free.T @ free
-        yield pa.RecordBatch.from_arrays([pa.array(range(k + k * k)), pa.array(np.concatenate((total, square.ravel())))], ["at", "value"])
+            before = replay(p, steps)
+            for n, step in enumerate(tries):
+                rate = np.maximum(0.0, before - p @ step)
+                total[n] += (tokens * rate) @ p
+                free = p * np.sqrt(tokens * (rate > 0))[:, None]
+                square[n] += free.T @ free
+        flat = np.concatenate((total.ravel(), square.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(flat))), pa.array(flat)], ["at", "value"])
 
     rows = posteriors.select("_tokens", "_p").mapInArrow(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
-    flat = np.zeros(k + k * k)
+    flat = np.zeros(len(tries) * (k + k * k))
     for r in rows:
         flat[r.at] = r.value
-    return flat[:k], flat[k:].reshape(k, k)
+    cut = len(tries) * k
+    return list(zip(flat[:cut].reshape(-1, k), flat[cut:].reshape(-1, k, k)))
 
 
 class Fit(NamedTuple):
@@ -143,7 +150,7 @@ def fit_rates(posteriors: DataFrame, shares: list[float], rounds: int = ROUNDS,
     nearly as least squares can. No tokens: no steps. A fit that ``rounds`` did not settle says so.
     """
     k = len(shares)
-    now, square = _sums(posteriors, [], k)
+    now, square = _sums(posteriors, [], k, [np.zeros(k)])[0]
     whole = now.sum()
     if not whole > 0:
         return Fit([], 0.0, True)
@@ -155,15 +162,17 @@ def fit_rates(posteriors: DataFrame, shares: list[float], rounds: int = ROUNDS,
         if np.abs(gap).max() <= close * whole:
             settled = True
             break
-        for step in (np.linalg.solve(square + 1e-9 * largest * np.eye(k), gap), gap / largest):
-            then, free = _sums(posteriors, [*steps, step], k)
-            if np.linalg.norm(then - goal) < np.linalg.norm(gap) * (1 - 1e-9):
-                steps.append(step)
-                now, square = then, free
-                break
-        else:
+        newton = np.linalg.solve(square + 1e-9 * largest * np.eye(k), gap)
+        # plain gradients of growing length follow targets that only few rows can meet
+        tries = [newton * f for f in (1.0, 0.5, 0.1)] + [gap / largest * f for f in GRADIENTS]
+        found = _sums(posteriors, steps, k, tries)
+        far = [np.linalg.norm(then - goal) for then, _ in found]
+        best = int(np.argmin(far))
+        if not far[best] < np.linalg.norm(gap) * (1 - 1e-9):
             settled = True
             break
+        steps.append(tries[best])
+        now, square = found[best]
     return Fit(steps, float(np.linalg.norm(now - goal) / whole), settled or bool(np.abs(now - goal).max() <= close * whole))
 
 
