@@ -169,3 +169,44 @@ ORACLES |= {
     "mover_labels": f"""SELECT host, CASE WHEN "before" = 0 THEN 'new' WHEN "after" = 0 THEN 'stopped' WHEN "after" > "before" THEN 'up ' || {_T.format('("after" / "before")')} ELSE 'down ' || {_T.format('("before" / "after")')} END AS label FROM ({ORACLES["movers"]})""",
     "score_labels": f"{_E} SELECT host, program, CASE WHEN round(n / 200) < 1 AND n > 0 THEN 'under 1%' ELSE CAST(CAST(round(n / 200) AS BIGINT) AS VARCHAR) || '%' END AS label FROM t",
 }
+
+_DAY = "generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY) AS x(d)"
+
+
+def _range(name: str, keys: str, source: str, grid: str, extra: str) -> str:
+    """Scores of every day: ``name``_s with today, days_seen, med, mad, ad and score; ``grid`` has the rows that are judged."""
+    on = " AND ".join(f"g.{k} = b.{k}" for k in keys.split(", "))
+    own = ", ".join(f"g.{k}" for k in keys.split(", "))
+    return f"""{name}_v AS (SELECT {own}, g.day, g.n, list(CAST(b.n AS DOUBLE)) AS v FROM ({grid}) g JOIN {source} b ON {on} AND b.log_date BETWEEN g.day - 14 AND g.day - 1 GROUP BY ALL HAVING count(*) >= 7),
+ {name}_m AS (SELECT *, list_median(v) AS med FROM {name}_v), {name}_o AS (SELECT *, [abs(y - med) FOR y IN v] AS o FROM {name}_m),
+ {name}_q AS (SELECT {keys}, day, n AS today, n AS x, CAST(len(v) AS BIGINT) AS days_seen, med, list_median(o) AS mad, list_avg(o) AS ad FROM {name}_o),
+ {name}_s AS (SELECT *, {_Z} AS score FROM {name}_q){extra}"""
+
+
+_GRID = f"SELECT s.host, s.program, CAST(d AS DATE) AS day, coalesce(td.n, 0) AS n FROM (SELECT DISTINCT host, program FROM td) s CROSS JOIN {_DAY} LEFT JOIN td ON td.host = s.host AND td.program = s.program AND td.log_date = CAST(d AS DATE)"
+_RB = _range("rb", "host, program", "td", _GRID, "")
+_QD = "qd AS (SELECT host, program, quarter AS bucket, log_date, count(*) AS n FROM e GROUP BY ALL)"
+_RT = _range("rt", "host, program, bucket", "qd", "SELECT host, program, bucket, log_date AS day, n FROM qd", "")
+_RP = f"""dm AS (SELECT program, log_date, median(n) AS med, count(*) AS peers FROM td GROUP BY ALL), dx AS (SELECT td.*, n AS x, med, peers, abs(n - med) AS off FROM td JOIN dm USING (program, log_date)),
+ dq AS (SELECT program, log_date, median(off) AS mad, avg(off) AS ad FROM dx GROUP BY ALL), rp AS (SELECT host, program, log_date AS day, n, peers, {_Z} AS score FROM dx JOIN dq USING (program, log_date))"""
+ORACLES |= {
+    "range_baselines": f"{_E}, {_RB} SELECT host, program, day AS log_date, today, days_seen, round(med, 6) AS median, round(mad, 6) AS mad, round(score, 6) AS score FROM rb_s",
+    "range_temporal": f"{_E}, {_QD}, {_RT} SELECT host, program, bucket, day AS log_date, today, days_seen, round(med, 6) AS median, round(mad, 6) AS mad, round(score, 6) AS score FROM rt_s",
+    "range_anomalies": f"""{_E}, {_QD}, {_RB}, {_RT}, {_RP},
+ ra AS (SELECT *, CASE WHEN today = 0 AND med >= 1 THEN 'silent' WHEN score > 0 THEN 'louder' ELSE 'quieter' END AS direction FROM rb_s WHERE med >= 1 AND (today = 0 OR abs(score) >= 2)),
+ u AS (SELECT day, host, program, 'peer' AS kind, 0 AS o, '' AS bucket, score FROM rp WHERE peers >= 5 AND n >= 3 AND score > 0 UNION ALL SELECT day, host, program, 'baseline', 1, '', score FROM ra
+  UNION ALL SELECT day, host, program, 'temporal', 2, bucket, score FROM rt_s WHERE today >= 1 AND score >= 2),
+ c AS (SELECT * FROM u WHERE host != 'host3' OR day > DATE '2024-01-20' QUALIFY row_number() OVER (PARTITION BY day, host, program ORDER BY abs(score) DESC, o, score DESC, bucket) = 1)
+ SELECT c.day AS log_date, c.host, c.program, kind, bucket, direction, round(c.score, 6) AS score FROM c LEFT JOIN ra ON ra.day = c.day AND ra.host = c.host AND ra.program = c.program""",
+    "captured_library": f"""{_F}, y AS (SELECT f.*, year(log_date) AS y FROM f), a AS (SELECT id AS old, title, y, row_number() OVER (ORDER BY y, id) AS id, dense_rank() OVER (ORDER BY y) AS run_id FROM y),
+ b AS (SELECT id, old, run_id, title, true AS first FROM a WHERE y != 1995 UNION ALL SELECT row_number() OVER (ORDER BY id) + (SELECT count(*) FROM f), id, (SELECT count(DISTINCT y) FROM y) + 1, title, false FROM y WHERE y = 1995 AND severity IN ('critical', 'high')),
+ k AS (SELECT finding_id, count(*) FILTER (flag = 'A') AS worked, count(*) FILTER (flag = 'R') AS didnt_work FROM v GROUP BY ALL), n AS (SELECT finding_id, count(*) AS n_hosts FROM h GROUP BY ALL)
+ SELECT b.id, run_id, title, coalesce(n_hosts, 0) AS n_hosts, CASE WHEN first THEN coalesce(worked, 0) ELSE 0 END AS worked, CASE WHEN first THEN coalesce(didnt_work, 0) ELSE 0 END AS didnt_work,
+ CAST(CASE WHEN first THEN 100 ELSE 50 END AS BIGINT) AS raw_lines, CAST(CASE WHEN NOT first THEN 5 END AS BIGINT) AS filtered_lines FROM b LEFT JOIN k ON k.finding_id = old LEFT JOIN n ON n.finding_id = old""",
+    "stored_votes": """WITH o AS (SELECT o_orderkey AS old, row_number() OVER (ORDER BY o_orderkey) AS id FROM orders), v AS (SELECT l_orderkey AS old, l_linenumber AS u, l_returnflag AS flag, CAST(l_shipdate AS DATE) AS day FROM lineitem WHERE l_returnflag IN ('A', 'R')
+ QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, l_returnflag DESC) = 1)
+ SELECT id AS finding_id, CAST(CASE WHEN u = 7 THEN -1 ELSE u END AS BIGINT) AS user_id, CASE flag WHEN 'A' THEN 'worked' ELSE 'didnt_work' END AS verdict, CASE WHEN u % 2 = 1 THEN 'c' || id ELSE '' END AS comment, day FROM v JOIN o USING (old)""",
+    "cached_views": f"{_E} SELECT DISTINCT program, template, CASE WHEN program < 'f' THEN 0.5 ELSE length(program) / 10 END AS score, CASE WHEN program < 'f' THEN DATE '2024-01-02' ELSE DATE '2024-01-01' END AS day FROM l",
+    "mute_hits": f"""{_PEER}, a AS (SELECT CASE WHEN host LIKE 'host1%' AND program = 'error' THEN 1 WHEN length(host) = 5 AND program LIKE 's%' THEN 3 END AS rule_id, host FROM pa), u AS (SELECT rule_id, host, 1 AS lines, 0 AS anomalies FROM l WHERE rule_id IS NOT NULL UNION ALL SELECT rule_id, host, 0, 1 FROM a WHERE rule_id IS NOT NULL)
+ SELECT CAST(rule_id AS BIGINT) AS rule_id, CAST(sum(lines) AS BIGINT) AS lines, CAST(sum(anomalies) AS BIGINT) AS anomalies, count(DISTINCT host) AS hosts FROM u GROUP BY ALL""",
+}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,9 @@ from ..functions import labels as B
 from ..functions import lines as L
 from ..operators import detect, digest, facts, filtering, library, mgmt, mutes, shapes
 from ..sources import logs
+from ..sources.store import Store
+from ..sources.versions import shared_folder
+from . import daily
 from . import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -464,3 +468,94 @@ def flat_documents(spark, d):
 def secret_masks(spark, d):
     said = F.concat(F.lit("login password="), F.col("event_id").cast("string"), F.lit(" via ftp://bob:"), F.col("event_type"), F.lit("@h/x "), F.col("props"))
     return T.table(spark, d, "events").select("event_id", L.mask_secrets(said).alias("shown"))
+
+
+DAYS = [datetime.date(2024, 1, 1) + datetime.timedelta(days=k) for k in range(30)]
+LIMITS = {"peer": {"min_count": 3}, "baseline": {"min_baseline": 1, "min_silent": 1, "threshold": 2}, "temporal": {"min_count": 1, "threshold": 2}}
+
+
+@query
+def range_baselines(spark, d):
+    """Every day of the month against its own two weeks before, in one plan."""
+    return detect.range_baseline_scores(T.counts(spark, d), DAYS).select("host", "program", "log_date", "today", "days_seen", _r("median"), _r("mad"), _r("score"))
+
+
+@query
+def range_temporal(spark, d):
+    return detect.range_temporal_scores(T.quarter_counts(spark, d), DAYS).select("host", "program", "bucket", "log_date", "today", "days_seen", _r("median"), _r("mad"), _r("score"))
+
+
+@query
+def range_anomalies(spark, d):
+    found = daily.range_anomalies(T.quarter_counts(spark, d), DAYS, [filtering.Rule(1, "host3", "*", expires=DAYS[19])], **LIMITS)
+    return found.select("log_date", "host", "program", "kind", "bucket", "direction", _r("score"))
+
+
+def _stored(spark) -> Store:
+    return Store(spark, f"{shared_folder(spark)}/library-{uuid.uuid4().hex}")
+
+
+def _yearly(spark, d):
+    """Findings as runs of a year each, in the order of their ids."""
+    hosts = T.hosts(spark, d).groupBy("finding_id").agg(F.array_sort(F.collect_list(F.struct("pos", "host"))).alias("h"))
+    held = T.findings(spark, d).join(hosts, F.col("id") == F.col("finding_id"), "left")
+    return held.select(
+        F.trunc("log_date", "year").alias("log_date"), F.col("id").alias("pos"), F.col("kind").alias("finding_kind"), "severity", "title", "service",
+        F.coalesce(F.transform("h", lambda p: p["host"]), F.array().cast("array<string>")).alias("hosts"), F.to_json(F.struct("service", "severity")).alias("payload"),
+    )
+
+
+@query
+def captured_library(spark, d):
+    """Runs of all findings by year, voted on; the run of 1995 is done again with severe ones alone, so its votes go."""
+    store, rows = _stored(spark), _yearly(spark, d)
+    years = [r.log_date for r in rows.select("log_date").distinct().collect()]
+    store.capture_days(rows, {day: (100, -1) for day in years}, "daily")
+    named = store.findings().select(F.col("id").alias("new"), F.col("pos").alias("finding_id"))
+    store.vote(T.votes(spark, d).join(named, "finding_id").select(F.col("new").alias("finding_id"), "user_id", "verdict", "comment", F.col("created_at").cast("timestamp").alias("created_at")))
+    again = datetime.date(1995, 1, 1)
+    store.capture(rows.where(F.col("log_date") == F.lit(again)).where("severity IN ('critical', 'high')"), again, "daily", 50, 5)
+    found = library.with_votes(store.findings(), store.votes())
+    sizes = store.hosts().groupBy("finding_id").agg(F.count("*").alias("n_hosts"))
+    runs = store.runs().select("run_id", "raw_lines", "filtered_lines")
+    out = found.join(sizes, F.col("id") == F.col("finding_id"), "left").join(runs, "run_id")
+    return out.select("id", "run_id", "title", F.coalesce("n_hosts", F.lit(0)).alias("n_hosts"), "worked", "didnt_work", "raw_lines", "filtered_lines")
+
+
+@query
+def stored_votes(spark, d):
+    """All votes in two rounds: odd users first, then everyone; a second vote without a comment keeps the first one's."""
+    store, rows = _stored(spark), _yearly(spark, d).withColumn("log_date", F.lit(TODAY))
+    store.capture(rows, TODAY, "daily")
+    named = store.findings().select(F.col("id").alias("new"), F.col("pos").alias("finding_id"))
+    votes = T.votes(spark, d).join(named, "finding_id").select(
+        F.col("new").alias("finding_id"), F.when(F.col("user_id") != 7, F.col("user_id")).alias("user_id"), "verdict", F.lit("").alias("comment"), F.col("created_at").cast("timestamp").alias("created_at")
+    )
+    first = votes.where("user_id IS NULL OR user_id % 2 = 1")
+    early = first.withColumns({"verdict": F.lit("worked"), "comment": F.concat(F.lit("c"), F.col("finding_id").cast("string")), "created_at": F.lit("1990-01-01").cast("timestamp")})
+    store.vote(early)
+    store.vote(votes)
+    return store.votes().select("finding_id", F.coalesce("user_id", F.lit(-1)).alias("user_id"), "verdict", "comment", F.to_date("created_at").alias("day"))
+
+
+@query
+def cached_views(spark, d):
+    """What was said of every shape, said again of those before f."""
+    store = _stored(spark)
+    tallied = shapes.tally(L.templates(T.parsed(spark, d)))
+    said = lambda score, day: tallied.select(
+        "program", "template", score.alias("score"), F.lit("m").alias("score_model"), F.lit(False).alias("refused"), F.lit(None).cast("string").alias("explanation"),
+        F.lit(None).cast("string").alias("explain_model"), F.lit(day).cast("timestamp").alias("created_at"),
+    )
+    store.save_views(said(F.length("program") / 10, "2024-01-01"))
+    store.save_views(said(F.lit(0.5), "2024-01-02").where("program < 'f'"))
+    return store.views().select("program", "template", _r("score"), F.to_date("created_at").alias("day"))
+
+
+@query
+def mute_hits(spark, d):
+    """Rules with the lines they drop and the anomalies they mute."""
+    rules = filtering.active(RULES, TODAY)
+    hits = filtering.host_hits(filtering.with_rule(T.lines(spark, d), rules))
+    found = detect.peer_anomalies(detect.pair_totals(T.counts(spark, d)), min_count=10)
+    return filtering.with_muted(hits, filtering.muted(found, rules))
