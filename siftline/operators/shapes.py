@@ -39,8 +39,8 @@ def sample(pool: DataFrame, n: int = 10, seed: int | None = None) -> DataFrame:
 BLOCK = 4096
 
 
-def placed(lines: DataFrame, *within: str) -> DataFrame:
-    """``lines`` with ``pos``: their place from 1 by ``line_no`` among those of equal ``within``.
+def placed(lines: DataFrame, *within: str, then: tuple[str, ...] = ()) -> DataFrame:
+    """``lines`` with ``pos``: their place from 1 by ``line_no``, and by ``then``, among those of equal ``within``.
 
     Places are counted in blocks of line numbers, blocks in blocks of blocks, and added to the
     counts of those before, so the lines of a busy host are no single task's; what one task sums
@@ -52,7 +52,7 @@ def placed(lines: DataFrame, *within: str) -> DataFrame:
     before = lambda order, *keys: F.coalesce(F.sum("_n").over(earlier(*keys).orderBy(order)), F.lit(0))
     upper = sizes.groupBy(*within, "_upper").agg(F.sum("_n").alias("_n")).select(*within, "_upper", before("_upper", *within).alias("_first"))
     base = sizes.withColumn("_base", before("_block", *within, "_upper")).join(upper, [*within, "_upper"]).select(*within, "_block", (F.col("_base") + F.col("_first")).alias("_base"))
-    rank = F.row_number().over(Window.partitionBy(*within, "_block").orderBy("line_no"))
+    rank = F.row_number().over(Window.partitionBy(*within, "_block").orderBy("line_no", *then))
     return tagged.withColumn("_rank", rank).join(base, [*within, "_block"]).withColumn("pos", F.col("_base") + F.col("_rank")).drop("_block", "_base", "_rank")
 
 

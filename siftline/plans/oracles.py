@@ -210,3 +210,32 @@ ORACLES |= {
     "mute_hits": f"""{_PEER}, a AS (SELECT CASE WHEN host LIKE 'host1%' AND program = 'error' THEN 1 WHEN length(host) = 5 AND program LIKE 's%' THEN 3 END AS rule_id, host FROM pa), u AS (SELECT rule_id, host, 1 AS lines, 0 AS anomalies FROM l WHERE rule_id IS NOT NULL UNION ALL SELECT rule_id, host, 0, 1 FROM a WHERE rule_id IS NOT NULL)
  SELECT CAST(rule_id AS BIGINT) AS rule_id, CAST(sum(lines) AS BIGINT) AS lines, CAST(sum(anomalies) AS BIGINT) AS anomalies, count(DISTINCT host) AS hosts FROM u GROUP BY ALL""",
 }
+
+_EMAIL = r"[0-9A-Za-z_.+%-]+@[0-9A-Za-z_-]+(?:\.[0-9A-Za-z_-]+)+"
+_REQ = f"""WITH t AS (SELECT lang AS request, doc_id AS line_no, text || ' see www.example.com or 233.1.2.3 and Mail2.Example.com, boss@mail2.example.com' AS text FROM documents),
+ m AS (SELECT request, line_no, text, regexp_extract_all(text, '{_EMAIL}') AS found FROM t), o AS (SELECT request, line_no, unnest(range(1, len(found) + 1)) AS k, unnest(found) AS email FROM m),
+ f AS (SELECT request, email, min((line_no, k)) AS first FROM o GROUP BY ALL), nr AS (SELECT request, email, row_number() OVER (PARTITION BY request ORDER BY first) AS number FROM f)"""
+_OUT = "text"
+for _real, _fake in ((r"mail2\.example\.com", "post.invalid"), (r"example\.com", "corp.invalid")):
+    _OUT = rf"regexp_replace({_OUT}, '\b{_real}\b', '{_fake}', 'gi')"
+for _real, _fake in ((r"114\.203", "172.16.3"), ("233", "10.9")):
+    _OUT = rf"regexp_replace({_OUT}, '\b{_real}\.', '{_fake}.', 'g')"
+ORACLES |= {
+    "scrub_tokens": f"{_REQ} SELECT request, number, email FROM nr",
+    # of a text with addresses the pieces between them, each followed by its token
+    "scrubbed_texts": f"""{_REQ}, n AS (SELECT request, line_no, list('<email-' || number || '>' ORDER BY o.k) AS marks FROM o JOIN nr USING (request, email) GROUP BY ALL),
+ j AS (SELECT request, line_no, array_to_string([p || coalesce(marks[i], '') FOR p, i IN regexp_split_to_array(text, '{_EMAIL}')], '') AS text FROM m JOIN n USING (request, line_no)) SELECT request, line_no, {_OUT} AS text FROM j""",
+    "restored_texts": f"{_REQ} SELECT request, line_no, replace(text, 'Mail2.Example.com', 'mail2.example.com') AS text FROM t",
+    "budget_payloads": """WITH d AS (SELECT lang, doc_id, greatest(n_chars, 1) AS n, coalesce(sum(greatest(n_chars, 1)) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM documents),
+ p AS (SELECT *, CAST(2 * (s // 2000) + CASE WHEN s // 2000 != (s + n - 1) // 2000 THEN 1 ELSE 0 END AS BIGINT) AS payload FROM d)
+ SELECT lang, payload, count(*) AS n, CAST(sum(n) AS BIGINT) AS tokens, min(doc_id) AS first, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS text FROM p GROUP BY ALL""",
+    "anomaly_payloads": f"""{_PEER}, x AS (SELECT host, program, arg_min(raw, line_no) AS example FROM l GROUP BY ALL), r AS (SELECT pa.*, example, row_number() OVER (ORDER BY round(score, 6) DESC, host, program) AS pos FROM pa LEFT JOIN x USING (host, program)),
+ tt AS (SELECT pos, (pos - 1) // 15 AS payload, ((pos - 1) % 15 + 1) || '. host=' || host || ' program=' || program || ' os_family=unix what=''Louder than its peers'' detail=''' || {_N.format("n")} || ' events vs a fleet median of '
+ || CASE WHEN med = floor(med) THEN CAST(CAST(med AS BIGINT) AS VARCHAR) ELSE printf('%.1f', med) END || ' across peer hosts.'' example=''' || example || '''' AS line FROM r)
+ SELECT CAST(payload AS BIGINT) AS payload, count(*) AS n, min(pos) AS first, string_agg(line, chr(10) ORDER BY pos) AS text FROM tt GROUP BY ALL""",
+    "issue_payloads": f"""{_F}, rr AS (SELECT *, row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, id) AS pos FROM f WHERE kind = 'issue' AND {_P}),
+ t AS (SELECT pos, (pos - 1) // 12 AS payload, '  {{' || chr(10) || '    "id": ' || id || ',' || chr(10) || '    "title": "' || title || '",' || chr(10) || '    "severity": "' || severity || '",' || chr(10) || '    "service": "' || service || '"' || chr(10) || '  }}' AS obj FROM rr)
+ SELECT CAST(payload AS BIGINT) AS payload, count(*) AS n, '[' || chr(10) || string_agg(obj, ',' || chr(10) ORDER BY pos) || chr(10) || ']' AS text FROM t GROUP BY ALL""",
+    "line_payloads": f"""WITH c AS ({ORACLES["collapse_repeats"]}), k AS (SELECT line_no, raw, (row_number() OVER (ORDER BY line_no) - 1) // 250 AS payload FROM c)
+ SELECT CAST(payload AS BIGINT) AS payload, count(*) AS n, min(line_no) AS first, string_agg(raw, chr(10) ORDER BY line_no) AS text FROM k GROUP BY ALL""",
+}

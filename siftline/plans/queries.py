@@ -6,12 +6,12 @@ import datetime
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as B
 from ..functions import lines as L
-from ..operators import detect, digest, facts, filtering, library, mgmt, mutes, shapes
+from ..operators import detect, digest, facts, filtering, library, mgmt, mutes, payloads, scrub, shapes
 from ..sources import logs
 from ..sources.store import Store
 from ..sources.versions import shared_folder
@@ -559,3 +559,60 @@ def mute_hits(spark, d):
     hits = filtering.host_hits(filtering.with_rule(T.lines(spark, d), rules))
     found = detect.peer_anomalies(detect.pair_totals(T.counts(spark, d)), min_count=10)
     return filtering.with_muted(hits, filtering.muted(found, rules))
+
+
+SWAPS = scrub.read_swaps("example.com=corp.invalid, mail2.example.com=post.invalid"), scrub.read_swaps("233=10.9, 114.203=172.16.3", prefixes=True)
+
+
+def _requests(spark, d):
+    """Documents as the texts of one request for each language; each names domains in both cases and an address."""
+    held = T.table(spark, d, "documents")
+    shown = F.concat("text", F.lit(" see www.example.com or 233.1.2.3 and Mail2.Example.com, boss@mail2.example.com"))
+    return held.select(F.col("lang").alias("request"), F.col("doc_id").alias("line_no"), shown.alias("text"))
+
+
+@query
+def scrub_tokens(spark, d):
+    return scrub.scrubbed(_requests(spark, d), *SWAPS)[1]
+
+
+@query
+def scrubbed_texts(spark, d):
+    return scrub.scrubbed(_requests(spark, d), *SWAPS)[0]
+
+
+@query
+def restored_texts(spark, d):
+    """What comes back of all texts; names of domains come back in lower case."""
+    texts, tokens = scrub.scrubbed(_requests(spark, d), *SWAPS)
+    return scrub.restored(texts, tokens, *SWAPS)
+
+
+@query
+def line_payloads(spark, d):
+    """The collapsed lines in payloads of 250."""
+    return payloads.packed(filtering.collapse(T.lines(spark, d)), payloads.LINES, "raw")
+
+
+@query
+def budget_payloads(spark, d):
+    """Documents of each language packed by their characters, 2,000 to a payload; of the texts their numbers are shown."""
+    held = T.table(spark, d, "documents").select("lang", F.col("doc_id").alias("line_no"), F.col("doc_id").cast("string").alias("name"), "n_chars")
+    return payloads.within_budget(held, 2000, "name", F.col("n_chars"), "lang", separator=",")
+
+
+@query
+def anomaly_payloads(spark, d):
+    found = detect.peer_anomalies(detect.pair_totals(T.counts(spark, d)), min_count=10)
+    rank = F.row_number().over(Window.orderBy(F.round("score", 6).desc(), "host", "program"))  # a row for each anomaly, few
+    said = found.withColumns({"line_no": rank, "os_family": F.lit("unix"), "headline": F.lit(B.PEER_HEADLINE), "summary": B.peer_summary(F.col("n"), F.col("median"))})
+    said = said.join(detect.first_examples(T.parsed(spark, d)), ["host", "program"], "left")
+    return payloads.packed(payloads.anomaly_lines(said), payloads.ANOMALIES, "line")
+
+
+@query
+def issue_payloads(spark, d):
+    """The week's issues as lists of JSON objects, twelve to a payload, most severe first."""
+    held = digest.within(T.findings(spark, d), *PERIOD).where("kind = 'issue'").withColumn("line_no", F.col("id") + F.lit(1 << 32) * L.severity_rank(F.col("severity")))
+    made = payloads.issue_json(held, ["id", "title", "severity", "service"])
+    return payloads.packed(made, payloads.ISSUES, "json", separator=",\n").select("payload", "n", F.concat(F.lit("[\n"), F.col("text"), F.lit("\n]")).alias("text"))
