@@ -3,9 +3,11 @@
 Unit vectors with cosine >= t are within squared distance 2 - 2t. After one fixed random
 rotation a vector is cut into blocks of about BLOCK dimensions; each block gets its share of
 that budget in proportion to its dimensions, and a pair within the whole budget is within the
-share of at least one block. So each block is range-joined: by cells of its first two dimensions,
-which a vector visits if its ball overlaps them, and within a cell by a window of the third
-dimension and the block's distance. Pairs left are verified with the cosine in double precision.
+share of at least one block. So each block is range-joined: its space is split by a k-d tree, whose
+cells a vector visits if its ball overlaps them, and within a cell by a window of one
+dimension and the block's distance. Trees are built from a bounded sample, and their depth follows the
+number of vectors of a label, so a cell's vectors stay about as many while labels grow. Pairs left are
+verified with the cosine in double precision.
 
 A pair is counted at the first block whose share it keeps, in the cell its partner lives in:
 so links are counted without listing or joining pairs. A task returns a row for each vector
@@ -29,8 +31,11 @@ from .components import components
 from .simhash import forest
 
 BLOCK = 8
-#: Width of a cell in radii; homes and visitors that one task compares; rows compared at once.
-SLAB, HOMES, VISITORS, AT_ONCE = 4.0, 4_000, 16_000, 256
+#: Vectors in a cell aimed at; homes and visitors that one task compares; rows compared at once.
+LEAF, HOMES, VISITORS, AT_ONCE = 1_024, 4_000, 16_000, 256
+#: Vectors that trees are built from, numbers in them, and lengths of vectors that get trees, at most;
+#: sampled vectors in a leaf at least. Beyond that depth (LEAF * SAMPLE / FEWEST vectors of a label) cells grow.
+SAMPLE, NUMBERS, LENGTHS, FEWEST = 1 << 16, 1 << 22, 8, 4
 #: Room for rounding in what selects candidates (squared distances of unit vectors).
 SLACK = 1e-7
 
@@ -53,28 +58,69 @@ def _rotated(x: np.ndarray) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)) @ _rotation(x.shape[1])
 
 
-def _place(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+def build_tree(x: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(axis, cut) of the nodes of ``depth`` levels, in heap order: the median along the axis of the largest spread."""
+    axis, cut = np.zeros((1 << depth) - 1, np.int64), np.zeros((1 << depth) - 1)
+    members = {0: np.arange(len(x))}
+    for k in range(len(axis)):
+        own = x[members[k]]
+        axis[k] = int(own.var(axis=0).argmax()) if len(own) else 0
+        cut[k] = float(np.median(own[:, axis[k]])) if len(own) else 0.0
+        left = own[:, axis[k]] <= cut[k]
+        members[2 * k + 1], members[2 * k + 2] = members[k][left], members[k][~left]
+        del members[k]
+    return axis, cut
+
+
+def trees_of(nodes: DataFrame, sizes: DataFrame, leaf: int, sample: int = SAMPLE) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
+    """The trees of the blocks of each of the commonest lengths, as deep as labels and the sample ask for."""
+    out, grain = {}, 1 << 24
+    for r in sizes.groupBy("dim").agg(F.sum("n").alias("n"), F.max("n").alias("most")).orderBy(F.desc("n"), "dim").limit(LENGTHS).collect():
+        wanted = max(1, min(sample, NUMBERS // r.dim))
+        share = min(grain, math.ceil(grain * wanted / r.n))
+        taken = nodes.where((F.col("dim") == r.dim) & (F.pmod(F.xxhash64("k1", F.lit(3)), F.lit(grain)) < share)).limit(2 * wanted).select("vec").toArrow()
+        u = _rotated(_matrix(taken.column("vec").combine_chunks(), r.dim)) if taken.num_rows else np.zeros((0, r.dim))
+        depth = max(0, min(math.ceil(math.log2(max(1, r.most / leaf))), int(math.log2(max(1, len(u) / FEWEST)))))
+        cuts = cuts_of(r.dim)
+        out[r.dim] = [build_tree(u[:, a:b], depth) for a, b in zip(cuts, cuts[1:])]
+    return out
+
+
+def route(u: np.ndarray, tree: tuple[np.ndarray, np.ndarray], depth: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, home): each row's own cell, ``depth`` levels down, and the others that its ball overlaps."""
+    axis, cut = tree
+    row, node, home, done = np.arange(len(u)), np.zeros(len(u), np.int64), np.ones(len(u), bool), []
+    for level in range(int(depth.max(initial=0)) + 1):
+        stop = (depth[row] <= level) | (node >= len(axis))
+        done.append((row[stop], node[stop], home[stop]))
+        row, node, home = row[~stop], node[~stop], home[~stop]
+        if not len(row):
+            break
+        x = u[row, axis[node]]
+        left, right, lives_left = x - radius <= cut[node], x + radius > cut[node], x <= cut[node]
+        row, node, home = (
+            np.concatenate((row[left], row[right])),
+            np.concatenate((2 * node[left] + 1, 2 * node[right] + 2)),
+            np.concatenate((home[left] & lives_left[left], home[right] & ~lives_left[right])),
+        )
+    return tuple(np.concatenate(c) for c in zip(*done))
+
+
+def _place(batches: Iterator[pa.RecordBatch], threshold: float, trees: dict) -> Iterator[pa.RecordBatch]:
     """For each block of each vector the cells (slab) it visits, with a mark on the one it lives in."""
-    for batch in batches:
-        dims = batch.column(1).to_numpy()
-        for dim in np.unique(dims):
-            rows = np.flatnonzero(dims == dim)
-            u = _rotated(_matrix(batch.column(2).take(pa.array(rows)), dim))
-            cuts, budget = cuts_of(dim), 2 - 2 * threshold
-            for b, low in enumerate(cuts[:-1]):
-                radius = math.sqrt(budget * (cuts[b + 1] - low) / dim + SLACK)
-                x, wide = u[:, [low, min(low + 1, cuts[b + 1] - 1)]], SLAB * radius
-                first, home, last = (np.floor(y / wide).astype(np.int64) for y in (x - radius, x, x + radius))
-                steps = (last - first).max(axis=0, initial=0)
-                for step in np.ndindex(*(steps + 1)):
-                    at = np.flatnonzero((first + step <= last).all(axis=1))
-                    cell = first[at] + step
-                    # a place along a dimension is less than 2**15 cells from the middle, as vectors have length 1
-                    name = (cell[:, 0] + (1 << 15) << 16) + cell[:, 1] + (1 << 15)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(rows[at])), pa.array(np.full(len(at), b)), pa.array(name), pa.array((cell == home[at]).all(axis=1))],
-                        ["nid", "block", "slab", "home"],
-                    )
+    for whole in batches:
+        for low in range(0, len(whole), 1024):
+            batch = whole.slice(low, 1024)
+            dims = batch.column(1).to_numpy()
+            for dim in np.unique(dims):
+                rows = np.flatnonzero(dims == dim)
+                u, depth = _rotated(_matrix(batch.column(2).take(pa.array(rows)), dim)), batch.column(3).to_numpy()[rows]
+                cuts, budget = cuts_of(dim), 2 - 2 * threshold
+                for b, (a, z) in enumerate(zip(cuts, cuts[1:])):
+                    radius = math.sqrt(budget * (z - a) / dim + SLACK)
+                    tree = trees[dim][b] if dim in trees else (np.zeros(0, np.int64), np.zeros(0))
+                    at, cell, home = route(u[:, a:z], tree, depth, radius)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[at])), pa.array(np.full(len(at), b)), pa.array(cell), pa.array(home)], ["nid", "block", "slab", "home"])
 
 
 def _linked(threshold: float):
@@ -88,7 +134,7 @@ def _linked(threshold: float):
         u, cuts = x @ _rotation(dim), cuts_of(dim)
         share = (2 - 2 * threshold) * np.diff(cuts) / dim
         own = slice(cuts[b], cuts[b + 1])
-        second = u[:, min(cuts[b] + 2, cuts[b + 1] - 1)]
+        second = u[:, cuts[b]]
         home, visit = (r[np.argsort(second[r], kind="stable")] for r in (np.flatnonzero(role != 0), np.flatnonzero(role != 1)))
         radius = math.sqrt(share[b] + SLACK)
         uh, size = u[home, own], (u[:, own] ** 2).sum(axis=1)
@@ -145,8 +191,11 @@ def embedding_groups(
         each.where("fit").groupBy(*keys).agg(F.min("id").alias("nid"), F.count("*").alias("times"), F.any_value("v").alias("vec")).withColumn("dim", F.size("vec")),
         "nodes",
     )
-    plain = nodes.select("nid", "dim", "vec")
-    placed = plain.mapInArrow(lambda batches: _place(batches, threshold), "nid long, block long, slab long, home boolean")
+    counts = materialise(nodes.groupBy("label", "dim").agg(F.count("*").alias("n")), "counts")
+    trees = trees_of(nodes, counts, LEAF)
+    deep = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / LEAF))).cast("int").alias("depth")
+    plain = nodes.join(counts, ["label", "dim"]).select("nid", "dim", "vec", deep)
+    placed = plain.mapInArrow(lambda batches: _place(batches, threshold, trees), "nid long, block long, slab long, home boolean")
     placed = placed.join(nodes.select("nid", "label", "dim"), "nid")
     where = ["label", "dim", "block", "slab"]
     sizes = placed.groupBy(*where).agg(

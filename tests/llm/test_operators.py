@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -373,8 +374,9 @@ def plain_links(rows, threshold=0.98):
     return out
 
 
-@pytest.mark.parametrize("homes,visitors", [(embedding.HOMES, embedding.VISITORS), (16, 24)])
-def test_embedding_groups(spark, small, monkeypatch, homes, visitors):
+@pytest.mark.parametrize("homes,visitors,leaf", [(embedding.HOMES, embedding.VISITORS, embedding.LEAF), (16, 24, 8)])
+def test_embedding_groups(spark, small, monkeypatch, homes, visitors, leaf):
+    monkeypatch.setattr(embedding, "LEAF", leaf)
     monkeypatch.setattr(embedding, "HOMES", homes)
     monkeypatch.setattr(embedding, "VISITORS", visitors)
     rng = np.random.default_rng(4)
@@ -565,3 +567,25 @@ def test_queries_against_their_sql(spark, name):
         order = [names.index(c) for c in columns]
         want = Counter(tuple(r[k] for k in order) for r in frame.fetchall())
     assert Counter(map(tuple, got.select(*columns).collect())) == want
+
+
+def test_cells_shrink_as_vectors_grow_in_number():
+    """Every close pair meets in a cell where one of them lives, and pairs per square of the number fall."""
+    rng, rates = np.random.default_rng(8), []
+    for n in (2_000, 8_000, 32_000):
+        u = embedding._rotated(rng.standard_normal((n, 64)))
+        depth = max(0, math.ceil(math.log2(n / embedding.LEAF)))
+        radius, pairs = math.sqrt(0.04 * 8 / 64 + embedding.SLACK), 0
+        for a in range(0, 64, 8):
+            tree = embedding.build_tree(u[: 1 << 14, a : a + 8], depth)
+            row, cell, home = embedding.route(u[:, a : a + 8], tree, np.full(n, depth), radius)
+            assert home.sum() == n and len(np.unique(row[home])) == n
+            pairs += int(np.bincount(cell[home], minlength=cell.max() + 1) @ np.bincount(cell))
+        rates.append(pairs / n**2)
+    assert rates[0] > 1.5 * rates[1] > 1.5**2 * rates[2]
+    x = embedding._rotated(np.repeat(rng.standard_normal((200, 64)), 3, axis=0) + 0.05 * rng.standard_normal((600, 64)))[:, :8]
+    tree = embedding.build_tree(x, 6)
+    row, cell, home = embedding.route(x, tree, np.full(600, 6), 0.1)
+    lives, visits = dict(zip(row[home], cell[home])), set(zip(row, cell))
+    i, j = np.nonzero(((x[:, None] - x[None]) ** 2).sum(axis=2) <= 0.01)
+    assert len(i) > 600 and all((a, lives[b]) in visits for a, b in zip(i, j))
