@@ -1,12 +1,16 @@
 """Chat formatting in budgeted windows.
 
-A conversation is cut into windows by prefix sums of its turns' tokens: turns that lie within
-one stretch of ``budget`` tokens make a span, a turn that crosses into the next stretch is a span
-of its own. No span holds more than the budget but a single turn that is larger. A window is
-its span, before it the system turn and up to ``history`` tokens of the turns just before,
-which are repeats and are masked; each assistant turn is a target in exactly one window.
-
-Prefix sums are made in two levels (within blocks of turns, and over the blocks' totals), so a
+A window is a span of new turns, before it the system turn and, as far as the budget allows, up to
+``history`` tokens of the turns just before, which are repeats and are masked; each assistant
+turn is a target in exactly one window. A span has the budget less the system turn and the
+history, and ends only where the next turn doesn't fit, so a window exceeds the budget only if its
+system turn and one other turn do by themselves.
+
+Where a span ends depends on where it began, which would make a conversation one long chain. So turns go in
+blocks: what a block does to each number of tokens that an open span can bring along is worked
+out for all blocks at once, the blocks' answers are followed from the conversation's start (a row
+per block), and then each block is cut by itself. Prefix sums, which tell what is near enough to
+repeat, are made in two levels as well (within blocks, and over the blocks' totals). So a
 very long conversation is no single task's until its windows are read back for a digest, one
 after another.
 """
@@ -17,6 +21,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -31,7 +36,7 @@ TURN, HEAD = "[TURN]", "[/TURN]"
 _CONTROL = "|".join(map(re.escape, (BEGIN, END, OPEN, CLOSE, TURN, HEAD)))
 _ESCAPE = re.compile(rf"\\|{_CONTROL}")
 _SCAN = re.compile(rf"\\(\\|{_CONTROL})|({_CONTROL})")
-#: Tokens in a span, tokens of repeated history, turns in a block of the prefix sums.
+#: Tokens in a window, tokens of repeated history, turns in a block.
 BUDGET, HISTORY, BLOCK = 512, 128, 1024
 ROLES = ("system", "user", "assistant")
 
@@ -90,20 +95,93 @@ def words_and_marks(text: Column) -> Column:
     return F.size(F.split(F.trim(text), r"\s+")).cast("long") + 4
 
 
-def spans(turns: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """``turns`` (conv, pos, n_tokens, ...) with ``before`` (tokens of earlier turns) and ``span``."""
-    block = F.floor(F.col("pos") / BLOCK)
+def _followed(sizes: list[int], room: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each number of tokens, 0 to ``room``, in the open span before a block: (their number after it, place of the last span's first turn or -1)."""
+    held, first = np.arange(room + 1), np.full(room + 1, -1)
+    for k, n in enumerate(sizes):
+        new = (held == 0) | (held + n > room)
+        first[new] = k
+        held = np.minimum(np.where(new, n, held + n), room)
+    return held, first
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The sorted rows of a task, one run of equal first ``keys`` columns after another."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        columns = [batch.column(c).to_numpy() for c in range(keys)]
+        cuts = [0, *(np.flatnonzero(np.any([x[1:] != x[:-1] for x in columns], axis=0)) + 1).tolist(), len(batch)] if len(batch) else [0]
+        for low, high in zip(cuts, cuts[1:]):
+            part = batch.slice(low, high - low)
+            if held and any(held[-1].column(c)[-1].as_py() != part.column(c)[0].as_py() for c in range(keys)):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _block_functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for table in _runs(batches, 2):
+        conv, block, room = (table.column(c)[0].as_py() for c in ("conv", "block", "room"))
+        held, first = _followed(table.column("n_tokens").to_pylist(), room)
+        pos = table.column("pos").to_numpy()
+        first = np.where(first >= 0, pos[first], -1)
+        yield pa.RecordBatch.from_arrays([pa.array([conv]), pa.array([block]), pa.array([held.astype(np.int32)]), pa.array([first])], ["conv", "block", "held", "first"])
+
+
+def _followed_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(conv, block, held, first): the open span before each block, its tokens and first turn."""
+    conv, held, first = None, 0, -1
+    for batch in batches:
+        out = []
+        for c, block, after, starts in zip(*(batch.column(k) for k in range(4))):
+            if c.as_py() != conv:
+                conv, held, first = c.as_py(), 0, -1
+            out.append((conv, block.as_py(), held, first))
+            begun = starts.values[held].as_py()
+            held, first = after.values[held].as_py(), begun if begun >= 0 else first
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, kinds)], ["conv", "block", "held", "first"])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with ``span``: the place of the first turn of the span that each turn is in."""
+    now, held, first = None, 0, -1
+    for batch in batches:
+        spans = []
+        for c, b, pos, n, room, h, f in zip(*(batch.column(k).to_pylist() for k in ("conv", "block", "pos", "n_tokens", "room", "held", "first"))):
+            if (c, b) != now:
+                now, held, first = (c, b), h, f
+            if not held or held + n > room:
+                held, first = 0, pos
+            held = min(held + n, room)
+            spans.append(first)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, pa.int64())], [*batch.schema.names, "span"])
+
+
+def spans(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+    """``turns`` (conv, pos, role, text, n_tokens) with ``before`` (tokens of earlier turns), ``lead`` (tokens of the conversation's system turn) and ``span``."""
     within = Window.partitionBy("conv", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    tagged = turns.withColumn("block", block)
+    tagged = turns.withColumn("block", F.floor(F.col("pos") / BLOCK))
     sums = tagged.groupBy("conv", "block").agg(F.sum("n_tokens").alias("total"))
     earlier = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("conv", "block", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
-    joined = tagged.withColumn("inner", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(sums, ["conv", "block"])
-    before = F.col("base") + F.col("inner")
-    last = F.greatest(before, before + F.col("n_tokens") - 1)
-    low, high = F.floor(before / budget), F.floor(last / budget)
-    # even: a stretch's own turns; odd: the turn that crosses its end
-    return joined.withColumn("before", before).withColumn("span", 2 * low + (low != high).cast("int")).drop("block", "inner", "base")
+    system = turns.where("role = 'system'").groupBy("conv").agg(F.min_by("n_tokens", "pos").alias("lead"))
+    sums = sums.withColumn("base", F.coalesce(F.sum("total").over(earlier), F.lit(0))).join(system, "conv", "left")
+    lead = F.coalesce("lead", F.lit(0))
+    sums = materialise(sums.select("conv", "block", "base", lead.alias("lead"), F.greatest(F.lit(1), F.lit(budget) - lead - history).alias("room")), "blocks")
+    # conversations of one block begin with no open span; of the others each block's function is worked out
+    long = sums.where("block > 0").select("conv").distinct()
+    functions = tagged.select("conv", "block", "pos", "n_tokens").join(long, "conv", "left_semi").join(sums, ["conv", "block"]).select("conv", "block", "pos", "n_tokens", "room")
+    functions = functions.repartition("conv", "block").sortWithinPartitions("conv", "block", "pos").mapInArrow(_block_functions, "conv long, block long, held array<int>, first array<long>")
+    opens = functions.repartition("conv").sortWithinPartitions("conv", "block").mapInArrow(_followed_blocks, "conv long, block long, held long, first long")
+    sums = sums.join(materialise(opens, "opens"), ["conv", "block"], "left").fillna(0, ["held"]).fillna(-1, ["first"])
+    # one shuffle serves the window, the join and the cut
+    joined = tagged.repartition("conv", "block").withColumn("inner", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(sums, ["conv", "block"])
+    names = ["conv", "block", "pos", "role", "text", "n_tokens", "room", "held", "first", "lead"]
+    each = joined.select(*names, (F.col("base") + F.col("inner")).alias("before")).sortWithinPartitions("conv", "block", "pos")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in each.schema.fields)
+    return each.mapInArrow(thrifty(_cut), f"{kinds}, span long").select("conv", "pos", "role", "text", "n_tokens", "lead", "before", "span")
 
 
 def windows(
@@ -112,7 +190,7 @@ def windows(
 ) -> DataFrame:
     """(conv_col, window, first_pos, repeats, formatted, mask): the training windows.
 
-    ``window`` numbers spans from the conversation's start (numbers may be left out);
+    ``window`` is the place of its first new turn in the conversation, from 0;
     ``repeats``: how many turns at the window's front were in an earlier one; ``mask``: (start,
     end) in code points of ``formatted``, of each new assistant text. Turns are ordered by turn,
     then role and text (nulls first), so ties and repeated rows have a fixed order and all are
@@ -136,18 +214,20 @@ def windows(
     placed = placed.join(sizes, placed["conv"].eqNullSafe(sizes["c"]) & (placed["shelf"] == sizes["s"]))
     placed = placed.withColumn("pos", F.col("base") + F.col("rank")).select(F.coalesce("conv", F.lit(-(1 << 63))).alias("conv"), "pos", "role", "text", "n_tokens")
     # read five times from here on, so worked out once
-    turns = materialise(spans(placed, budget), "turns")
+    turns = materialise(spans(placed, budget, history), "turns")
 
-    begins = turns.groupBy("conv", "span").agg(F.min("pos").alias("first_pos"), F.min("before").alias("start"))
+    begins = turns.groupBy("conv", "span").agg(F.min("pos").alias("first_pos"), F.min("before").alias("start"), F.sum("n_tokens").alias("tokens"), F.any_value("lead").alias("lead"))
+    # what system turn and span leave of the budget, for what is repeated
+    begins = begins.withColumn("room", F.greatest(F.lit(0), F.least(F.lit(history), F.lit(budget) - F.col("lead") - F.col("tokens"))))
     system = turns.where("role = 'system'").groupBy("conv").agg(F.min_by(F.struct("pos", "role", "text"), "pos").alias("sys"))
     # a turn is history of a later span if what lies between its start and the span's is small
-    # enough; spans hold as many tokens as they do turns, so few spans can be near enough
+    # enough; two spans in a row hold more than the budget leaves, so few spans can be near enough
     own = turns.select("conv", "span", F.struct("pos", "role", "text", F.lit(False).alias("repeat")).alias("t"))
     past = turns.select("conv", "pos", "role", "text", F.col("before").alias("b"), F.col("span").alias("of"))
     stretch = F.sequence(F.floor(F.col("b") / budget), F.floor((F.col("b") + history) / budget))
     past = past.withColumn("cell", F.explode(stretch))
     later = begins.withColumn("cell", F.floor(F.col("start") / budget))
-    past = past.join(later, ["conv", "cell"]).where((F.col("of") < F.col("span")) & (F.col("b") >= F.col("start") - history))
+    past = past.join(later, ["conv", "cell"]).where((F.col("of") < F.col("span")) & (F.col("b") >= F.col("start") - F.col("room")))
     past = past.select("conv", "span", F.struct("pos", "role", "text", F.lit(True).alias("repeat")).alias("t"))
     lead = begins.join(system, "conv").where(F.col("sys.pos") < F.col("first_pos"))
     lead = lead.select("conv", "span", F.struct("sys.pos", "sys.role", "sys.text", F.lit(True).alias("repeat")).alias("t"))

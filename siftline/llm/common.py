@@ -7,6 +7,7 @@ import gc
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -59,18 +60,38 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     finally:
         for name, value in before.items():
             spark.conf.set(name, value) if value else spark.conf.unset(name)
+    _WRITTEN.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._siftline_path = path
     return out
 
 
+#: Paths of ``materialise``, in order, of tables that may still be there.
+_WRITTEN: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes, when left without an error, the tables written meanwhile, but those put in the list that it gives."""
+    before, kept = len(_WRITTEN), []
+    yield kept
+    held = {getattr(df, "_siftline_path", None) for df in kept}
+    for path in _WRITTEN[before:]:
+        if path not in held:
+            _delete(spark, path)
+    _WRITTEN[before:] = [path for path in _WRITTEN[before:] if path in held]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release(df: DataFrame) -> None:
     """Delete a table of ``materialise`` that no later plan reads."""
     path = getattr(df, "_siftline_path", None)
     if path:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
 
 
 def small(df: DataFrame, most: int = SMALL) -> DataFrame:

@@ -33,6 +33,18 @@ def _rounds(k: int = 16, rounds: int = 3) -> str:
 
 
 ORACLES: dict[str, str] = {
+    # every place of 200 bytes, as hex digits; a run of places at most 200 apart is a removed stretch
+    "op4_suffix_array_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM d)),
+ r AS (SELECT doc_id, i FROM w WHERE s IN (SELECT s FROM w GROUP BY s HAVING count(*) > 1)),
+ g AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM r),
+ k AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM g),
+ t AS (SELECT doc_id, n, min(i) AS a, max(i) + 200 AS z FROM k GROUP BY ALL),
+ l AS (SELECT doc_id, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z FROM t GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(list_sum(z) - list_sum(a), 0) AS BIGINT) AS n_removed, CAST(coalesce(len(a), 0) AS BIGINT) AS n_spans,
+ sha256(unhex(CASE WHEN a IS NULL THEN h ELSE array_to_string([substr(h, 2 * p[1] + 1, 2 * (p[2] - p[1])) FOR p IN list_zip(list_prepend(0, z), list_append(a, len(h) // 2))], '') END)) AS kept_sha256
+ FROM d LEFT JOIN l ON l.doc_id = d.doc_id""",
     # of equal payloads the largest page is the response; base32 of the SHA-1, 5 bits a letter
     "op5_warc_segments": r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),

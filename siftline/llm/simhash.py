@@ -1,23 +1,23 @@
 """SimHash near-duplicates: fingerprints, and vantage-point trees that find all close pairs.
 
-Two fingerprints within ``max_bits`` of each other agree to ``radius`` bits on at least one
-of ``n_blocks`` disjoint groups of bits (pigeonhole), so a vantage-point tree is kept for each
-group, over the Hamming distance of that group alone: its balls are small, which makes the
-triangle bounds tight. A node has a vantage point v and a split s; a fingerprint lives left
-if d(v) <= s, else right, and a search visits left if d(v) - radius <= s and right if
-d(v) + radius > s. What no bound rules out is compared exactly over all 64 bits.
-
-The upper levels of the trees are built on the driver from a bounded sample, which only sets how
-even the shards are; below them a node's vantage point is a hash of its place, so tasks know
-trees of any depth, and the depth follows the number of fingerprints. Every distinct fingerprint is routed by
-the tasks to one shard and to all shards that its ball overlaps. A shard with many rows is
+The 64 bits are cut into ``max_bits`` + 2 blocks. Two fingerprints that differ in at most ``max_bits``
+bits agree in full on two blocks at least, so there is a table for each pair of blocks, and a
+fingerprint is in one part of each table, the one of its bits in those blocks: 15 copies for 4 bits,
+whatever their number. A part that is larger than a shard is divided by a vantage-point tree over
+the Hamming distance. A node has a vantage point v and a split s; a fingerprint lives left if
+d(v) <= s, else right, and a search visits left if d(v) - max_bits <= s and right if d(v) + max_bits
+> s: branches that the triangle inequality rules out are pruned, and shards whose boundary the ball
+overlaps are visited. What no bound rules out is compared exactly over all 64 bits.
+
+A node's vantage point is a hash of its place, so tasks know trees of any depth, and a part's depth
+follows the number of its fingerprints. A shard that stays large is
 dealt out in blocks of homes against blocks of visitors, so no task holds a whole shard. Each
-block returns a spanning forest of its links and not all its pairs.
+task returns a spanning forest of its links and not all its pairs.
 """
 
 from __future__ import annotations
 
-import math
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,17 +26,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mixed, thrifty
+from .common import materialise, mixed, small, thrifty
 from .components import components
 
 SEED = 42
-#: Fingerprints that the trees are built from, fingerprints in a shard aimed at, and the levels
-#: that are built from the sample; further ones need none.
-SAMPLE, LEAF, BUILT = 20_000, 512, 10
-#: Homes and visitors that one block compares.
+#: Homes and visitors that one block compares, and homes of a shard aimed at.
 HOMES, VISITORS = 4_096, 65_536
 #: Pairs compared at once within a task.
 AT_ONCE = 1 << 19
+#: Members of a part up to which parts are compared side by side, neighbours by neighbours.
+FEW = 32
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -81,58 +80,35 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return chosen.mapInArrow(thrifty(run), "id long, fp long")
 
 
-def blocks_of(max_bits: int) -> tuple[int, int]:
-    """(number of bit groups, radius within a group) whose pigeonhole covers ``max_bits``."""
-    if max_bits <= 1:
-        return max_bits + 1, 0
-    return max_bits // 2 + 1, 1
+def tables_of(max_bits: int) -> list[int]:
+    """The masks of the tables: each pair of ``max_bits`` + 2 blocks of the 64 bits, on one of which close fingerprints agree in full."""
+    cuts = [round(64 * k / (max_bits + 2)) for k in range(max_bits + 3)]
+    blocks = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
+    return [a | b for a, b in itertools.combinations(blocks, 2)]
 
 
-def masks_of(n_blocks: int) -> list[int]:
-    cuts = [round(64 * k / n_blocks) for k in range(n_blocks + 1)]
-    return [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
+def route(fp: np.ndarray, part: np.ndarray, depth: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shard, home): the shard of its part's tree that each row lives in, and the others that its ball overlaps.
 
-
-def build_tree(sample: np.ndarray, mask: int, depth: int, seed: int) -> dict[str, np.ndarray]:
-    """Heap-ordered vantage points and splits of the first BUILT levels of a tree of ``depth``."""
-    rng = np.random.default_rng(seed)
-    size = (1 << min(depth, BUILT)) - 1
-    point, split = np.zeros(size, np.uint64), np.full(size, -1, np.int64)
-    members = {0: sample & np.uint64(mask)}
-    for k in range(size):
-        own = members.pop(k)
-        point[k] = own[rng.integers(len(own))] if len(own) else rng.integers(0, 1 << 63, dtype=np.uint64) & np.uint64(mask)
-        far = np.bitwise_count(own ^ point[k]).astype(np.int64)
-        if len(own):
-            share = np.cumsum(np.bincount(far, minlength=65)) / len(own)
-            split[k] = int(np.argmin(np.abs(share - 0.5)))
-        else:
-            split[k] = bin(mask).count("1") // 2
-        members[2 * k + 1], members[2 * k + 2] = own[far <= split[k]], own[far > split[k]]
-    return {"mask": np.uint64(mask), "point": point, "split": split, "depth": depth, "seed": seed}
-
-
-def vantage(tree: dict, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(points, splits) of nodes: the built ones', else hashes of their places and half the bits."""
-    if not len(node) or node[0] < len(tree["point"]):  # all nodes of a call are of one level
-        return tree["point"][node], tree["split"][node]
-    point = mixed(node.astype(np.uint64) + (np.uint64(tree["seed"] + 1) << np.uint64(48))) & tree["mask"]
-    return point, np.full(len(node), int(tree["mask"]).bit_count() // 2)
-
-
-def route(fp: np.ndarray, tree: dict, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, leaf, home): each row's leaf (home True), and the others its ball overlaps."""
-    row, node, home = np.arange(len(fp)), np.zeros(len(fp), np.int64), np.ones(len(fp), bool)
-    for _ in range(tree["depth"]):
-        point, split = vantage(tree, node)
-        far = np.bitwise_count((fp[row] ^ point) & tree["mask"]).astype(np.int64)
-        left, right, lives_left = far - radius <= split, far + radius > split, far <= split
+    ``part``: a number for each row's part, which makes its vantage points. A part's bits are equal, so
+    distances are those of the others: about half of 64 less the part's bits.
+    """
+    row, node, home, done = np.arange(len(fp)), np.zeros(len(fp), np.int64), np.ones(len(fp), bool), []
+    for level in range(int(depth.max(initial=0)) + 1):
+        stop = depth[row] <= level
+        done.append((row[stop], node[stop], home[stop]))
+        row, node, home = row[~stop], node[~stop], home[~stop]
+        if not len(row):
+            break
+        point = mixed(part[row] + mixed(node.astype(np.uint64) + np.uint64(1)))
+        far = np.bitwise_count(fp[row] ^ point).astype(np.int64)
+        left, right, lives_left = far - radius <= 31, far + radius > 31, far <= 31
         row, node, home = (
             np.concatenate((row[left], row[right])),
             np.concatenate((2 * node[left] + 1, 2 * node[right] + 2)),
             np.concatenate((home[left] & lives_left[left], home[right] & ~lives_left[right])),
         )
-    return row, node - ((1 << tree["depth"]) - 1), home
+    return tuple(np.concatenate(c) for c in zip(*done))
 
 
 def forest(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -171,86 +147,108 @@ def close_pairs(homes: np.ndarray, visitors: np.ndarray, max_bits: int) -> Itera
             yield v[near_first] + at, h[near_first]
 
 
-def near_links(nodes: DataFrame, max_bits: int = 4, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
+_PART = ["part", "key", "shard", "hb", "vb"]
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The sorted rows of a task in tables that cut no group of equal _PART, each of some thousands of rows or one group."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        columns = [batch.column(c).to_numpy() for c in _PART]
+        new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in columns], axis=0)) + 1
+        last = int(new[-1]) if len(new) else 0
+        first = [held[-1].column(c)[-1].as_py() for c in _PART] if held else None
+        if held and first != [x[0] for x in columns] and not last:
+            yield pa.Table.from_batches(held)
+            held = [batch]
+        elif last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = [batch.slice(last)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _linked(max_bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches):
+            fp, rep, role = (table.column(c).to_numpy() for c in ("fp", "rep", "role"))
+            fp = fp.view(np.uint64)
+            keys = [table.column(c).to_numpy() for c in _PART]
+            starts = np.concatenate(([0], np.flatnonzero(np.any([x[1:] != x[:-1] for x in keys], axis=0)) + 1, [len(fp)]))
+            sizes = np.diff(starts)
+            names, first, at = np.unique(fp, return_index=True, return_inverse=True)
+            parent, name = np.arange(len(names)), rep[first]
+            u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+            def joined(a: np.ndarray, b: np.ndarray) -> None:
+                used = forest(parent, a, b)
+                u.append(a[used]), v.append(b[used])
+
+            # small groups side by side: each row with the k-th after it in its group
+            end = np.repeat(starts[1:], sizes)
+            rows = np.flatnonzero((np.repeat(sizes, sizes) <= FEW) & (np.repeat(sizes, sizes) > 1))
+            for k in range(1, FEW):
+                rows = rows[rows + k < end[rows]]
+                if not len(rows):
+                    break
+                near = (np.bitwise_count(fp[rows] ^ fp[rows + k]) <= max_bits) & (role[rows] + role[rows + k] >= 1) & (fp[rows] != fp[rows + k])
+                joined(at[rows[near]], at[rows[near] + k])
+            for g in np.flatnonzero(sizes > FEW):
+                own = slice(starts[g], starts[g + 1])
+                h, w = np.unique(at[own][role[own] != 0]), np.unique(at[own][role[own] != 1])
+                for a, b in close_pairs(names[h], names[w], max_bits):
+                    joined(w[a], h[b])
+            yield pa.RecordBatch.from_arrays([pa.array(name[np.concatenate(u)]), pa.array(name[np.concatenate(v)])], ["u", "v"])
+
+    return run
+
+
+def near_links(nodes: DataFrame, max_bits: int = 4, homes: int = HOMES) -> DataFrame:
     """(u, v): links that span, with no others, all links between fingerprints of ``nodes``.
 
     ``nodes`` has distinct ``fp`` and their ``rep``. Any two fingerprints that differ in at
-    most ``max_bits`` bits are connected through the pairs returned, each of which differs in
-    no more. Close pairs are taken before others. One or no rows: an empty table.
+    most ``max_bits`` bits (62 at most) are connected through the pairs returned, each of which differs in
+    no more. Close pairs of large parts are taken before others. One or no rows: an empty table.
     """
-    n_blocks, radius = blocks_of(max_bits)
-    total = nodes.count()
-    depth = max(0, math.ceil(math.log2(max(1, total) / leaf)))
-    grain = 1 << 24
-    taken = nodes.where(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(grain)) < min(grain, math.ceil(grain * sample / max(1, total))))
-    seen = np.array([r.fp for r in taken.select("fp").toLocalIterator()], np.int64).view(np.uint64)
-    trees = [build_tree(seen, mask, depth, seed=k) for k, mask in enumerate(masks_of(n_blocks))]
-    n_leaves = 1 << depth
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for k, tree in enumerate(trees):
-                _, at, home = route(fp, tree, radius)
-                leaf_of, place = np.unique(at, return_inverse=True)
-                homes = np.bincount(place[home], minlength=len(leaf_of))
-                yield pa.RecordBatch.from_arrays([pa.array(leaf_of + k * n_leaves), pa.array(homes), pa.array(np.bincount(place, minlength=len(leaf_of)))], ["leaf", "homes", "visits"])
-
-    counted = nodes.select("fp").mapInArrow(tally, "leaf long, homes long, visits long")
-    counted = counted.groupBy("leaf").agg(F.sum("homes").alias("homes"), F.sum("visits").alias("visits"))
-    # only shards over the size of a block are told to tasks; as depth follows the data they are few
-    large = sorted((r.leaf, -(-r.homes // HOMES) or 1, -(-r.visits // VISITORS) or 1) for r in counted.where((F.col("homes") > HOMES) | (F.col("visits") > VISITORS)).collect())
-    large = np.array(large, np.int64).reshape(-1, 3)
-
-    def parts_of(leaf_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Blocks of homes and of visitors of each shard."""
-        out = np.ones((2, len(leaf_of)), np.int64)
-        if len(large):
-            place = np.minimum(np.searchsorted(large[:, 0], leaf_of), len(large) - 1)
-            held = large[place, 0] == leaf_of
-            out[:, held] = large[place[held], 1:].T
-        return out[0], out[1]
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            all_fp, all_rep = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            for low in range(0, len(all_fp), 2048):
-                fp, rep = all_fp[low : low + 2048], all_rep[low : low + 2048]
-                for k, tree in enumerate(trees):
-                    row, at, home = route(fp.view(np.uint64), tree, radius)
-                    at = at + k * n_leaves
-                    spread = (fp[row].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-                    for as_home in (True, False):
-                        pick = home if as_home else np.ones(len(at), bool)
-                        r, leaf_of, m = row[pick], at[pick], spread[pick].astype(np.int64)
-                        n_homes, n_visits = parts_of(leaf_of)
-                        own, other = (n_homes, n_visits) if as_home else (n_visits, n_homes)
-                        mine = m % own
-                        again = np.repeat(np.arange(len(r)), other)
-                        theirs = np.arange(len(again)) - np.repeat(np.cumsum(other) - other, other)
-                        hb, vb = (mine[again], theirs) if as_home else (theirs, mine[again])
-                        r, leaf_of = r[again], leaf_of[again]
-                        block = (leaf_of << 32) | (hb << 16) | vb
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(block), pa.array(np.full(len(r), as_home)), pa.array(fp[r]), pa.array(rep[r])],
-                            ["block", "home", "fp", "rep"],
-                        )
-
-    def link(table: pa.Table) -> pa.Table:
-        home = table.column("home").to_numpy()
-        fp, rep = table.column("fp").to_numpy().view(np.uint64), table.column("rep").to_numpy()
-        nodes_here, first, at = np.unique(fp, return_index=True, return_inverse=True)
-        parent, name = np.arange(len(nodes_here)), rep[first]
-        h, v = np.unique(at[home]), np.unique(at[~home])
-        u, w = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for a, b in close_pairs(nodes_here[h], nodes_here[v], max_bits):
-            a, b = v[a], h[b]
-            used = forest(parent, a, b)
-            u.append(a[used]), w.append(b[used])
-        return pa.table({"u": pa.array(name[np.concatenate(u)]), "v": pa.array(name[np.concatenate(w)])})
-
-    dealt = nodes.select("fp", "rep").mapInArrow(deal, "block long, home boolean, fp long, rep long")
-    return dealt.groupBy("block").applyInArrow(link, "u long, v long")
+    masks = tables_of(max_bits)
+    tables = F.array(*[F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for k, m in enumerate(masks)])
+    placed = nodes.select("fp", "rep", F.explode(tables).alias("t")).select("fp", "rep", "t.part", "t.key")
+    # parts and shards larger than a block: a row for some thousands of fingerprints at most
+    sizes = placed.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > homes)
+    sizes = materialise(sizes.select("part", "key", F.ceil(F.log2(F.col("n") / homes)).cast("int").alias("depth")), "parts")
+    plain = placed.select("part", "key", F.lit(0).cast("long").alias("shard"), F.lit(0).alias("hb"), F.lit(0).alias("vb"), F.lit(2).alias("role"), "fp", "rep")
+    if not sizes.isEmpty():
+        sizes = small(sizes)
+
+        def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for low in range(0, len(whole), 2048):
+                    batch = whole.slice(low, 2048)
+                    part, key, depth, fp = (batch.column(c).to_numpy() for c in (0, 1, 2, 3))
+                    seed = mixed(key.view(np.uint64) + mixed(part.astype(np.uint64)))
+                    row, shard, home = route(fp.view(np.uint64), seed, depth, max_bits)
+                    took = batch.take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([took.column(0), took.column(1), pa.array(shard), pa.array(home), took.column(3), took.column(4)], ["part", "key", "shard", "home", "fp", "rep"])
+
+        deep = placed.join(sizes, ["part", "key"]).select("part", "key", "depth", "fp", "rep").mapInArrow(routed, "part int, key long, shard long, home boolean, fp long, rep long")
+        keys = ["part", "key", "shard"]
+        large = deep.groupBy(*keys).agg(F.count_if("home").alias("nh"), F.count("*").alias("nv")).where((F.col("nh") > homes) | (F.col("nv") > VISITORS))
+        large = materialise(large.select(*keys, F.greatest(F.lit(1), F.ceil(F.col("nh") / homes)).cast("int").alias("nh"), F.ceil(F.col("nv") / VISITORS).cast("int").alias("nv")), "shards")
+        held = deep.join(small(large), keys, "left").fillna(1, ["nh", "nv"])
+        mine = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
+        role = lambda h, w, r: F.struct(h.cast("int").alias("hb"), w.cast("int").alias("vb"), F.lit(r).alias("role"))
+        as_home = F.transform(F.sequence(F.lit(0), F.col("nv") - 1), lambda w: role(mine("nh"), w, 1))
+        as_visitor = F.transform(F.sequence(F.lit(0), F.col("nh") - 1), lambda h: role(h, mine("nv"), 0))
+        one = (F.col("nh") == 1) & (F.col("nv") == 1)
+        roles = F.when(one & F.col("home"), F.array(role(F.lit(0), F.lit(0), 2))).when(F.col("home"), F.concat(as_home, as_visitor)).otherwise(as_visitor)
+        dealt = held.select(*keys, "fp", "rep", F.explode(roles).alias("r")).select(*keys, "r.*", "fp", "rep")
+        plain = plain.join(sizes, ["part", "key"], "left_anti").unionByName(dealt)
+    ordered = plain.select(*_PART, "role", "fp", "rep").repartition(*_PART).sortWithinPartitions(*_PART)
+    return ordered.mapInArrow(thrifty(_linked(max_bits)), "u long, v long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_bits: int = 4) -> DataFrame:

@@ -1,14 +1,15 @@
-"""Repeated byte strings, found by prefix doubling over content-sampled positions.
+"""Repeated byte strings, found by refining the ranks of sampled positions.
 
-Sorting a (rank, rank) pair for each byte of a corpus at each doubling costs many times the
-corpus in shuffles, so positions are sampled first, in a way that loses nothing. Every string of
+Plain prefix doubling (``doubling``) sorts a pair of ranks for each byte of a corpus at each offset,
+which costs many times the corpus in shuffles. Here no pairs are sorted and no offsets doubled:
+positions are sampled first, in a way that loses nothing, and only theirs are ranked. Every string of
 ``length`` bytes (a *window*) is assigned to the smallest hash among the ``length // 4``-byte
 strings inside it, the leftmost of equals: its *anchor*. Equal windows have equal anchors at
 equal offsets, so windows only have to be compared within anchors of one rank, and an anchor is
 assigned a run of consecutive windows (about 70 for 200 bytes).
 
-The rank of an anchor is the class of its ``length // 4`` bytes. Ranks are then refined as in
-prefix doubling, at growing lengths (50, 169, 193, 200 bytes for 200): the string that all
+The rank of an anchor is the class of its ``length // 4`` bytes. Ranks are then refined
+at growing lengths (50, 169, 193, 200 bytes for 200): the string that all
 windows of a run share is extended to both sides, and the pair of (rank so far, extension)
 makes the next rank. A rank held once is unique and is dropped; a rank whose members agree on
 everything their runs cover is decided as a whole; the others split into shorter runs, until a

@@ -4,8 +4,9 @@ A page is an HTTP response in chunked transfer framing. Blocks over ``segment``
 into a first record and continuation records, which name the first as their origin. Pages with
 equal payloads share one response, which the others revisit.
 
-Reading takes each file in one task, once, record by record; files hold at most RECORDS records
-of at most ``segment`` bytes. Records that are whole are decoded at once. Segments, from whatever
+Each record is a gzip member of its own, so what is damaged loses one record: reading goes on at the
+next member. Reading takes each file in one task, once, record by record; files hold at most RECORDS
+records of at most ``segment`` bytes. Records that are whole are decoded at once. Segments, from whatever
 files, are grouped by origin identifier, put in order of their numbers, verified against the
 total length in the last one, joined and decoded.
 """
@@ -112,7 +113,7 @@ def write_archives(
     Of rows with equal payloads of ``least`` bytes or more the one with the largest id (of
     repeated ids one) is the response and the rest revisit it; other rows are responses. A
     null text is an empty payload; a null url or id is left out of the record's head. Files are
-    Spark's part files; each is one gzip stream.
+    Spark's part files: a gzip member for each record, a zero byte after each, as gzip allows.
     """
     html = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     each = pages.select(
@@ -132,16 +133,45 @@ def write_archives(
                 out: list[bytes] = []
                 for r in batch.slice(at, 512).to_pylist():
                     theirs = None if r["of_row"] is None or r["of_row"] == r["row"] or len(r["payload"]) < least else (r["of_id"], r["of_row"])
-                    out += records_of(r["id"], r["row"], r["url"], r["payload"], theirs, segment)
+                    out += (gzip.compress(x + b"\r\n\r\n", 6, mtime=0) for x in records_of(r["id"], r["row"], r["url"], r["payload"], theirs, segment))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     lines = joined.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+    # members are bytes, which a string column holds as they are
+    lines.write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", RECORDS).text(path)
 
 
-def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields, block) of each record of a WARC file, gzip'd or plain."""
-    f = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content)), 1 << 18) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
+#: What tells that an archive is damaged.
+_BROKEN = (ValueError, KeyError, EOFError, OSError, zlib.error)
+#: Bytes of a gzip member that are checked as a whole before a record of it is given out.
+_WHOLE = 1 << 20
+
+
+class _Member(io.RawIOBase):
+    """One gzip member of ``content``, read piece by piece; ``end`` is where it stops."""
+
+    def __init__(self, content: bytes, start: int):
+        self.content, self.at, self.held, self.end = content, start, b"", None
+        self.inflate = zlib.decompressobj(31)
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        while not self.held and self.end is None:
+            piece = self.content[self.at : self.at + (1 << 16)]
+            if not piece:
+                raise EOFError("a member is cut short")
+            self.held = self.inflate.decompress(piece)
+            self.at += len(piece)
+            if self.inflate.eof:
+                self.end = self.at - len(self.inflate.unused_data)
+        n = min(len(into), len(self.held))
+        into[:n], self.held = self.held[:n], self.held[n:]
+        return n
+
+
+def _records(f) -> Iterator[tuple[dict[str, str], bytes]]:
     while line := f.readline():
         if line in (b"\r\n", b"\n"):
             continue
@@ -158,6 +188,61 @@ def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, block
 
 
+def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes] | None]:
+    """(fields, block) of each record of a WARC file, gzip'd or plain; None for each damaged stretch.
+
+    After damage reading goes on at the next member that begins with a record, or at the next record
+    of a plain file that follows an empty line.
+    """
+    if content[:2] != b"\x1f\x8b":
+        at = 0
+        while 0 <= at < len(content):
+            f = io.BytesIO(content)
+            f.seek(at)
+            begun = at
+            try:
+                for found in _records(f):
+                    begun = f.tell()
+                    yield found
+                return
+            except _BROKEN:
+                yield None
+                next_one = content.find(b"\r\n\r\nWARC/", begun + 1)
+                at = next_one + 4 if next_one >= 0 else -1
+        return
+    at = 0
+    while True:
+        while at < len(content) and content[at] in b"\0\r\n":
+            at += 1
+        if at >= len(content):
+            return
+        try:
+            member = _Member(content, at)
+            # a member of usual size is checked to its end first; a longer one, of many records, is read as it comes
+            start = io.BufferedReader(member, 1 << 18).read(_WHOLE)
+            if member.end is not None and not member.held:
+                yield from list(_records(io.BytesIO(start)))
+            else:
+                member = _Member(content, at)
+                f = io.BufferedReader(member, 1 << 18)
+                yield from _records(f)
+            at = member.end
+        except _BROKEN:
+            yield None
+            at = content.find(b"\x1f\x8b\x08", at + 1)
+            while at >= 0 and not _begins_a_record(content, at):
+                at = content.find(b"\x1f\x8b\x08", at + 1)
+            if at < 0:
+                return
+
+
+def _begins_a_record(content: bytes, at: int) -> bool:
+    try:
+        return zlib.decompressobj(31).decompress(content[at : at + 4096], 5) == b"WARC/"
+    except zlib.error:
+        return False
+
+
 _READ = "record_id string, page_id long, url string, record_type string, refers_to long, refers_id string, segment int, total long, stated_digest string, payload binary, payload_bytes long, payload_digest string"
 
 
@@ -173,8 +258,9 @@ def _read_files(payloads: bool):
         for batch in batches:
             for content in batch.column(0):
                 rows, held = [], 0
-                try:
-                    for f, block in parse(content.as_py()):
+                for found in parse(content.as_py()):
+                    try:
+                        f, block = found or ({}, b"")
                         kind, part = f["warc-type"], number(f.get("warc-segment-number"))
                         if kind not in ("response", "revisit", "continuation"):
                             continue
@@ -190,8 +276,8 @@ def _read_files(payloads: bool):
                         if held > 1 << 22:
                             yield batch_of(rows)
                             rows, held = [], 0
-                except (ValueError, KeyError, EOFError, OSError, zlib.error):
-                    rows.append((None, None, None, "damaged", *[None] * 8))
+                    except _BROKEN:  # nothing to read, or a head that makes no sense
+                        rows.append((None, None, None, "damaged", *[None] * 8))
                 if rows:
                     yield batch_of(rows)
 
@@ -207,7 +293,8 @@ def _joined(payloads: bool):
                 for pieces, total in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                     by = {p["segment"]: p["payload"] for p in pieces}
                     block = b"".join(by[k] for k in sorted(by))
-                    found.append(payload_of(block) if sorted(by) == list(range(1, len(by) + 1)) and len(block) == total else None)
+                    one = all(by[p["segment"]] == p["payload"] for p in pieces)
+                    found.append(payload_of(block) if one and sorted(by) == list(range(1, len(by) + 1)) and len(block) == total else None)
                 sizes = pa.array([None if p is None else len(p) for p in found], pa.int64())
                 digests = pa.array([None if p is None else base32_sha1(p) for p in found], pa.string())
                 kept = pa.array(found if payloads else [None] * len(found), pa.binary())
@@ -223,9 +310,10 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     payload (null unless ``payloads``), payload_bytes, payload_digest (of the payload as read).
     A revisit has neither payload nor digest of its own. A segmented record that lacks a
     segment, or whose length isn't the total that it states, has a null payload; so has one
-    whose chunked framing is broken. A file that is cut short, or in which no record starts
-    where one should, gives the records before that place and a row of the type ``damaged``
-    that is null otherwise. An empty folder gives an empty table.
+    whose chunked framing is broken, and one of whose segments two with different bytes are there
+    (equal ones count once). Each stretch that is damaged, cut short say, or without a record where one should
+    start, gives a row of the type ``damaged`` that is null otherwise; records before and after it are
+    read, but for those of the same gzip member after it. An empty folder gives an empty table.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
     records = materialise(files.mapInArrow(thrifty(_read_files(payloads)), _READ), "records")

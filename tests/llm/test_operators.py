@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import itertools
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -16,7 +18,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftline.llm import bpe, chat, embedding, mixing, neardup, quality, queries, simhash, suffix, toxicity, urlrules, warc
+from siftline.llm import bpe, chat, doubling, embedding, mixing, neardup, quality, queries, simhash, suffix, toxicity, urlrules, warc
 from siftline.llm.oracles import ORACLES
 from tests.conftest import TESTDATA
 
@@ -104,8 +106,11 @@ def test_vantage_point_trees_lose_no_link(spark):
     flips = [b ^ np.uint64(sum(1 << int(k) for k in rng.choice(64, n, replace=False))) for b in base for n in (3, 4, 5, 6)]
     fps = np.unique(np.concatenate((base, np.array(flips, np.uint64))))
     nodes = spark.createDataFrame([(int(x), i) for i, x in enumerate(fps.view(np.int64).tolist())], "fp long, rep long")
-    for bits, leaf in ((4, 32), (7, 64), (9, 2000)):
-        links = [(r.u, r.v) for r in simhash.near_links(nodes, bits, leaf=leaf).collect()]
+    near_ones = [base[:1] ^ np.uint64(int(x)) for x in rng.integers(0, 1 << 20, 500)]  # one large part of many tables
+    fps = np.unique(np.concatenate((fps, *near_ones)))
+    nodes = spark.createDataFrame([(int(x), i) for i, x in enumerate(fps.view(np.int64).tolist())], "fp long, rep long")
+    for bits, homes in ((4, simhash.HOMES), (4, 16), (7, 40), (9, 2000), (0, 2), (1, 100)):
+        links = [(r.u, r.v) for r in simhash.near_links(nodes, bits, homes=homes).collect()]
         assert all((int(fps[a]) ^ int(fps[b])).bit_count() <= bits for a, b in links)
         near = np.argwhere(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= bits, 1))
         assert unite(range(len(fps)), links) == unite(range(len(fps)), near.tolist())
@@ -221,6 +226,20 @@ def test_repeated_strings(docs, odd, piece):
         assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
 
 
+@pytest.mark.parametrize("length", [200, 24])
+def test_plain_doubling_finds_the_same_places(spark, docs, length):
+    """Rank pairs at growing offsets against a table of all strings, and against the sampled ranks."""
+    rows = [(k, r.text) for k, r in enumerate(docs.orderBy("doc_id").limit(60).collect())]
+    rows += [(1000, None), (1001, "ab" * 200), (1002, "short"), (1003, "é" * 150), (1004, rows[0][1])]
+    seen = Counter(t.encode()[i : i + length] for _, t in rows if t for i in range(len(t.encode()) - length + 1))
+    want = {(k, i) for k, t in rows if t for i in range(len(t.encode()) - length + 1) if seen[t.encode()[i : i + length]] > 1}
+    frame = spark.createDataFrame(rows, "row long, text string")
+    got = {(r.row, r.pos) for r in doubling.doubled_windows(frame, length).collect()}
+    assert got == want and len(want) > 200
+    spans = {r.id: r.spans for r in suffix.repeated_spans(frame, "row", length=length).collect()} if length == 200 else {}
+    assert all(any(s.start <= i and i + length <= s.end for s in spans[k]) for k, i in want if spans)
+
+
 def test_repeats_cleaned(odd):
     out = suffix.cleaned(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
@@ -359,10 +378,34 @@ def test_chat_windows_keep_the_budget(spark):
     assert len(rows) > 10
     for r in rows:
         turns = chat.parse_turns(r.formatted)
-        assert sum(len(t.split()) + 4 for _, t in turns) <= chat.BUDGET + chat.HISTORY + 48
+        assert sum(len(t.split()) + 4 for _, t in turns) <= chat.BUDGET
         assert turns[0][0] == "system" and (r.repeats > 1 or r.first_pos == 0)
 
 
+@pytest.mark.parametrize("budget,history,block", [(chat.BUDGET, chat.HISTORY, chat.BLOCK), (60, 20, 7), (25, 0, 3)])
+def test_chat_spans_end_only_where_a_turn_does_not_fit(spark, monkeypatch, budget, history, block):
+    """Spans of every conversation as one after another cuts them, however its turns are dealt to blocks."""
+    monkeypatch.setattr(chat, "BLOCK", block)
+    rng, rows = np.random.default_rng(budget), []
+    for conv in range(12):
+        for t in range(int(rng.choice([1, 2, 30, 400]))):
+            rows.append((conv, t, "system" if t == 0 and conv % 3 else ("user", "assistant")[t % 2], "w " * int(rng.choice([0, 1, 5, 20, 90], p=[0.2, 0.3, 0.3, 0.15, 0.05]))))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.window): r for r in chat.windows(df, budget=budget, history=history).collect()}
+    size = lambda text: len((text.strip() or "x").split()) + 4
+    want, lead = defaultdict(list), {c: size(t) for c, k, r, t in rows if r == "system"}
+    for conv, t, role, text in rows:
+        room = max(1, budget - lead.get(conv, 0) - history)
+        now = max((k for k in want if k[0] == conv), default=None)
+        if now is None or sum(want[now]) + size(text) > room:
+            now = (conv, t)
+        want[now].append(size(text))
+    assert {k: len(chat.parse_turns(r.formatted)) - r.repeats for k, r in got.items()} == {k: len(v) for k, v in want.items()}
+    for (conv, first), r in got.items():
+        whole = sum(size(t) for _, t in chat.parse_turns(r.formatted))
+        assert whole <= max(budget, lead.get(conv, 0) * (first > 0) + sum(want[conv, first])) and (len(want[conv, first]) == 1 or whole <= budget)
+
+
 def plain_links(rows, threshold=0.98):
     out = []
     good = [(i, r) for i, r in enumerate(rows) if r.label is not None and r.vec_id is not None and r.embedding is not None and len(r.embedding) and all(x is not None and np.isfinite(x) for x in r.embedding) and any(r.embedding)]
@@ -519,18 +562,25 @@ def test_line_hash_is_that_of_the_words(spark):
     assert all(r.h == quality.normal_hash(r.x.encode().split()) for r in got)
 
 
-def test_trees_deeper_than_their_sample(spark):
+def test_trees_of_parts_keep_close_fingerprints_together():
     rng = np.random.default_rng(8)
     base = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
     fps = np.unique(np.concatenate((base, base ^ np.uint64(1 << 40 | 1 << 3 | 1 << 20 | 1 << 60))))
-    for mask in simhash.masks_of(3):
-        tree = simhash.build_tree(fps[:50], mask, simhash.BUILT + 6, seed=1)
-        row, leaf, home = simhash.route(fps, tree, 1)
-        lives = dict(zip(row[home].tolist(), leaf[home].tolist()))
-        seen = set(zip(row.tolist(), leaf.tolist()))
-        assert len(lives) == len(fps)
-        near = np.argwhere(np.bitwise_count((fps[:, None] ^ fps[None, :]) & np.uint64(mask)) <= 1)
-        assert all((a, lives[b]) in seen for a, b in near.tolist())
+    row, shard, home = simhash.route(fps, np.full(len(fps), 7, np.uint64), np.full(len(fps), 12), 4)
+    lives, seen = dict(zip(row[home].tolist(), shard[home].tolist())), set(zip(row.tolist(), shard.tolist()))
+    assert len(lives) == len(fps) and len(set(lives.values())) > 100
+    near = np.argwhere(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4)
+    assert len(near) > 1500 and all((a, lives[b]) in seen for a, b in near.tolist())
+
+
+@pytest.mark.parametrize("bits", [0, 1, 4, 9])
+def test_tables_cover_all_close_pairs(bits):
+    """Whichever bits differ, two blocks agree; the number of copies depends on the bits alone."""
+    rng, masks = np.random.default_rng(bits), simhash.tables_of(bits)
+    assert len(masks) == (bits + 2) * (bits + 1) // 2
+    for _ in range(2000):
+        gap = sum(1 << int(k) for k in rng.choice(64, bits, replace=False))
+        assert any(not gap & m for m in masks)
 
 
 def test_vectors_of_any_length_link(spark):
@@ -589,3 +639,34 @@ def test_cells_shrink_as_vectors_grow_in_number():
     lives, visits = dict(zip(row[home], cell[home])), set(zip(row, cell))
     i, j = np.nonzero(((x[:, None] - x[None]) ** 2).sum(axis=2) <= 0.01)
     assert len(i) > 600 and all((a, lives[b]) in visits for a, b in zip(i, j))
+
+
+def test_reading_goes_on_after_damage(spark, tmp_path):
+    """Of a file of members one that is damaged loses its record alone; a plain file goes on at the next record."""
+    pages = spark.createDataFrame([(k, f"u{k}", f"page {k} " * 50) for k in range(60)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, f"file://{tmp_path}/w")
+    (part,) = [p for p in (tmp_path / "w").iterdir() if p.name.startswith("part-")]
+    raw = bytearray(part.read_bytes())
+    starts = [m.start() for m in re.finditer(rb"\x1f\x8b\x08", bytes(raw))]
+    assert len(starts) == 60 and gzip.decompress(bytes(raw)).count(b"WARC/1.1") == 60
+    for k in (0, 7, 8, 30):
+        raw[starts[k] + 60] ^= 0xFF
+    plain = [b"".join((r, b"\r\n\r\n")) for k in range(100, 105) for r in warc.records_of(k, k, "u", b"payload %d" % k, None, 1000)]
+    plain[2] = plain[2].replace(b"Content-Length: ", b"Content-Length: x")
+    for name, content in {"a.warc.gz": bytes(raw), "b.warc.gz": bytes(raw[: starts[59] + 40]), "c.warc": b"".join(plain)}.items():
+        (tmp_path / name).write_bytes(content)
+        got = warc.read_archives(spark, f"file://{tmp_path}/{name}").collect()
+        ids, damaged = sorted(r.page_id for r in got if r.page_id is not None), sum(r.record_type == "damaged" for r in got)
+        if name == "c.warc":
+            assert ids == [100, 101, 103, 104] and damaged == 1
+        else:
+            assert len(ids) == (56 if name[0] == "a" else 55) and damaged == (3 if name[0] == "a" else 4)  # two neighbours are one stretch
+            assert all(r.payload_digest == r.stated_digest for r in got if r.page_id is not None)
+
+
+def test_segments_of_one_number(spark, tmp_path):
+    first, second = list(warc.records_of(1, 1, "u", b"z" * 3000, None, 1000)), list(warc.records_of(2, 2, "v", b"y" * 3000, None, 1000))
+    odd = second[1].replace(b"yyyy", b"xxxx", 1)
+    (tmp_path / "a.warc").write_bytes(b"".join(r + b"\r\n\r\n" for r in (*first, first[1], *second, odd)))
+    got = {r.page_id: r.payload for r in warc.read_archives(spark, str(tmp_path)).collect()}
+    assert bytes(got[1]) == b"z" * 3000 and got[2] is None
