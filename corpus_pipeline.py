@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm import bpe, mixing, neardup, quality, suffix
-from siftline.llm.common import materialise, read
+from siftline.llm.common import materialise, read, release, scratch
 from siftline.llm.queries import vocabulary
 
 
@@ -35,7 +35,11 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids): the token ids of every text, 4 bytes each."""
+    """(doc_id, n_tokens, ids): the token ids of every text, 4 bytes each.
+
+    One row per row of ``docs``, null ids and repeated rows too. Null and empty texts have no tokens; an empty
+    table gives an empty one; other columns are left out.
+    """
     ids = bpe.encode(docs, vocabulary())
     return ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
@@ -53,7 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage wrote on its way, and what it read, is deleted once its own table is there."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as kept:
+            after = materialise(stage(spark, docs, sf_dir), name)
+            kept.append(after)
+        release(docs)  # a table of a stage; the documents themselves stay
+        docs = after
     return docs
