@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lines import bind, field, glob_regex, java_regex, parse, program_of, templates, untag, with_key
+from . import rulesets
 
-#: Rules tested in one expression; longer lists are cut so that generated code stays small.
-CHUNK = 25
+#: Rules tested in one expression; longer lists are cut so that generated code stays small. Rules above
+#: which lines are looked up in an index of rules first.
+CHUNK, MANY = 25, 200
 CAP = 3
 
 
@@ -53,6 +55,8 @@ def rule_of(rules: list[Rule], host: Column, program: Column, rest: Column, day:
 
 def with_rule(lines: DataFrame, rules: list[Rule], raw: str = "raw", day: Column | None = None) -> DataFrame:
     """``lines`` with ``rule_id``; lines of fewer than five fields fit no rule. With ``day``, of the rules in force on it."""
+    if len(rules) > MANY:
+        return rulesets.with_rule(lines, rules, raw, day)
     lines = bind(lines, _host=field(F.col(raw), 4), _rest=F.nullif(field(F.col(raw), 5), F.lit("")))
     lines = bind(lines, _program=program_of(F.col("_rest")))
     fits = F.when(F.col("_rest").isNotNull(), rule_of(rules, F.col("_host"), F.col("_program"), F.col("_rest"), day))
@@ -98,10 +102,13 @@ def host_hits(tagged: DataFrame) -> DataFrame:
 
 def normalise(lines: DataFrame, table: list[tuple[str, str]], raw: str = "raw") -> DataFrame:
     """Lines of the first pattern that matches them become their first four fields and its text."""
-    parts = [F.coalesce(*[F.when(F.col(raw).rlike("(?md)" + java_regex(p)), F.lit(text)) for p, text in table[k : k + CHUNK]]) for k in range(0, len(table), CHUNK)]
-    if not parts:
+    if not table:
         return lines
-    lines = bind(lines, _said=F.coalesce(*parts))
+    if len(table) > MANY:
+        lines = rulesets.said_of(lines, table, raw)
+    else:
+        parts = [F.coalesce(*[F.when(F.col(raw).rlike("(?md)" + java_regex(p)), F.lit(text)) for p, text in table[k : k + CHUNK]]) for k in range(0, len(table), CHUNK)]
+        lines = bind(lines, _said=F.coalesce(*parts))
     said = F.col("_said")
     head = [field(F.col(raw), k) for k in (1, 2, 3, 4)]
     made = F.when(head[0] != "", F.concat_ws(" ", *head, said)).otherwise(said)

@@ -239,3 +239,10 @@ ORACLES |= {
     "line_payloads": f"""WITH c AS ({ORACLES["collapse_repeats"]}), k AS (SELECT line_no, raw, (row_number() OVER (ORDER BY line_no) - 1) // 250 AS payload FROM c)
  SELECT CAST(payload AS BIGINT) AS payload, count(*) AS n, min(line_no) AS first, string_agg(raw, chr(10) ORDER BY line_no) AS text FROM k GROUP BY ALL""",
 }
+
+_K = r"""CAST(regexp_extract(props, '"k": ([0-9]+)\}', 1) AS BIGINT)"""
+ORACLES |= {
+    "many_rules": f"{_E}, x AS (SELECT line_no, CAST(host[5:] AS BIGINT) AS h, {_K} AS k FROM l) SELECT line_no, CASE WHEN k % 2 = 0 AND k < 100 THEN 100 * h + k + 1 END AS rule_id FROM x",
+    "many_normalised": f"""{_E}, x AS (SELECT *, CASE WHEN program = 'view' AND {_K} % 3 = 0 AND {_K} < 100 THEN 'view ' || {_K} WHEN program = 'error' THEN 'an error' END AS what FROM l)
+ SELECT line_no, CASE WHEN what IS NULL THEN raw ELSE short_head || host || ' ' || what END AS raw FROM x""",
+}

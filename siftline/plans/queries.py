@@ -616,3 +616,21 @@ def issue_payloads(spark, d):
     held = digest.within(T.findings(spark, d), *PERIOD).where("kind = 'issue'").withColumn("line_no", F.col("id") + F.lit(1 << 32) * L.severity_rank(F.col("severity")))
     made = payloads.issue_json(held, ["id", "title", "severity", "service"])
     return payloads.packed(made, payloads.ISSUES, "json", separator=",\n").select("payload", "n", F.concat(F.lit("[\n"), F.col("text"), F.lit("\n]")).alias("text"))
+
+
+#: A rule for each host and even k, and as many that no line fits.
+MANY_RULES = [filtering.Rule(100 * h + k + 1, f"host{h}", match=rf'"k": {k}\}}') for h in range(20) for k in range(0, 100, 2)]
+MANY_RULES += [filtering.Rule(10_000 + k, match=rf"(?i)never (seen|met) {k}\b") for k in range(1000)]
+
+
+@query
+def many_rules(spark, d):
+    tagged = filtering.with_rule(T.lines(spark, d), MANY_RULES)
+    return tagged.select("line_no", "rule_id")
+
+
+@query
+def many_normalised(spark, d):
+    """Lines said anew by the first of 600 patterns."""
+    table = [(rf'view\[\d+\]: .*"k": {k}\}}', f"view {k}") for k in range(0, 100, 3)] + [(rf"never {k} met", "never") for k in range(500)] + [(r"error\[", "an error")] * 70
+    return filtering.normalise(T.lines(spark, d), table).select("line_no", "raw")
