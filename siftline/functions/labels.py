@@ -71,3 +71,34 @@ def burst_headline(bucket: Column) -> Column:
 
 def burst_summary(today: Column, bucket: Column, median: Column, days_seen: Column) -> Column:
     return F.format_string(BURST_SUMMARY, thousands(today), bucket, thousands(median), days_seen)
+
+
+def short_day(day: Column) -> Column:
+    """A day as ``Fri 28 Aug``, of two digits."""
+    return F.date_format(day, "EEE dd MMM")
+
+
+def plain_day(day: Column) -> Column:
+    """A day as ``28/08/2026``."""
+    return F.date_format(day, "dd/MM/yyyy")
+
+
+def period(first: Column, last: Column) -> Column:
+    """A period as ``30 Jul to 28 Aug 2026``; the first day has its year too if that is another one."""
+    head = F.when(F.year(first) == F.year(last), F.date_format(first, "dd MMM")).otherwise(F.date_format(first, "dd MMM yyyy"))
+    return F.concat(head, F.lit(" to "), F.date_format(last, "dd MMM yyyy"))
+
+
+def reduction(raw: Column, filtered: Column) -> Column:
+    """How much of the lines was filtered out, in words; null without lines or without a count of those left."""
+    return F.when((raw > 0) & filtered.isNotNull(), F.format_string("%.1f%% filtered out as routine noise", F.bround(100 * (raw - filtered) / raw, 1)))
+
+
+def compact(x: Column) -> Column:
+    """A number of six digits at most, without zeros at its end; very large and small ones with an exponent of ten.
+
+    A function of Python's, as the JVM rounds the shortest decimal of a number and not the number: ties differ.
+    """
+    odd = {"nan": "NaN", "inf": "+Inf", "-inf": "-Inf"}
+    shown = F.udf(lambda v: None if v is None else odd.get("%.6g" % v, "%.6g" % v), "string", useArrow=True)
+    return shown(x.cast("double"))

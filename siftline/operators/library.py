@@ -23,10 +23,17 @@ def _holds(column: str, text: str) -> Column:
 
 def search(
     findings: DataFrame, hosts: DataFrame, *, host: str = "", service: str = "", title: str = "", severity: str = "", kind: str = "",
-    first: str = "", last: str = "",
+    first: str = "", last: str = "", runs: DataFrame | None = None, run_kind: str = "",
 ) -> DataFrame:
-    """Findings that fit every filter given; texts by substring without regard to case, days inclusive."""
+    """Findings that fit every filter given; texts by substring without regard to case, days inclusive.
+
+    ``run_kind`` is daily or digest, by the run's row in ``runs`` (run_id, kind).
+    """
+    if run_kind not in ("", "daily", "digest"):
+        raise ValueError("a run is daily or digest")
     out = findings
+    if run_kind:
+        out = out.join(runs.where(F.col("kind") == run_kind).select("run_id"), "run_id", "left_semi")
     for column, text in (("service", service), ("title", title)):
         out = out.where(_holds(column, text)) if text else out
     for column, text in (("severity", severity), ("kind", kind)):

@@ -44,7 +44,7 @@ def day_rows(runs: DataFrame, counts: DataFrame, findings: DataFrame, first: str
 def totals(rows: DataFrame) -> DataFrame:
     return rows.agg(
         F.count("volume").alias("days_with_data"), F.count_if("approximate").alias("approximate_days"), F.coalesce(F.sum("volume"), F.lit(0)).alias("volume"),
-        F.coalesce(F.sum("filtered_lines"), F.lit(0)).alias("filtered"), F.sum("n_findings").alias("n_findings"),
+        F.coalesce(F.sum("filtered_lines"), F.lit(0)).alias("filtered"), (F.count("filtered_lines") > 0).alias("have_filtered"), F.sum("n_findings").alias("n_findings"),
     )
 
 

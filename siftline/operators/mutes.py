@@ -75,6 +75,13 @@ def active(entries: DataFrame, day: datetime.date) -> DataFrame:
     return entries.where(F.col("expires").isNull() | (F.col("expires") >= F.lit(day)))
 
 
+def chosen(entries: DataFrame, *, day: datetime.date | None = None, host: str = "", finding_id: int | None = None) -> DataFrame:
+    """Entries in force on ``day``, for exactly that host glob, made for that finding; each only if it is given."""
+    out = entries if day is None else active(entries, day)
+    out = out.where(F.col("host") == host) if host else out
+    return out if finding_id is None else out.where(F.col("finding_id") == finding_id)
+
+
 def fresh(entries: DataFrame, existing: DataFrame, day: datetime.date) -> DataFrame:
     """Entries (finding_id, host, program, match) that no active one repeats for its finding."""
     keys = ["finding_id", "host", "program", "match"]

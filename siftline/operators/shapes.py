@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lines import NS, WS, bind
+from . import filtering
 
 
 def tally(shaped: DataFrame) -> DataFrame:
@@ -24,8 +25,10 @@ def candidates(tallied: DataFrame, scores: DataFrame, threshold: float = 0.2, mi
     return found.orderBy(F.desc("lines"), "program", "template")
 
 
-def unreviewed(pool: DataFrame, verdicts: DataFrame, since: str) -> DataFrame:
-    """Shapes without a verdict on or after a day."""
+def unreviewed(pool: DataFrame, verdicts: DataFrame, since: str, rules: list = ()) -> DataFrame:
+    """Shapes without a verdict on or after a day, whose example none of the ``rules`` drops already."""
+    if rules:
+        pool = filtering.with_rule(pool, list(rules), raw="example").where("rule_id IS NULL").drop("rule_id")
     recent = verdicts.where(F.col("created_at") >= F.lit(since).cast("timestamp")).select("program", "template")
     return pool.join(recent, ["program", "template"], "left_anti")
 

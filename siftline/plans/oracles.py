@@ -115,7 +115,7 @@ ORACLES: dict[str, str] = {
     "digest_recurring": f"{_G} SELECT service, hosts, n_days, latest_id FROM g WHERE n_days >= 2 ORDER BY n_days DESC, rank, service, hosts, latest_id LIMIT 10",
     "digest_one_offs": f"{_G} SELECT service, hosts, severity, latest_id FROM g WHERE n_days = 1 AND rank <= 1 ORDER BY rank, n_hosts DESC, service, hosts, latest_id LIMIT 5",
     "mgmt_days": f"{_D} SELECT * FROM days",
-    "mgmt_totals": f"{_D} SELECT count(volume) AS days_with_data, count(*) FILTER (approximate) AS approximate_days, CAST(coalesce(sum(volume), 0) AS BIGINT) AS volume, CAST(coalesce(sum(filtered_lines), 0) AS BIGINT) AS filtered, CAST(sum(n_findings) AS BIGINT) AS n_findings FROM days",
+    "mgmt_totals": f"{_D} SELECT count(volume) AS days_with_data, count(*) FILTER (approximate) AS approximate_days, CAST(coalesce(sum(volume), 0) AS BIGINT) AS volume, CAST(coalesce(sum(filtered_lines), 0) AS BIGINT) AS filtered, count(filtered_lines) > 0 AS have_filtered, CAST(sum(n_findings) AS BIGINT) AS n_findings FROM days",
     "mgmt_severity": f"{_F} SELECT CASE WHEN kind = 'issue' THEN severity ELSE 'anomaly' END AS label, count(*) AS n FROM f GROUP BY ALL",
     "top_services": f"{_F} SELECT service, count(*) AS n FROM f GROUP BY ALL ORDER BY n DESC, service LIMIT 5",
     "votes_by_verdict": f"{_F} SELECT CASE WHEN flag = 'A' THEN 'worked' ELSE 'didnt_work' END AS verdict, count(*) AS n FROM v JOIN f ON id = finding_id GROUP BY ALL",
@@ -246,3 +246,19 @@ ORACLES |= {
     "many_normalised": f"""{_E}, x AS (SELECT *, CASE WHEN program = 'view' AND {_K} % 3 = 0 AND {_K} < 100 THEN 'view ' || {_K} WHEN program = 'error' THEN 'an error' END AS what FROM l)
  SELECT line_no, CASE WHEN what IS NULL THEN raw ELSE short_head || host || ' ' || what END AS raw FROM x""",
 }
+
+_MONTHS = f"""{_F}, q AS (SELECT id, kind, severity, service, CAST(date_trunc('month', log_date) AS DATE) AS m FROM f), i AS (SELECT *, row_number() OVER (ORDER BY m, id) AS nid, CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS rank FROM q),
+ hl AS (SELECT finding_id, string_agg(host, ',' ORDER BY host) AS hosts, count(*) AS n_hosts FROM h GROUP BY ALL), w AS (SELECT i.*, coalesce(hosts, '') AS hosts, coalesce(n_hosts, 0) AS n_hosts FROM i LEFT JOIN hl ON i.id = finding_id WHERE kind = 'issue'),
+ g AS (SELECT service, hosts, n_hosts, count(DISTINCT m) AS n_days, min(rank) AS rank, arg_min(severity, rank) AS severity, arg_max(nid, (m, nid)) AS latest_id FROM w GROUP BY service, hosts, n_hosts),
+ a AS (SELECT row_number() OVER (ORDER BY n_days DESC, rank, service, hosts, latest_id) AS k, 0 AS s, * FROM g WHERE n_days >= 2 QUALIFY k <= 10),
+ b AS (SELECT row_number() OVER (ORDER BY rank, n_hosts DESC, service, hosts, latest_id) AS k, 1 AS s, * FROM g WHERE n_days = 1 AND rank <= 1 QUALIFY k <= 5),
+ p AS (SELECT host, service, count(DISTINCT m) AS n_days, arg_max(nid, (m, nid)) AS latest_id FROM i JOIN h ON i.id = finding_id WHERE kind != 'issue' GROUP BY ALL),
+ c AS (SELECT row_number() OVER (ORDER BY n_days DESC, host, service) AS k, 2 AS s, * FROM p QUALIFY k <= 15),
+ u AS (SELECT s, k, 'issue' AS finding_kind, severity, service, hosts, n_days, latest_id FROM a UNION ALL SELECT s, k, 'issue', severity, service, hosts, n_days, latest_id FROM b UNION ALL SELECT s, k, 'peer', '', service, host, n_days, latest_id FROM c)"""
+ORACLES |= {
+    "digest_filed": f"{_MONTHS} SELECT row_number() OVER (ORDER BY s, k) - 1 AS pos, finding_kind, severity, service, hosts, n_days, latest_id FROM u",
+    "compact_numbers": "SELECT l_orderkey, l_linenumber, printf('%.6g', CAST(l_extendedprice AS DOUBLE) * pow(10.0, l_linenumber * 3 - 12)) AS shown FROM lineitem",
+    "period_labels": """WITH s AS (SELECT o_custkey, CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS b, count(*) AS n FROM orders GROUP BY ALL)
+ SELECT o_custkey, CASE WHEN year(a) = year(b) THEN strftime(a, '%d %b') ELSE strftime(a, '%d %b %Y') END || ' to ' || strftime(b, '%d %b %Y') AS period, strftime(a, '%a %d %b') AS short, strftime(b, '%d/%m/%Y') AS plain,
+ CASE WHEN n % 3 != 0 THEN printf('%.1f%% filtered out as routine noise', round_even(100 * (n - n // 3) / n, 1)) END AS reduction FROM s""",
+}

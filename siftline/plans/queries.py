@@ -15,7 +15,7 @@ from ..operators import detect, digest, facts, filtering, library, mgmt, mutes,
 from ..sources import logs
 from ..sources.store import Store
 from ..sources.versions import shared_folder
-from . import daily
+from . import daily, reports
 from . import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -634,3 +634,30 @@ def many_normalised(spark, d):
     """Lines said anew by the first of 600 patterns."""
     table = [(rf'view\[\d+\]: .*"k": {k}\}}', f"view {k}") for k in range(0, 100, 3)] + [(rf"never {k} met", "never") for k in range(500)] + [(r"error\[", "an error")] * 70
     return filtering.normalise(T.lines(spark, d), table).select("line_no", "raw")
+
+
+@query
+def digest_filed(spark, d):
+    """All findings as daily runs of a month each, and what the digest over them files."""
+    store = _stored(spark)
+    rows = _yearly(spark, d).drop("log_date").join(T.findings(spark, d).select(F.col("id").alias("pos"), F.trunc("log_date", "month").alias("log_date")), "pos")
+    months = [r.log_date for r in rows.select("log_date").distinct().collect()]
+    store.capture_days(rows, {day: (None, None) for day in months}, "daily")
+    made = reports.write_digest(store, min(months), max(months))
+    said = F.from_json("payload", "n_days long, latest_id long")
+    return made.findings.select("pos", "finding_kind", "severity", "service", F.array_join("hosts", ",").alias("hosts"), said["n_days"].alias("n_days"), said["latest_id"].alias("latest_id"))
+
+
+@query
+def compact_numbers(spark, d):
+    """Account balances over a wide range, in six digits."""
+    n = F.col("l_extendedprice").cast("double") * F.pow(F.lit(10.0), (F.col("l_linenumber") * 3 - 12).cast("double"))
+    return T.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", B.compact(n).alias("shown"))
+
+
+@query
+def period_labels(spark, d):
+    """Each customer's first and last order as labels."""
+    spans = T.table(spark, d, "orders").groupBy("o_custkey").agg(F.to_date(F.min("o_orderdate")).alias("a"), F.to_date(F.max("o_orderdate")).alias("b"), F.count("*").alias("n"))
+    left = F.when(F.col("n") % 3 != 0, F.floor(F.col("n") / 3))
+    return spans.select("o_custkey", B.period(F.col("a"), F.col("b")).alias("period"), B.short_day(F.col("a")).alias("short"), B.plain_day(F.col("b")).alias("plain"), B.reduction(F.col("n"), left).alias("reduction"))
