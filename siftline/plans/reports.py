@@ -19,13 +19,10 @@ from ..sources.versions import Files
 
 #: Issues and anomalies that a digest shows at most (fixed values).
 ISSUES, ONE_OFFS, ANOMALIES = 10, 5, 15
-#: Notices of a digest (fixed texts).
+#: Notices of a digest.
 COVERS = "Covers {} daily run{}."
 NO_RUN = " No run was recorded for {}."
-BUDGET = (
-    "**LLM budget reached on {}.** The run stopped calling the model when the day's prompt-token budget (SYSLOG_MAX_PROMPT_TOKENS) was spent, so that analysis is incomplete. "
-    "Something unusual is likely flooding the logs or the pipeline; the run's log on the reporting box has the details."
-)
+BUDGET = "**Token budget reached on {}.** The run asked the model no more once the day's budget was spent, so its findings are incomplete; something unusual may be flooding the logs."
 
 
 @dataclass

@@ -43,9 +43,9 @@ def test_digest(store):
     found = [(r.finding_kind, r.title, r.severity, r.hosts, json.loads(r.payload)["n_days"]) for r in made.findings.orderBy("id").collect()]
     assert found == [("issue", "Disk fills (a)", "low", ["a", "b"], 4), ("issue", "Disk fills (c)", "critical", ["c"], 1), ("peer", "cron on h", "", ["h"], 4)]
     assert store.findings(kind="digest").count() == 3 and store.runs(kind="digest").first().raw_lines is None
-    assert made.notices()[0].startswith("**LLM budget reached on Wed 26 Aug.**") and made.notices()[1] == "Covers 4 daily runs. No run was recorded for Thu 27 Aug."
+    assert made.notices()[0].startswith("**Token budget reached on Wed 26 Aug.**") and made.notices()[1] == "Covers 4 daily runs. No run was recorded for Thu 27 Aug."
     text = reports.digest_text(made, "Week")
-    assert text.startswith("# Week\n\n**LLM") and "low, 4 of 4 days, a, b" in text
+    assert text.startswith("# Week\n\n**Token") and "low, 4 of 4 days, a, b" in text
     path = reports.write_file(store, "digest_body.md", "old")
     assert reports.write_file(store, "digest_body.md", text) == path and open(path.removeprefix("file://")).read() == text
     none = reports.write_digest(store, FIRST - datetime.timedelta(days=9), FIRST - datetime.timedelta(days=8))
