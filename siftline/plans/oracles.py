@@ -262,3 +262,12 @@ ORACLES |= {
  SELECT o_custkey, CASE WHEN year(a) = year(b) THEN strftime(a, '%d %b') ELSE strftime(a, '%d %b %Y') END || ' to ' || strftime(b, '%d %b %Y') AS period, strftime(a, '%a %d %b') AS short, strftime(b, '%d/%m/%Y') AS plain,
  CASE WHEN n % 3 != 0 THEN printf('%.1f%% filtered out as routine noise', round_even(100 * (n - n // 3) / n, 1)) END AS reduction FROM s""",
 }
+
+_SECRET = "text"
+for _pattern, _kept in (
+    (r"((?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key)[\"'']?\s*[=:]\s*)(?:\"[^\"]*\"|''[^'']*''|[^\s,;&\"'']+)", r"\1****"),
+    (r"\b((?:bearer|basic)\s+)[a-z0-9+/=._~-]{8,}", r"\1****"), (r"(\b[a-z][a-z0-9+.-]*://[^\s:/@]*:)[^\s/@]+@", r"\1****@"),
+):
+    _SECRET = f"regexp_replace({_SECRET}, '{_pattern}', '{_kept}', 'gi')"
+_SECRET = rf"regexp_replace({_SECRET}, '\b(?:AKIA|ASIA)[0-9A-Z]{{16}}\b|\bgh[opsu]_[0-9A-Za-z]{{36}}\b|\beyJ[\w-]+\.[\w-]+\.[\w-]*', '****', 'g')"
+ORACLES["document_secrets"] = f"SELECT doc_id, {_SECRET} AS shown FROM documents"

@@ -661,3 +661,9 @@ def period_labels(spark, d):
     spans = T.table(spark, d, "orders").groupBy("o_custkey").agg(F.to_date(F.min("o_orderdate")).alias("a"), F.to_date(F.max("o_orderdate")).alias("b"), F.count("*").alias("n"))
     left = F.when(F.col("n") % 3 != 0, F.floor(F.col("n") / 3))
     return spans.select("o_custkey", B.period(F.col("a"), F.col("b")).alias("period"), B.short_day(F.col("a")).alias("short"), B.plain_day(F.col("b")).alias("plain"), B.reduction(F.col("n"), left).alias("reduction"))
+
+
+@query
+def document_secrets(spark, d):
+    """All documents as they may be shown; some hold keys and passwords."""
+    return T.table(spark, d, "documents").select("doc_id", L.mask_secrets(F.col("text")).alias("shown"))

@@ -80,3 +80,11 @@ def test_compact(spark):
     values = [0.0, 1.0, -2.5, 1234567.0, 123456.0, 0.0001, 0.00001234567, 1e-300, 99999.95, 999999.5, 0.1 + 0.2, 100000.0, -1e6, 1e100]
     got = [r.c for r in spark.createDataFrame([(v,) for v in values], "x double").select("x", labels.compact(F.col("x")).alias("c")).collect()]
     assert got == ["%.6g" % v for v in values]
+
+
+def test_hosts_summary(spark):
+    from siftline.functions.lines import hosts_summary
+
+    rows = spark.createDataFrame([([f"h{k}" for k in range(n)],) for n in (0, 1, 5, 8)], "h array<string>").select(hosts_summary(F.col("h")).alias("s"))
+    assert [r.s for r in rows.collect()] == ["", "h0", "h0, h1, h2, h3, h4", "h0, h1, h2, h3, h4 and 3 more"]
+
