@@ -167,7 +167,7 @@ def tag_spread(spark, d):
 @query
 def mask_messages(spark, d):
     host = F.concat(F.lit("host"), (F.col("doc_id") % 20).cast("string"))
-    return T.table(spark, d, "documents").select("doc_id", L.mask(F.translate("text", "\r\n", "  "), host).alias("masked"))
+    return T.table(spark, d, "documents").select("doc_id", L.mask(F.replace(F.replace("text", F.lit("\r"), F.lit(" ")), F.lit("\n"), F.lit(" ")), host).alias("masked"))
 
 
 @query
