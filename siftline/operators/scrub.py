@@ -9,6 +9,7 @@ undoes a request is a table of its numbers, joined to its replies.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,9 +47,9 @@ def read_swaps(text: str, prefixes: bool = False) -> list[tuple[str, str]]:
 
 def _swapped(text: Column, domains: list[tuple[str, str]], prefixes: list[tuple[str, str]]) -> Column:
     for real, fake in domains:
-        text = F.regexp_replace(text, f"(?i){EDGE}{_quoted(real)}{EDGE}", _plain(fake))
+        text = F.regexp_replace(text, f"(?i)(?={_quoted(real)}){EDGE}{_quoted(real)}{EDGE}", _plain(fake))
     for real, fake in prefixes:
-        text = F.regexp_replace(text, rf"{EDGE}{_quoted(real)}\.", _plain(fake + "."))
+        text = F.regexp_replace(text, rf"(?={_quoted(real)}\.){EDGE}{_quoted(real)}\.", _plain(fake + "."))
     return text
 
 
@@ -66,16 +67,17 @@ def _interleaved(text: Column, pattern: str, between: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p, k: F.concat(p, F.coalesce(F.get(between, k), F.lit("")))), "")
 
 
-def scrubbed(texts: DataFrame, domains: list[tuple[str, str]] = (), prefixes: list[tuple[str, str]] = ()) -> tuple[DataFrame, DataFrame]:
+def scrubbed(texts: DataFrame, domains: list[tuple[str, str]] = (), prefixes: list[tuple[str, str]] = (), once: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> tuple[DataFrame, DataFrame]:
     """(texts, tokens) of (request, line_no, text): the texts scrubbed, and (request, number, email) that undo it.
 
     A request's texts are in the order of ``line_no``, each of which it has once; addresses that differ in case are
-    different. A null text stays null. Emails go first, so that no swap of a domain splits an address.
+    different. A null text stays null. Emails go first, so that no swap of a domain splits an address. ``once`` (a store's)
+    keeps the addresses found and their numbers, which are used twice, so that texts are searched once for them.
     """
     plain = texts.select("request", "line_no", "text")
-    found = plain.where(F.contains("text", F.lit("@"))).select("request", "line_no", F.posexplode(F.regexp_extract_all("text", F.lit(EMAIL), F.lit(0))).alias("at", "email"))
+    found = once(plain.where(F.contains("text", F.lit("@"))).select("request", "line_no", F.posexplode(F.regexp_extract_all("text", F.lit(EMAIL), F.lit(0))).alias("at", "email")))
     firsts = found.groupBy("request", "email").agg(F.min(F.struct("line_no", "at")).alias("f")).select("request", "email", "f.line_no", "f.at")
-    tokens = placed(firsts, "request", then=("at",)).select("request", F.col("pos").alias("number"), "email")
+    tokens = once(placed(firsts, "request", then=("at",)).select("request", F.col("pos").alias("number"), "email"))
     named = found.join(tokens, ["request", "email"]).select("request", "line_no", F.struct("at", F.concat(F.lit("<email-"), F.col("number").cast("string"), F.lit(">")).alias("token")).alias("t"))
     marks = named.groupBy("request", "line_no").agg(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["token"]).alias("marks"))
     held = plain.join(marks, ["request", "line_no"], "left")

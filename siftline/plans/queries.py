@@ -578,7 +578,7 @@ def scrub_tokens(spark, d):
 
 @query
 def scrubbed_texts(spark, d):
-    return scrub.scrubbed(_requests(spark, d), *SWAPS)[0]
+    return scrub.scrubbed(_requests(spark, d), *SWAPS, once=_stored(spark).once)[0]
 
 
 @query
