@@ -584,8 +584,9 @@ def scrubbed_texts(spark, d):
 @query
 def restored_texts(spark, d):
     """What comes back of all texts; names of domains come back in lower case."""
-    texts, tokens = scrub.scrubbed(_requests(spark, d), *SWAPS)
-    return scrub.restored(texts, tokens, *SWAPS)
+    once = _stored(spark).once
+    texts, tokens = scrub.scrubbed(_requests(spark, d), *SWAPS, once=once)
+    return scrub.restored(once(texts), tokens, *SWAPS)
 
 
 @query
