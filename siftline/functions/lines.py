@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode has it.
 WS = r"[\s\x0B\u0085   -     　]"
-#: All other characters.
-NS = WS.replace("[", "[^", 1)
+#: All other characters; those of ASCII, of which most text is, are told first.
+NS = f"[!-~{WS.replace('[', '[^', 1)}]"
+#: All other characters but an opening bracket.
+TAG = r"[!-Z\\-~" + WS.replace("[", "[^", 1)[:-1] + r"\[]]"
 #: A word boundary that knows ASCII words only.
 EDGE = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
 _W = "[0-9A-Za-z_-]"
@@ -71,7 +73,7 @@ def parse(lines: DataFrame, raw: str = "raw", minutes: int = 10) -> DataFrame:
 
 def program_of(rest: Column) -> Column:
     """The program that the text after the host begins with, without pid and colons."""
-    return F.rtrim(F.regexp_extract(rest, rf"^({NS[:-1]}\[]*)", 1), F.lit(":"))
+    return F.rtrim(F.regexp_extract(rest, f"^({TAG}*)", 1), F.lit(":"))
 
 
 def strip_pids(text: Column) -> Column:

@@ -542,7 +542,7 @@ def stored_votes(spark, d):
 def cached_views(spark, d):
     """What was said of every shape, said again of those before f."""
     store = _stored(spark)
-    tallied = shapes.tally(L.templates(T.parsed(spark, d)))
+    tallied = store.once(shapes.tally(L.templates(T.parsed(spark, d))))
     said = lambda score, day: tallied.select(
         "program", "template", score.alias("score"), F.lit("m").alias("score_model"), F.lit(False).alias("refused"), F.lit(None).cast("string").alias("explanation"),
         F.lit(None).cast("string").alias("explain_model"), F.lit(day).cast("timestamp").alias("created_at"),
