@@ -508,7 +508,8 @@ def _yearly(spark, d):
 @query
 def captured_library(spark, d):
     """Runs of all findings by year, voted on; the run of 1995 is done again with severe ones alone, so its votes go."""
-    store, rows = _stored(spark), _yearly(spark, d)
+    store = _stored(spark)
+    rows = store.once(_yearly(spark, d))
     years = [r.log_date for r in rows.select("log_date").distinct().collect()]
     store.capture_days(rows, {day: (100, -1) for day in years}, "daily")
     named = store.findings().select(F.col("id").alias("new"), F.col("pos").alias("finding_id"))
