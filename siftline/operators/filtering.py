@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -131,9 +132,12 @@ def log_filter(lines: DataFrame, rules: list[Rule], table: list[tuple[str, str]]
     return cap_repeats(normalise(with_rule(lines, rules).where("rule_id IS NULL").drop("rule_id"), table))
 
 
-def collapse(lines: DataFrame) -> DataFrame:
-    """(line_no, raw): repeats of host, program and template in their first line, tagged with number and times."""
-    shaped = templates(parse(lines))
+def collapse(lines: DataFrame, once: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """(line_no, raw): repeats of host, program and template in their first line, tagged with number and times.
+
+    ``once`` (a store's) keeps the lines' templates, which are used twice.
+    """
+    shaped = once(templates(parse(lines)).select("line_no", "raw", "stamp", "host", "program", "template"))
     fit = shaped.where("template IS NOT NULL")
     groups = fit.groupBy("host", "program", "template").agg(
         F.count("*").alias("n"), F.min(F.struct("line_no", "raw", "stamp")).alias("a"), F.max(F.struct("line_no", "stamp")).alias("z")

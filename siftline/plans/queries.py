@@ -593,7 +593,8 @@ def restored_texts(spark, d):
 @query
 def line_payloads(spark, d):
     """The collapsed lines in payloads of 250."""
-    return payloads.packed(filtering.collapse(T.lines(spark, d)), payloads.LINES, "raw")
+    once = _stored(spark).once
+    return payloads.packed(once(filtering.collapse(T.lines(spark, d), once)), payloads.LINES, "raw")
 
 
 @query
