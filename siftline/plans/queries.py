@@ -184,7 +184,7 @@ def shape_candidates(spark, d):
 
 @query
 def context_window(spark, d):
-    lines = T.parsed(spark, d).where("host IS NOT NULL")
+    lines = _stored(spark).once(T.parsed(spark, d).where("host IS NOT NULL").select("line_no", "host", "program", "raw"))
     return shapes.context(lines, lines.where("program = 'error'").select(F.col("line_no").alias("anchor")), 2)
 
 
