@@ -76,7 +76,7 @@ def anchors(lines: DataFrame, examples: DataFrame) -> DataFrame:
     The first line that reads as the example, trimmed; else, of the lines of its host and
     program, the first of those that share most words with it, if any.
     """
-    text = F.regexp_replace("raw", f"^{WS}+|{WS}+$", "")
+    text = F.regexp_replace("raw", f"^{WS}+|(?![!-~]){WS}+$", "")
     wanted = bind(examples.select("example_id", "host", "program", "raw"), _text=text)
     first = bind(lines.select("line_no", "raw"), _text=text).join(wanted.select("_text").distinct(), "_text", "left_semi")
     first = first.groupBy("_text").agg(F.min("line_no").alias("line_no"))
