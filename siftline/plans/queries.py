@@ -487,7 +487,8 @@ def range_temporal(spark, d):
 
 @query
 def range_anomalies(spark, d):
-    found = daily.range_anomalies(T.quarter_counts(spark, d), DAYS, [filtering.Rule(1, "host3", "*", expires=DAYS[19])], **LIMITS)
+    counts = _stored(spark).once(T.quarter_counts(spark, d))
+    found = daily.range_anomalies(counts, DAYS, [filtering.Rule(1, "host3", "*", expires=DAYS[19])], **LIMITS)
     return found.select("log_date", "host", "program", "kind", "bucket", "direction", _r("score"))
 
 

@@ -43,3 +43,9 @@ def test_query(spark, name, sf):
         order = [names.index(c) for c in columns]
         want = Counter(tuple(plain(r[k]) for k in order) for r in frame.fetchall())
     assert rows == want and rows
+
+
+@pytest.mark.parametrize("name,table", [("context_window", "events"), ("fuzzy_anchor", "events"), ("line_payloads", "events"), ("range_anomalies", "events"), ("restored_texts", "documents")])
+def test_read_once(spark, small, name, table):
+    """What a query uses several times is kept, so that its last plan doesn't parse or scrub the table again."""
+    assert not any(f"/{table}.parquet" in f for f in QUERIES[name](spark, small).inputFiles())
