@@ -496,12 +496,12 @@ def _stored(spark) -> Store:
     return Store(spark, f"{shared_folder(spark)}/library-{uuid.uuid4().hex}")
 
 
-def _yearly(spark, d):
-    """Findings as runs of a year each, in the order of their ids."""
+def _yearly(spark, d, each="year"):
+    """Findings as runs of a year (or month) each, in the order of their ids."""
     hosts = T.hosts(spark, d).groupBy("finding_id").agg(F.array_sort(F.collect_list(F.struct("pos", "host"))).alias("h"))
     held = T.findings(spark, d).join(hosts, F.col("id") == F.col("finding_id"), "left")
     return held.select(
-        F.trunc("log_date", "year").alias("log_date"), F.col("id").alias("pos"), F.col("kind").alias("finding_kind"), "severity", "title", "service",
+        F.trunc("log_date", each).alias("log_date"), F.col("id").alias("pos"), F.col("kind").alias("finding_kind"), "severity", "title", "service",
         F.coalesce(F.transform("h", lambda p: p["host"]), F.array().cast("array<string>")).alias("hosts"), F.to_json(F.struct("service", "severity")).alias("payload"),
     )
 
@@ -644,8 +644,8 @@ def many_normalised(spark, d):
 def digest_filed(spark, d):
     """All findings as daily runs of a month each, and what the digest over them files."""
     store = _stored(spark)
-    rows = _yearly(spark, d).drop("log_date").join(T.findings(spark, d).select(F.col("id").alias("pos"), F.trunc("log_date", "month").alias("log_date")), "pos")
-    months = [r.log_date for r in rows.select("log_date").distinct().collect()]
+    rows = _yearly(spark, d, "month")
+    months = [r.log_date for r in T.findings(spark, d).select(F.trunc("log_date", "month").alias("log_date")).distinct().collect()]
     store.capture_days(rows, {day: (None, None) for day in months}, "daily")
     made = reports.write_digest(store, min(months), max(months))
     said = F.from_json("payload", "n_days long, latest_id long")
