@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm import bpe, mixing, neardup, quality, suffix
-from siftline.llm.common import materialise, read, release, scratch
+from siftline.llm.common import materialise, read, release, relieve, scratch
 from siftline.llm.queries import vocabulary
 
 
@@ -26,11 +26,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without strings of 200 bytes that are anywhere else as well."""
+    relieve(spark)
     return suffix.cleaned(docs)
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its rate says, so that domains meet their targets."""
+    relieve(spark)
     return mixing.mixed(docs, mixing.label_domains(read(spark, sf_dir, "labels")))
 
 
@@ -40,6 +42,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     One row per row of ``docs``, null ids and repeated rows too. Null and empty texts have no tokens; an empty
     table gives an empty one; other columns are left out.
     """
+    relieve(spark)
     ids = bpe.encode(docs, vocabulary())
     return ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 

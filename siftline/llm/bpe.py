@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import thrifty
+from .common import in_small_batches, thrifty
 
 #: White space as the pre-tokeniser knows it (fixed values).
 _W = r"\t-\r \x85\xa0  -     　"
@@ -32,7 +32,7 @@ _W = r"\t-\r \x85\xa0  -     　"
 _SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_W}\p{{L}}\p{{N}}]+|[{_W}]+(?![^{_W}])|[{_W}]+"
 #: Characters encoded together; words in each of a task's two generations, and pairs remembered
 #: before it starts anew. All but the words of one group is bounded by them.
-GROUP, WORDS, PAIRS = 1 << 21, 150_000, 300_000
+GROUP, WORDS, PAIRS = 1 << 20, 150_000, 300_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -205,12 +205,20 @@ class Coder:
                 if isinstance(part, list):
                     new.update(part)
             plans.append(plan)
-        cut = {c: self.split(c) for c in self.recall(new)}
-        self.learn(self.recall({w for words in cut.values() for w in words}))
+        cut: dict[str, list[str]] = {}
+        single: set[str] = set()  # most chunks are one word, which is not kept twice
+        for chunk in self.recall(new):
+            words = self.split(chunk)
+            if len(words) > 1:
+                cut[chunk] = words
+            else:
+                single.add(chunk)
+        del new
+        self.learn(self.recall(single.union(*cut.values())))
+        del single
         of = self.known.__getitem__
         for chunk, words in cut.items():
-            if len(words) > 1:
-                self.known[chunk] = b"".join(map(of, words))
+            self.known[chunk] = b"".join(map(of, words))
         return [b"".join([p if isinstance(p, bytes) else b"".join(map(of, p)) for p in plan]) for plan in plans]
 
     def forget(self) -> None:
@@ -236,7 +244,8 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     ``vocabulary`` is the path, on every executor, of a byte-level BPE file of the tokenizers
     library. Ids are as it gives them without added special tokens; a special token's string
     in a text is that token. Null and empty texts have no tokens (an empty binary). One row
-    per input row, null ids too; other columns are ignored.
+    per input row, null ids too; other columns are ignored. The session gets a limit of the
+    bytes sent to Python at once, if it has none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +261,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         code.forget()
 
     chosen = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(thrifty(run), f"`{id_col}` long, ids binary")
+    return in_small_batches(chosen.mapInArrow(thrifty(run), f"`{id_col}` long, ids binary"))
 
 
 def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id") -> DataFrame:

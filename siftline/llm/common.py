@@ -102,13 +102,25 @@ def small(df: DataFrame, most: int = SMALL) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in whose session Python workers are sent BATCH bytes at once from now on, unless the session has a limit.
+
+    For long texts in a plan that the caller runs, and not ``materialise``: Spark's own limit is 64 MB, which
+    a task holds on both sides, and twice over in the JVM while the buffer grows.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, None) is None:
+        conf.set(name, str(BATCH))
+    return df
+
+
 def thrifty(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``run``, a function for ``mapInArrow``, after which the worker gives back the memory it is done with.
+    """``run``, a function of batches, after which the worker gives back the memory it is done with.
 
     A worker waits for the next task, of another stage perhaps, and would hold all it ever had.
     """
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator) -> Iterator:
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
@@ -143,6 +155,15 @@ def sweep(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def relieve(spark: SparkSession) -> int:
+    """Let the executors collect their garbage, which gives the memory of their heaps back to the machine; how many tasks did.
+
+    A heap stays as large as shuffles made it, while the Python workers of the next step take memory beside it.
+    """
+    n = spark.sparkContext.defaultParallelism  # a task for each core, so that every executor has one
+    return len(spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect())
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import materialise, thrifty
 
 #: Labelled rows that the classifier is fitted on, at most; rounds; residual as a share of all tokens.
 SAMPLE, ROUNDS, CLOSE = 20_000, 40, 1e-6
@@ -58,9 +58,13 @@ def features(text: str | None) -> tuple[int, np.ndarray]:
 
 
 @F.pandas_udf(T.StructType([T.StructField("tokens", T.LongType()), T.StructField("features", T.ArrayType(T.FloatType()))]))
-def _features(texts: pd.Series) -> pd.DataFrame:
-    found = [features(t) for t in texts]
-    return pd.DataFrame({"tokens": [n for n, _ in found], "features": [f for _, f in found]})
+def _features(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [features(t) for t in batch]
+            yield pd.DataFrame({"tokens": [n for n, _ in found], "features": [f for _, f in found]})
+
+    return thrifty(run)(texts)
 
 
 def with_posteriors(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", domains=DOMAINS, sample: int = SAMPLE) -> DataFrame:
@@ -178,8 +182,12 @@ def fit_rates(posteriors: DataFrame, shares: list[float], rounds: int = ROUNDS,
 
 def rate_of(p: Column, steps: list[np.ndarray]) -> Column:
     @F.pandas_udf(T.DoubleType())
-    def made(rows: pd.Series) -> pd.Series:
-        return pd.Series(replay(np.array(rows.tolist(), float), steps) if len(rows) else np.zeros(0))
+    def made(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for batch in batches:
+                yield pd.Series(replay(np.array(batch.tolist(), float), steps) if len(batch) else np.zeros(0))
+
+        return thrifty(run)(rows)
 
     return made(p)
 
