@@ -94,12 +94,15 @@ def release(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
-def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+def small(df: DataFrame, most: int = SMALL, rows: int | None = None) -> DataFrame:
     """``df``, a table of few columns of numbers, to be broadcast if it has at most ``most`` rows.
 
-    A larger one stays as it is, and Spark joins it by a shuffle.
+    A larger one stays as it is, and Spark joins it by a shuffle. ``rows``, if known, is what it has
+    at most; else they are counted.
     """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    if rows is None or rows > most:
+        rows = df.limit(most + 1).count()
+    return F.broadcast(df) if rows <= most else df
 
 
 def in_small_batches(df: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -126,16 +127,17 @@ def shared_tokens(starts: DataFrame) -> DataFrame:
     return out
 
 
-def apart(tokens: DataFrame, roots: DataFrame, similarity: float, every: bool, tried: DataFrame) -> DataFrame:
-    """(u, v), u > v, without those ``tried``: texts of different ``roots`` that share one of the ``tokens``.
+def apart(tokens: DataFrame, roots: DataFrame, total: int, similarity: float, every: bool, tried: DataFrame) -> DataFrame:
+    """(u, v), u > v, without those ``tried``: texts of different ``roots``, ``total`` rows, that share one of the ``tokens``.
 
     With ``every``, all such pairs that sizes and places allow; else only neighbours within a
     token, whose number is that of the tokens at most. A token's largest group is paired with
     the others only, so what is united already costs no pairs.
     """
-    each = tokens.join(small(roots), "tx").select("tx", "root", "n", "pos", "token")
+    each = tokens.join(small(roots, rows=total), "tx").select("tx", "root", "n", "pos", "token")
     # a token of one group has no pairs; counts of groups are combined before they are shuffled
     held = each.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("token")
+    held = materialise(held, "held")
     open_ = materialise(each.join(small(held), "token"), "open")
     fair = F.least("n", "n2") >= similarity * F.greatest("n", "n2") - 1e-9
     if not every:
@@ -150,21 +152,26 @@ def apart(tokens: DataFrame, roots: DataFrame, similarity: float, every: bool, t
         found = few.join(other, "token").where("root != root2 AND (root2 = largest OR tx > tx2)").where(room)
     found = found.where(fair).select(F.greatest("tx", "tx2").alias("u"), F.least("tx", "tx2").alias("v")).distinct()
     out = materialise(found.join(tried, ["u", "v"], "left_anti"), "pairs")
-    release(open_)
+    for done in (held, open_):
+        release(done)
     return out
 
 
-def alike(sets: DataFrame, starts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` (u, v) whose whole sets of shingles are as similar as ``similarity`` or more."""
+def alike(sets: DataFrame, starts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame | None:
+    """The ``pairs`` (u, v) whose whole sets of shingles are as similar as ``similarity`` or more; None if there are none."""
     u = starts.select(F.col("tx").alias("u"), F.col("n").alias("nu"), F.col("bits").alias("bu"))
     v = starts.select(F.col("tx").alias("v"), F.col("n").alias("nv"), F.col("bits").alias("bv"))
     # sets whose sizes or parities alone rule the similarity out are not joined
     differ = sum((F.bit_count(F.col("bu")[k].bitwiseXOR(F.col("bv")[k])) for k in range(4)), F.lit(0))
     fair = (F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-9) & (differ <= (F.col("nu") + F.col("nv")) * ((1 - similarity) / (1 + similarity)) + 1e-9)
     fair = materialise(pairs.join(u, "u").join(v, "v").where(fair).select("u", "v"), "fair")
+    rows = fair.count()
+    if not rows:
+        release(fair)
+        return None
     # u's set goes to v, once a pair; v's goes once, whatever the number of its pairs
-    a = sets.select(F.col("tx").alias("u"), F.col("shingles").alias("a")).join(small(fair), "u")
-    b = sets.select(F.col("tx").alias("v"), F.col("shingles").alias("b")).join(small(fair.select("v").distinct()), "v", "left_semi")
+    a = sets.select(F.col("tx").alias("u"), F.col("shingles").alias("a")).join(small(fair, rows=rows), "u")
+    b = sets.select(F.col("tx").alias("v"), F.col("shingles").alias("b")).join(small(fair.select("v").distinct(), rows=rows), "v", "left_semi")
     held = a.join(b, "v")
     common = F.size(F.array_intersect("a", "b"))
     whole = (common >= similarity * (F.size("a") + F.size("b") - common)) | ((F.size("a") == 0) & (F.size("b") == 0))
@@ -172,12 +179,12 @@ def alike(sets: DataFrame, starts: DataFrame, pairs: DataFrame, similarity: floa
     release(fair)
     del held, a, b
     sweep(pairs.sparkSession)
-    return out
+    return None if out.isEmpty() else out
 
 
-def _united(roots: DataFrame, links: DataFrame) -> DataFrame:
+def _united(roots: DataFrame, links: DataFrame | None) -> DataFrame:
     """``roots`` (tx, root) with those that ``links`` (u, v) of texts join made one, the smallest."""
-    if links.isEmpty():
+    if links is None:
         return roots
     u, v = (roots.select(F.col("tx").alias(c), F.col("root").alias("r" + c)) for c in "uv")
     found = components(links.join(u, "u").join(v, "v"), "ru", "rv")
@@ -195,10 +202,8 @@ def verified(sets: DataFrame, starts: DataFrame, pairs: DataFrame, roots: DataFr
     roots = _united(roots, alike(sets, starts, least, similarity))
     u, v = (roots.select(F.col("tx").alias(c), F.col("root").alias("r" + c)) for c in "uv")
     rest = pairs.join(least, ["u", "v"], "left_anti").join(u, "u").join(v, "v").where("ru != rv").select("u", "v")
-    rest = materialise(rest, "rest")
-    roots = roots if rest.isEmpty() else _united(roots, alike(sets, starts, rest, similarity))
-    for done in (least, rest):
-        release(done)
+    roots = _united(roots, alike(sets, starts, rest, similarity))
+    release(least)
     return roots
 
 
@@ -215,29 +220,29 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # of copies of a text one row stands for all
     texts = held.groupBy("k1", "k2").agg(F.min("tx").alias("tx"), F.min("id").alias("id"), F.min("fp").alias("fp"))
     texts = materialise(texts, "texts")
-    often = frequent_shingles(held, texts.count())
+    total = texts.count()
+    often = frequent_shingles(held, total)
     firsts = prefixes(held, similarity, often)
-    starts = materialise(firsts.join(small(texts.select("tx")), "tx", "left_semi"), "starts")
+    starts = materialise(firsts.join(small(texts.select("tx"), rows=total), "tx", "left_semi"), "starts")
     tokens = shared_tokens(starts)
     # half of each hash does for counting what two sets have in common, and halves what is shuffled
     sets = held.select("tx", F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int")).alias("shingles"))
     nodes = materialise(texts.groupBy("fp").agg(F.min("tx").alias("rep")), "nodes")
     same = texts.join(nodes, "fp").where("tx != rep").select(F.col("tx").alias("u"), F.col("rep").alias("v"))
     pairs = near_links(nodes, CANDIDATE_BITS).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    tried = materialise(same.union(pairs), "pairs")
+    found = [materialise(same.union(pairs), "pairs")]
     del pairs, same
     sweep(docs.sparkSession)
-    roots = verified(sets, starts, tried, texts.select("tx", F.col("tx").alias("root")), similarity)
+    roots = verified(sets, starts, found[0], texts.select("tx", F.col("tx").alias("root")), similarity)
     for every in (False, True):
-        pairs = apart(tokens, roots, similarity, every, tried)
-        roots = verified(sets, starts, pairs, roots, similarity)
-        tried = materialise(tried.union(pairs), "tried")
+        found.append(apart(tokens, roots, total, similarity, every, reduce(DataFrame.union, found)))
+        roots = verified(sets, starts, found[-1], roots, similarity)
     named = texts.join(roots, "tx")
     # an id can have several texts, so the text that names the group is kept beside its id
     least = named.groupBy("root").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "k1", "k2"))).alias("least"))
     out = named.join(least, "root").select("k1", "k2", "least.id", F.col("least.k1").alias("n1"), F.col("least.k2").alias("n2"))
     out = materialise(out, "groups")
-    for done in (held, starts, tokens, nodes, tried):
+    for done in (held, starts, tokens, nodes, *found):
         release(done)
     sweep(docs.sparkSession)
     return out

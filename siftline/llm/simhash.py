@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, mixed, small, thrifty
-from .components import components
+from .components import components, forest
 
 SEED = 42
 #: Homes and visitors that one block compares, and homes of a shard aimed at.
@@ -111,30 +111,6 @@ def route(fp: np.ndarray, part: np.ndarray, depth: np.ndarray, radius: int) -> t
     return tuple(np.concatenate(c) for c in zip(*done))
 
 
-def forest(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Unite the pairs in ``parent``, where every entry points at its set's smallest index.
-
-    Returns the places of the pairs that joined two sets: of several that join the same set to
-    another in one step, the first.
-    """
-    used, at = [], np.arange(len(a))
-    while len(at):
-        ra, rb = parent[a[at]], parent[b[at]]
-        open_ = ra != rb
-        if not open_.any():
-            break
-        at, ra, rb = at[open_], ra[open_], rb[open_]
-        high, first = np.unique(np.maximum(ra, rb), return_index=True)
-        parent[high] = np.minimum(ra, rb)[first]
-        used.append(at[first])
-        while True:
-            up = parent[parent]
-            if (up == parent).all():
-                break
-            parent[:] = up
-    return np.concatenate(used) if used else np.zeros(0, np.int64)
-
-
 def close_pairs(homes: np.ndarray, visitors: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Indices (visitor, home) within ``max_bits``, where the visitor's number is smaller."""
     step = max(1, AT_ONCE // max(1, len(homes)))
