@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise, release, thrifty
 
-#: Edges that a task unites at once.
-AT_ONCE = 1 << 19
+#: Edges that a task unites at once, and nodes whose minima are broadcast at most (some MB).
+AT_ONCE, FEW = 1 << 19, 100_000
 
 
 def forest(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -74,10 +74,11 @@ def _contracted(edges: DataFrame) -> DataFrame:
     return near.repartition("u").mapInArrow(thrifty(_stars), "u long, v long")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, nodes: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+    # a hub's edges stay where they are while the minima, one for each of ``nodes``, can be sent to them
+    return both.join(F.broadcast(least) if nodes <= FEW else least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -87,10 +88,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u != v")
 
 
-def _settled(edges: DataFrame) -> bool:
-    """Whether every node has one edge to a root, or only edges from nodes below it."""
+def _unsettled(edges: DataFrame) -> tuple[int, int]:
+    """(nodes, how many of them have neither one edge to a root nor only edges from nodes below)."""
     ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).union(edges.select("v", F.lit(0)))
-    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n")).where("up > 1 OR up = 1 AND n > 1").isEmpty()
+    each = ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n"))
+    return tuple(each.agg(F.count("*"), F.count_if(F.expr("up > 1 OR up = 1 AND n > 1"))).first())
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v", most_rounds: int = 60) -> DataFrame:
@@ -102,9 +104,10 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", most_rounds: int =
     pair = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).where("u != v")
     now = materialise(_contracted(pair), "edges")
     for _ in range(most_rounds):
-        if _settled(now):
+        nodes, loose = _unsettled(now)
+        if not loose:
             break
-        new = materialise(_contracted(_small_star(_large_star(now))), "edges")
+        new = materialise(_contracted(_small_star(_large_star(now, nodes))), "edges")
         release(now)
         now = new
     else:
